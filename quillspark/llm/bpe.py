@@ -157,7 +157,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ids = codec.encode(text)
         return ids, codec.decode(ids)
 
-    return _coded(docs, id_col, text_col, vocabulary, pattern, row, "ids binary, decoded binary")
+    return _coded(docs, id_col, text_col, vocabulary, pattern, row, {"ids": "binary", "decoded": "binary"})
 
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -167,10 +167,10 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ids = codec.encode(text)
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
-    return _coded(docs, id_col, text_col, vocabulary, pattern, row, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _coded(docs, id_col, text_col, vocabulary, pattern, row, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
-def _coded(docs, id_col, text_col, vocabulary, pattern, row, schema):
+def _coded(docs, id_col, text_col, vocabulary, pattern, row, kinds):
     import public_tokenizers
 
     path, pattern = vocabulary or tokenizer_file("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
@@ -179,19 +179,17 @@ def _coded(docs, id_col, text_col, vocabulary, pattern, row, schema):
 
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
         codec = per_worker(key, lambda: Codec(shipped.value, pattern))
-        kinds = to_arrow_schema(StructType.fromDDL(schema))
+        arrow = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 columns = list(zip(*(row(codec, t) for t in texts(part.column(1)))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k.type) for c, k in zip(columns, kinds))], ["doc_id", *kinds.names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, arrow[k]) for c, k in zip(columns, kinds.values()))], ["doc_id", *kinds])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} {k}" for c, k in kinds.items())]))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .common import byte_texts, read
 MEMORY = 64 << 20  # bytes of distinct content that a table may hold
 FANOUT_BITS = 4
 NO_ID = -(1 << 63)
-HEADER = struct.Struct("<32sqqI")
+HEADER = "<32sqqI"
 
 
 class ContentTable:
@@ -85,7 +85,7 @@ def grace(records, memory: int = MEMORY, level: int = 0):
             for source in (table.entries(), records):
                 for digest, content, top, n in source:
                     bucket = int.from_bytes(digest[8:16], "little") >> (FANOUT_BITS * level) & ((1 << FANOUT_BITS) - 1)
-                    files[bucket].write(HEADER.pack(digest, top, n, len(content)) + content)
+                    files[bucket].write(struct.pack(HEADER, digest, top, n, len(content)) + content)
                 table = None
         finally:
             for f in files:
@@ -97,8 +97,8 @@ def grace(records, memory: int = MEMORY, level: int = 0):
 
 def spilled(path: str):
     with open(path, "rb", buffering=1 << 20) as f:
-        while head := f.read(HEADER.size):
-            digest, top, n, length = HEADER.unpack(head)
+        while head := f.read(struct.calcsize(HEADER)):
+            digest, top, n, length = struct.unpack(HEADER, head)
             yield digest, f.read(length), top, n
 
 
