@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from .plans import queries as _queries
+
+MODULES = (_queries,)
 
 
 def queries() -> dict:
