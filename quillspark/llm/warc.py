@@ -142,7 +142,10 @@ def leaves(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> Dat
 
     block = F.floor(F.col("offset") / range_bytes)
     ranges = index.groupBy("file", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("offset", "number", "length"))).alias("members"))  # the records that begin in range_bytes
-    return ranges.select("file", "members").mapInArrow(run, "file string, number long, digest string, now_sha256 string")
+    # index rows are few bytes for many bytes of file, so tasks are counted by those
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * range_bytes)))
+    return ranges.repartition(tasks, "file", "block").select("file", "members").mapInArrow(run, "file string, number long, digest string, now_sha256 string")
 
 
 def level_up(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
