@@ -27,6 +27,7 @@ from .common import per_worker, read, texts
 
 SMOOTH = 0.5  # weight of a path's nearest paths
 SPREAD = 0.3  # threshold, in standard deviations over blocks
+WRAPPER = 0.8  # an element with more than this part of the text is not set aside by its name
 COVER = 0.9  # part of the content text that the article's element must hold
 
 SKIPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title select datalist textarea".split())
@@ -43,6 +44,7 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall disclaimer "
     "comment comments commentlist commentform respond reply replies discussion disqus feedback pagination pager tags tagcloud".split()
 )
+MODIFIERS = frozenset("with has no without".split())  # as in "with-sidebar", said of what lies beside it
 CLOSED_BY = {  # an open element of the key ends where one of these begins, up to a limiting container
     "p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside header footer nav main form blockquote pre figure hr address fieldset details li dd dt tr td th".split()),
     "li": frozenset(["li"]),
@@ -88,7 +90,8 @@ def aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         if name == "style" and found["unseen"].search(value):
             return True, False
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = NAMES.intersection(found["words"].findall(found["camel"].sub(" ", value).lower()))
+            said = found["words"].findall(found["camel"].sub(" ", value).lower())
+            words = {w for w, before in zip(said, ["", *said]) if w in NAMES and before not in MODIFIERS}
             named = named or bool(words - {"header"} if in_article else words)
     return False, named
 
@@ -232,11 +235,19 @@ def content_paths(rows: list[tuple[int, int, int]], parent_path: list[int]) -> s
 def main_text(page: str) -> str:
     read_page = Page(page)
     nodes, blocks = read_page.nodes, read_page.blocks
-    # a name like "with-sidebar" of an element around the article means nothing
-    holds = [False] * len(nodes)
+    # the name of an element around the article, or around nearly everything, means nothing
+    holds, length = [False] * len(nodes), [0] * len(nodes)
+    for node, text in blocks:
+        length[node.number] += len(text)
     for node in reversed(nodes):
-        if node.parent and (holds[node.number] or node.tag in ("article", "main")):
-            holds[node.parent.number] = True
+        if node.parent:
+            if node.aside:
+                length[node.number] = 0
+            length[node.parent.number] += length[node.number]
+            if holds[node.number] or node.tag in ("article", "main"):
+                holds[node.parent.number] = True
+    for node in nodes:
+        holds[node.number] = holds[node.number] or length[node.number] > WRAPPER * length[0]
     for by_name in (True, False):
         apart = [False] * len(nodes)
         for node in nodes:
