@@ -1,9 +1,9 @@
 """WARC files and their fixity audit by Merkle trees.
 
-Every task writes its pages as WARC records into files of its own and returns an index row for each
+Every task writes its pages as WARC records, each a gzip member of its own, into files of its own and returns an index row for each
 record (file, number, offset, length, digest), so nothing is shuffled to write. A replica is a copy of the files
 under another folder. An audit reads every replica anew by the ranges of the index, many records a range,
-and hashes records and ordered ranges into a tree: a leaf is the digest of a record's bytes with its
+and hashes records and ordered ranges into a tree: a leaf is the digest of a record's stored bytes with its
 offset, an inner node the digest of its up to FANOUT children in order. Trees are built level by level with
 grouped aggregations of at most FANOUT rows a group. The roots of the replicas are compared per file, and only
 below nodes that differ are the next levels compared, down to the damaged records.
@@ -15,6 +15,7 @@ An empty table gives an empty result. Other columns are ignored, whatever their
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -26,7 +27,8 @@ from .media import file_system
 
 FANOUT = 16
 FILE_BYTES = 64 << 20  # a file is closed beyond this
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
+LEVEL = 1  # of gzip
 DATE = "1970-01-01T00:00:00Z"  # records carry no time of their own, so that a rewrite gives the same bytes
 
 INDEX = "file string, number long, offset long, length long, page_id long, url string, record_sha256 string"
@@ -37,7 +39,7 @@ def record(page_id: int | None, url: str, body: bytes) -> bytes:
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest}")
     clean = url.replace("\r", "%0D").replace("\n", "%0A")
     head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {clean}\r\nWARC-Block-Digest: sha256:{digest}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
-    return head.encode() + body + b"\r\n\r\n"
+    return gzip.compress(head.encode() + body + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -60,8 +62,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for incoming in batches:
             for page_id, url, html in zip(*(incoming.column(i).to_pylist() for i in range(3))):
                 if sink is None:
-                    name, number, at = f"{uuid.uuid4().hex}.warc", 0, 0
-                    sink = system.open_output_stream(f"{path}/{name}")
+                    name, number, at = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    sink = system.open_output_stream(f"{path}/{name}", compression=None)
                 data = record(page_id, url or "", (html or "").encode())
                 sink.write(data)
                 rows.append((name, number, at, len(data), page_id, url, hashlib.sha256(data).hexdigest()))
@@ -92,7 +94,7 @@ def replicate(index: DataFrame, source: str, target: str) -> None:
         for batch in batches:
             names = batch.column(0).to_pylist()
             for name in names:
-                with a.open_input_stream(f"{at}/{name}") as old, b.open_output_stream(f"{to}/{name}") as new:
+                with a.open_input_stream(f"{at}/{name}", compression=None) as old, b.open_output_stream(f"{to}/{name}", compression=None) as new:
                     while block := old.read(8 << 20):
                         new.write(block)
             yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["files"])
