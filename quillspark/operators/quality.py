@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..shared import cut
@@ -366,7 +367,7 @@ def curly(texts: list[str], mark: str, pair: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def typography(nodes):
     """Quotes and ellipses of an array of consecutive text nodes."""
     return nodes.map(lambda t: [x.replace("...", "…") for x in curly(curly(list(t), '"', "“”"), "'", "‘’")])
