@@ -4,7 +4,8 @@
 import corpus_pipeline
 from quillspark.llm import importance, pii
 
-from .test_operators import SF, brute_dedup, brute_fingerprint, check_pieces, components
+from .test_near_copies import brute_copies
+from .test_operators import SF, brute_dedup, check_pieces
 
 
 def test_pipeline(spark):
@@ -12,9 +13,9 @@ def test_pipeline(spark):
     rows = {r.doc_id: r.text for r in importance.keep_quality(docs, labels).collect()}
     assert 0 < len(rows) <= docs.count()
     rows = {i: t for i, t in rows.items() if {d: k for d, _, _, k, _ in brute_dedup(list(rows.items()))}[i]}
-    ids = sorted(rows)
-    classes = components([brute_fingerprint(rows[i]) for i in ids], 2)
-    rows = {ids[c]: rows[ids[c]] for c in set(classes)}
+    gone = brute_copies(rows)
+    assert gone
+    rows = {i: t for i, t in rows.items() if i not in gone}
     model = pii.trained()
     for i, text in rows.items():
         _, spans = next(pii.find(model, [text]))
