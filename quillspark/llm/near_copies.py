@@ -6,12 +6,13 @@ sends a spanning forest on; components of the forests are candidate groups. At a
 share no shard with probability 5e-5, and differ in more than RADIUS bits with 1e-3.
 
 Candidate groups are decided exactly. In ascending order of ids each text is compared, by its whole shingle set, with the
-texts that stay and whose fingerprint a BK-tree finds within the radius; it goes if one of them is similar enough, else it stays. So of
-texts in a candidate group no two that stay are similar, and each that goes is similar to one of smaller id.
+texts that stay; it goes if one of them is similar enough, else it stays. So of texts in a candidate group no two that
+stay are similar, and each that goes is similar to one of smaller id that stays. Only sets that share one of their least hashes are
+compared, which loses no pair.
 
-Shards and groups of over BLOCK members are cut into blocks. Each block is reduced on its own first, which leaves little
-of a large group of copies; what remains meets block by block, so a task holds two blocks whatever the data, and
-neither members nor links are given up.
+The rule is the same at every size. A group of over BLOCK members is decided in rounds: the least ids that are open are decided in one
+task, then those that stay meet all others, a block a task, and what goes is left out of the next round. Shards of over BLOCK
+members are cut into blocks, each reduced on its own first; what remains meets block by block.
 
 Defined results. Null text is the empty text; texts without words are copies of one another. A text shorter than a shingle is one shingle.
 Rows without an id stay. Rows that share an id stay or go together, and count as one text if equal. An empty table
@@ -20,6 +21,8 @@ gives an empty result. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,56 +166,122 @@ def candidate_links(known: DataFrame, radius: int, block: int) -> DataFrame:
     return first.unionByName(level(roots.join(hot, "key", "left_semi"), True)[0])
 
 
-def decided(members: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
-    """doc_id, copy_of (a smaller id that is similar enough, or null) of members (doc_id, group, i, j, text), group by group."""
+def measured(members: DataFrame, words: int) -> DataFrame:
+    """members (doc_id, group, size, text) with the hashes of the text's shingles, ascending, in place of the text."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                found = [np.ascontiguousarray(shingle_hashes(text, words)[:, 0]).tobytes() for text in byte_texts(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["doc_id", "group", "size", "hashes"])
+
+    return members.select("doc_id", "group", "size", "text").mapInArrow(run, "doc_id long, group binary, size long, hashes binary")
+
+
+class Stays:
+    """Texts that stay. Two sets that are similar enough share one of the least hashes of each, so the index of those loses no pair."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.rows, self.holders = similarity, [], {}
+
+    def least(self, hashes) -> list[int]:
+        return hashes[: len(hashes) - math.ceil(self.similarity * len(hashes) - 1e-6) + 1].tolist()
+
+    def add(self, doc: int, hashes) -> None:
+        for x in self.least(hashes):
+            self.holders.setdefault(x, []).append(len(self.rows))
+        self.rows.append((doc, hashes))
+
+    def copy_of(self, doc: int, hashes):
+        """The first text added, of another id, that is similar enough."""
+        import numpy as np
+
+        for at in sorted({at for x in self.least(hashes) for at in self.holders.get(x, ())}):
+            other, others = self.rows[at]
+            short, long = sorted((len(hashes), len(others)))
+            if other == doc or short < self.similarity * long:
+                continue
+            shared = np.count_nonzero(hashes[np.minimum(np.searchsorted(hashes, others), len(hashes) - 1)] == others)
+            if shared >= self.similarity * (len(hashes) + len(others) - shared):
+                return other
+        return None
+
+
+def decided(members: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, copy_of of members (doc_id, group, part, stays, hashes), part by part of a group in ascending order of ids.
+
+    Rows known to stay are compared with nothing. Where stays is null, a text that is no copy stays for those after it; where it is
+    false, it is compared only. The rows of an id stay or go together.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        now, tree, stay = None, None, []
+        now, kept, last, same, is_copy = None, None, None, [], False
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
             found = []
-            for doc, *group, text in zip(*columns, byte_texts(batch.column(4))):
-                if group != now:
-                    now, tree, stay = group, BKTree(), []
-                halves = shingle_hashes(text, words)
-                fp, hashes = int.from_bytes(wide_fingerprint(halves), "big"), np.ascontiguousarray(halves[:, 0])
-                copy_of = None
-                for at in tree.within(fp, radius):
-                    other, others = stay[at]
-                    if other == doc:
-                        continue
-                    shared = len(np.intersect1d(hashes, others, assume_unique=True))
-                    if shared >= similarity * (len(hashes) + len(others) - shared):
-                        copy_of = other
-                        break
-                if copy_of is None:
-                    tree.add(fp)
-                    stay.append((doc, hashes))
+            for doc, group, part, stays, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (group, part, doc) != last:
+                    if not is_copy:
+                        for hashes in same:
+                            kept.add(last[2], hashes)
+                    last, same, is_copy = (group, part, doc), [], False
+                if (group, part) != now:
+                    now, kept = (group, part), Stays(similarity)
+                hashes = np.frombuffer(raw, "<u8")
+                copy_of = None if stays else kept.copy_of(doc, hashes)
+                is_copy = is_copy or copy_of is not None
+                if stays is not False:
+                    same.append(hashes)
                 found.append(copy_of)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "copy_of"])
 
-    own = members.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "doc_id")
-    return own.select("doc_id", "group", "i", "j", "text").mapInArrow(run, "doc_id long, copy_of long")
+    own = members.repartition("group", "part").sortWithinPartitions("group", "part", "doc_id")
+    return own.select("doc_id", "group", "part", "stays", "hashes").mapInArrow(run, "doc_id long, copy_of long").where("copy_of is not null")
+
+
+def rounds(left: DataFrame, similarity: float, block: int) -> list[DataFrame]:
+    """doc_id, copy_of of the texts that go in groups of any size.
+
+    In each round the least ids of a group that are open, one to two blocks of them, are decided for good, and those that stay meet all others.
+    """
+    gone, halves = [], [2.0**-k for k in range(31)]
+    left = cut(left)
+    while not left.isEmpty():
+        counted = left.groupBy("group").agg(F.count("*").alias("size"), F.percentile_approx("doc_id", halves, 1_000_000).alias("limits"))
+        k = F.greatest(F.lit(0), F.floor(F.log2(F.col("size") / F.lit(block)))).cast("int")
+        limits = cut(counted.select("group", "size", F.element_at("limits", k + 1).alias("limit")))
+        rows = left.drop("size").join(F.broadcast(limits), "group")
+        first = rows.where("doc_id <= limit")
+        copied = cut(decided(first.withColumn("part", F.lit(0).cast("long")).withColumn("stays", F.lit(None).cast("boolean")), similarity))
+        stays = first.join(copied.select("doc_id").distinct(), "doc_id", "left_anti")
+        n = F.ceil(F.col("size") / F.lit(block)).cast("long")
+        others = rows.where("doc_id > limit").withColumn("part", F.pmod(F.xxhash64("doc_id"), n)).withColumn("stays", F.lit(False))
+        every = stays.where("size > %d" % block).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("stays", F.lit(True))
+        met = cut(decided(others.unionByName(every), similarity))
+        gone += [copied, met]
+        left = cut(others.join(met.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "group", "size", "hashes"))
+    return gone
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """doc_id, copy_of of the texts that go: a text of smaller id that is similar enough."""
+    """doc_id, copy_of of the texts that go: a text of smaller id that stays and is similar enough."""
     known = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, bands, rows))
     linked = components(candidate_links(known, radius, block)).withColumnsRenamed({"node": "fp", "component": "group"})
     named = known.select("doc_id", "fp").join(linked, "fp", "left").select("doc_id", F.coalesce("group", "fp").alias("group")).distinct()
     named = cut(named.join(named.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(decided(blocked(texts.join(named, "doc_id"), "size", "doc_id", block, False), words, radius, similarity))
-    gone = found.where("copy_of is not null")
+    small = measured(texts.join(named.where(F.col("size") <= block), "doc_id"), words)
+    gone = cut(decided(small.withColumn("part", F.lit(0).cast("long")).withColumn("stays", F.lit(None).cast("boolean")), similarity))
     hot = named.where(F.col("size") > block)
     if not hot.isEmpty():
-        left = hot.select("doc_id", "group").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-        left = cut(left.join(left.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group"))
-        more = cut(decided(blocked(texts.join(left, "doc_id"), "size", "doc_id", block, True), words, radius, similarity))
-        gone = gone.unionByName(more.where("copy_of is not null"))
+        for more in rounds(measured(texts.join(hot, "doc_id"), words), similarity, block):
+            gone = gone.unionByName(more)
     return gone.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
 
 

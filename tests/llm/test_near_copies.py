@@ -89,3 +89,20 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "6", "None", "None", "7", "9", "9"])
     assert near_copies.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_groups_over_blocks_are_decided_as_small_ones(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = {i: edited(base, rng.randrange(1, 6), rng) for i in rng.sample(range(10_000), 400)}
+    docs = spark.createDataFrame(list(rows.items()), SCHEMA).repartition(4)
+    found = {r.doc_id: r.copy_of for r in near_copies.copies(docs, block=16).collect()}
+    sets = {i: shingles(t) for i, t in rows.items()}
+    assert set(found) == brute_copies(rows)
+    assert all(j < i and j not in found and similar(sets[i], sets[j]) for i, j in found.items())
+
+
+def test_rows_of_an_id_go_together(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
+    rows = [(1, one), (2, one + " x"), (2, one + " y"), (3, two), (3, two + " x")]
+    assert {(r.doc_id, r.copy_of) for r in near_copies.copies(spark.createDataFrame(rows, SCHEMA), block=2).collect()} == {(2, 1)}
