@@ -12,7 +12,7 @@ compared, which loses no pair.
 
 The rule is the same at every size. A group of over BLOCK members is decided in rounds: the least ids that are open are decided in one
 task, then those that stay meet all others, a block a task, and what goes is left out of the next round. Shards of over BLOCK
-members are cut into blocks, each reduced on its own first; what remains meets block by block.
+members are cut into blocks, and every two blocks meet with all their members, so a task holds two blocks and no link is lost.
 
 Defined results. Null text is the empty text; texts without words are copies of one another. A text shorter than a shingle is one shingle.
 Rows without an id stay. Rows that share an id stay or go together, and count as one text if equal. An empty table
@@ -108,19 +108,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
     return texts.mapInArrow(run, "doc_id long, fp binary, keys array<long>")
 
 
-def blocked(rows: DataFrame, size: str, spread: str, block: int, meet: bool) -> DataFrame:
-    """Adds i and j. Without meet a row is in its own block (i = j); with meet in every pair of blocks that has its own."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("long")
-    own = rows.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64(spread), F.col("_n")))
-    if not meet:
-        return own.withColumn("i", F.col("_own")).withColumn("j", F.col("_own")).drop("_n", "_own")
-    every = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    return every.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_n", "_own", "_other")
-
-
-def shard_forest(values: list[bytes], radius: int):
-    """(value, another within the radius, or None for the first value of a tree of the forest)."""
-    tree, parent = BKTree(), []
+def shard_forest(values: list[bytes], begin: int, radius: int):
+    """Links (value, another within the radius) that span the same groups as all links between values[:begin] and the others, or among all where begin is 0."""
+    tree, parent, trees = BKTree(), [], 0
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -130,40 +120,41 @@ def shard_forest(values: list[bytes], radius: int):
     for i, value in enumerate(values):
         number = int.from_bytes(value, "big")
         parent.append(i)
-        for j in tree.within(number, radius):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                yield value, values[j]
-        tree.add(number)
-    for i, value in enumerate(values):
-        if parent[i] == i:
-            yield value, None
+        trees += 1
+        if i >= begin:
+            for j in tree.within(number, radius):
+                a, b = root(i), root(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    trees -= 1
+                    yield value, values[j]
+                if trees == 1:
+                    break
+        if i < begin or not begin:
+            tree.add(number)
 
 
 def candidate_links(known: DataFrame, radius: int, block: int) -> DataFrame:
-    """Links (a, b) between the fingerprints of sketches."""
+    """Links (a, b) between the fingerprints of sketches. A shard's blocks (one, if it holds at most block) meet in every pair, with all their members."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [(key, a, b) for key, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b in shard_forest(values, radius)]
-            keys, a, b = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["key", "a", "b"])
-
-    def level(rows: DataFrame, meet: bool) -> tuple[DataFrame, DataFrame]:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        groups = blocked(rows.join(sizes, "key"), "size", "fp", block, meet).groupBy("key", "i", "j").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        found = cut(groups.select("key", "fps").mapInArrow(run, "key long, a binary, b binary"))
-        return found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
+            found = []
+            for i, j, members in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                begin = 0 if i == j else sum(m["own"] == i for m in members)
+                found.extend(shard_forest([m["fp"] for m in members], begin, radius))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     rows = known.select(F.explode("keys").alias("key"), "fp").distinct()
-    hot = cut(rows.groupBy("key").count().where(F.col("count") > block).select("key"))
-    first, roots = level(rows, False)
-    if hot.isEmpty():
-        return first
-    return first.unionByName(level(roots.join(hot, "key", "left_semi"), True)[0])
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    n = F.ceil(F.col("size") / F.lit(block)).cast("long")
+    own = rows.join(sizes, "key").select("key", "fp", n.alias("n"), F.pmod(F.xxhash64("fp"), n).alias("own"))
+    every = own.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    groups = every.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.sort_array(F.collect_list(F.struct("own", "fp"))).alias("members"))
+    return cut(groups.select("i", "j", "members").mapInArrow(run, "a binary, b binary"))
 
 
 def measured(members: DataFrame, words: int) -> DataFrame:

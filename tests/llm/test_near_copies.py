@@ -106,3 +106,28 @@ def test_rows_of_an_id_go_together(spark):
     one, two = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
     rows = [(1, one), (2, one + " x"), (2, one + " y"), (3, two), (3, two + " x")]
     assert {(r.doc_id, r.copy_of) for r in near_copies.copies(spark.createDataFrame(rows, SCHEMA), block=2).collect()} == {(2, 1)}
+
+
+def test_links_of_hot_shards(spark):
+    rng = random.Random(4)
+    fps = [bytes(16)]
+    for _ in range(199):  # chains, in which most links lie between fingerprints whose blocks differ
+        value = int.from_bytes(rng.choice(fps[-3:]), "big")
+        for bit in rng.sample(range(128), rng.randrange(8, 14)):
+            value ^= 1 << bit
+        fps.append(value.to_bytes(16, "big"))
+    known = spark.createDataFrame([(i, bytearray(fp), [7]) for i, fp in enumerate(fps)], "doc_id long, fp binary, keys array<long>")
+
+    def groups(links):
+        name = {fp: fp for fp in fps}
+        for a, b in links:
+            a, b = name[a], name[b]
+            name = {fp: min(a, b) if x in (a, b) else x for fp, x in name.items()}
+        return name
+
+    def near(a, b):
+        return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() <= 12
+
+    links = [(bytes(r.a), bytes(r.b)) for r in near_copies.candidate_links(known, 12, 8).collect()]
+    assert all(near(a, b) for a, b in links)
+    assert groups(links) == groups([(a, b) for a in fps for b in fps if a < b and near(a, b)])
