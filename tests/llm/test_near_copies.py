@@ -131,3 +131,13 @@ def test_links_of_hot_shards(spark):
     links = [(bytes(r.a), bytes(r.b)) for r in near_copies.candidate_links(known, 12, 8).collect()]
     assert all(near(a, b) for a, b in links)
     assert groups(links) == groups([(a, b) for a in fps for b in fps if a < b and near(a, b)])
+
+
+def test_short_texts_at_the_limit(spark):
+    rng = random.Random(5)
+    rows = {}
+    for pair in range(300):
+        words = [f"s{rng.randrange(10**9)}" for _ in range(9)]
+        rows[2 * pair], rows[2 * pair + 1] = " ".join(words[:8]), " ".join(words)
+    docs = spark.createDataFrame(list(rows.items()), SCHEMA)
+    assert {(r.doc_id, r.copy_of) for r in near_copies.copies(docs).collect()} == {(i + 1, i) for i in range(0, 600, 2)}
