@@ -9,7 +9,7 @@ that of its open windows, and only the last windows of partitions are ever moved
 
 Token ids are those of the `tokenizers` file byte_bpe_50k.json; they are computed from the same
 vocabulary as ranks, byte_bpe_50k.tiktoken, which is several times faster (the tests compare the two).
-A special token's string in a text is ordinary text. Each document ends with END_ID.
+An added token's string in a text is that token's id. Each document ends with END_ID.
 
 Defined results. Null and empty text: the one id END_ID. Texts are taken whole, however long. A repeated row is
 packed each time. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -18,7 +18,9 @@ packed each time. An empty table gives an empty result. Other columns are ignore
 from __future__ import annotations
 
 import base64
+import json
 import math
+import os
 import zlib
 from bisect import bisect_left, insort
 
@@ -86,12 +88,24 @@ class Packer:
             yield pieces
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the `tokenizers` file that lies beside a vocabulary, if there is one."""
+    beside = f"{path.removesuffix('.tiktoken')}.json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError(f"{beside}: added tokens are matched as they are written only")
+    return {t["content"]: t["id"] for t in found}
+
+
 def load_encoder(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path.rpartition("/")[2], pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path.rpartition("/")[2], pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
 def packed(windows, first_id: int, ids_of: str, last_open: bool):
@@ -138,7 +152,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                 for begin in range(0, batch.num_rows, 500):
                     part = batch.slice(begin, 500)
                     for doc, text in zip(part.column(0).to_pylist(), texts(part.column(1))):
-                        ids = np.append(encoder.encode_to_numpy(text, disallowed_special=()), END_ID).astype("<u4")
+                        ids = np.append(encoder.encode_to_numpy(text, allowed_special="all", disallowed_special=()), END_ID).astype("<u4")
                         n = len(ids)
                         for start in range(0, n - n % window, window):
                             yield [(doc, start, ids[start : start + window], n)], True

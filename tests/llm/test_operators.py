@@ -111,6 +111,13 @@ def test_packing_window_of_few_open_ones(spark):
     check_pieces(rows, texts, 64)
 
 
+def test_packing_of_added_tokens(spark):
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext |> <|ENDOFTEXT|>", "  <|endoftext|>  it's\n" * 300]))
+    rows = packing.pack(table(spark, list(texts.items()))).collect()
+    check_pieces(rows, texts)
+    assert [struct.unpack(f"<{r.length}I", r.ids) for r in rows if r.doc_id == 0] == [(64, 220, 50256, 275, 0)]
+
+
 def test_packing_repeated_rows_and_nothing(spark):
     rows = packing.pack(table(spark, [(1, "a b c"), (1, "a b c")])).collect()
     assert len(rows) == 2 and sum(r.length for r in rows) == 8
