@@ -5,9 +5,9 @@ root-to-leaf tag path. Blocks of parts that are never the article (menus, header
 adverts, forms, scripts, styles, reader comments, told by element, role or name) are set aside.
 Over the others, text length and punctuation are summed for each tag path; the length ratio (text per block) and the
 punctuation ratio (marks per block) of a path are smoothed with those of paths that share most of their
-tags, fused by multiplication, and paths above a threshold (a part of the spread over blocks) are content. The smallest
-element that holds nearly all content text is the article, and all its blocks that are not set aside are its text;
-with <article> or <main> elements that hold content, those are it.
+tags, fused by multiplication, and paths above a threshold (a part of the spread over blocks) are content. With
+<article> or <main> elements that hold at least half the content text, those are the article. Else it is the smallest container that holds
+all blocks that are not set aside: nothing else is dropped.
 
 Pages are independent: one pass without a shuffle, and memory is that of a page. Defined results. Null and empty html, and html
 without text: the empty text. Pages are read whole, however long, in linear time. Repeated rows give repeated results. An
@@ -28,7 +28,6 @@ from .common import per_worker, read, texts
 SMOOTH = 0.5  # weight of a path's nearest paths
 SPREAD = 0.3  # threshold, in standard deviations over blocks
 WRAPPER = 0.8  # an element with more than this part of the text is not set aside by its name
-COVER = 0.9  # part of the content text that the article's element must hold
 
 SKIPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title select datalist textarea".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu fieldset".split())
@@ -55,6 +54,7 @@ CLOSED_BY = {  # an open element of the key ends where one of these begins, up t
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
+CONTAINERS = frozenset("html body div section".split())
 LIMITS = frozenset("html body div section article aside nav header footer main ul ol dl table td th form blockquote figure".split())
 
 
@@ -260,13 +260,15 @@ def main_text(page: str) -> str:
     marks = tools()["marks"]
     rows = [(node.path, len(text), len(marks.findall(text))) for node, text in found]
     paths = content_paths(rows, read_page.parent_path)
-    weight = [0] * len(nodes)
+    weight, held = [0] * len(nodes), [0] * len(nodes)
     for (node, _), (path, length, _) in zip(found, rows):
         if path in paths:
             weight[node.number] += length
+        held[node.number] += 1
     for node in reversed(nodes):
         if node.parent:
             weight[node.parent.number] += weight[node.number]
+            held[node.parent.number] += held[node.number]
     whole = weight[0]
     chosen = set()
     for tags in (("article",), ("article", "main")):
@@ -275,9 +277,9 @@ def main_text(page: str) -> str:
             chosen = {n for n in marked if weight[n]}
             break
     if not chosen:
-        at = 0  # the deepest element that holds nearly all content; only one child can
+        at = 0  # the smallest container that holds all blocks that aren't set aside; only one child can
         for node in nodes[1:]:
-            if node.parent.number == at and weight[node.number] >= COVER * whole:
+            if node.parent.number == at and node.tag in CONTAINERS and held[node.number] == held[0]:
                 at = node.number
         chosen = {at}
     inside = [False] * len(nodes)

@@ -219,6 +219,21 @@ def test_main_text(form):
     assert html_main.main_text(PAGE % (form % ARTICLE)) == MAIN
 
 
+LONG = "A long sentence, with marks; and more. " * 60
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div><h1>T</h1><p>{LONG}</p><p>Short one.</p></div>", f"T\n{LONG.strip()}\nShort one."),
+        (f"<div><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>Few words, here.</p><ul><li>Item</li></ul></section></div>", f"One\n{LONG.strip()}\nTwo\nFew words, here.\nItem"),
+        (f"<body><nav>Menu</nav><h1>T</h1><div><div><p>{LONG}</p></div></div><footer>F</footer></body>", f"T\n{LONG.strip()}"),
+    ],
+)
+def test_main_text_without_article_keeps_short_parts(page, text):
+    assert html_main.main_text(page) == text
+
+
 def test_main_text_of_odd_pages(spark):
     assert [html_main.main_text(x) for x in ("", "plain", "<p>a<p>b <i>c</i>d", "<p>x < y</p><img alt='a>b'>tail &#233;", "<script>x", "<!-- x")] == ["", "plain", "a\nb cd", "x < y\ntail é", "", ""]
     pages = spark.createDataFrame([(1, "u", None, "t"), (2, None, "<p>x</p>", "t"), (2, None, "<p>x</p>", "t")], "page_id long, url string, html string, text string")
