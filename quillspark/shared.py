@@ -1,21 +1,63 @@
-"""The folder that all executors share, and lineage cut there."""
+"""The folder that all executors share, lineage cut there, and joins that split hot keys."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PARTS = 1024  # a key of over one in PARTS rows is split, so at most PARTS keys are
+FEW = 256  # rows of a key that are never split
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a new local folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+    """spark.checkpoint.dir of the session; where it is unset, a new local folder in local mode and an error on a cluster."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not found:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The folder of what this application writes on the way; `discard` deletes it."""
+    return f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{session_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all that this application has written on the way. Results that have not been written elsewhere are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once, written to the shared folder and read from there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df, computed once, written as a table in the shared folder and read from there.
+
+    A checkpoint would keep the size estimates of its plan, which joins multiply: after some rounds of an iteration
+    they are numbers of millions of digits. A table's size is that of its files.
+    """
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with side, which has one row a key, so that no task holds much more than one in PARTS rows.
+
+    counts has key and n, the number of rows of that key; total is the number of all rows. The rows of a hot key are dealt
+    by a hash of their columns over salts, and its one side row is repeated for each. Hot keys are broadcast: they are at
+    most PARTS, whatever the data. A null key matches nothing.
+    """
+    limit = max(total / PARTS, FEW)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / F.lit(float(limit))).cast("int").alias("_salts")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"), F.lit(0)))
+    wide = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+    return dealt.drop("_salts").join(wide.drop("_salts"), [key, "_salt"], how).drop("_salt")
