@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, new_folder, spread_join  # noqa: F401
+
 TOKENIZER_DIR = None  # None: the installed public_tokenizers package
 
 
@@ -37,28 +37,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def byte_texts(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""
     import pyarrow as pa
@@ -74,25 +52,28 @@ def texts(column) -> list[str]:
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds. Each round is two grouped minima and two
-    joins, and hubs only grow stars, so no group is ever gathered in one task. Nodes without
+    Alternating large-star and small-star rounds of grouped minima and joins. A hub's edges are salted over many tasks and
+    its one minimum is repeated for each, so no node is gathered in one task, however many edges it has. Nodes without
     an edge are not returned. An empty edge list gives an empty result.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    pairs = cut(pairs)
-    seen = None
+
+    def stars(found: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        return spread_join(found, least.select("u", "m"), "u", least.select("u", "n"), total)
+
+    pairs = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
+    seen, total = None, pairs.count()
     for _ in range(most_rounds):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = stars(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = stars(large, least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         pairs = cut(small.where("u != v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        total, mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (total, mark) == seen:
             break
-        seen = now
+        seen = total, mark
     else:
         raise RuntimeError(f"components not found after {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -21,7 +21,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, read
+from .common import byte_texts, cut, read, spread_join
 
 MEMORY = 64 << 20  # bytes of distinct content that a table may hold
 FANOUT_BITS = 4
@@ -164,14 +164,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mem
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """Every row's id, the id that stays, the group's size, whether the row stays, and the text's digest."""
-    joined = members(docs, id_col, text_col).join(classes(docs, id_col, text_col, memory), "digest", "left")
+    found = cut(classes(docs, id_col, text_col, memory))
+    total = found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    joined = spread_join(members(docs, id_col, text_col), found, "digest", found.select("digest", F.col("group_size").alias("n")), total, "left")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    keep = classes(docs, id_col, text_col, memory).select(F.col("keep_id").alias("_keep_id"))
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns: those with the id and the text of a kept row."""
+    keep = classes(docs, id_col, text_col, memory).select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
+    lowered = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    same_text = F.unhex(F.sha2(lowered, 256)) == keep["_keep_digest"]
+    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]) & same_text, "left_semi")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

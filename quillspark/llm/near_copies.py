@@ -1,94 +1,105 @@
 """Near copies by Jaccard similarity of word shingles: SimHash BK-trees find candidates, whole shingle sets decide.
 
-Fingerprints of 128 bits (the bitwise majority of the distinct shingles' XXH3) are dealt to one shard for each of BANDS
-min-hash bands of ROWS values. A shard's task looks its fingerprints up in a BK-tree within RADIUS bits and
-sends a spanning forest on; components of the forests are candidate groups. At a similarity of 0.8 two texts
-share no shard with probability 5e-5; that they differ in more than RADIUS bits is far rarer, whatever their length.
+Texts with one set of shingles are one node. A node has a fingerprint of BITS bits (the bitwise majority of bits mixed from its
+shingles' XXH3) and min-hash keys, one for each of BANDS bands of ROWS values. Nodes that share a key are a shard; each is
+looked up in a BK-tree of its shard within the radius. The components of the links found are candidate groups, within which whole
+shingle sets are compared. Two texts are linked if both agree, and of each component of linked texts the one of smallest id stays.
 
-Candidate groups are decided exactly. In ascending order of ids each text is compared, by its whole shingle set, with the
-texts that stay; it goes if one of them is similar enough, else it stays. So of texts in a candidate group no two that
-stay are similar, and each that goes is similar to one of smaller id that stays. Only sets that share one of their least hashes are
-compared, which loses no pair.
+At a similarity of 0.8 a pair shares no shard with probability 5e-5, and is farther apart than the radius with under 2e-5: an expected
+0.151 of the bits differ, 0.1875 at worst for short texts, which have a radius of their own.
 
-The rule is the same at every size. A group of over BLOCK members is decided in rounds: the least ids that are open are decided in one
-task, then those that stay meet all others, a block a task, and what goes is left out of the next round. Shards of over BLOCK
-members are cut into blocks, and every two blocks meet with all their members, so a task holds two blocks and no link is lost.
+Both steps are one procedure, `spanned`, at every size: it gives the components that all links within the groups would give.
+A group of over BLOCK members, or BLOCK_BYTES, is dealt into blocks, twice anew, and each block is spanned alone: copies of one text are
+connected by that, each having been moved twice. Only members that are then outside the largest component of their
+group meet all blocks of the group, and a link is sent on only if it joins two components. So a pair of one component is never
+compared again, no pair of two components is left out, pairs are never sent on whole, and texts never leave the one
+join that turns them into sets.
 
 Defined results. Null text is the empty text; texts without words are copies of one another. A text shorter than a shingle is one shingle.
-Rows without an id stay. Rows that share an id stay or go together, and count as one text if equal. An empty table
-gives an empty result. Other columns pass through, whatever their names.
+Rows without an id stay. Rows that share an id stay or go together; they go if each of their texts is a copy of one of smaller id.
+An empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, components, cut, per_worker
+from .common import byte_texts, components, cut, per_worker, spread_join
 from .simhash import BKTree
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 48  # a pair at the limit is farther apart with 2e-7 at 8 words against 9, else with under 2e-9
+BITS = 512
+RADIUS = 112
+SHORT = 64  # shingles; pairs with a text of at most so many have SHORT_RADIUS
+SHORT_RADIUS = 144
 BANDS = 25
 ROWS = 5
 BLOCK = 512
+BLOCK_BYTES = 8 << 20
+COLUMNS = 4096  # of a matrix of members by shingles
 SEED = 42
 
 
 def shingle_hashes(text: bytes, words: int = WORDS):
-    """XXH3 of the distinct shingles, as an ascending array of (low, high) halves."""
+    """XXH3 of the distinct shingles, ascending."""
     import numpy as np
     import xxhash
 
     found = text.lower().split()  # bytes: A-Z and ASCII white space only
-    n, of = len(found), xxhash.xxh3_128_digest
+    n, of = len(found), xxhash.xxh3_64_intdigest
     whole = b" ".join(found)
     if n <= words:
-        raw = of(whole, SEED)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1)
-        starts = np.concatenate(([0], ends[: n - words]))
-        raw = b"".join([of(whole[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())])
-    halves = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    return halves[np.unique(halves[:, 0], return_index=True)[1]]
+        return np.array([of(whole, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[: n - words]))
+    return np.unique(np.array([of(whole[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())], np.uint64))
 
 
-def wide_fingerprint(halves) -> bytes:
-    """128 bits, each set if over half the hashes set it."""
+def multipliers(n: int):
     import numpy as np
 
-    raw, ones = np.ascontiguousarray(halves).view(np.uint8), np.zeros(128, np.int64)
-    for i in range(0, len(raw), 8192):
-        ones += np.unpackbits(raw[i : i + 8192], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(raw)).tobytes()
+    numbers = np.random.default_rng(SEED).integers(0, 1 << 63, (2, n), np.uint64)
+    return numbers[0] << np.uint64(1) | np.uint64(1), numbers[1]
 
 
-def multipliers(n: int):
+def wide_fingerprint(hashes, bits: int = BITS) -> bytes:
+    """Of the bits mixed from each hash, those that are set in over half the hashes."""
     import numpy as np
 
-    numbers = np.random.default_rng(SEED).integers(0, 1 << 63, (2, n), np.uint64)
-    return numbers[0] << np.uint64(1) | np.uint64(1), numbers[1]
+    factors, masks = per_worker(f"near_copies_bits_{bits}", lambda: multipliers(bits // 64))
+    ones = np.zeros(bits, np.int64)
+    for i in range(0, len(hashes), 4096):
+        mixed = (hashes[i : i + 4096, None] ^ masks) * factors
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def band_keys(halves, bands: int, rows: int) -> list[int]:
+def band_keys(hashes, bands: int, rows: int) -> list[int]:
     import numpy as np
     import xxhash
 
     factors, masks = per_worker(f"near_copies_{bands}_{rows}", lambda: multipliers(bands * rows))
     least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(halves), 2048):
-        mixed = (halves[i : i + 2048, :1] ^ masks) * factors
-        least = np.minimum(least, mixed.min(axis=0))
+    for i in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[i : i + 2048, None] ^ masks) * factors).min(axis=0))
     raw = least.tobytes()
     keys = np.array([xxhash.xxh3_64_intdigest(raw[8 * rows * i : 8 * rows * (i + 1)], i) for i in range(bands)], np.uint64)
     return keys.view(np.int64).tolist()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, fp, keys (one for each band) of every row."""
+def node_name(hashes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+
+
+def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, node, fp (fingerprint, then the number of shingles in 4 bytes), keys (one for each band) of every row of docs (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
@@ -96,184 +107,239 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                fps, keys = [], []
+                nodes, fps, keys = [], [], []
                 for text in byte_texts(part.column(1)):
-                    halves = shingle_hashes(text, words)
-                    fps.append(wide_fingerprint(halves))
-                    keys.append(band_keys(halves, bands, rows))
-                arrays = [part.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "keys"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp binary, keys array<long>")
+                    hashes = shingle_hashes(text, words)
+                    nodes.append(node_name(hashes))
+                    fps.append(wide_fingerprint(hashes) + len(hashes).to_bytes(4, "big"))
+                    keys.append(band_keys(hashes, bands, rows))
+                arrays = [part.column(0), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "fp", "keys"])
 
+    return docs.mapInArrow(run, "doc_id long, node binary, fp binary, keys array<long>")
 
-def shard_forest(values: list[bytes], begin: int, radius: int):
-    """Links (value, another within the radius) that span the same groups as all links between values[:begin] and the others, or among all where begin is 0."""
-    tree, parent, trees = BKTree(), [], 0
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    for i, value in enumerate(values):
-        number = int.from_bytes(value, "big")
-        parent.append(i)
-        trees += 1
-        if i >= begin:
-            for j in tree.within(number, radius):
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    trees -= 1
-                    yield value, values[j]
-                if trees == 1:
-                    break
-        if i < begin or not begin:
-            tree.add(number)
-
-
-def candidate_links(known: DataFrame, radius: int, block: int) -> DataFrame:
-    """Links (a, b) between the fingerprints of sketches. A shard's blocks (one, if it holds at most block) meet in every pair, with all their members."""
+class Forest:
+    """Union-find over names; join tells whether two were apart."""
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = []
-            for i, j, members in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                begin = 0 if i == j else sum(m["own"] == i for m in members)
-                found.extend(shard_forest([m["fp"] for m in members], begin, radius))
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    def __init__(self) -> None:
+        self.parent: dict = {}
 
-    rows = known.select(F.explode("keys").alias("key"), "fp").distinct()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    n = F.ceil(F.col("size") / F.lit(block)).cast("long")
-    own = rows.join(sizes, "key").select("key", "fp", n.alias("n"), F.pmod(F.xxhash64("fp"), n).alias("own"))
-    every = own.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    groups = every.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.sort_array(F.collect_list(F.struct("own", "fp"))).alias("members"))
-    return cut(groups.select("i", "j", "members").mapInArrow(run, "a binary, b binary"))
+    def root(self, x):
+        parent = self.parent
+        while (above := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[above]
+        return x
 
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
 
-def measured(members: DataFrame, words: int) -> DataFrame:
-    """members (doc_id, group, size, text) with the hashes of the text's shingles, ascending, in place of the text."""
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def near_prints(limits: tuple[int, int, int]):
+    """A function of the payloads of a block (and of strays): for each stray, or member of the block, the members within the radius."""
+    radius, short, short_radius = limits
 
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                found = [np.ascontiguousarray(shingle_hashes(text, words)[:, 0]).tobytes() for text in byte_texts(part.column(3))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["doc_id", "group", "size", "hashes"])
+    def split(payload: bytes) -> tuple[int, int]:
+        return int.from_bytes(payload[:-4], "big"), int.from_bytes(payload[-4:], "big")
 
-    return members.select("doc_id", "group", "size", "text").mapInArrow(run, "doc_id long, group binary, size long, hashes binary")
+    def found(members: list[bytes], strays: list[bytes] | None):
+        tree, sizes = BKTree(), []
 
+        def look(value: int, size: int):
+            wide = short_radius if size <= 2 * short else radius
+            for j in tree.within(value, wide):
+                if wide == radius or min(size, sizes[j]) <= short or (tree.values[j] ^ value).bit_count() <= radius:
+                    yield j
 
-class Stays:
-    """Texts that stay. Two sets that are similar enough share one of the least hashes of each, so the index of those loses no pair."""
+        for payload in members:
+            value, size = split(payload)
+            if strays is None:
+                yield look(value, size)
+            tree.add(value)
+            sizes.append(size)
+        for payload in strays or ():
+            yield look(*split(payload))
 
-    def __init__(self, similarity: float) -> None:
-        self.similarity, self.rows, self.holders = similarity, [], {}
+    return found
 
-    def least(self, hashes) -> list[int]:
-        return hashes[: len(hashes) - math.ceil(self.similarity * len(hashes) - 1e-6) + 1].tolist()
 
-    def add(self, doc: int, hashes) -> None:
-        for x in self.least(hashes):
-            self.holders.setdefault(x, []).append(len(self.rows))
-        self.rows.append((doc, hashes))
+def near_sets(similarity: float):
+    """The same for payloads that are shingle sets, by their Jaccard similarity: products of matrices of members by shared shingles."""
 
-    def copy_of(self, doc: int, hashes):
-        """The first text added, of another id, that is similar enough."""
+    def found(members: list[bytes], strays: list[bytes] | None):
         import numpy as np
 
-        for at in sorted({at for x in self.least(hashes) for at in self.holders.get(x, ())}):
-            other, others = self.rows[at]
-            short, long = sorted((len(hashes), len(others)))
-            if other == doc or short < self.similarity * long:
-                continue
-            shared = np.count_nonzero(hashes[np.minimum(np.searchsorted(hashes, others), len(hashes) - 1)] == others)
-            if shared >= self.similarity * (len(hashes) + len(others) - shared):
-                return other
-        return None
+        mine = [np.frombuffer(x, "<u8") for x in members]
+        others = mine if strays is None else [np.frombuffer(x, "<u8") for x in strays]
+
+        def table(sets):
+            return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+        a, rows_a = table(mine)
+        b, rows_b = (a, rows_a) if strays is None else table(others)
+        if strays is None:
+            names, times = np.unique(a, return_counts=True)
+            shared = names[times > 1]
+        else:
+            shared = np.intersect1d(a, b)
+
+        def columns(values, rows):
+            at = np.searchsorted(shared, values)
+            at[at == len(shared)] = 0
+            known = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+            at, rows = at[known], rows[known]
+            order = np.argsort(at, kind="stable")
+            return at[order], rows[order]
+
+        (at_a, rows_a), (at_b, rows_b) = columns(a, rows_a), columns(b, rows_b)
+        both = np.zeros((len(others), len(mine)), np.float32)
+        for low in range(0, len(shared), COLUMNS):
+            width, part = min(COLUMNS, len(shared) - low), []
+            for at, rows, n in ((at_a, rows_a, len(mine)), (at_b, rows_b, len(others))):
+                i, j = np.searchsorted(at, (low, low + width))
+                matrix = np.zeros((n, width), np.float32)
+                matrix[rows[i:j], at[i:j] - low] = 1
+                part.append(matrix)
+            both += part[1] @ part[0].T
+        size_a, size_b = np.array([len(x) for x in mine]), np.array([len(x) for x in others])
+        enough = both + 1e-6 >= similarity * (size_b[:, None] + size_a[None] - both)
+        for i, row in enumerate(enough):
+            yield (j for j in np.flatnonzero(row).tolist() if strays is not None or j < i)
+
+    return found
+
+
+def block_links(rows: DataFrame, keys: list[str], near) -> DataFrame:
+    """Links (a, b) between labels, that join those of each block. rows: keys, label, stray, payload.
+
+    If a block has strays, each meets the block's other members and these do not meet one another; else all members meet.
+    """
+
+    def links(members, strays):
+        forest = Forest()
+        labels, payloads = zip(*members)
+        for (label, _), found in zip(strays or members, near(list(payloads), [s[1] for s in strays] if strays else None)):
+            for j in found:
+                if forest.join(label, labels[j]):
+                    yield label, labels[j]
 
+    def run(batches):
+        import pyarrow as pa
 
-def decided(members: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, copy_of of members (doc_id, group, part, stays, hashes), part by part of a group in ascending order of ids.
+        now, members, strays = None, [], []
 
-    Rows known to stay are compared with nothing. Where stays is null, a text that is no copy stays for those after it; where it is
-    false, it is compared only. The rows of an id stay or go together.
-    """
+        def batch():
+            found = list(links(members, strays)) if members and len(members) + len(strays) > 1 else []
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for incoming in batches:
+            columns = [incoming.column(i).to_pylist() for i in range(incoming.num_columns)]
+            for *key, label, stray, payload in zip(*columns):
+                if key != now:
+                    yield batch()
+                    now, members, strays = key, [], []
+                (strays if stray else members).append((label, payload))
+        yield batch()
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "label", "stray", "payload").mapInArrow(run, "a binary, b binary")
+
+
+def spanned(rows: DataFrame, near, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(node, component) of the nodes that all links within the groups would connect with others. rows: group, node (once a group), payload."""
+
+    def blocks(n: str, size: str):
+        return F.greatest(F.ceil(F.col(n) / F.lit(float(block))), F.ceil(F.col(size) / F.lit(float(block_bytes)))).cast("int")
+
+    def measured(found: DataFrame) -> DataFrame:
+        return found.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("size"))
+
+    sizes = cut(measured(rows).where("n > 1").withColumn("blocks", blocks("n", "size")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    known = cut(spread_join(rows, sizes.select("group", "blocks"), "group", sizes.select("group", "n"), total))
+    plain = known.withColumn("label", F.col("node")).withColumn("stray", F.lit(False))
+    deals = plain.withColumn("deal", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    found = cut(components(block_links(deals.withColumn("part", F.pmod(F.xxhash64("node", "deal"), "blocks")), ["group", "deal", "part"], near)))
+    large = known.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    large = cut(large.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+    main = large.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    main = cut(main)
+    total = main.agg(F.sum("n")).first()[0]
+    strays = cut(spread_join(large, main.select("group", "main"), "group", main.select("group", "n"), total).where("label != main").drop("main"))
+    if strays.isEmpty():
+        return found
+    counts = cut(measured(strays).withColumn("others", blocks("n", "size")))
+    some = counts.agg(F.sum("n")).first()[0]
+    queries = spread_join(strays, counts.select("group", "others"), "group", counts.select("group", "n"), some)
+    queries = queries.withColumn("stray", F.lit(True)).withColumn("other", F.pmod(F.xxhash64("node", F.lit(2)), "others")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = spread_join(large, counts.select("group", "others"), "group", main.select("group", "n"), total)
+    held = held.withColumn("stray", F.lit(False)).withColumn("part", F.pmod(F.xxhash64("node", F.lit(0)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    columns = ["group", F.col("part").cast("long"), F.col("other").cast("long"), "label", "stray", "payload"]
+    met = block_links(queries.select(*columns).unionByName(held.select(*columns)), ["group", "part", "other"], near)
+    joined = cut(components(met).select(F.col("node").alias("component"), F.col("component").alias("joined")))
+    if joined.isEmpty():
+        return found
+    single = joined.select(F.col("component").alias("node"), "component").join(found.select("node"), "node", "left_anti")
+    every = cut(found.unionByName(single))
+    counts = every.groupBy("component").agg(F.count("*").alias("n"))
+    named = spread_join(every, joined, "component", counts, every.count(), "left")
+    return cut(named.select("node", F.coalesce("joined", "component").alias("component")))
+
+
+def shingle_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """node, payload (its distinct shingles' hashes) for the rows (doc_id, node) needed, from docs (doc_id, text)."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        now, kept, last, same, is_copy = None, None, None, [], False
         for batch in batches:
-            found = []
-            for doc, group, part, stays, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (group, part, doc) != last:
-                    if not is_copy:
-                        for hashes in same:
-                            kept.add(last[2], hashes)
-                    last, same, is_copy = (group, part, doc), [], False
-                if (group, part) != now:
-                    now, kept = (group, part), Stays(similarity)
-                hashes = np.frombuffer(raw, "<u8")
-                copy_of = None if stays else kept.copy_of(doc, hashes)
-                is_copy = is_copy or copy_of is not None
-                if stays is not False:
-                    same.append(hashes)
-                found.append(copy_of)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "copy_of"])
-
-    own = members.repartition("group", "part").sortWithinPartitions("group", "part", "doc_id")
-    return own.select("doc_id", "group", "part", "stays", "hashes").mapInArrow(run, "doc_id long, copy_of long").where("copy_of is not null")
-
-
-def rounds(left: DataFrame, similarity: float, block: int) -> list[DataFrame]:
-    """doc_id, copy_of of the texts that go in groups of any size.
-
-    In each round the least ids of a group that are open, one to two blocks of them, are decided for good, and those that stay meet all others.
-    """
-    gone, halves = [], [2.0**-k for k in range(31)]
-    left = cut(left)
-    while not left.isEmpty():
-        counted = left.groupBy("group").agg(F.count("*").alias("size"), F.percentile_approx("doc_id", halves, 1_000_000).alias("limits"))
-        k = F.greatest(F.lit(0), F.floor(F.log2(F.col("size") / F.lit(block)))).cast("int")
-        limits = cut(counted.select("group", "size", F.element_at("limits", k + 1).alias("limit")))
-        rows = left.drop("size").join(F.broadcast(limits), "group")
-        first = rows.where("doc_id <= limit")
-        copied = cut(decided(first.withColumn("part", F.lit(0).cast("long")).withColumn("stays", F.lit(None).cast("boolean")), similarity))
-        stays = first.join(copied.select("doc_id").distinct(), "doc_id", "left_anti")
-        n = F.ceil(F.col("size") / F.lit(block)).cast("long")
-        others = rows.where("doc_id > limit").withColumn("part", F.pmod(F.xxhash64("doc_id"), n)).withColumn("stays", F.lit(False))
-        every = stays.where("size > %d" % block).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("stays", F.lit(True))
-        met = cut(decided(others.unionByName(every), similarity))
-        gone += [copied, met]
-        left = cut(others.join(met.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "group", "size", "hashes"))
-    return gone
-
-
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """doc_id, copy_of of the texts that go: a text of smaller id that stays and is similar enough."""
-    known = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, bands, rows))
-    linked = components(candidate_links(known, radius, block)).withColumnsRenamed({"node": "fp", "component": "group"})
-    named = known.select("doc_id", "fp").join(linked, "fp", "left").select("doc_id", F.coalesce("group", "fp").alias("group")).distinct()
-    named = cut(named.join(named.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    small = measured(texts.join(named.where(F.col("size") <= block), "doc_id"), words)
-    gone = cut(decided(small.withColumn("part", F.lit(0).cast("long")).withColumn("stays", F.lit(None).cast("boolean")), similarity))
-    hot = named.where(F.col("size") > block)
-    if not hot.isEmpty():
-        for more in rounds(measured(texts.join(hot, "doc_id"), words), similarity, block):
-            gone = gone.unionByName(more)
-    return gone.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                rows = []
+                for node, text in zip(part.column(0).to_pylist(), byte_texts(part.column(1))):
+                    hashes = shingle_hashes(text, words)
+                    if node_name(hashes) == node:
+                        rows.append((node, hashes.tobytes()))
+                nodes, sets = zip(*rows) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "payload"])
+
+    return docs.join(needed, "doc_id").select("node", "text").mapInArrow(run, "node binary, payload binary").dropDuplicates(["node"])
+
+
+def classes(docs: DataFrame, words: int, similarity: float, limits: tuple[int, int, int], bands: int, rows: int, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """known (doc_id, node, ...) of every row, nodes (node, least id, n rows, ...), and linked (node, component) of the nodes that have a link."""
+    known = cut(sketches(docs, words, bands, rows))
+    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    keyed = nodes.select(F.explode("keys").alias("group"), "node")
+    shards = cut(keyed.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+    total = shards.agg(F.sum("n")).first()[0] or 0
+    shared = spread_join(keyed, shards.select("group"), "group", shards, total)
+    prints = shared.join(nodes.select("node", F.col("fp").alias("payload")), "node").select("group", "node", "payload")
+    groups = spanned(prints, near_prints(limits), block, block_bytes)
+    sets = shingle_sets(docs, groups.join(nodes.select("node", F.col("least").alias("doc_id")), "node").select("doc_id", "node"), words)
+    members = sets.join(groups, "node").select(F.col("component").alias("group"), "node", "payload")
+    return known, nodes, spanned(cut(members), near_sets(similarity), block, block_bytes)
+
+
+def copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
+    limits: tuple[int, int, int] = (RADIUS, SHORT, SHORT_RADIUS), bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """doc_id, copy_of of the ids that go: the smallest id of those that links reach."""
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known, nodes, linked = classes(docs, words, similarity, limits, bands, rows, block, block_bytes)
+    named = nodes.select("node", "least", "n").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = cut(named)
+    ids = named.groupBy("component").agg(F.min("least").alias("copy_of"), F.count("*").alias("n"))
+    named = cut(spread_join(named, ids.select("component", "copy_of"), "component", ids.select("component", "n"), named.count()))
+    of = spread_join(known.select("doc_id", "node"), named.select("node", "copy_of"), "node", named.select("node", "n"), known.count())
+    found = of.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.max("copy_of").alias("greatest"))
+    return found.where("greatest < doc_id").select("doc_id", "copy_of")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, components, cut, read
+from .common import byte_texts, components, cut, read, spread_join
 
 WORDS = 3
 RADIUS = 2  # the sharding is exact up to this
@@ -177,12 +177,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach) of every row."""
     rows = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = components(links(distinct, radius, shard))
-    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    named = cut(distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    found, total = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    classes = spread_join(named.select("fp", "component"), least.select("component", "component_id"), "component", least.select("component", "n"), found)
+    return spread_join(rows, classes.select("fp", "component_id"), "fp", named.select("fp", "n"), total, "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:

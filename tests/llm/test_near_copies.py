@@ -2,10 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
-from quillspark.llm import exact_dedup, near_copies
+import pytest
 
-from .test_operators import SF
+from quillspark.llm import exact_dedup, near_copies
 
 SCHEMA = "doc_id long, text string"
 
@@ -20,17 +21,26 @@ def similar(a, b, least=0.8):
 
 
 def brute_copies(rows):
-    """Ids that go: in ascending order, those similar to one that stays."""
-    stay, holders, gone = {}, {}, set()
-    for i in sorted(rows):
-        mine = shingles(rows[i])
-        if any(similar(mine, stay[j]) for j in {j for s in mine for j in holders.get(s, ())}):
-            gone.add(i)
-            continue
-        stay[i] = mine
+    """{id: smallest id that links reach} of the ids that go."""
+    sets, holders, name = {i: shingles(t) for i, t in rows.items()}, {}, {}
+
+    def root(x):
+        while name.setdefault(x, x) != x:
+            x = name[x]
+        return x
+
+    for i, mine in sets.items():
+        for j in {j for s in mine for j in holders.get(s, ())}:
+            if similar(mine, sets[j]):
+                a, b = sorted((root(i), root(j)))
+                name[b] = a
         for s in mine:
             holders.setdefault(s, []).append(i)
-    return gone
+    return {i: root(i) for i in rows if root(i) != i}
+
+
+def found_copies(docs, **options):
+    return {r.doc_id: r.copy_of for r in near_copies.copies(docs, **options).collect()}
 
 
 def edited(words, n, rng):
@@ -41,43 +51,46 @@ def edited(words, n, rng):
 
 
 def test_documents(spark):
-    docs = exact_dedup.drop_duplicates(spark.read.parquet(f"{SF}/documents.parquet"))
+    docs = exact_dedup.drop_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rows = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id for r in near_copies.copies(docs).collect()} == brute_copies(rows) != set()
+    assert found_copies(docs) == brute_copies(rows) != {}
 
 
-def test_large_groups_over_blocks(spark):
-    rng = random.Random(1)
-    rows = {}
-    for group in range(2):
+def families(rng):
+    """Tight families, a family around the limit, a chain whose ends are unlike, and texts that share a passage only."""
+    rows = []
+    for _ in range(2):
         base = [f"w{rng.randrange(4000)}" for _ in range(300)]
-        for _ in range(90):
-            rows[len(rows)] = edited(base, rng.randrange(4), rng)
-    passage = [f"p{i}" for i in range(150)]  # a passage that many otherwise unlike texts share
-    for _ in range(60):
-        rows[len(rows)] = " ".join([*passage, *(f"u{rng.randrange(10**9)}" for _ in range(100))])
-    rows = dict(zip(rng.sample(range(1000), len(rows)), rows.values()))
+        rows += [edited(base, rng.randrange(4), rng) for _ in range(60)]
+    base = [f"v{i}" for i in range(200)]
+    rows += [edited(base, rng.randrange(1, 9), rng) for _ in range(120)]
+    base = [f"c{i}" for i in range(400)]
+    rows += [" ".join(base[3 * k : 3 * k + 250]) for k in range(50)]
+    rows += [" ".join([*(f"p{i}" for i in range(150)), *(f"u{rng.randrange(10**9)}" for _ in range(100))]) for _ in range(40)]
+    return dict(zip(rng.sample(range(10_000), len(rows)), rows))
+
+
+@pytest.mark.parametrize(("block", "block_bytes"), [(2, 1 << 20), (16, 20_000), (512, 8 << 20)])
+def test_groups_of_any_size_against_brute_force(spark, block, block_bytes):
+    rows = families(random.Random(1))
     docs = spark.createDataFrame(list(rows.items()), SCHEMA).repartition(4)
-    found = {r.doc_id: r.copy_of for r in near_copies.copies(docs, block=16).collect()}
-    sets = {i: shingles(t) for i, t in rows.items()}
-    assert all(j < i and similar(sets[i], sets[j]) for i, j in found.items())
-    stay = sorted(set(rows) - set(found))
-    assert not [(a, b) for a in stay for b in stay if a < b and similar(sets[a], sets[b])]
-    assert {i for i, t in rows.items() if t.startswith("p0 ")} <= set(stay)
+    expected = brute_copies(rows)
+    assert found_copies(docs, block=block, block_bytes=block_bytes) == expected
+    assert not [i for i, t in rows.items() if t.startswith("p0 ") and i in expected]
 
 
 def test_similarities_around_the_limit(spark):
     rng = random.Random(2)
-    rows, expected = {}, set()
+    rows, expected = {}, {}
     for pair in range(120):
         base = [f"x{rng.randrange(10**6)}" for _ in range(400)]
         for k, text in enumerate((" ".join(base), edited(base, rng.randrange(1, 20), rng))):
             rows[2 * pair + k] = text
         if similar(shingles(rows[2 * pair]), shingles(rows[2 * pair + 1])):
-            expected.add(2 * pair + 1)
+            expected[2 * pair + 1] = 2 * pair
     docs = spark.createDataFrame(list(rows.items()), SCHEMA)
     assert 20 < len(expected) < 100
-    assert {r.doc_id for r in near_copies.copies(docs).collect()} == expected
+    assert found_copies(docs) == expected
 
 
 def test_edges(spark):
@@ -91,46 +104,43 @@ def test_edges(spark):
     assert near_copies.drop_copies(docs.limit(0)).count() == 0
 
 
-def test_groups_over_blocks_are_decided_as_small_ones(spark):
-    rng = random.Random(3)
-    base = [f"w{i}" for i in range(200)]
-    rows = {i: edited(base, rng.randrange(1, 6), rng) for i in rng.sample(range(10_000), 400)}
-    docs = spark.createDataFrame(list(rows.items()), SCHEMA).repartition(4)
-    found = {r.doc_id: r.copy_of for r in near_copies.copies(docs, block=16).collect()}
-    sets = {i: shingles(t) for i, t in rows.items()}
-    assert set(found) == brute_copies(rows)
-    assert all(j < i and j not in found and similar(sets[i], sets[j]) for i, j in found.items())
-
-
 def test_rows_of_an_id_go_together(spark):
     one, two = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
-    rows = [(1, one), (2, one + " x"), (2, one + " y"), (3, two), (3, two + " x")]
-    assert {(r.doc_id, r.copy_of) for r in near_copies.copies(spark.createDataFrame(rows, SCHEMA), block=2).collect()} == {(2, 1)}
+    rows = [(1, one), (2, one + " x"), (2, one + " y"), (3, two), (3, one + " z"), (4, two + " x")]
+    assert found_copies(spark.createDataFrame(rows, SCHEMA), block=2) == {2: 1, 4: 3}
 
 
-def test_links_of_hot_shards(spark):
+def test_chains_of_prints_over_blocks(spark):
     rng = random.Random(4)
-    fps = [bytes(16)]
-    for _ in range(199):  # chains, in which most links lie between fingerprints whose blocks differ
-        value = int.from_bytes(rng.choice(fps[-3:]), "big")
-        for bit in rng.sample(range(128), rng.randrange(8, 14)):
+    fps = [0]
+    for _ in range(199):  # most links lie between fingerprints whose blocks differ
+        value = rng.choice(fps[-3:])
+        for bit in rng.sample(range(512), rng.randrange(8, 14)):
             value ^= 1 << bit
-        fps.append(value.to_bytes(16, "big"))
-    known = spark.createDataFrame([(i, bytearray(fp), [7]) for i, fp in enumerate(fps)], "doc_id long, fp binary, keys array<long>")
-
-    def groups(links):
-        name = {fp: fp for fp in fps}
-        for a, b in links:
-            a, b = name[a], name[b]
-            name = {fp: min(a, b) if x in (a, b) else x for fp, x in name.items()}
-        return name
-
-    def near(a, b):
-        return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() <= 12
-
-    links = [(bytes(r.a), bytes(r.b)) for r in near_copies.candidate_links(known, 12, 8).collect()]
-    assert all(near(a, b) for a, b in links)
-    assert groups(links) == groups([(a, b) for a in fps for b in fps if a < b and near(a, b)])
+        fps.append(value)
+    payloads = [x.to_bytes(64, "big") + (1000).to_bytes(4, "big") for x in fps]
+    rows = spark.createDataFrame([(7, bytearray(p[:64]), bytearray(p)) for p in payloads], "group long, node binary, payload binary")
+    near = near_copies.near_prints((12, 64, 20))
+    name = {p[:64]: p[:64] for p in payloads}
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 12:
+                x, y = name[payloads[i][:64]], name[payloads[j][:64]]
+                name = {k: min(x, y) if v in (x, y) else v for k, v in name.items()}
+    times = Counter(name.values())
+    found = {bytes(r.node): bytes(r.component) for r in near_copies.spanned(rows, near, 8).collect()}
+    assert found == {k: v for k, v in name.items() if times[v] > 1}
+
+
+def test_members_of_one_component_do_not_meet_again(spark, monkeypatch):
+    """Copies of one text move twice, whatever their number: none of them is a stray."""
+    base = [f"w{i}" for i in range(300)]
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, edited(base, 1, rng)) for i in range(400)], SCHEMA)
+    calls, real = [], near_copies.block_links
+    monkeypatch.setattr(near_copies, "block_links", lambda rows, keys, near: calls.append((keys, rows.count())) or real(rows, keys, near))
+    assert found_copies(docs, block=16) == {i: 0 for i in range(1, 400)}
+    assert calls[-1] == (["group", "deal", "part"], 800)
 
 
 def test_short_texts_at_the_limit(spark):
@@ -140,4 +150,4 @@ def test_short_texts_at_the_limit(spark):
         words = [f"s{rng.randrange(10**9)}" for _ in range(9)]
         rows[2 * pair], rows[2 * pair + 1] = " ".join(words[:8]), " ".join(words)
     docs = spark.createDataFrame(list(rows.items()), SCHEMA)
-    assert {(r.doc_id, r.copy_of) for r in near_copies.copies(docs).collect()} == {(i + 1, i) for i in range(0, 600, 2)}
+    assert found_copies(docs) == {i + 1: i for i in range(0, 600, 2)}

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quillspark.llm import bpe, exact_dedup, html_main, importance, media, packing, pii, sharding, simhash, tagger, warc
+from quillspark.llm import bpe, common, exact_dedup, html_main, importance, media, packing, pii, sharding, simhash, tagger, warc
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", None, " \t\n ", "one", "One two", "one TWO", "ÄÖ äö", "the same words again and again " * 3, "x" * 5000, "long words in a very long text " * 4000, "+1 (555) 010-2345 a@b.example.com 10.0.0.1"]
@@ -61,6 +61,32 @@ def test_exact_dedup(spark, memory):
     assert exact_dedup.drop_duplicates(docs).columns == docs.columns
 
 
+def test_rows_that_stay_have_the_kept_id_and_text(spark):
+    rows = [(5, "a"), (7, "b"), (5, "b"), (5, "a"), (9, None), (3, ""), (None, "C"), (None, "c")]
+    kept = exact_dedup.drop_duplicates(table(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, "a"), (5, "a"), (7, "b"), (9, None), (None, "C"), (None, "c")], key=str)
+    assert kept.columns == table(spark).columns
+
+
+def test_a_third_of_rows_in_one_key(spark):
+    """Copies, links of a hub and members of a component, over more rows than one task may hold, spread over tasks."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    joined = common.spread_join(rows, rows.select("k", (F.col("k") * 2).alias("y")).distinct(), "k", counts, 30_000)
+    assert joined.where("y = 2 * k").count() == joined.select("x").distinct().count() == 30_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = max(r["count"] for r in common.spread_join(rows, rows.select("k").distinct(), "k", counts, 30_000).groupBy(F.spark_partition_id()).count().collect())
+        assert most < 2 * 30_000 / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    found = common.components(star)
+    assert found.count() == 100_001 and found.where("component != 0").isEmpty()
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_duplicates(empty(spark)).collect() == []
     assert exact_dedup.drop_duplicates(empty(spark)).collect() == []
