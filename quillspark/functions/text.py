@@ -97,14 +97,18 @@ def media_source_type(media_type) -> Column:
 
 def lexical_boost(query_text, query_keywords, title, content) -> Column:
     """What headings, content and title brackets add to a chunk's score for a query."""
-    query, heading, body = normalize_match(query_text), normalize_match(title), normalize_match(content)
+    return boost_of(normalize_match(query_text), query_keywords, normalize_match(title), normalize_match(content), has_title_brackets(_filled(content)))
+
+
+def boost_of(query, query_keywords, heading, body, titled) -> Column:
+    """The same from normalised texts and whether the content has title brackets."""
     # as a lambda's variable a text is normalised once, not once a keyword
     hits = F.transform(F.array(heading, body), lambda t: F.size(F.filter(query_keywords, lambda k: F.contains(t, k))))
     in_heading, in_body = hits[0], hits[1]
     exact = F.when((F.length(heading) >= 2) & F.contains(query, heading), 0.18).otherwise(0.0)
     both = F.when((in_heading > 0) & (in_body > 0), 0.05).otherwise(0.0)
-    titled = F.when(F.array_contains(query_keywords, "제목") & has_title_brackets(_filled(content)), 0.10).otherwise(0.0)
-    return exact + F.least(F.lit(0.18), in_heading * 0.06) + F.least(F.lit(0.16), in_body * 0.04) + both + titled
+    named = F.when(F.array_contains(query_keywords, "제목") & titled, 0.10).otherwise(0.0)
+    return exact + F.least(F.lit(0.18), in_heading * 0.06) + F.least(F.lit(0.16), in_body * 0.04) + both + named
 
 
 def rerank_weight(query_text) -> Column:

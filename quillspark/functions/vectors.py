@@ -35,6 +35,11 @@ def cosine(a, b) -> Column:
     return F.when((na <= TINY) | (nb <= TINY), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), value)))
 
 
+def cosine_normalized(a, b) -> Column:
+    """Cosine of vectors that are of unit length already: their dot product, clamped to [-1, 1]."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b)))
+
+
 def euclidean(a, b) -> Column:
     return F.sqrt(_sum(F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y))))
 

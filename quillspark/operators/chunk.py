@@ -20,9 +20,9 @@ def plain_blocks(docs: DataFrame, path_col: str, text_col: str, separator: str =
 
 
 def chunk_id(path, element_id, kind, sequence):
-    """path#element id, or path#type_0001 by sequence if there is no element id."""
+    """path#element id, or path#type_0001 by sequence (at least four digits) if there is no element id."""
     named = F.when(F.coalesce(element_id, F.lit("")) != "", F.concat_ws("#", path, element_id))
-    return named.otherwise(F.concat(path, F.lit("#"), F.lower(kind), F.lit("_"), F.lpad(sequence.cast("string"), 4, "0")))
+    return named.otherwise(F.concat(path, F.lit("#"), F.lower(kind), F.format_string("_%04d", sequence.cast("long"))))
 
 
 def split_position(text: str, start: int, end: int) -> int:

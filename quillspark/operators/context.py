@@ -13,13 +13,17 @@ NOTICE = "[Further sources were left out because the context is full.]"
 def expand(hits: DataFrame, chunks: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """Each hit's chunks at positions -before to +after in its source; of repeated chunks of a query the first stays.
 
-    hits: query_id, id, rank. chunks: id, source_path, sequence. Returns query_id, id, source_path, position, hit_rank, place (from 1).
+    hits: query_id, project_id, id, rank. chunks: project_id, id, source_path, sequence. Only sources with a hit are put in order. Returns
+    query_id, project_id, id, source_path, position, hit_rank, place (from 1).
     """
-    order = Window.partitionBy("source_path").orderBy("sequence", "id")
-    placed = chunks.select("id", "source_path", F.row_number().over(order).alias("position"))
-    at = hits.select("query_id", "id", F.col("rank").alias("hit_rank")).join(placed, "id").select("query_id", "hit_rank", "source_path", F.explode(F.sequence(F.col("position") - before, F.col("position") + after)).alias("position"))
-    rows = at.join(placed, ["source_path", "position"])
-    first = rows.groupBy("query_id", "id", "source_path", "position").agg(F.min("hit_rank").alias("hit_rank"))
+    source = ["project_id", "source_path"]
+    found = hits.select("query_id", "project_id", "id", F.col("rank").alias("hit_rank")).join(chunks.select("project_id", "id", "source_path"), ["project_id", "id"])
+    order = Window.partitionBy(*source).orderBy("sequence", "id")
+    wanted = chunks.select(*source, "id", "sequence").join(found.select(*source).distinct(), source, "left_semi")
+    placed = wanted.select(*source, "id", F.row_number().over(order).alias("position"))
+    at = found.join(placed, [*source, "id"]).select("query_id", "hit_rank", *source, F.explode(F.sequence(F.col("position") - before, F.col("position") + after)).alias("position"))
+    rows = at.join(placed, [*source, "position"])
+    first = rows.groupBy("query_id", "project_id", "id", "source_path", "position").agg(F.min("hit_rank").alias("hit_rank"))
     places = Window.partitionBy("query_id").orderBy("hit_rank", "position", "id")
     return first.withColumn("place", F.row_number().over(places))
 
@@ -44,9 +48,10 @@ def pack(blocks: DataFrame, budget: int = BUDGET, notice: str = NOTICE) -> DataF
 
 
 def contexts(packed: DataFrame, notice: str = NOTICE, budget: int = BUDGET) -> DataFrame:
-    """One row per query: context (with as much of the notice as fits, if blocks were left out), original, included and omitted counts, truncated."""
+    """One row per query: context (with as much of the notice as fits, if blocks were left out), original, included and omitted counts, truncated, and highest_score of all blocks if they have a score."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("included"), F.struct("place", "block")))), lambda x: x["block"]), "\n\n")
-    rows = packed.groupBy("query_id").agg(text.alias("context"), F.count("*").alias("original_count"), F.count_if("included").alias("included_count"))
+    highest = F.max("score" if "score" in packed.columns else F.lit(None).cast("double")).alias("highest_score")
+    rows = packed.groupBy("query_id").agg(text.alias("context"), F.count("*").alias("original_count"), F.count_if("included").alias("included_count"), highest)
     rows = rows.withColumn("omitted_count", F.col("original_count") - F.col("included_count")).withColumn("truncated", F.col("omitted_count") > 0)
     joined = F.when(F.col("context") == "", F.lit(notice)).otherwise(F.concat("context", F.lit("\n\n" + notice)))
     return rows.withColumn("context", F.when(F.col("truncated"), F.substring(joined, 1, budget)).otherwise(F.col("context")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANK_EPSILON = 1e-7
+BINS = 256
 
 
 def case_metrics(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -19,6 +20,29 @@ def case_metrics(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
     return rows.select("case_id", "expected", "matched", (F.col("matched") > 0).alias("hit"), (F.col("matched") / F.col("expected")).alias("recall"), F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def select_cases(cases: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """Of cases (case_id, expected_documents) those with expected documents and, if ids are given, of these ids; an id that gives no such case is an error."""
+    found = cases.where(F.size("expected_documents") > 0)
+    wanted = sorted({i.strip() for i in ids or [] if i and i.strip()})
+    if not wanted:
+        return found
+    found = found.where(F.col("case_id").isin(wanted))
+    there = {r.case_id for r in found.select("case_id").distinct().collect()}  # at most as many as ids
+    if missing := [i for i in wanted if i not in there]:
+        raise ValueError(f"cases not found or without expected documents: {missing}")
+    return found
+
+
+def document_deltas(baseline: DataFrame, candidate: DataFrame, expected: DataFrame) -> DataFrame:
+    """Sources of two runs (case_id, source, rank, retrieval_source) side by side: ranks, rank_delta, added, removed, whether expected, and whether the graph gave it (anew)."""
+    first = lambda rows, n: rows.groupBy("case_id", "source").agg(F.min("rank").alias(f"{n}_rank"), F.min_by("retrieval_source", "rank").alias(f"{n}_source"))
+    wanted = expected.select("case_id", "source").distinct().withColumn("is_expected", F.lit(True))
+    rows = first(baseline, "baseline").join(first(candidate, "candidate"), ["case_id", "source"], "full").join(wanted, ["case_id", "source"], "left")
+    added = F.col("baseline_rank").isNull() & F.col("candidate_rank").isNotNull()
+    graph = F.coalesce(F.col("candidate_source") == "VECTOR_GRAPH", F.lit(False))
+    return rows.withColumns({"is_expected": F.coalesce("is_expected", F.lit(False)), "rank_delta": F.col("candidate_rank") - F.col("baseline_rank"), "added": added, "removed": F.col("baseline_rank").isNotNull() & F.col("candidate_rank").isNull(), "graph_candidate": graph, "new_graph_candidate": added & graph})
+
+
 def summary(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("evaluated_cases"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("recall").alias("mean_recall"), F.avg("reciprocal_rank").alias("mrr"))
 
@@ -79,6 +103,25 @@ def regression_verdict(checked: DataFrame) -> DataFrame:
 
 
 def latencies(samples: DataFrame, value_col: str, *by: str) -> DataFrame:
-    """Count, mean, extremes and nearest-rank percentiles."""
-    percentile = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value_col})")
-    return samples.groupBy(*by).agg(F.count(value_col).alias("n"), F.avg(value_col).alias("average"), F.min(value_col).alias("least"), F.max(value_col).alias("most"), percentile(0.5).alias("p50"), percentile(0.95).alias("p95"), percentile(0.99).alias("p99"))
+    """Count, mean, extremes and nearest-rank percentiles of each group.
+
+    Percentiles are exact and no group is gathered in one task: values are counted in BINS ranges between approximate quantiles, whose
+    running sums say which range holds each rank, and values are put in order within those ranges only.
+    """
+    bins, shares = [i / BINS for i in range(1, BINS)], {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    rows = samples.where(F.col(value_col).isNotNull()).select(*by, F.col(value_col).alias("_x"))
+    whole = samples.groupBy(*by).agg(F.count(value_col).alias("n"), F.avg(value_col).alias("average"), F.min(value_col).alias("least"), F.max(value_col).alias("most"), F.percentile_approx(value_col, bins, 10_000).alias("_edges"))
+    key = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    named = whole.select(*(F.col(c).alias(f"_k_{c}") for c in by), "_edges", F.array(*(F.greatest(F.lit(1), F.ceil(F.col("n") * p)) for p in shares.values())).alias("_ranks"))
+    placed = rows.join(named, key or F.lit(True)).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_x"))))
+    group = [f"_k_{c}" for c in by]
+    sums = placed.groupBy(*group, "_bin").agg(F.count("*").alias("_m"), F.first("_ranks").alias("_ranks"))
+    before = F.sum("_m").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    hit = sums.withColumn("_before", before).where(F.exists("_ranks", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_m"))))
+    same = [F.col(f"_k_{c}").eqNullSafe(F.col(f"_h_{c}")) for c in by]
+    hit = hit.select(*(F.col(c).alias(f"_h_{c[3:]}") for c in group), F.col("_bin").alias("_hit_bin"), "_before")
+    held = placed.groupBy(*group, "_bin", "_x").agg(F.count("*").alias("_m"), F.first("_ranks").alias("_ranks")).join(hit, [F.col("_bin") == F.col("_hit_bin"), *same])
+    ends = F.col("_before") + F.sum("_m").over(Window.partitionBy(*group, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_end", ends)
+    found = held.groupBy(*group).agg(*(F.min(F.when((F.col("_ranks")[i] <= F.col("_end")) & (F.col("_ranks")[i] > F.col("_end") - F.col("_m")), F.col("_x"))).alias(p) for i, p in enumerate(shares)))
+    return whole.drop("_edges").join(found, key or F.lit(True), "left").drop(*group)

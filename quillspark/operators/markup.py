@@ -257,6 +257,11 @@ def chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", ki
     return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).cast("string")).mapInArrow(run, CHUNKS)
 
 
+def unreadable(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """doc of the pages without any markup."""
+    return pages.where(~F.coalesce(F.contains(html_col, F.lit("<")), F.lit(False))).select(F.col(id_col).alias("doc"))
+
+
 def attr(name: str):
     return F.element_at("attrs", name)
 

@@ -62,17 +62,22 @@ EXTERNAL_SCHEMES = ["http", "https", "mailto", "tel", "sms", "ftp", "data", "jav
 GENERIC_ALTS = ["image", "img", "photo", "picture", "graphic", "illustration", "이미지", "사진", "그림", "삽화"]
 REDUNDANT_PREFIXES = ["image of ", "an image of ", "a picture of ", "picture of ", "photo of ", "photograph of ", "graphic of ", "illustration of ", "이미지:", "이미지 ", "사진:", "사진 ", "그림:", "그림 ", "삽화:", "삽화 "]
 LONGEST_ALT = 150
-ARIA_ROLES = (
-    "alert alertdialog application article banner blockquote button caption cell checkbox code columnheader combobox complementary contentinfo definition deletion dialog directory document emphasis feed "
-    "figure form generic grid gridcell group heading img insertion link list listbox listitem log main mark marquee math menu menubar menuitem menuitemcheckbox menuitemradio meter navigation none note option "
-    "paragraph presentation progressbar radio radiogroup region row rowgroup rowheader scrollbar search searchbox separator slider spinbutton status strong subscript superscript switch tab table tablist "
-    "tabpanel term textbox time timer toolbar tooltip tree treegrid treeitem"
-).split()
-PUBLISHING_ROLES = (
-    "doc-abstract doc-acknowledgments doc-afterword doc-appendix doc-backlink doc-biblioentry doc-bibliography doc-biblioref doc-chapter doc-colophon doc-conclusion doc-cover doc-credit doc-credits "
-    "doc-dedication doc-endnote doc-endnotes doc-epigraph doc-epilogue doc-errata doc-example doc-footnote doc-foreword doc-glossary doc-glossref doc-index doc-introduction doc-noteref doc-notice doc-pagebreak "
-    "doc-pagefooter doc-pageheader doc-pagelist doc-part doc-preface doc-prologue doc-pullquote doc-qna doc-subtitle doc-tip doc-toc"
-).split()
+ARIA_ROLES = [
+    "alert", "alertdialog", "application", "article", "banner", "blockquote", "button", "caption", "cell", "checkbox", "code", "columnheader", "combobox",
+    "complementary", "contentinfo", "definition", "deletion", "dialog", "directory", "document", "emphasis", "feed", "figure", "form", "generic", "grid",
+    "gridcell", "group", "heading", "img", "insertion", "link", "list", "listbox", "listitem", "log", "main", "mark", "marquee", "math", "menu", "menubar",
+    "menuitem", "menuitemcheckbox", "menuitemradio", "meter", "navigation", "none", "note", "option", "paragraph", "presentation", "progressbar", "radio",
+    "radiogroup", "region", "row", "rowgroup", "rowheader", "scrollbar", "search", "searchbox", "separator", "slider", "spinbutton", "status", "strong",
+    "subscript", "superscript", "switch", "tab", "table", "tablist", "tabpanel", "term", "textbox", "time", "timer", "toolbar", "tooltip", "tree", "treegrid",
+    "treeitem",
+]
+PUBLISHING_ROLES = [
+    "doc-abstract", "doc-acknowledgments", "doc-afterword", "doc-appendix", "doc-backlink", "doc-biblioentry", "doc-bibliography", "doc-biblioref",
+    "doc-chapter", "doc-colophon", "doc-conclusion", "doc-cover", "doc-credit", "doc-credits", "doc-dedication", "doc-endnote", "doc-endnotes", "doc-epigraph",
+    "doc-epilogue", "doc-errata", "doc-example", "doc-footnote", "doc-foreword", "doc-glossary", "doc-glossref", "doc-index", "doc-introduction",
+    "doc-noteref", "doc-notice", "doc-pagebreak", "doc-pagefooter", "doc-pageheader", "doc-pagelist", "doc-part", "doc-preface", "doc-prologue",
+    "doc-pullquote", "doc-qna", "doc-subtitle", "doc-tip", "doc-toc",
+]
 FOCUSABLE = ["a", "button", "input", "select", "textarea", "summary", "iframe", "object", "embed"]
 OWN_ROLES = {"a": "link", "button": "button", "img": "img", "nav": "navigation", "main": "main", "article": "article", "aside": "complementary", "table": "table", "ul": "list", "ol": "list", "li": "listitem", "figure": "figure", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading"}
 LANGUAGE_TAG = "^[A-Za-z]{2,8}(?:-[A-Za-z]{4})?(?:-(?:[A-Za-z]{2}|[0-9]{3}))?(?:-[A-Za-z0-9]{5,8}|-[0-9][A-Za-z0-9]{3})*$"
@@ -241,52 +246,93 @@ def aria_rule(found: DataFrame) -> DataFrame:
 RULES = {"image": image_rule, "language": language_rule, "heading": heading_rule, "link": link_rule, "table": table_rule, "aria": aria_rule}
 
 
-def accessibility(found: DataFrame, rules: list[str] | None = None, with_info: bool = False) -> DataFrame:
-    """Distinct issues of the rules with severity and category; order them by severity, code, doc, seq."""
+def accessibility(found: DataFrame, rules: list[str] | None = None, with_info: bool = False, failed: DataFrame | None = None) -> DataFrame:
+    """Distinct issues of the rules with severity and category; order them by severity, code, doc, seq.
+
+    Documents that could not be read (failed: doc, see markup.unreadable) have the one issue VALIDATION_FAILED; the others are judged all the same.
+    """
     found = cut(found)  # every rule reads it; pages are parsed once
-    rows = _all([RULES[r](found) for r in rules or RULES]).distinct()
+    rows = _all([RULES[r](found) for r in rules or RULES])
+    if failed is not None:
+        rows = rows.join(failed.select("doc"), "doc", "left_anti").unionByName(_code(failed.withColumn("seq", F.lit(0)), "VALIDATION_FAILED"))
+    rows = rows.distinct()
     value = lambda i: F.create_map(*(x for c, v in CODES.items() for x in (F.lit(c), F.lit(v[i]))))
     rows = rows.withColumn("severity", F.element_at(value(0), F.col("code"))).withColumn("category", F.element_at(value(1), F.col("code")))
     return rows if with_info else rows.where("severity <> 'INFO'")
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:
-    """Per document the number of issues by severity, and passed (no errors)."""
-    rows = issues.groupBy("doc").agg(*(F.count_if(F.col("severity") == s).alias(s.lower() + "s") for s in SEVERITY_ORDER))
+    """Per document the number of issues by severity and by category, and passed (no errors)."""
+    categories = sorted({category for _, category in CODES.values()})
+    rows = issues.groupBy("doc").agg(*(F.count_if(F.col("severity") == s).alias(s.lower() + "s") for s in SEVERITY_ORDER), *(F.count_if(F.col("category") == c).alias(f"in_{c.lower()}") for c in categories))
     return rows.withColumn("passed", F.col("errors") == 0)
 
 
+def package_documents(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """project_id, code, subject of packages (project_id, package_path, xml) that can't be read further: no path, no file, no XML, another root, or no manifest or spine element."""
+    found = packages.join(files.select("project_id", F.col("path").alias("package_path"), F.lit(True).alias("there")).distinct(), ["project_id", "package_path"], "left")
+    parsed = found.withColumn("tags", root_and_children(F.col("xml")))
+    root = F.col("tags")[0]
+    code = F.when(_blank(F.col("package_path")), "PACKAGE_PATH_NOT_FOUND").when(F.col("there").isNull(), "PACKAGE_DOCUMENT_MISSING").when(F.col("tags").isNull(), "PACKAGE_DOCUMENT_INVALID").when(root != "package", "PACKAGE_ELEMENT_MISSING")
+    lacks = lambda tag, name: F.when(code.isNull() & ~F.array_contains(F.slice("tags", 2, 1_000_000), tag), name)
+    codes = F.filter(F.array(code, lacks("manifest", "MANIFEST_MISSING"), lacks("spine", "SPINE_MISSING")), lambda c: c.isNotNull())
+    return parsed.select("project_id", F.explode(codes).alias("code"), F.col("package_path").alias("subject"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def root_and_children(xml):
+    """Local names of a document's root and of its children; null if it is not well-formed."""
+    from xml.etree import ElementTree
+
+    def names(text):
+        try:
+            root = ElementTree.fromstring(text)
+        except (ElementTree.ParseError, TypeError, ValueError):
+            return None
+        return [e.tag.rpartition("}")[2] for e in (root, *root)]
+
+    return xml.map(names)
+
+
+def structure_severity(code) -> Column:
+    return F.when(code == "SPINE_NAV_REFERENCE", "WARNING").otherwise("ERROR")
+
+
 def package_structure(manifest: DataFrame, spine: DataFrame, files: DataFrame) -> DataFrame:
-    """project_id, code, subject. manifest: project_id, id, href, media_type, properties. spine: project_id, position, idref. files: project_id, path."""
+    """project_id, code, subject. manifest: project_id, id, href, media_type, properties. spine: project_id, position, idref. files: project_id, path.
+
+    A repeated id, href or idref is an issue for each time after the first. A spine document is out of order after the one before it.
+    """
     def issue(rows: DataFrame, code: str, subject: str) -> DataFrame:
         return rows.select("project_id", F.lit(code).alias("code"), F.col(subject).alias("subject"))
 
     def repeated(rows: DataFrame, column: str) -> DataFrame:
-        return rows.where(~_blank(F.col(column))).groupBy("project_id", column).agg(F.count("*").alias("n")).where("n > 1")
+        return rows.where(~_blank(F.col(column))).groupBy("project_id", column).agg(F.count("*").alias("n")).where("n > 1").withColumn("again", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
 
     projects = manifest.select("project_id").union(spine.select("project_id")).union(files.select("project_id")).distinct()
-    linked = spine.join(manifest.select("project_id", F.col("id").alias("idref"), "href", "media_type", "properties"), ["project_id", "idref"], "left")
+    items = manifest.where(~_blank(F.col("id"))).groupBy("project_id", F.col("id").alias("idref")).agg(F.first(F.struct("href", "media_type", "properties")).alias("item"))
+    linked = spine.join(items, ["project_id", "idref"], "left").select("project_id", "position", "idref", F.col("item").isNotNull().alias("known"), "item.*")
     order = Window.partitionBy("project_id").orderBy("position")
-    placed = linked.where("href is not null").withColumn("order", spine_order(F.col("href"))).withColumn("before", F.max("order").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = linked.where("href is not null").withColumn("order", spine_order(F.col("href"))).withColumn("before", F.lag("order").over(order))
     navs = manifest.withColumn("is_nav", F.array_contains(F.split(F.coalesce("properties", F.lit("")), " "), "nav")).groupBy("project_id").agg(F.count_if("is_nav").alias("n"), F.max(F.when(F.col("is_nav"), F.col("media_type"))).alias("media_type"))
     return _all([
         issue(projects.join(manifest, "project_id", "left_anti"), "MANIFEST_MISSING", "project_id"),
-        issue(projects.join(spine, "project_id", "left_anti"), "SPINE_MISSING", "project_id"),
+        issue(projects.join(spine, "project_id", "left_anti"), "SPINE_EMPTY", "project_id"),
         issue(manifest.where(_blank(F.col("id"))), "MANIFEST_ID_MISSING", "href"),
         issue(repeated(manifest, "id"), "MANIFEST_ID_DUPLICATED", "id"),
         issue(manifest.where(_blank(F.col("href"))), "MANIFEST_HREF_MISSING", "id"),
         issue(repeated(manifest, "href"), "MANIFEST_HREF_DUPLICATED", "href"),
         issue(manifest.where(_blank(F.col("media_type"))), "MANIFEST_MEDIA_TYPE_MISSING", "id"),
-        issue(manifest.where(~_blank(F.col("href"))).join(files.select("project_id", F.col("path").alias("href")), ["project_id", "href"], "left_anti"), "MANIFEST_RESOURCE_MISSING", "href"),
+        issue(manifest.where(~_blank(F.col("href")) & ~F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:")).join(files.select("project_id", F.col("path").alias("href")), ["project_id", "href"], "left_anti"), "MANIFEST_RESOURCE_MISSING", "href"),
         issue(spine.where(_blank(F.col("idref"))), "SPINE_IDREF_MISSING", "idref"),
         issue(repeated(spine, "idref"), "SPINE_IDREF_DUPLICATED", "idref"),
-        issue(linked.where(~_blank(F.col("idref")) & F.col("href").isNull()), "SPINE_MANIFEST_REFERENCE_MISSING", "idref"),
-        issue(linked.where(F.col("href").isNotNull() & ~F.coalesce(F.col("media_type") == "application/xhtml+xml", F.lit(False))), "SPINE_RESOURCE_NOT_DOCUMENT", "href"),
+        issue(linked.where(~_blank(F.col("idref")) & ~F.col("known")), "SPINE_MANIFEST_REFERENCE_MISSING", "idref"),
+        issue(linked.where(F.col("known") & ~F.coalesce(F.lower("media_type").isin("application/xhtml+xml", "image/svg+xml"), F.lit(False))), "SPINE_RESOURCE_NOT_DOCUMENT", "href"),
         issue(placed.where("order < before"), "SPINE_ORDER_INVALID", "href"),
         issue(linked.where(F.array_contains(F.split(F.coalesce("properties", F.lit("")), " "), "nav")), "SPINE_NAV_REFERENCE", "href"),
         issue(navs.where("n = 0"), "NAV_ITEM_MISSING", "project_id"),
         issue(navs.where("n > 1"), "NAV_ITEM_DUPLICATED", "project_id"),
-        issue(navs.where("n > 0 and media_type <> 'application/xhtml+xml'"), "NAV_MEDIA_TYPE_INVALID", "project_id"),
+        issue(navs.where("n > 0 and not coalesce(lower(media_type) = 'application/xhtml+xml', false)"), "NAV_MEDIA_TYPE_INVALID", "project_id"),
     ])
 
 
@@ -344,6 +390,7 @@ def ellipsis_count(c) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit("(\\.{3})"), 1))
 
 
+# fixed values: marks after which a quotation begins and before which it ends
 OPENING, CLOSING = "([{<“‘", ".,!?;:)]}>”’"
 
 
@@ -370,39 +417,80 @@ def curly(texts: list[str], mark: str, pair: str) -> list[str]:
 @F.pandas_udf(ArrayType(StringType()))
 def typography(nodes):
     """Quotes and ellipses of an array of consecutive text nodes."""
-    return nodes.map(lambda t: [x.replace("...", "…") for x in curly(curly(list(t), '"', "“”"), "'", "‘’")])
+    return nodes.map(lambda t: [x.replace("...", "…") for x in curly(curly(list(t), "'", "‘’"), '"', "“”")])
 
 
 def typo_counts(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: int = 10_000) -> DataFrame:
     """id, wrong, right, n of the non-overlapping occurrences of each dictionary entry (wrong, right) in each text.
 
-    The dictionary is broadcast; one of over `largest` entries is an error.
+    The dictionary is shipped to the tasks; one of over `largest` entries is an error. One pass of an automaton over a text finds all entries.
     """
-    if dictionary.limit(largest + 1).count() > largest:
+    entries = {r.wrong: r.right for r in dictionary.select("wrong", "right").limit(largest + 1).collect() if r.wrong}
+    if len(entries) > largest:
         raise ValueError(f"a dictionary of over {largest} entries")
-    n = (F.length(text_col) - F.length(F.replace(F.col(text_col), F.col("wrong"), F.lit("")))) / F.length("wrong")
-    rows = docs.select(id_col, text_col).join(F.broadcast(dictionary), F.contains(F.col(text_col), F.col("wrong")))
-    return rows.select(id_col, "wrong", "right", n.cast("long").alias("n"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        find = finder(entries)
+        for batch in batches:
+            ids, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                times: dict[str, int] = {}
+                for _, wrong in find(text or ""):
+                    times[wrong] = times.get(wrong, 0) + 1
+                ids += [i] * len(times)
+                found += times.items()
+            wrong, n = zip(*found) if found else ((), ())
+            columns = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(wrong, pa.string()), pa.array([entries[w] for w in wrong], pa.string()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "wrong", "right", "n"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, wrong string, right string, n long")
+
+
+def finder(entries):
+    """A function of a text that gives (offset, entry) of the occurrences of each entry that do not overlap one another, in order of their ends."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for entry in entries:
+        automaton.add_word(entry, entry)
+    automaton.make_automaton()
+
+    def find(text: str):
+        free: dict[str, int] = {}
+        for end, entry in automaton.iter(text) if len(automaton) else ():
+            start = end + 1 - len(entry)
+            if start >= free.get(entry, 0):
+                free[entry] = end + 1
+                yield start, entry
+
+    return find
 
 
 def typo_positions(docs: DataFrame, dictionary: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, wrong, right, offset, line (from 1) of every occurrence."""
-    import pandas as pd
-
     entries = {k: v for k, v in dictionary.items() if k}
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for i, text in zip(frame[id_col], frame[text_col]):
-                for wrong, right in entries.items():
-                    at = (text or "").find(wrong)
-                    while at >= 0:
-                        rows.append((i, wrong, right, at, text.count("\n", 0, at) + 1))
-                        at = text.find(wrong, at + len(wrong))
-            yield pd.DataFrame(rows, columns=[id_col, "wrong", "right", "offset", "line"])
+        find = finder(entries)
+        for batch in batches:
+            ids, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                line = last = 0
+                for at, wrong in sorted(find(text or "")):
+                    line, last = line + text.count("\n", last, at), at
+                    ids.append(i)
+                    rows.append((wrong, entries[wrong], at, line + 1))
+            columns = zip(*rows) if rows else ((), (), (), ())
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], [id_col, "wrong", "right", "offset", "line"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInPandas(run, f"{id_col} long, wrong string, right string, offset int, line int")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, wrong string, right string, offset int, line int")
 
 
 def version(c) -> Column:
@@ -418,13 +506,60 @@ def accepts_release(releases: DataFrame, candidate: str) -> DataFrame:
     return releases.agg((new.isNotNull() & (latest.isNull() | (new > latest)) & (F.count_if(F.col("version") == candidate) == 0)).alias("accepted"))
 
 
-FIXES = {"MANIFEST_RESOURCE_MISSING": "REMOVE_MANIFEST_ITEM", "SPINE_MANIFEST_REFERENCE_MISSING": "REMOVE_SPINE_ITEM", "MANIFEST_ID_DUPLICATED": "RENAME_MANIFEST_ID", "SPINE_IDREF_DUPLICATED": "REMOVE_SPINE_ITEM", "SPINE_ORDER_INVALID": "SORT_SPINE", "NAV_ITEM_MISSING": "ADD_NAV_ITEM"}
+# fixed values: the kinds of fixes, and the endings that name a media type
+FIX_TYPES = ["UPDATE_METADATA", "UPDATE_MANIFEST", "UPDATE_SPINE", "UPDATE_NAVIGATION", "UPDATE_XHTML", "UPDATE_STYLESHEET", "UPDATE_RESOURCE", "INSPECT_REQUIRED", "MANUAL_REQUIRED", "UNKNOWN"]
+MEDIA_TYPES = {
+    "xhtml": "application/xhtml+xml", "html": "application/xhtml+xml", "css": "text/css", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml",
+    "webp": "image/webp", "js": "application/javascript", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
+}
+
+
+def media_type(path) -> Column:
+    """By the ending of a path; null if unknown."""
+    known = F.create_map(*(x for pair in MEDIA_TYPES.items() for x in map(F.lit, pair)))
+    return F.element_at(known, F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1)))
 
 
-def fix_plan(issues: DataFrame) -> DataFrame:
-    """issues with the action that mends them, or MANUAL."""
-    known = F.create_map(*(x for pair in FIXES.items() for x in map(F.lit, pair)))
-    return issues.withColumn("fix", F.coalesce(F.element_at(known, F.col("code")), F.lit("MANUAL")))
+def fix_plan(issues: DataFrame, files: DataFrame, manifest: DataFrame, spine: DataFrame, navigation: DataFrame) -> DataFrame:
+    """project_id, issue_id, file, fix_type, operation (ADD, REMOVE or null), target of the steps that mend a checker's issues (project_id, issue_id, file).
+
+    A file that is not there leaves spine, navigation and manifest; one that is there enters the manifest, then, if it is a text, the
+    spine. Whatever that does not settle is MANUAL_REQUIRED. files: project_id, path; manifest: project_id, id, href; spine: project_id, idref;
+    navigation: project_id, href. Paths are relative to the package.
+    """
+    path = F.regexp_replace(F.regexp_replace(T.normalize_path(F.regexp_replace("file", "#.*$", "")), "^OEBPS/", ""), "^(\\./)+", "")
+    is_text = F.lower(F.col("path")).rlike("\\.x?html$")
+    rows = issues.select("project_id", "issue_id", "file", path.alias("path"))
+    rows = rows.withColumn("path", F.when(~F.contains("path", F.lit("/")) & is_text, F.concat(F.lit("Text/"), "path")).otherwise(F.col("path")))
+    there = files.select("project_id", "path").distinct().withColumn("on_disk", F.lit(True))
+    items = manifest.where(~_blank(F.col("id"))).groupBy("project_id", F.col("href").alias("path")).agg(F.min("id").alias("item"))
+    placed = spine.select("project_id", F.col("idref").alias("item")).distinct().withColumn("in_spine", F.lit(True))
+    linked = navigation.select("project_id", F.regexp_replace("href", "#.*$", "").alias("nav_href")).distinct().withColumn("in_nav", F.lit(True))
+    rows = rows.join(there, ["project_id", "path"], "left").join(items, ["project_id", "path"], "left").join(placed, ["project_id", "item"], "left")
+    rows = rows.withColumn("nav_href", F.regexp_replace("path", "^Text/", "")).join(linked, ["project_id", "nav_href"], "left")
+    step = lambda kind, operation, target: F.struct(F.lit(kind).alias("fix_type"), F.lit(operation).cast("string").alias("operation"), target.cast("string").alias("target"))
+    when = lambda test, *made: F.when(test, F.array(*made)).otherwise(F.array().cast("array<struct<fix_type:string,operation:string,target:string>>"))
+    item, has_item, text = F.col("item"), F.col("item").isNotNull(), is_text & (F.lower(T.file_name(F.col("path"))) != "nav.xhtml")
+    gone = F.concat(when(F.col("in_spine"), step("UPDATE_SPINE", "REMOVE", item)), when(F.col("in_nav"), step("UPDATE_NAVIGATION", "REMOVE", F.col("nav_href"))), when(has_item, step("UPDATE_MANIFEST", "REMOVE", item)))
+    new = when(~has_item & media_type(F.col("path")).isNotNull(), step("UPDATE_MANIFEST", "ADD", F.col("path")))
+    unplaced = when(has_item & F.coalesce(text, F.lit(False)) & F.col("in_spine").isNull(), step("UPDATE_SPINE", "ADD", item))
+    steps = F.when(F.col("path").isNull(), when(F.lit(False), step("UNKNOWN", None, item))).when(F.col("on_disk"), F.concat(new, unplaced)).otherwise(gone)
+    steps = F.when(F.size(steps) == 0, F.array(step("MANUAL_REQUIRED", None, F.col("file")))).otherwise(steps)
+    return rows.withColumn("steps", steps).select("project_id", "issue_id", "file", F.explode("steps").alias("s")).select("project_id", "issue_id", "file", "s.*")
+
+
+def composite(structure: DataFrame, accessibility_issues: DataFrame, checker: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row a project: issues by severity of all validators together, and valid (no errors).
+
+    structure: project_id, code, subject. accessibility_issues: doc, severity. checker: project_id, severity. documents: project_id, doc.
+    """
+    rows = structure.select("project_id", structure_severity(F.col("code")).alias("severity"), F.lit("structure").alias("validator"))
+    rows = rows.unionByName(accessibility_issues.join(documents, "doc").select("project_id", "severity", F.lit("accessibility").alias("validator")))
+    rows = rows.unionByName(checker.select("project_id", "severity", F.lit("checker").alias("validator")))
+    count = lambda severity: F.count_if(F.col("severity") == severity)
+    made = rows.groupBy("project_id").agg(count("ERROR").alias("errors"), count("WARNING").alias("warnings"), count("INFO").alias("infos"), *(F.count_if(F.col("validator") == v).alias(v) for v in ("structure", "accessibility", "checker")))
+    every = documents.select("project_id").distinct().join(made, "project_id", "left").na.fill(0)
+    return every.withColumn("valid", F.col("errors") == 0)
 
 
 def upsert_items(items: DataFrame, incoming: DataFrame, key: str = "href") -> DataFrame:

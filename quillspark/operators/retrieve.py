@@ -1,6 +1,6 @@
 """Retrieval: lexical reranking, spine-graph expansion, merging and weighted reciprocal-rank fusion.
 
-Rankings are DataFrames of query_id, id, score, rank.
+Rankings are DataFrames of query_id, id, score, rank. Chunks and rankings that both have a project_id are matched within projects.
 """
 
 from __future__ import annotations
@@ -23,12 +23,25 @@ PROFILES = {
     "VECTOR_GRAPH_V6": (0.025, 1, True, 1),
     "HYBRID_V1": (0.025, 1, True, 1),
     "HYBRID_V2": (0.025, 1, True, 2),
+    "HYBRID_V3": (0.025, 1, True, 2),
+    "HYBRID_V4": (0.025, 1, True, 2),
+    "HYBRID_V5": (0.025, 1, True, 2),
+    "HYBRID_V6": (0.025, 1, True, 2),
 }
+MODES = ["VECTOR_ONLY", "VECTOR_GRAPH", "HYBRID"]
 RERANK_CANDIDATES = 10  # times k
 GRAPH_CANDIDATES = 3
 MINIMUM_SCORE = 0.45
 
 
+def mode(name: str | None) -> str:
+    """A retrieval mode by its name in any case; VECTOR_ONLY if there is none."""
+    found = (name or "").strip().upper() or MODES[0]
+    if found not in MODES:
+        raise ValueError(f"unknown retrieval mode {name}")
+    return found
+
+
 def ranked(rows: DataFrame, k: int | None = None, *ties: str) -> DataFrame:
     """rank by score, then ties, then id; the first k of each query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties, "id")
@@ -40,11 +53,14 @@ def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k: int,
     """candidates (query_id, id, score) with score + lexical boost * weight of the query's intent; those of at least minimum, the first k.
 
     chunks: id, title, content, source_path, sequence. queries: query_id, query_text. In document order the first k by position are
-    taken, not the best k.
+    taken, not the best k. Titles and contents are normalised once a chunk, however many queries have it as a candidate.
     """
     asked = queries.select("query_id", "query_text", T.keywords("query_text").alias("keywords"), T.rerank_weight("query_text").alias("weight"))
-    rows = candidates.select("query_id", "id", F.col("score").alias("vector_score")).join(chunks, "id").join(asked, "query_id")
-    boost = T.lexical_boost(F.col("query_text"), F.col("keywords"), F.col("title"), F.col("content"))
+    key = ["project_id", "id"] if "project_id" in candidates.columns and "project_id" in chunks.columns else ["id"]
+    wanted = chunks.join(candidates.select(*key).distinct(), key, "left_semi")
+    wanted = wanted.select(*key, "source_path", "sequence", T.normalize_match("title").alias("heading"), T.normalize_match("content").alias("body"), T.has_title_brackets(F.coalesce("content", F.lit(""))).alias("titled"))
+    rows = candidates.select("query_id", *key, F.col("score").alias("vector_score")).join(wanted, key).join(asked, "query_id")
+    boost = T.boost_of(T.normalize_match("query_text"), F.col("keywords"), F.col("heading"), F.col("body"), F.col("titled"))
     rows = rows.withColumn("boost", boost).withColumn("score", F.round(F.col("vector_score") + F.col("boost") * F.col("weight"), 9))
     if minimum is not None:
         rows = rows.where(F.col("score") >= minimum)
@@ -95,9 +111,15 @@ def merge_graph(vector: DataFrame, graph: DataFrame, weight: float, k: int) -> D
 
 
 def fuse(one: DataFrame, other: DataFrame, k: int, weights: tuple[float, float] = (0.7, 0.3), constant: int = 60) -> DataFrame:
-    """Weighted reciprocal-rank fusion of two rankings; ties by the better rank, then id."""
+    """Weighted reciprocal-rank fusion of two rankings; ties by the better rank, then id.
+
+    Each result says where it comes from: retrieval_source (HYBRID if both have it, else VECTOR or VECTOR_GRAPH), its ranks and parts of the score.
+    """
     a = one.select("query_id", "id", F.col("rank").alias("vector_rank"))
     b = other.select("query_id", "id", F.col("rank").alias("graph_rank"))
     part = lambda c, w: F.coalesce(w / (constant + F.col(c)), F.lit(0.0))
-    rows = a.join(b, ["query_id", "id"], "full").withColumn("score", F.round(part("vector_rank", weights[0]) + part("graph_rank", weights[1]), 9))
+    rows = a.join(b, ["query_id", "id"], "full").withColumns({"vector_rrf_score": part("vector_rank", weights[0]), "graph_rrf_score": part("graph_rank", weights[1])})
+    rows = rows.withColumn("score", F.round(F.col("vector_rrf_score") + F.col("graph_rrf_score"), 9))
+    both = F.col("vector_rank").isNotNull() & F.col("graph_rank").isNotNull()
+    rows = rows.withColumn("retrieval_source", F.when(both, "HYBRID").when(F.col("graph_rank").isNotNull(), "VECTOR_GRAPH").otherwise("VECTOR"))
     return ranked(rows.withColumn("best_rank", F.least("vector_rank", "graph_rank")), k, "best_rank")

@@ -1,18 +1,20 @@
 """Exact k-nearest-neighbour search, and the vector store's keyed operations.
 
-Search: queries travel to the vectors in blocks of bounded size; every task scores its vectors
-against a block with one matrix product and keeps the k best of each query, and a window picks the k best over all
-tasks. Vectors never move.
+Search: vectors are dealt into slices and queries into blocks, both of bounded size and, with a scope, within each scope, so
+that a query meets only its own. Spark brings every slice and block of a scope together; a cell is one matrix product that keeps the k best
+of each query, and a window picks the k best over all cells. Nothing goes through the driver but three counts.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import spread_join
+
 MEASURES = ("cosine", "dot", "euclidean", "manhattan")
-QUERY_BLOCK = 8192  # queries in a broadcast block
+QUERY_BLOCK = 4096  # queries of a cell
+SLICE = 32_768  # vectors of a cell
 DECIMALS = 9  # scores are rounded before they are ranked, so that the order of summation decides no tie
 
 
@@ -54,73 +56,81 @@ def scores(vectors, queries, measure: str):
     return out
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 8, measure: str = "cosine", minimum: float | None = None, include_rejected: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", scope_col: str | None = None, exclude_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
+def topk(
+    vectors: DataFrame, queries: DataFrame, k: int = 8, measure: str = "cosine", minimum: float | None = None, include_rejected: bool = False, id_col: str = "vec_id", vector_col: str = "embedding",
+    scope_col: str | None = None, exclude_self: bool = True, block: int = QUERY_BLOCK, slice_size: int = SLICE,
+) -> DataFrame:
     """query_id, id, score, rank (from 1; by score, then id) and accepted (score >= minimum) of each query's k best vectors.
 
-    With scope_col a query meets only vectors of its own scope. Rejected results are left out unless asked for.
-    Vectors and queries must have one dimension; rows with null or non-finite components are an error.
+    With scope_col a query meets only vectors of its own scope; a null scope meets nothing. Ids keep their type. Rejected results are
+    left out unless asked for. Vectors and queries must have one dimension; rows with null or non-finite components are an error.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure}")
-    scope = F.col(scope_col).cast("string") if scope_col else F.lit(None).cast("string")
-    columns = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), scope.alias("scope")]
+    kind = vectors.schema[id_col].dataType.simpleString()
+    scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
+    columns = [F.col(id_col).cast(kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), scope.alias("scope")]
     rows, wanted = vectors.select(*columns), queries.select(*columns)
-    context = vectors.sparkSession.sparkContext
-    parts = max(1, -(-wanted.count() // block))
-    out = None
-    for part in range(parts):
-        own = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        shipped = context.broadcast([(r.id, r.v, r.scope) for r in own.collect()])  # about block queries, whatever the table's size
-        found = rows.mapInArrow(best_of(shipped, k, measure, minimum if not include_rejected else None, exclude_self), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+    there = rows.groupBy("scope").agg(F.count("*").alias("n"))
+    cells = wanted.groupBy("scope").agg(F.count("*").alias("asked")).join(there, "scope")  # scopes that have both
+    cells = cells.withColumn("slices", F.ceil(F.col("n") / F.lit(float(slice_size))).cast("int")).withColumn("blocks", F.ceil(F.col("asked") / F.lit(float(block))).cast("int"))
+
+    def dealt(found: DataFrame, counts: DataFrame, own: str, number: str, other: str, numbers: str) -> DataFrame:
+        joined = spread_join(found, cells.select("scope", "slices", "blocks"), "scope", counts, found.count())
+        return joined.withColumn(own, F.pmod(F.xxhash64("id"), number).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(numbers) - 1))).select("scope", "slice", "block", "id", "v")
+
+    key = ["scope", "slice", "block"]
+    left = dealt(rows, there, "slice", "slices", "block", "blocks").groupBy(*key)
+    right = dealt(wanted, cells.select("scope", F.col("asked").alias("n")), "block", "blocks", "slice", "slices").groupBy(*key)
+    best = best_of(k, measure, minimum if not include_rejected else None, exclude_self)
+    out = left.cogroup(right).applyInArrow(best, f"query_id {kind}, id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("accepted", F.lit(True) if minimum is None else F.col("score") >= minimum)
 
 
-def best_of(shipped, k: int, measure: str, minimum: float | None, exclude_self: bool):
-    def run(batches):
+def best_of(k: int, measure: str, minimum: float | None, exclude_self: bool):
+    """Of two tables (scope, slice, block, id, v) of vectors and queries the k best vectors of each query, by score, then id."""
+
+    def run(left, right):
         import numpy as np
         import pyarrow as pa
-
-        if not shipped.value:
-            return
-        query_ids = np.array([q[0] for q in shipped.value])
-        matrix = np.array([q[1] for q in shipped.value], np.float64)
-        scopes = np.array([q[2] for q in shipped.value], object)
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query number, id, score
-
-        def prune():
-            order = np.lexsort((kept[1], -kept[2], kept[0]))
-            q = kept[0][order]
-            first = np.searchsorted(q, q)
-            order = order[np.arange(len(q)) - first < k]
-            return [x[order] for x in kept]
-
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                ids = part.column(0).to_numpy()
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                vectors = flat.reshape(len(ids), -1)
-                if vectors.shape[1] != matrix.shape[1] or not np.isfinite(vectors).all():
-                    raise ValueError("vectors must be finite and of the queries' dimension")
-                found = np.round(scores(vectors, matrix, measure), DECIMALS)
-                ok = np.ones(found.shape, bool)
+        import pyarrow.compute as pc
+
+        def matrix(table):
+            flat = pc.list_flatten(table.column("v").combine_chunks()).to_numpy(zero_copy_only=False)
+            found = flat.reshape(len(table), -1) if len(table) else flat.reshape(0, 0)
+            if not np.isfinite(found).all():
+                raise ValueError("vectors must be finite")
+            return found
+
+        left = left.sort_by("id")
+        ids, asked = left.column("id").combine_chunks(), right.column("id").combine_chunks()
+        vectors, wanted = matrix(left), matrix(right)
+        numbers, queries, values = [], [], []
+        if len(ids) and len(asked):
+            if vectors.shape[1] != wanted.shape[1]:
+                raise ValueError("vectors must be of the queries' dimension")
+            own = pc.index_in(asked, ids).to_numpy(zero_copy_only=False) if exclude_self else None
+            for begin in range(0, len(asked), 256):
+                found = np.round(scores(vectors, wanted[begin : begin + 256], measure), DECIMALS)
                 if exclude_self:
-                    ok &= ids[:, None] != query_ids[None, :]
-                if scopes[0] is not None:
-                    ok &= np.array(part.column(2).to_pylist(), object)[:, None] == scopes[None, :]
+                    same = own[begin : begin + 256]
+                    for q in np.flatnonzero(~np.isnan(same.astype(float))):
+                        at = int(same[q])
+                        while at < len(ids) and ids[at] == asked[begin + int(q)]:
+                            found[at, q] = -np.inf
+                            at += 1
                 if minimum is not None:
-                    ok &= found >= minimum
-                if len(ids) > k:
-                    least = np.partition(np.where(ok, found, -np.inf), -k, axis=0)[-k]
-                    ok &= found >= least[None, :]
-                i, q = np.nonzero(ok)
-                kept = [np.concatenate(x) for x in zip(kept, (q, ids[i], found[i, q]))]
-                kept = prune()
-        if len(kept[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["query_id", "id", "score"])
+                    found[found < minimum] = -np.inf
+                order = np.argsort(-found, axis=0, kind="stable")[:k]  # ids ascend, so equal scores stay in their order
+                top = np.take_along_axis(found, order, axis=0)
+                i, q = np.nonzero(np.isfinite(top))
+                numbers.append(order[i, q])
+                queries.append(begin + q)
+                values.append(top[i, q])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        return pa.table({"query_id": asked.take(pa.array(join(queries, np.int64))), "id": ids.take(pa.array(join(numbers, np.int64))), "score": pa.array(join(values, np.float64))})
 
     return run
 
@@ -128,16 +138,31 @@ def best_of(shipped, k: int, measure: str, minimum: float | None, exclude_self:
 KEY = ["project_id", "id", "model"]
 
 
+def newest(rows: DataFrame, by: list[str], order_col: str) -> DataFrame:
+    """Of the rows of each key the one of the largest order_col (null is least), then of the largest other columns."""
+    others = [f.name for f in rows.schema if f.name not in by and "map<" not in f.dataType.simpleString() and f.name != order_col]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*rows.columns), F.struct(order_col, *others)).alias("_row")).select("_row.*")
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, order_col: str = "version", key: list[str] | None = None) -> DataFrame:
-    """stored with incoming rows in place of those of the same key; of several incoming rows of a key the one of the largest order_col."""
+    """stored with incoming rows in place of those of the same key; of several incoming rows of a key the newest one."""
     key = key or KEY
-    newest = incoming.groupBy(*key).agg(F.max_by(F.struct(*incoming.columns), order_col).alias("_row")).select("_row.*")
-    return stored.join(newest, key, "left_anti").unionByName(newest)
+    fresh = newest(incoming, key, order_col)
+    return stored.join(fresh, key, "left_anti").unionByName(fresh)
 
 
 def find_latest(stored: DataFrame, id_col: str = "id", time_col: str = "indexed_at") -> DataFrame:
     """For each id, over projects and models, the record indexed last."""
-    return stored.groupBy(id_col).agg(F.max_by(F.struct(*stored.columns), time_col).alias("_row")).select("_row.*")
+    return newest(stored, [id_col], time_col)
+
+
+def find(stored: DataFrame, ids: DataFrame | None = None, model: str | None = None, source_path: str | None = None, project_id=None) -> DataFrame:
+    """The records of a store by ids (a DataFrame with column id), model, source path or project, whichever are given; all of them without any."""
+    out = stored
+    for name, value in (("model", model), ("source_path", source_path), ("project_id", project_id)):
+        if value is not None:
+            out = out.where(F.col(name) == F.lit(value))
+    return out if ids is None else out.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def delete(stored: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:

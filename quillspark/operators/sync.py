@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def plan(current: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("id", "model"), hash_col: str = "content_hash", force: bool = False, reuse: bool = True) -> DataFrame:
-    """Every key of either side with action REUSE, EMBED (new or changed) or DELETE (no longer there)."""
+    """Every key of either side with action REUSE, EMBED (new or changed, or all if forced or replaced) or DELETE (no longer there)."""
     new = current.select(*key, F.col(hash_col).alias("new_hash"), F.lit(True).alias("here"))
     old = stored.select(*key, F.col(hash_col).alias("old_hash"))
     same = F.col("old_hash").isNotNull() & (F.col("old_hash") == F.col("new_hash")) & F.lit(reuse and not force)
@@ -67,9 +67,9 @@ def embed(chunks: DataFrame, embedder, text_col: str = "embedding_text", batch:
     return chunks.withColumn("vector", vectors(text_col))
 
 
-def synchronize(current: DataFrame, stored: DataFrame, embedder, key: tuple[str, ...] = ("id", "model")) -> DataFrame:
-    """The store after synchronisation: reused records as they are, new and changed chunks embedded, others gone."""
-    planned = plan(current, stored, key).select(*key, "action")
+def synchronize(current: DataFrame, stored: DataFrame, embedder, key: tuple[str, ...] = ("id", "model"), replace: bool = False) -> DataFrame:
+    """The store after synchronisation: reused records as they are, new and changed chunks embedded, others gone. With replace nothing is reused: the stored records of the sources make way."""
+    planned = plan(current, stored, key, reuse=not replace).select(*key, "action")
     reused = stored.join(planned.where("action = 'REUSE'").select(*key), list(key), "left_semi")
     fresh = current.join(planned.where("action = 'EMBED'").select(*key), list(key), "left_semi")
     return reused.unionByName(embed(fresh, embedder).select(*stored.columns))

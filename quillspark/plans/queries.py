@@ -67,6 +67,18 @@ def vector_threshold_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.topk(rows, tables.queries(rows), 20, minimum=0.45, include_rejected=True).select("query_id", "id", "rank", "accepted")
 
 
+@query(f"""WITH {VECTORS_SQL}, t AS (SELECT 'v' || vec_id AS id, e, vec_id, CASE WHEN vec_id % 200 <> 0 THEN 'p' || label END AS scope FROM v),
+s AS (SELECT q.id AS query_id, t.id, round(list_cosine_similarity(q.e, t.e), 9) AS score FROM t AS q, t WHERE q.vec_id % 100 = 0 AND q.id <> t.id AND q.scope = t.scope), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 8""")
+def vector_topk_scoped_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that are strings, in scopes some of which are null and so meet nothing; queries and vectors in several blocks and slices."""
+    rows = tables.vectors(spark, sf_dir)
+    scope = F.when(F.col("vec_id") % 200 != 0, F.concat(F.lit("p"), "label"))
+    named = rows.select(F.concat(F.lit("v"), "vec_id").alias("id"), "embedding", scope.alias("scope"), "vec_id")
+    found = search.topk(named, named.where("vec_id % 100 = 0"), 8, scope_col="scope", id_col="id", block=16, slice_size=32)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS magnitude, abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 1e-4 AS is_unit FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(V.magnitude("embedding"), 6).alias("magnitude"), V.is_normalized("embedding").alias("is_unit"))
@@ -75,12 +87,12 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS_SQL = "SELECT a.vec_id, {f} FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 
-@query(PAIRS_SQL.format(f="round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclidean, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: abs(x[1] - x[2]))), 6) AS manhattan"))
+@query(PAIRS_SQL.format(f="round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(greatest(-1, least(1, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine_normalized, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclidean, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: abs(x[1] - x[2]))), 6) AS manhattan"))
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures as column expressions, over neighbouring vectors."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
-    return pairs.select("vec_id", *(F.round(f("embedding", "other"), 6).alias(f.__name__) for f in (V.cosine, V.dot, V.euclidean, V.manhattan)))
+    return pairs.select("vec_id", *(F.round(f("embedding", "other"), 6).alias(f.__name__) for f in (V.cosine, V.dot, V.cosine_normalized, V.euclidean, V.manhattan)))
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +100,7 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("project_id", F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("model"), "label", F.lit(1).cast("long").alias("version"), F.col("vec_id").alias("indexed_at"))
 
 
-STORE_SQL = "st AS (SELECT vec_id // 250 AS project_id, vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'a' ELSE 'b' END AS model, label, 1 AS version, vec_id AS indexed_at FROM embeddings)"
+STORE_SQL = "st AS (SELECT label AS project_id, vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'a' ELSE 'b' END AS model, label, 1 AS version, vec_id AS indexed_at FROM embeddings)"
 
 
 @query(f"WITH {STORE_SQL}, inc AS (SELECT project_id, id, model, label + 100 AS label, 2 AS version, indexed_at + 1 AS indexed_at FROM st WHERE id % 4 = 0 UNION ALL SELECT project_id, id, model, label + 200, 3, indexed_at + 2 FROM st WHERE id % 8 = 0 UNION ALL SELECT project_id, id + 1000000, model, label, 1, indexed_at FROM st WHERE id % 5 = 0), k AS (SELECT * FROM inc QUALIFY row_number() OVER (PARTITION BY project_id, id, model ORDER BY version DESC) = 1) SELECT * FROM k UNION ALL SELECT * FROM st WHERE (project_id, id, model) NOT IN (SELECT (project_id, id, model) FROM k)")
@@ -106,6 +118,22 @@ def vector_store_find_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_latest(st)
 
 
+@query(f"WITH {STORE_SQL}, inc AS (SELECT project_id, id, model, label + 100 AS label, CASE WHEN id % 2 = 0 THEN NULL ELSE 5 END AS version, indexed_at FROM st WHERE id % 4 < 2 UNION ALL SELECT project_id, id, model, label + 200, CASE WHEN id % 8 = 0 THEN NULL ELSE 5 END, indexed_at FROM st WHERE id % 4 < 2), k AS (SELECT * FROM inc QUALIFY row_number() OVER (PARTITION BY project_id, id, model ORDER BY version DESC NULLS LAST, label DESC, indexed_at DESC) = 1) SELECT * FROM k UNION ALL SELECT * FROM st WHERE (project_id, id, model) NOT IN (SELECT (project_id, id, model) FROM k)")
+def vector_store_upsert_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming records of a key with one version, or none: the row of the largest version, then of the largest other columns."""
+    st = _store(spark, sf_dir).where("id % 4 < 2")
+    version = lambda test: F.when(~F.expr(test), F.lit(5)).cast("long")
+    one = st.withColumns({"label": F.col("label") + 100, "version": version("id % 2 = 0")})
+    other = st.withColumns({"label": F.col("label") + 200, "version": version("id % 8 = 0")})
+    return search.upsert(_store(spark, sf_dir), one.unionByName(other))
+
+
+@query(f"WITH {STORE_SQL} SELECT * FROM st WHERE project_id = 3 AND model = 'b' AND id IN (SELECT doc_id * 2 FROM documents)")
+def vector_store_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("id"))
+    return search.find(_store(spark, sf_dir), ids, model="b", project_id=3)
+
+
 @query(f"WITH {STORE_SQL} SELECT count(*) AS deleted FROM st WHERE model = 'a' AND label < 3")
 def vector_store_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.delete(_store(spark, sf_dir), (F.col("model") == "a") & (F.col("label") < 3))[1]
@@ -160,10 +188,10 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.line_chunks(spark, sf_dir).select("source_path", F.col("sequence").cast("long").alias("sequence"), F.sha2("content", 256).alias("content_sha256"))
 
 
-@query(f"WITH {LINES_SQL} SELECT CASE WHEN sequence % 3 = 0 THEN source_path || '#e' || sequence ELSE source_path || '#' || lower(type) || '_' || lpad(sequence::VARCHAR, 4, '0') END AS id, source_path, sequence FROM l")
+@query(f"WITH {LINES_SQL} SELECT CASE WHEN sequence % 3 = 0 THEN source_path || '#e' || sequence ELSE source_path || '#' || lower(type) || '_' || printf('%04d', sequence * 1000) END AS id, source_path, sequence FROM l")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     element = F.when(F.col("sequence") % 3 == 0, F.concat(F.lit("e"), "sequence"))
-    return tables.line_chunks(spark, sf_dir).select(chunk.chunk_id(F.col("source_path"), element, F.col("type"), F.col("sequence")).alias("id"), "source_path", F.col("sequence").cast("long").alias("sequence"))
+    return tables.line_chunks(spark, sf_dir).select(chunk.chunk_id(F.col("source_path"), element, F.col("type"), F.col("sequence") * 1000).alias("id"), "source_path", F.col("sequence").cast("long").alias("sequence"))
 
 
 @query(f"""WITH {LINES_SQL}, w AS (SELECT *, last_value(CASE WHEN type = 'PARAGRAPH' THEN content END IGNORE NULLS) OVER (PARTITION BY source_path ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l)
@@ -241,7 +269,7 @@ CANDIDATES_SQL = "c AS (SELECT * FROM (SELECT query_id, id, score, row_number()
 
 @query(f"WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=50)}, {BOOST_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z WHERE score >= 0.1) SELECT query_id, id, round(vector_score, 6) AS vector_score, round(boost, 6) AS boost, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, found = _candidates(spark, sf_dir, 5 * retrieve.RERANK_CANDIDATES)
+    rows, _, found = _candidates(spark, sf_dir, 5 * retrieve.RERANK_CANDIDATES)
     asked = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
     rows = retrieve.rerank(found, _texts(spark, sf_dir), asked, 5, minimum=0.1)
     return rows.select("query_id", "id", *(F.round(c, 6).alias(c) for c in ("vector_score", "boost", "score")), "rank")
@@ -265,7 +293,7 @@ def _spine(rows: DataFrame) -> DataFrame:
 
 
 def _hits(found: DataFrame, rows: DataFrame) -> DataFrame:
-    return found.join(rows.select(F.col("vec_id").alias("id"), "project_id", "source_path"), "id")
+    return found.join(rows.select(F.col("vec_id").alias("id"), "project_id", "source_path"), "id")  # ids are unique over projects here
 
 
 @query(f"WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=5)}, {SPINE_SQL}, {SEEDS_SQL.format(seeds=3)} SELECT query_id, project_id, source_path, 1.0::DOUBLE AS graph_score FROM g")
@@ -302,30 +330,30 @@ def vector_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=10)}, {SPINE_SQL}, {SEEDS_SQL.format(seeds=1)}, {GRAPH_SQL.format(n=30, k=10)},
 f AS (SELECT coalesce(c.query_id, mr.query_id) AS query_id, coalesce(c.id, mr.id) AS id, c.rank AS vector_rank, mr.rank AS graph_rank, round(coalesce(0.7::DOUBLE / (60 + c.rank), 0) + coalesce(0.3::DOUBLE / (60 + mr.rank), 0), 9) AS score FROM c FULL JOIN mr ON c.query_id = mr.query_id AND c.id = mr.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(vector_rank, graph_rank), id) AS rank FROM f)
-SELECT query_id, id, vector_rank, graph_rank, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+SELECT query_id, id, vector_rank, graph_rank, CASE WHEN vector_rank IS NOT NULL AND graph_rank IS NOT NULL THEN 'HYBRID' WHEN graph_rank IS NULL THEN 'VECTOR' ELSE 'VECTOR_GRAPH' END AS retrieval_source, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: vector and vector-graph branches of twice the results, fused by weighted reciprocal ranks."""
     multiplier = retrieve.PROFILES["HYBRID_V2"][3]
     rows, _, found = _candidates(spark, sf_dir, 5 * multiplier)
     fused = retrieve.fuse(found, _graph_branch(rows, found, 5 * multiplier, "HYBRID_V2"), 5)
-    return fused.select("query_id", "id", "vector_rank", "graph_rank", F.round("score", 6).alias("score"), "rank")
+    return fused.select("query_id", "id", "vector_rank", "graph_rank", "retrieval_source", F.round("score", 6).alias("score"), "rank")
 
 
 # ---- context
 
-EXPAND_SQL = f"""pl AS (SELECT vec_id AS id, project_id || '/' || source_path AS source_path, row_number() OVER (PARTITION BY project_id, source_path ORDER BY sequence, vec_id) AS position FROM v),
-h AS (SELECT c.query_id, c.rank, pl.source_path, pl.position FROM c JOIN pl USING (id)),
-n AS (SELECT h.query_id, pl.id, pl.source_path, pl.position, min(h.rank) AS hit_rank FROM h JOIN pl ON h.source_path = pl.source_path AND pl.position BETWEEN h.position - 1 AND h.position + 1 GROUP BY ALL),
+EXPAND_SQL = f"""pl AS (SELECT vec_id AS id, project_id, source_path, row_number() OVER (PARTITION BY project_id, source_path ORDER BY sequence, vec_id) AS position FROM v),
+h AS (SELECT c.query_id, c.rank, pl.project_id, pl.source_path, pl.position FROM c JOIN pl USING (id)),
+n AS (SELECT h.query_id, pl.project_id, pl.id, pl.source_path, pl.position, min(h.rank) AS hit_rank FROM h JOIN pl ON h.project_id = pl.project_id AND h.source_path = pl.source_path AND pl.position BETWEEN h.position - 1 AND h.position + 1 GROUP BY ALL),
 ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank, position, id) AS place FROM n)"""
 
 
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, found = _candidates(spark, sf_dir, 5)
-    chunks = rows.select(F.col("vec_id").alias("id"), F.concat_ws("/", F.col("project_id").cast("string"), "source_path").alias("source_path"), "sequence")
-    return context.expand(found, chunks)
+    chunks = rows.select("project_id", F.col("vec_id").alias("id"), "source_path", "sequence")
+    return context.expand(found.join(chunks.select("id", "project_id"), "id"), chunks)
 
 
-@query(f"WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=5)}, {EXPAND_SQL} SELECT query_id, id, source_path, position, hit_rank, place FROM ex")
+@query(f"WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=5)}, {EXPAND_SQL} SELECT query_id, project_id, id, source_path, position, hit_rank, place FROM ex")
 def context_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expanded(spark, sf_dir)
 
@@ -495,6 +523,51 @@ def page_accessibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.accessibility(markup.elements(read(spark, sf_dir, "pages")), with_info=True)
 
 
+FAULTS = [
+    ("page_id % 2 = 0", '<img src="a.png">', ["IMAGE_ALT_MISSING"]),
+    ("page_id % 3 = 0", '<img src="a.png" alt="">', ["IMAGE_ALT_EMPTY"]),
+    ("page_id % 5 = 0", "<h3>Deep</h3>", ["HEADING_LEVEL_SKIPPED"]),
+    ("page_id % 7 = 0", "<h1>Again</h1>", ["MULTIPLE_PRIMARY_HEADINGS"]),
+    ("page_id % 4 = 1", '<a href="#nowhere">here</a>', ["LINK_TARGET_NOT_FOUND", "LINK_TEXT_AMBIGUOUS"]),
+    ("page_id % 6 = 1", '<div role="bad"></div>', ["ARIA_ROLE_INVALID"]),
+    ("page_id % 9 = 0", '<p id="d">x</p><p id="d">y</p>', ["DUPLICATE_ELEMENT_ID"]),
+    ("page_id % 8 = 3", "<table><tr><td>1</td></tr></table>", ["TABLE_LAYOUT_USAGE"]),
+    ("page_id % 11 = 5", '<img src="b.png" alt="picture of a tree">', ["IMAGE_ALT_REDUNDANT_PREFIX"]),
+    ("page_id % 12 = 7", '<span aria-label=" ">z</span>', ["ARIA_LABEL_EMPTY"]),
+]
+
+
+@query("WITH p AS (SELECT * FROM pages WHERE page_id % 10 <> 4) " + " UNION ALL ".join(f"SELECT '{code}' AS code, '{quality.CODES[code][0]}' AS severity, '{quality.CODES[code][1]}' AS category, count(*) AS n FROM p WHERE {test} HAVING count(*) > 0" for test, _, codes in FAULTS for code in codes) + " UNION ALL SELECT 'VALIDATION_FAILED', 'ERROR', 'GENERAL', count(*) FROM pages WHERE page_id % 10 = 4 HAVING count(*) > 0")
+def page_accessibility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over pages with faults added by rule, some without any markup; the supplied pages have no issue of their own."""
+    html = F.col("html")
+    for test, fragment, _ in FAULTS:
+        html = F.concat(html, F.when(F.expr(test), fragment).otherwise(""))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 10 != 4, html).alias("html"))
+    found = quality.accessibility(markup.elements(pages), with_info=True, failed=markup.unreadable(pages))
+    return found.groupBy("code", "severity", "category").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT doc_id, source AS project_id, doc_id // 20 AS n FROM documents),
+m AS (SELECT project_id, CASE WHEN doc_id % 31 <> 0 THEN CASE WHEN doc_id % 17 = 0 THEN 'same' ELSE 'i' || doc_id END END AS id, CASE WHEN doc_id % 29 <> 0 THEN 'Text/chapter' || n || '_1.xhtml' END AS href, CASE WHEN doc_id % 23 <> 0 THEN CASE WHEN doc_id % 13 = 0 THEN 'text/plain' ELSE 'application/xhtml+xml' END END AS media_type FROM b),
+f AS (SELECT project_id, 'Text/chapter' || n || '_1.xhtml' AS path FROM b WHERE doc_id % 19 <> 0),
+c AS (SELECT project_id, 'MANIFEST_ID_MISSING' AS code, count(*) AS n FROM m WHERE id IS NULL GROUP BY 1 UNION ALL SELECT project_id, 'MANIFEST_ID_DUPLICATED', sum(k - 1)::BIGINT FROM (SELECT project_id, id, count(*) AS k FROM m WHERE id IS NOT NULL GROUP BY ALL) GROUP BY 1
+UNION ALL SELECT project_id, 'MANIFEST_HREF_MISSING', count(*) FROM m WHERE href IS NULL GROUP BY 1 UNION ALL SELECT project_id, 'MANIFEST_HREF_DUPLICATED', sum(k - 1)::BIGINT FROM (SELECT project_id, href, count(*) AS k FROM m WHERE href IS NOT NULL GROUP BY ALL) GROUP BY 1
+UNION ALL SELECT project_id, 'MANIFEST_MEDIA_TYPE_MISSING', count(*) FROM m WHERE media_type IS NULL GROUP BY 1 UNION ALL SELECT project_id, 'MANIFEST_RESOURCE_MISSING', count(*) FROM m WHERE href IS NOT NULL AND (project_id, href) NOT IN (SELECT (project_id, path) FROM f) GROUP BY 1
+UNION ALL SELECT project_id, 'SPINE_EMPTY', 1 FROM m GROUP BY 1 UNION ALL SELECT project_id, 'NAV_ITEM_MISSING', 1 FROM m GROUP BY 1)
+SELECT project_id, code, n FROM c WHERE n > 0""")
+def package_structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of one package for each source: a manifest item a document, with faults by rule, and no spine."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project_id"), F.concat(F.lit("Text/chapter"), F.floor(F.col("doc_id") / 20), F.lit("_1.xhtml")).alias("path"))
+    part = lambda n: F.col("doc_id") % n
+    ids = F.when(part(31) != 0, F.when(part(17) == 0, "same").otherwise(F.concat(F.lit("i"), "doc_id")))
+    kinds = F.when(part(23) != 0, F.when(part(13) == 0, "text/plain").otherwise("application/xhtml+xml"))
+    manifest = rows.select("project_id", ids.alias("id"), F.when(part(29) != 0, F.col("path")).alias("href"), kinds.alias("media_type"), F.lit(None).cast("string").alias("properties"))
+    spine = spark.createDataFrame([], "project_id string, position int, idref string")
+    found = quality.package_structure(manifest, spine, rows.where(part(19) != 0).select("project_id", "path"))
+    return found.groupBy("project_id", "code").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, sha256(regexp_replace(text, '\\.{3}', '…', 'g')) AS text_sha256, len(regexp_extract_all(text, '\\.{3}')) AS n FROM (SELECT doc_id, replace(coalesce(text, ''), '.\n', '....') AS text FROM documents)")
 def typography_ellipsis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(".\n"), F.lit("....")).alias("text"))

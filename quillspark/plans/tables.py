@@ -21,14 +21,14 @@ NAME_SQL = "CASE WHEN {n} = 0 THEN 'cover.xhtml' WHEN {n} = 1 THEN 'nav.xhtml' W
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings with project_id (250 vectors each), source_path (5 vectors each), sequence and type."""
+    """embeddings with project_id (the label), source_path (one for each 50 ids), sequence and type: projects and their spines grow with the table."""
     rows = read(spark, sf_dir, "embeddings")
-    n = (F.floor(F.col("vec_id") / 5) % 50).cast("int")
+    n = F.floor(F.col("vec_id") / 50).cast("int")
     kinds = F.array(*map(F.lit, ("PARAGRAPH", "HEADING", "PARAGRAPH", "LIST_ITEM", "ALT_TEXT")))
-    return rows.select("vec_id", "embedding", "label", F.floor(F.col("vec_id") / 250).alias("project_id"), document_name(n).alias("source_path"), n.alias("document"), (F.col("vec_id") % 5).alias("sequence"), F.element_at(kinds, (F.col("vec_id") % 5 + 1).cast("int")).alias("type"))
+    return rows.select("vec_id", "embedding", "label", F.col("label").alias("project_id"), document_name(n).alias("source_path"), n.alias("document"), (F.col("vec_id") % 50).alias("sequence"), F.element_at(kinds, (F.col("vec_id") % 5 + 1).cast("int")).alias("type"))
 
 
-VECTORS_SQL = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, vec_id // 250 AS project_id, {NAME_SQL.format(n="(vec_id // 5 % 50)")} AS source_path, vec_id // 5 % 50 AS document, vec_id % 5 AS sequence,
+VECTORS_SQL = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, label AS project_id, {NAME_SQL.format(n="(vec_id // 50)")} AS source_path, vec_id // 50 AS document, vec_id % 50 AS sequence,
   ['PARAGRAPH', 'HEADING', 'PARAGRAPH', 'LIST_ITEM', 'ALT_TEXT'][(vec_id % 5 + 1)::INT] AS type FROM embeddings)"""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -25,15 +26,16 @@ def text_files(spark: SparkSession, folder: str, endings: list[str] | None = Non
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     root = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), "^" + root.rstrip("/").replace(".", "\\.") + "/", "")
+    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), "^" + re.escape(root.rstrip("/")) + "/", "")
     rows = rows.withColumn("relative_path", path)
+    within = lambda dirs: "^(" + "|".join(re.escape(d.strip("/")) for d in dirs) + ")/"
     rows = rows.where(F.lower("relative_path").rlike("\\.(" + "|".join(endings or SUPPORTED) + ")$") & ~F.lower(T.file_name(F.col("relative_path"))).isin(list(exclude)))
     if not hidden:
         rows = rows.where(~F.col("relative_path").rlike("(^|/)\\."))
     if include_dirs:
-        rows = rows.where(F.col("relative_path").rlike("^(" + "|".join(include_dirs) + ")/"))
+        rows = rows.where(F.col("relative_path").rlike(within(include_dirs)))
     if exclude_dirs:
-        rows = rows.where(~F.col("relative_path").rlike("^(" + "|".join(exclude_dirs) + ")/"))
+        rows = rows.where(~F.col("relative_path").rlike(within(exclude_dirs)))
     return rows.select("relative_path", T.source_type(F.col("relative_path")).alias("source_type"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("last_modified_at"), F.sha2("content", 256).alias("content_hash"))
 
 

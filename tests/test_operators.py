@@ -56,6 +56,8 @@ def test_topk_ties_zero_vectors_and_blocks(spark):
     assert [(r.query_id, r.id, r.rank) for r in found] == [(1, 4, 1), (1, 7, 2), (1, 10, 3), (1, 2, 4), (50, 0, 1), (50, 1, 2), (50, 2, 3), (50, 3, 4)]
     scoped = search.topk(rows, rows.where("vec_id = 1"), 4, scope_col="side").orderBy("rank").collect()
     assert [r.id for r in scoped] == [7, 5, 11, 3]
+    lost = rows.withColumn("side", F.when(F.col("vec_id") > 2, F.col("side"))).withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))
+    assert {r.query_id for r in search.topk(lost, lost.where("vec_id in ('v1', 'v3', 'v4')"), 4, scope_col="side").collect()} == {"v3", "v4"}  # no scope, no results
     assert search.topk(rows, rows.where("vec_id = 50"), 4, minimum=0.0001).count() == 0
     assert search.topk(rows, rows.where("vec_id < 0"), 4).count() == 0
     with pytest.raises(Exception, match="dimension"):
@@ -144,14 +146,25 @@ def test_embedding_falls_back_to_single_texts(spark):
 
 
 def test_stream(spark, tmp_path):
-    schema = "id int, model string, source_path string, content_hash string, embedding_text string"
-    embedder = lambda texts: [[1.0] for _ in texts]
-    spark.createDataFrame([(1, "m", "a", "x", "t"), (2, "m", "b", "x", "t")], schema).write.parquet(str(tmp_path / "in"))
-    run = lambda: stream.synchronize_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c"), embedder).awaitTermination(120)
-    run()
-    spark.createDataFrame([(3, "m", "a", "y", "t")], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    run()
-    assert sorted(r.id for r in stream.current_store(spark, str(tmp_path / "store")).collect()) == [2, 3]
+    schema = "project_id string, id int, model string, source_path string, source_version long, content_hash string, embedding_text string"
+    embedder = lambda texts: [[float(len(t)), 0.0] for t in texts]
+    store = str(tmp_path / "store")
+
+    def run(*rows):
+        spark.createDataFrame([("p", i, "m", source, version, text, text) for i, source, version, text in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.synchronize_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c"), embedder, buckets=4).awaitTermination(120)
+        return sorted((r.id, r.source_path, r.source_version, r.embedding_text) for r in stream.current_store(spark, store).collect())
+
+    assert run((1, "a", 1, "one"), (2, "a", 1, "two"), (3, "b", 1, "x")) == [(1, "a", 1, "one"), (2, "a", 1, "two"), (3, "b", 1, "x")]
+    assert run((1, "a", 2, "one"), (4, "a", 2, "four")) == [(1, "a", 2, "one"), (3, "b", 1, "x"), (4, "a", 2, "four")]  # the first half of a new version
+    both = [(1, "a", 2, "one"), (2, "a", 2, "two!"), (3, "b", 1, "x"), (4, "a", 2, "four")]
+    assert run((2, "a", 2, "two!")) == both  # the second half adds to it
+    assert run((9, "a", 1, "late")) == both  # of an earlier version
+    assert run((5, "c", 1, "new")) == [*both, (5, "c", 1, "new")]
+    assert all(r.vector[0] == 1 for r in stream.current_store(spark, store).collect())
+    held = {(n, b) for b, n in stream.current_batches(spark, store).items()}
+    there = {(int(p.parent.name[6:]), int(p.name[7:])) for p in (tmp_path / "store").glob("batch=*/bucket=*")}
+    assert held <= there and len(there) <= 2 * len(held)  # what no state names is gone
 
 
 # ---- retrieval and context
@@ -260,7 +273,12 @@ def test_package_structure(spark):
     there = spark.createDataFrame([("p", "chapter1_2.xhtml"), ("p", "chapter1_1.xhtml"), ("p", "nav.xhtml"), ("p", "extra.xhtml")], "project_id string, path string")
     issues = quality.package_structure(manifest, spine, there)
     assert {r.code for r in issues.collect()} == {"MANIFEST_ID_MISSING", "MANIFEST_ID_DUPLICATED", "MANIFEST_HREF_MISSING", "MANIFEST_MEDIA_TYPE_MISSING", "MANIFEST_RESOURCE_MISSING", "SPINE_IDREF_DUPLICATED", "SPINE_MANIFEST_REFERENCE_MISSING", "SPINE_ORDER_INVALID", "SPINE_NAV_REFERENCE"}
-    assert {r.code: r.fix for r in quality.fix_plan(issues).collect()}["SPINE_ORDER_INVALID"] == "SORT_SPINE"
+    bad = '<package><metadata/><spine/></package>'
+    packages = spark.createDataFrame([("a", None, None), ("b", "no.opf", None), ("c", "c.opf", "<package>"), ("d", "d.opf", "<other/>"), ("e", "e.opf", bad), ("f", "f.opf", "<package><manifest/><spine/></package>")], "project_id string, package_path string, xml string")
+    kept = spark.createDataFrame([(p, f"{p}.opf") for p in "cdef"], "project_id string, path string")
+    assert {(r.project_id, r.code) for r in quality.package_documents(packages, kept).collect()} == {("a", "PACKAGE_PATH_NOT_FOUND"), ("b", "PACKAGE_DOCUMENT_MISSING"), ("c", "PACKAGE_DOCUMENT_INVALID"), ("d", "PACKAGE_ELEMENT_MISSING"), ("e", "MANIFEST_MISSING")}
+    checked = quality.composite(issues, spark.createDataFrame([(1, "WARNING")], "doc int, severity string"), spark.createDataFrame([("q", "INFO")], "project_id string, severity string"), spark.createDataFrame([("p", 1), ("q", 2)], "project_id string, doc int"))
+    assert {(r.project_id, r.warnings, r.accessibility, r.checker, r.valid) for r in checked.collect()} == {("p", 2, 1, 0, False), ("q", 0, 0, 1, True)}
     status = {r.path: r.status for r in quality.compare_manifest(there, manifest.where("href is not null")).collect()}
     assert status["extra.xhtml"] == "NOT_IN_MANIFEST" and status["x.png"] == "FILE_MISSING" and status["nav.xhtml"] == "MATCHED"
     items = manifest.where("href is not null").select("project_id", "href", "id")
@@ -268,6 +286,71 @@ def test_package_structure(spark):
     assert [(r.href, r.id) for r in again][:2] == [("nav.xhtml", "new"), ("chapter1_1.xhtml", "b")]
 
 
+def test_fix_plan(spark):
+    text = lambda rows, *names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    issues = text([("p", str(i), f) for i, f in enumerate(["gone.xhtml", "OEBPS/Text/new.xhtml", "Text/loose.xhtml#x", "fine.css", "odd.bin", None, "absent.png"])], "project_id", "issue_id", "file")
+    there = text([("p", f) for f in ("Text/new.xhtml", "Text/loose.xhtml", "fine.css", "odd.bin")], "project_id", "path")
+    manifest = text([("p", "g", "Text/gone.xhtml"), ("p", "l", "Text/loose.xhtml"), ("p", "c", "fine.css")], "project_id", "id", "href")
+    found = quality.fix_plan(issues, there, manifest, text([("p", "g")], "project_id", "idref"), text([("p", "gone.xhtml#top")], "project_id", "href"))
+    steps = sorted((r.issue_id, r.fix_type, r.operation) for r in found.collect())
+    assert steps == sorted([("0", "UPDATE_SPINE", "REMOVE"), ("0", "UPDATE_NAVIGATION", "REMOVE"), ("0", "UPDATE_MANIFEST", "REMOVE"), ("1", "UPDATE_MANIFEST", "ADD"), ("2", "UPDATE_SPINE", "ADD"), *((i, "MANUAL_REQUIRED", None) for i in "3456")], key=str)
+    assert {r.fix_type for r in found.collect()} <= set(quality.FIX_TYPES)
+
+
+def test_percentiles_within_ranges(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, v) for g, n in (("a", 3000), ("b", 7), (None, 40), ("c", 1)) for v in (rng.choice([rng.random(), 0.5, 0.25]) for _ in range(n))] + [("a", None), ("d", None)]
+    found = {r.g: r for r in evaluate.latencies(spark.createDataFrame(rows, "g string, v double"), "v", "g").collect()}
+    for g in ("a", "b", None, "c"):
+        values = sorted(v for h, v in rows if h == g and v is not None)
+        assert [found[g][p] for p in ("p50", "p95", "p99")] == [values[max(1, math.ceil(len(values) * x)) - 1] for x in (0.5, 0.95, 0.99)], g
+    assert found["d"].n == 0 and found["d"].p50 is None
+    assert evaluate.latencies(spark.createDataFrame(rows, "g string, v double"), "v").first().n == 3048
+
+
+def test_case_selection_and_document_deltas(spark):
+    cases = spark.createDataFrame([("1", ["a"]), ("2", []), ("3", ["b"])], "case_id string, expected_documents array<string>")
+    assert evaluate.select_cases(cases).count() == 2 and [r.case_id for r in evaluate.select_cases(cases, [" 3 ", "3"]).collect()] == ["3"]
+    with pytest.raises(ValueError, match="'2', '9'"):
+        evaluate.select_cases(cases, ["1", "2", "9"])
+    run = lambda rows: spark.createDataFrame(rows, "case_id string, source string, rank int, retrieval_source string")
+    old, new = run([("1", "a", 3, "VECTOR"), ("1", "x", 1, "VECTOR")]), run([("1", "a", 1, "HYBRID"), ("1", "g", 2, "VECTOR_GRAPH"), ("1", "a", 5, "VECTOR")])
+    found = {r.source: (r.baseline_rank, r.candidate_rank, r.rank_delta, r.added, r.removed, r.is_expected, r.new_graph_candidate) for r in evaluate.document_deltas(old, new, spark.createDataFrame([("1", "a")], "case_id string, source string")).collect()}
+    assert found == {"a": (3, 1, -2, False, False, True, False), "x": (1, None, None, False, True, False, False), "g": (None, 2, None, True, False, False, True)}
+
+
+def test_modes(spark):
+    assert [retrieve.mode(x) for x in (None, " hybrid ", "Vector_Graph")] == ["VECTOR_ONLY", "HYBRID", "VECTOR_GRAPH"]
+    with pytest.raises(ValueError):
+        retrieve.mode("other")
+
+
+def test_pages_to_search(spark):
+    """Pages to chunks with ids, embedded, searched by those ids within projects, and reranked."""
+    pages = spark.createDataFrame([(i, f"<h1>Topic {i}</h1>" + "".join(f"<p>Passage {j} on topic {i}, number {i * j}.</p>" for j in range(4))) for i in range(6)], "page_id long, html string")
+    rows = markup.chunks(pages).withColumn("source_path", F.concat(F.lit("p"), "doc", F.lit(".xhtml"))).withColumn("project_id", F.concat(F.lit("x"), F.col("doc") % 2))
+    rows = rows.withColumn("id", chunk.chunk_id(F.col("source_path"), F.col("element_id"), F.col("type"), F.col("sequence"))).withColumn("model", F.lit("m"))
+    assert chunk.duplicate_ids(rows).isEmpty()
+
+    def embedder(texts):
+        return [[float(sum(hash_of(w) % 16 == k for w in t.lower().split())) + 0.01 for k in range(16)] for t in texts]
+
+    def hash_of(word):
+        return sum(ord(c) * 31**i for i, c in enumerate(word))
+
+    embedded = sync.embed(rows.withColumn("embedding_text", F.col("content")), embedder)
+    asked = embedded.where("content like 'Passage 2%'")
+    found = search.topk(embedded, asked, 3, id_col="id", vector_col="vector", scope_col="project_id")
+    own = rows.select(F.col("id").alias("query_id"), "project_id")
+    assert found.join(own, "query_id").join(rows.select("id", F.col("project_id").alias("there")), "id").where("project_id <> there").isEmpty() and found.count() == 18
+    queries = asked.select(F.col("id").alias("query_id"), F.col("content").alias("query_text"))
+    best = retrieve.rerank(found, rows, queries, 2)
+    assert best.count() == 12 and best.where("score < vector_score").isEmpty()
+
+
 def test_typography_and_typos(spark):
     assert quality.curly(['He said "', "don't", '" and "yes".'], '"', "“”") == ["He said “", "don't", "” and “yes”."]
     assert quality.curly(["it's 'so' he"], "'", "‘’") == ["it’s ‘so’ he"]
