@@ -4,6 +4,9 @@ A pre-token (one match of the pattern) that is a vocabulary entry is resolved by
 hash. The others are merged from single bytes: neighbours form a linked list, a heap gives
 the pair of lowest rank, the leftmost of equals first. Results are memoised per worker.
 
+The engine that runs the pattern knows letters and numbers of a later Unicode version than the tiktoken library's. Where the two differ
+the pattern is made to follow the library, which is asked once what its classes hold.
+
 Defined results. Null text is the empty text: no ids. Texts are taken whole. Repeated rows give repeated
 results; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import per_worker, read, texts, tokenizer_file
 
-MEMO = 400_000  # pre-tokens that a worker remembers
+MEMO = 400_000  # with MEMO_LENGTH, under 200 MB
+MEMO_LENGTH = 32
 
 
 class PerfectHash:
@@ -74,23 +78,54 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """Pre-token to its ids as little-endian 32-bit bytes."""
+    """Pre-token to its ids as little-endian 32-bit bytes. Holds at most MEMO pre-tokens of at most MEMO_LENGTH characters; then it begins anew."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = found = self.encode(word)
+        found = self.encode(word)
+        if len(word) <= MEMO_LENGTH:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = found
         return found
 
 
+def as_the_library(pattern: str) -> tuple[str, str]:
+    """The pattern with each character class \\\\p{...} cut to what the tiktoken library takes for it, and the least character that was cut."""
+    import re
+
+    import regex
+    import tiktoken
+
+    least = chr(0x10FFFF)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for name in sorted(set(re.findall(r"\\p\{\w+\}", pattern))):
+        library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        theirs = set(library.decode_bytes(library.encode_ordinary(every)).decode())
+        extra = [ord(c) for c in regex.findall(name, every) if c not in theirs]
+        runs = []
+        for c in extra:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        if runs:
+            least = min(least, chr(runs[0][0]))
+            pattern = pattern.replace(name, f"[{name}--[{''.join(f'{chr(92)}U{a:08x}-{chr(92)}U{b:08x}' for a, b in runs)}]]")
+    return pattern, least
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
         self.whole = PerfectHash(list(ranks), list(ranks.values()))
-        self.pattern = regex.compile(pattern)
+        self.plain = regex.compile(pattern)
+        exact, self.least = as_the_library(pattern)
+        self.pattern = regex.compile(exact, regex.V1)
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.single = [ranks[bytes([i])] for i in range(256)]
         #: (left id, right id) to the merged id
@@ -134,9 +169,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """All ids, little-endian unsigned 32-bit."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+        return b"".join(map(self.memo.__getitem__, (self.plain if text.isascii() or max(text) < self.least else self.pattern).findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))

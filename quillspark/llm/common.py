@@ -65,7 +65,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = stars(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = stars(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = stars(large, least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))

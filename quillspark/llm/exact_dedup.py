@@ -171,11 +171,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
-    """The rows of docs that stay, with all their columns: those with the id and the text of a kept row."""
-    keep = classes(docs, id_col, text_col, memory).select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
+    """The rows of docs that stay, with all their columns: those with the id and the text of a kept row.
+
+    An id that only one row has says which text it is; only rows of other ids are held against the digest.
+    """
+    keep = cut(classes(docs, id_col, text_col, memory).select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")))
+    many = cut(docs.groupBy(F.col(id_col).cast("long").alias("_many_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_many_id"))
+    same_id, repeated = docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]), docs[id_col].cast("long").eqNullSafe(many["_many_id"])
+    if many.isEmpty():
+        return docs.join(keep, same_id, "left_semi")
     lowered = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     same_text = F.unhex(F.sha2(lowered, 256)) == keep["_keep_digest"]
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]) & same_text, "left_semi")
+    single = docs.join(many, repeated, "left_anti").join(keep, same_id, "left_semi")
+    return single.union(docs.join(many, repeated, "left_semi").join(keep, same_id & same_text, "left_semi"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

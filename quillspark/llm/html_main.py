@@ -1,17 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a tag soup into blocks: runs of text between block-level tags, each with its
-root-to-leaf tag path. Blocks of parts that are never the article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments, told by element, role or name) are set aside.
-Over the others, text length and punctuation are summed for each tag path; the length ratio (text per block) and the
-punctuation ratio (marks per block) of a path are smoothed with those of paths that share most of their
-tags, fused by multiplication, and paths above a threshold (a part of the spread over blocks) are content. With
-<article> or <main> elements that hold at least half the content text, those are the article. Else it is the smallest container that holds
-all blocks that are not set aside: nothing else is dropped.
-
-Pages are independent: one pass without a shuffle, and memory is that of a page. Defined results. Null and empty html, and html
-without text: the empty text. Pages are read whole, however long, in linear time. Repeated rows give repeated results. An
-empty table gives an empty result. Other columns are ignored, whatever their names.
+root-to-leaf tag path. Text length and punctuation are summed for each path; the length ratio (text per block) and the
+punctuation ratio (marks per block) of a path are smoothed with those of the paths beside it and fused by multiplication, with a prior.
+Paths above a threshold (a part of the spread over blocks) are content. Content blocks are the article, and so are the other blocks
+of the smallest container that holds all of them, headings and short lines say, if their prior is whole, and a title before it.
+
+The prior is whole but for parts that by element, role or name are never the article (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments): none for elements and roles, little for names; and little outside <article> or <main>. What ratios
+without a prior say decides whether these hints hold: a part that has WRAPPER of the content is no side part (but reader comments always are), and
+<article> or <main> count only with half of it. Where all blocks have names of side parts, names mean nothing.
+
+Scripts, styles and hidden elements are no text. Pages are independent: one pass without a shuffle, and memory is that of a page. Defined
+results. Null and empty html, and html without text: the empty text. Pages are read whole, however long, in linear time.
+Repeated rows give repeated results. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from .common import per_worker, read, texts
 
 SMOOTH = 0.5  # weight of a path's nearest paths
 SPREAD = 0.3  # threshold, in standard deviations over blocks
-WRAPPER = 0.8  # an element with more than this part of the text is not set aside by its name
+WRAPPER = 0.8  # an element with this part of the content is no side part
+HINT = 1e-4  # prior of a part that is named as a side part, or outside the article element
 
 SKIPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title select datalist textarea".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu fieldset".split())
@@ -43,6 +46,7 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall disclaimer "
     "comment comments commentlist commentform respond reply replies discussion disqus feedback pagination pager tags tagcloud".split()
 )
+REPLIES = frozenset("comment comments commentlist commentform respond reply replies discussion disqus".split())
 MODIFIERS = frozenset("with has no without".split())  # as in "with-sidebar", said of what lies beside it
 CLOSED_BY = {  # an open element of the key ends where one of these begins, up to a limiting container
     "p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside header footer nav main form blockquote pre figure hr address fieldset details li dd dt tr td th".split()),
@@ -54,7 +58,7 @@ CLOSED_BY = {  # an open element of the key ends where one of these begins, up t
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
-CONTAINERS = frozenset("html body div section".split())
+REGIONS = frozenset("html body div section article main table tbody tr td form center aside".split())  # containers that may be an article's
 LIMITS = frozenset("html body div section article aside nav header footer main ul ol dl table td th form blockquote figure".split())
 
 
@@ -73,38 +77,38 @@ def tools():
     )
 
 
-def aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is of a kind that is never part of the article's text: by element, role or style; by name."""
-    if tag in ASIDE and not (tag == "header" and in_article):
-        return True, False
+SEEN, SIDE, NAMED, REPLY, UNSEEN = range(5)  # kinds of elements: plain, side part by element or role, by name, reader comments, not shown
+
+
+def kind_of(tag: str, attributes: str, in_article: bool) -> int:
+    found, out = tools(), SIDE if tag in ASIDE and not (tag == "header" and in_article) else SEEN
     if not attributes or attributes.isspace():
-        return False, False
-    found, named = tools(), False
+        return out
     for m in found["attribute"].finditer(attributes):
         name = (m[1] or m[5] or "").lower()
         value = html.unescape(m[2] or m[3] or m[4] or "")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and found["unseen"].search(value):
+            return UNSEEN
         if name == "role" and ROLES & set(value.lower().split()):
-            return True, False
-        if name == "style" and found["unseen"].search(value):
-            return True, False
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            out = max(out, SIDE)
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
             said = found["words"].findall(found["camel"].sub(" ", value).lower())
             words = {w for w, before in zip(said, ["", *said]) if w in NAMES and before not in MODIFIERS}
-            named = named or bool(words - {"header"} if in_article else words)
-    return False, named
+            if words & REPLIES:
+                out = REPLY
+            elif words - {"header"} if in_article or tag == "article" else words:
+                out = out or NAMED
+    return out
 
 
 class Node:
-    __slots__ = ("aside", "block", "dropped", "named", "number", "parent", "path", "tag")
+    __slots__ = ("block", "dropped", "kind", "number", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent, number: int, path: int, hard: bool, named: bool) -> None:
-        self.tag, self.parent, self.number, self.path = tag, parent, number, path
+    def __init__(self, tag: str, parent, number: int, path: int, kind: int) -> None:
+        self.tag, self.parent, self.number, self.path, self.kind = tag, parent, number, path, kind
         inline = tag in INLINE
         self.block = parent.block if inline and parent else self  # the nearest element that isn't inline
-        self.aside, self.named = hard, named
-        self.dropped = bool(parent and parent.dropped) or inline and (hard or named)
+        self.dropped = bool(parent and parent.dropped) or kind == UNSEEN or inline and kind != SEEN
 
 
 class Page:
@@ -112,9 +116,9 @@ class Page:
 
     def __init__(self, page: str) -> None:
         found = tools()
-        self.paths: dict[tuple[int, str], int] = {}
+        self.paths: dict[tuple[int, str, int], int] = {}
         self.parent_path = [-1]
-        self.nodes = [Node("#", None, 0, 0, False, False)]
+        self.nodes = [Node("#", None, 0, 0, SEEN)]
         self.blocks: list[tuple[Node, str]] = []
         self.stack, self.run = self.nodes[:], []
         self.open: dict[str, int] = {}
@@ -194,17 +198,17 @@ class Page:
         if tag in VOID or attributes.endswith("/") and tag not in ("p", "div", "a", "span"):
             return
         parent = self.stack[-1]
-        path = self.paths.setdefault((parent.path, tag), len(self.parent_path))
+        kind = UNSEEN if tag == "head" else kind_of(tag, attributes, bool(self.open.get("article") or self.open.get("main")))
+        path = self.paths.setdefault((parent.path, tag, kind), len(self.parent_path))
         if path == len(self.parent_path):
             self.parent_path.append(parent.path)
-        hard, named = aside(tag, attributes, bool(self.open.get("article") or self.open.get("main")))
-        node = Node(tag, parent, len(self.nodes), path, hard or tag == "head", named)
+        node = Node(tag, parent, len(self.nodes), path, kind)
         self.nodes.append(node)
         self.stack.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
 
 
-def content_paths(rows: list[tuple[int, int, int]], parent_path: list[int]) -> set[int]:
+def content_paths(rows: list[tuple[int, int, int]], parent_path: list[int], prior: dict[int, float]) -> set[int]:
     """Of (tag path, length, marks) of blocks, the paths that are content."""
     sums: dict[int, list[int]] = {}
     for path, length, marks in rows:
@@ -224,68 +228,91 @@ def content_paths(rows: list[tuple[int, int, int]], parent_path: list[int]) -> s
         if m:
             ratio = (ratio + SMOOTH * (near[1] - length) / m) / (1 + SMOOTH)
             marked = (marked + SMOOTH * (near[2] - marks) / m) / (1 + SMOOTH)
-        fused[p] = ratio * marked
+        fused[p] = ratio * marked * prior.get(p, 1.0)
     total = sum(s[0] for s in sums.values())
     mean = sum(fused[p] * s[0] for p, s in sums.items()) / total
     spread = math.sqrt(sum((fused[p] - mean) ** 2 * s[0] for p, s in sums.items()) / total)
-    top = max(fused.values())
-    return {p for p, x in fused.items() if x >= min(SPREAD * spread, top)}
+    least = min(SPREAD * spread, max(fused.values()))
+    return {p for p, x in fused.items() if x > 0 and x >= least}
 
 
-def main_text(page: str) -> str:
-    read_page = Page(page)
-    nodes, blocks = read_page.nodes, read_page.blocks
-    # the name of an element around the article, or around nearly everything, means nothing
-    holds, length = [False] * len(nodes), [0] * len(nodes)
-    for node, text in blocks:
-        length[node.number] += len(text)
-    for node in reversed(nodes):
-        if node.parent:
-            if node.aside:
-                length[node.number] = 0
-            length[node.parent.number] += length[node.number]
-            if holds[node.number] or node.tag in ("article", "main"):
-                holds[node.parent.number] = True
-    for node in nodes:
-        holds[node.number] = holds[node.number] or length[node.number] > WRAPPER * length[0]
-    for by_name in (True, False):
-        apart = [False] * len(nodes)
-        for node in nodes:
-            apart[node.number] = node.aside or by_name and node.named and not holds[node.number] or bool(node.parent and apart[node.parent.number])
-        found = [(node, text) for node, text in blocks if not apart[node.number]]
-        if found:
-            break
-    else:
-        return ""
-    marks = tools()["marks"]
-    rows = [(node.path, len(text), len(marks.findall(text))) for node, text in found]
-    paths = content_paths(rows, read_page.parent_path)
+def weights(nodes: list[Node], blocks: list[tuple[Node, str]], paths: set[int]) -> tuple[list[int], list[int]]:
+    """Length and number of the content blocks within each element."""
     weight, held = [0] * len(nodes), [0] * len(nodes)
-    for (node, _), (path, length, _) in zip(found, rows):
-        if path in paths:
-            weight[node.number] += length
-        held[node.number] += 1
+    for node, text in blocks:
+        if node.path in paths:
+            weight[node.number] += len(text)
+            held[node.number] += 1
     for node in reversed(nodes):
         if node.parent:
             weight[node.parent.number] += weight[node.number]
             held[node.parent.number] += held[node.number]
-    whole = weight[0]
-    chosen = set()
+    return weight, held
+
+
+def priors(nodes: list[Node], blocks: list[tuple[Node, str]], weight: list[int]) -> list[float]:
+    """The prior of each element, from the content weight that ratios without a prior give."""
+    chosen: set[int] = set()
+    plain = [True] * len(nodes)  # neither it nor an element around it is a side part
+    for node in nodes[1:]:
+        plain[node.number] = plain[node.parent.number] and node.kind == SEEN
     for tags in (("article",), ("article", "main")):
         marked = outermost(nodes, tags)
-        if sum(weight[n] for n in marked) >= 0.5 * whole:
-            chosen = {n for n in marked if weight[n]}
-            break
-    if not chosen:
-        at = 0  # the smallest container that holds all blocks that aren't set aside; only one child can
+        for some in ([n for n in marked if plain[n]], marked):
+            if not chosen and some and sum(weight[n] for n in some) >= 0.5 * weight[0]:
+                chosen = set(some)
+    around = [False] * len(nodes)
+    for n in chosen:
+        node = nodes[n]
+        while node and not around[node.number]:
+            around[node.number] = True
+            node = node.parent
+    out, within = [1.0] * len(nodes), [not chosen] * len(nodes)
+    for names in (True, False):
         for node in nodes[1:]:
-            if node.parent.number == at and node.tag in CONTAINERS and held[node.number] == held[0]:
-                at = node.number
-        chosen = {at}
+            above, n = node.parent.number, node.number
+            within[n] = within[above] or n in chosen
+            holds = around[n] or weight[n] >= WRAPPER * weight[0]
+            own = 1.0
+            if node.kind == REPLY:
+                own = 0.0
+            elif node.kind != SEEN and not holds:
+                own = 0.0 if node.kind == SIDE else HINT if names else 1.0
+            out[n] = min(out[above], own)
+        if not names or any(out[node.number] == 1 and within[node.number] for node, _ in blocks):
+            break
+    return [x if w else min(x, HINT) for x, w in zip(out, within)]
+
+
+def main_text(page: str) -> str:
+    found = Page(page)
+    nodes, blocks = found.nodes, found.blocks
+    if not blocks:
+        return ""
+    marks = tools()["marks"]
+    rows = [(node.path, len(text), len(marks.findall(text))) for node, text in blocks]
+    weight, _ = weights(nodes, blocks, content_paths(rows, found.parent_path, {}))
+    prior = priors(nodes, blocks, weight)
+    of_path: dict[int, float] = {}
+    for node, _ in blocks:
+        of_path[node.path] = max(of_path.get(node.path, 0.0), prior[node.number])
+    paths = content_paths(rows, found.parent_path, of_path)
+    _, held = weights(nodes, blocks, paths)
+    at = 0  # the smallest container that holds all content; only one child can
+    for node in nodes[1:]:
+        if node.parent.number == at and node.tag in REGIONS and held[node.number] == held[0]:
+            at = node.number
     inside = [False] * len(nodes)
     for node in nodes:
-        inside[node.number] = node.number in chosen or bool(node.parent and inside[node.parent.number])
-    return "\n".join(text for node, text in found if inside[node.number])
+        inside[node.number] = node.number == at or bool(node.parent and inside[node.parent.number])
+    kept = [node.path in paths or inside[node.number] and prior[node.number] == 1 for node, _ in blocks]
+    first = at = kept.index(True) if True in kept else 0
+    while at and prior[blocks[at - 1][0].number] == 1:  # a title outside the container, with what lies between
+        at -= 1
+        if blocks[at][0].tag == "h1":
+            kept[at:first] = [True] * (first - at)
+            break
+    return "\n".join(text for (_, text), keep in zip(blocks, kept) if keep)
 
 
 def outermost(nodes: list[Node], tags: tuple[str, ...]) -> list[int]:

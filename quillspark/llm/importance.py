@@ -8,9 +8,10 @@ would have most of the weight by chance. Adding a Gumbel variate to the log weig
 largest samples k documents without replacement in proportion to exp(log weight / TEMPERATURE); the
 variate is a hash of the id, so a rerun gives the same sample.
 
-k is the number of documents whose log weight is above a cut that labelled rows fix: half of them (by a
-hash of the id) fit the target model, the others set the cut, at which a lost good document counts as
-COST_OF_LOSS kept bad ones. At most MOST_LABELS labelled rows, those of smallest hash, are used for
+k is the number of documents whose log weight is above a cut that labelled rows fix: a third of them (by a
+hash of the id) fits the target model, a third sets the cut, at which a lost good document counts as
+COST_OF_LOSS kept bad ones, and a third is used for nothing, so that it can measure both. TEMPERATURE is low because a
+document that is lost by chance is a clean document lost: the sample is then nearly the k of largest weight. At most MOST_LABELS labelled rows, those of smallest hash, are used for
 this; they are broadcast. All other counts and weights cover all documents and whole texts.
 The k-th largest key is found by a radix selection, four rounds of at most 65,536 counts.
 
@@ -33,7 +34,8 @@ PRIOR = 4.0  # added to a bucket's count under either model
 COST_OF_LOSS = 10
 TEMPERATURE = 0.02
 SEED = 42
-MEMO = 400_000
+MEMO = 100_000
+FITS, CUTS, MEASURES = range(3)  # parts of the labelled rows
 
 
 class Hasher(dict):
@@ -72,7 +74,7 @@ def ngrams(found: list[str], buckets: int):
     return np.concatenate((bucket, repeats)), np.concatenate((owner, owner[inner], *(owner[a] for a in again)))
 
 
-def chunks(batches, most: int = 1 << 20):
+def chunks(batches, most: int = 1 << 18):
     """Parts of record batches of about most characters of text at most (a longer text is alone)."""
     for batch in batches:
         found = texts(batch.column(1))
@@ -113,7 +115,7 @@ def model_counts(rows: DataFrame, buckets: int):
 
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch, found in chunks(batches):
-            fits = np.array([q == 1 and f for q, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], bool)
+            fits = np.array([q == 1 and p == FITS for q, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], bool)
             bucket, owner = ngrams(found, buckets)
             raw += np.bincount(bucket, minlength=buckets)
             target += np.bincount(bucket[fits[owner]], minlength=buckets)
@@ -177,11 +179,11 @@ class Resampler:
         order = F.xxhash64(F.col("doc_id"), F.lit(seed))
         known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(quality_col).cast("int").alias("quality")).dropna()
         known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(most_labels).collect()
-        known = spark.createDataFrame(known, "doc_id long, quality int").withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0)
+        known = spark.createDataFrame(known, "doc_id long, quality int").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(3)).cast("int"))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "doc_id", "left")  # at most most_labels rows
         self.ratio = log_ratio(*model_counts(rows, buckets))
         self.scores = cut(self._scored(rows))
-        held = self.scores.where("quality is not null and not fits").select("log_weight", "quality").collect()
+        held = self.scores.where(f"quality is not null and part = {CUTS}").groupBy("doc_id").agg(F.avg("log_weight").alias("log_weight"), F.first("quality").alias("quality")).collect()  # an id once: at most most_labels rows
         self.cut = best_cut([(r.log_weight, r.quality) for r in held])
         self.k = self.scores.where(F.col("log_weight") > self.cut).count() if k is None else k
         self.threshold, self.ties = kth_largest(self.scores, "sort_key", self.k)
@@ -195,9 +197,9 @@ class Resampler:
             for batch, found in chunks(batches):
                 n, weights = log_weights(found, shipped.value, buckets)
                 keys = sort_keys(batch.column(0).to_pylist(), weights, seed)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weights), pa.array(keys), batch.column(2), batch.column(3)], ["doc_id", "n_grams", "log_weight", "sort_key", "quality", "fits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weights), pa.array(keys), batch.column(2), batch.column(3)], ["doc_id", "n_grams", "log_weight", "sort_key", "quality", "part"])
 
-        return rows.mapInArrow(run, "doc_id long, n_grams long, log_weight double, sort_key long, quality int, fits boolean")
+        return rows.mapInArrow(run, "doc_id long, n_grams long, log_weight double, sort_key long, quality int, part int")
 
     def _last_id(self) -> int | None:
         """Of documents with the last key, those with at least this id are kept."""

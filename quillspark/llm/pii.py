@@ -2,14 +2,14 @@
 
 Patterns find the base spans. A character-level bidirectional LSTM with CRF transitions (see tagger)
 adds spans that the patterns miss, such as telephone numbers without a plus sign. It is trained in numpy, on the driver, from
-generated sentences with labelled spans (fixed seed, TRAINING windows). Texts are cut into overlapping
+generated sentences with labelled spans (fixed seed, TRAINING windows), once: the weights are kept in the shared folder. Texts are cut into overlapping
 windows of WINDOW characters every STRIDE; a window is decoded if it holds a digit or an @, without which none of the four
-kinds can occur. Spans that touch an inner window edge are left to the neighbouring window; the others are
+kinds can occur. A span of up to STRIDE characters lies whole within some window; of longer ones the model finds those that do. Spans that touch an inner window edge are left to the neighbouring window; the others are
 reconciled over the whole text: among overlapping ones a non-overlapping set of greatest score
 is kept. Base spans always stay, and an added span must not touch one and must look like its kind.
 
 Positions are code points, ends exclusive. Defined results. Null text is the empty text, without spans. Texts are searched whole,
-however long, in time linear in their length. Repeated rows give repeated results. An empty
+however long, in time linear in their length (times the logarithm of their number of spans). Repeated rows give repeated results. An empty
 table gives an empty result. Other columns are ignored, or kept by `mask`, whatever their names.
 """
 
@@ -18,11 +18,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from .common import per_worker, read, texts
+from .media import file_system
 from .tagger import DIGIT, OWN_CLASS, PAD, Tagger, char_classes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -138,6 +141,35 @@ def training_windows(n: int, seed: int, width: int = WINDOW):
         yield text[skip : width + skip], tags[skip : width + skip]
 
 
+def trained_once(spark: SparkSession) -> dict:
+    """The weights, fitted once and kept in the shared folder under a name that the parameters and this code decide."""
+    import io
+    import uuid
+    from pathlib import Path
+
+    import numpy as np
+
+    def fetch():
+        code = b"".join((Path(__file__).with_name(f"{m}.py")).read_bytes() for m in ("pii", "tagger"))
+        folder = f"{shared_dir(spark)}/quillspark-models"
+        system, path = file_system(folder)
+        name = f"{path}/pii-{hashlib.sha256(code).hexdigest()[:24]}.npz"
+        try:
+            with system.open_input_file(name) as f:
+                return dict(np.load(io.BytesIO(f.read())))
+        except FileNotFoundError:
+            weights, raw = trained().p, io.BytesIO()
+            np.savez(raw, **weights)
+            system.create_dir(path, recursive=True)
+            part = f"{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as f:
+                f.write(raw.getvalue())
+            system.move(part, name)
+            return weights
+
+    return per_worker("pii_weights_" + hashlib.sha256(shared_dir(spark).encode()).hexdigest(), fetch)
+
+
 def trained(n: int = TRAINING, epochs: int = EPOCHS, seed: int = SEED):
     """The model; the same for the same parameters, so a process trains it once."""
 
@@ -165,8 +197,6 @@ def plausible(kind: str, value: str) -> bool:
 
 def best_set(spans: list[tuple[float, str, int, int]]) -> list[tuple[str, int, int]]:
     """Of overlapping scored spans a non-overlapping set of greatest score (weighted interval scheduling)."""
-    from bisect import bisect_right
-
     spans = sorted(spans, key=lambda s: (s[3], s[2], s[1]))
     ends = [s[3] for s in spans]
     best: list[tuple[float, int, bool]] = [(0.0, 0, False)]
@@ -230,13 +260,27 @@ def find(model, found: list[str]):
     bases = [base_spans(t) if t and not t.isspace() else [] for t in found]
     order = {k: i for i, k in enumerate(KINDS)}
     for text, base, scored in zip(found, bases, decoded_spans(model, found)):
-        taken = sorted((a, b) for _, a, b in base)
+        taken = disjoint((a, b) for _, a, b in base)
         free = [s for s in scored if s[0] > 0 and plausible(s[1], text[s[2] : s[3]]) and not overlaps(taken, s[2], s[3])]
         yield base, sorted([*base, *best_set(free)], key=lambda s: (order[s[0]], s[1], s[2]))
 
 
-def overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for a, b in taken)
+def disjoint(found) -> tuple[list[int], list[int]]:
+    """Starts and ends, ascending, of the stretches that spans (start, end) cover together."""
+    starts, ends = [], []
+    for a, b in sorted(found):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def overlaps(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether a stretch of taken meets the span: the last that starts before its end is the only one that may."""
+    at = bisect_left(taken[0], end)
+    return bool(at) and taken[1][at - 1] > start
 
 
 def joined(spans) -> str:
@@ -249,7 +293,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(trained().p)
+    shipped = docs.sparkSession.sparkContext.broadcast(trained_once(docs.sparkSession))
     kind = "array<struct<kind:string,start:int,end:int>>"
 
     def run(batches):
@@ -276,7 +320,7 @@ def loaded(weights):
 
 def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every span replaced by its kind in brackets, as [EMAIL]; length_col, if docs has it, is brought up to date."""
-    shipped = docs.sparkSession.sparkContext.broadcast(trained().p)
+    shipped = docs.sparkSession.sparkContext.broadcast(trained_once(docs.sparkSession))
     names = docs.columns
     at = names.index(text_col)
 
@@ -307,7 +351,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shipped = spark.sparkContext.broadcast(trained().p)
+    shipped = spark.sparkContext.broadcast(trained_once(spark))
 
     def run(batches):
         import pyarrow as pa

@@ -2,11 +2,11 @@
 
 Every task writes its pages as WARC records, each a gzip member of its own, into files of its own and returns an index row for each
 record (file, number, offset, length, digest), so nothing is shuffled to write. A replica is a copy of the files
-under another folder. An audit reads every replica anew by the ranges of the index, many records a range,
-and hashes records and ordered ranges into a tree: a leaf is the digest of a record's stored bytes with its
-offset, an inner node the digest of its up to FANOUT children in order. Trees are built level by level with
-grouped aggregations of at most FANOUT rows a group. The roots of the replicas are compared per file, and only
-below nodes that differ are the next levels compared, down to the damaged records.
+under another folder. Trees have records as leaves (the digest of a record's offset, length and stored bytes), ordered offset
+ranges of NODE_BYTES above them (the digest of the records that begin there, in order), and up to FANOUT consecutive ranges a node
+from there on, up to one root a file. The expected tree comes from the index alone, and each replica's from its bytes, read
+anew. Roots are compared first, and only below nodes that differ are the next levels joined and compared, down to the
+damaged records, whichever replicas they are in and even if all are damaged alike.
 
 Defined results. Null html is an empty body, a null url the empty string. Records are whole, however long. Repeated rows are
 repeated records. Bytes that are missing at a file's end make the records concerned damaged; a missing file makes all of its records so.
@@ -27,7 +27,9 @@ from .media import file_system
 
 FANOUT = 16
 FILE_BYTES = 64 << 20  # a file is closed beyond this
-RANGE_BYTES = 4 << 20
+NODE_BYTES = 256 << 10  # of a file, for the lowest ranges of a tree
+RANGE_BYTES = 4 << 20  # read at once
+DRILL = 64  # one in so many records of the second replica is damaged on purpose by the query
 LEVEL = 1  # of gzip
 DATE = "1970-01-01T00:00:00Z"  # records carry no time of their own, so that a rewrite gives the same bytes
 
@@ -83,8 +85,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return cut(rows.mapInArrow(run, INDEX))
 
 
-def replicate(index: DataFrame, source: str, target: str) -> None:
-    """Copy the indexed files to another folder, a file a task at a time."""
+def replicate(index: DataFrame, source: str, target: str, spoiled: str = "false") -> None:
+    """Copy the indexed files to another folder, a file a task at a time. A byte of each record for which the condition spoiled holds is changed, for drills."""
 
     def run(batches):
         import pyarrow as pa
@@ -93,19 +95,27 @@ def replicate(index: DataFrame, source: str, target: str) -> None:
         b, to = file_system(target)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for name in names:
+            for name, spots in zip(names, batch.column(1).to_pylist()):
+                done = 0
                 with a.open_input_stream(f"{at}/{name}", compression=None) as old, b.open_output_stream(f"{to}/{name}", compression=None) as new:
                     while block := old.read(8 << 20):
-                        new.write(block)
+                        wrong = [x - done for x in spots if done <= x < done + len(block)]
+                        if wrong:
+                            block = bytearray(block)
+                            for x in wrong:
+                                block[x] ^= 1
+                        new.write(bytes(block))
+                        done += len(block)
             yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["files"])
 
     system, path = file_system(target)
     system.create_dir(path, recursive=True)
-    index.select("file").distinct().mapInArrow(run, "files long").agg(F.sum("files")).collect()
+    spot = F.when(F.expr(spoiled), F.col("offset") + F.floor(F.col("length") / 2))  # a file holds few records, FILE_BYTES in all
+    index.groupBy("file").agg(F.collect_list(spot).alias("spots")).mapInArrow(run, "files long").agg(F.sum("files")).collect()
 
 
 def leaves(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Level 0 of the trees of a replica: file, number, digest of each record's bytes as they are now, and record_sha256."""
+    """The index rows' file, number, offset and length, with the digest of the record's bytes as they are now, null if some are missing."""
 
     def run(batches):
         import pyarrow as pa
@@ -139,66 +149,59 @@ def leaves(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> Dat
                 found.append(hashlib.sha256(data).hexdigest() if len(data) == length else None)
             if source:
                 source.close()
-            leaf = [hashlib.sha256(f"{o}:{n}:{d or ''}".encode()).hexdigest() for o, n, d in zip(offsets, lengths, found)]
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(numbers, pa.int64()), pa.array(leaf, pa.string()), pa.array(found, pa.string())], ["file", "number", "digest", "now_sha256"])
+            columns = [pa.array(files, pa.string()), *(pa.array(x, pa.int64()) for x in (numbers, offsets, lengths)), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "number", "offset", "length", "record_sha256"])
 
     block = F.floor(F.col("offset") / range_bytes)
     ranges = index.groupBy("file", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("offset", "number", "length"))).alias("members"))  # the records that begin in range_bytes
     # index rows are few bytes for many bytes of file, so tasks are counted by those
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * range_bytes)))
-    return ranges.repartition(tasks, "file", "block").select("file", "members").mapInArrow(run, "file string, number long, digest string, now_sha256 string")
+    return ranges.repartition(tasks, "file", "block").select("file", "members").mapInArrow(run, "file string, number long, offset long, length long, record_sha256 string")
 
 
-def level_up(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The next level: a node is the digest of its children's digests in order."""
-    grouped = level.groupBy("file", F.floor(F.col("number") / fanout).alias("number")).agg(F.sort_array(F.collect_list(F.struct("number", "digest"))).alias("kids"))
-    return grouped.select("file", "number", F.sha2(F.concat_ws(",", F.col("kids.digest")), 256).alias("digest"))
+def tree(records: DataFrame, last: int, fanout: int = FANOUT, node_bytes: int = NODE_BYTES) -> list[DataFrame]:
+    """Levels (file, node, parent, digest) of the Merkle trees of files, records first, roots last; last is the greatest offset of all."""
 
+    def above(level: DataFrame) -> DataFrame:
+        kids = F.sort_array(F.collect_list(F.struct("node", "digest")))
+        grouped = level.groupBy("file", F.col("parent").alias("node")).agg(kids.alias("kids"))
+        return grouped.select("file", "node", F.floor(F.col("node") / fanout).alias("parent"), F.sha2(F.concat_ws(",", F.col("node").cast("string"), F.col("kids.digest")), 256).alias("digest"))
 
-def trees(index: DataFrame, folder: str, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of the Merkle trees of a replica's files, leaves first, roots (one a file) last."""
-    most = index.agg(F.max("number")).first()[0]
-    out = [cut(leaves(index, folder))]
-    while most:
-        most //= fanout
-        out.append(cut(level_up(out[-1], fanout)))
+    stored = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), F.coalesce("record_sha256", F.lit("")))
+    out = [cut(records.select("file", F.col("number").alias("node"), F.floor(F.col("offset") / node_bytes).alias("parent"), F.sha2(stored, 256).alias("digest")))]
+    width = last // node_bytes
+    out.append(cut(above(out[-1])))
+    while width:
+        width //= fanout
+        out.append(cut(above(out[-1])))
     return out
 
 
-def differing(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(file, number) of the leaves in which two replicas differ, found from the roots down."""
-
-    def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-        pair = a.select("file", "number", F.col("digest").alias("one")).join(b.select("file", "number", F.col("digest").alias("other")), ["file", "number"], "full")
-        return pair.where(~F.col("one").eqNullSafe(F.col("other"))).select("file", "number")
-
-    bad = cut(compare(one[-1], other[-1]))
-    for a, b in zip(one[-2::-1], other[-2::-1]):
-        if bad.isEmpty():
+def descend(expected: list[DataFrame], actual: list[DataFrame]) -> tuple[DataFrame, list[int]]:
+    """(file, number) of the records in which two trees differ, found from the roots down, and how many nodes were compared on each level from the roots on."""
+    bad, compared = None, []
+    for one, other in zip(reversed(expected), reversed(actual)):
+        if bad is not None:
+            one, other = (x.join(bad, ["file", "parent"], "left_semi") for x in (one, other))
+        other = other.select("file", "node", F.col("digest").alias("now"))
+        pair = cut(one.select("file", "node", "digest").join(other, ["file", "node"], "full").select("file", "node", F.col("digest").eqNullSafe(F.col("now")).alias("same")))
+        compared.append(pair.count())
+        differing = pair.where("not same")
+        bad = differing.select("file", F.col("node").alias("parent"))
+        if differing.isEmpty():
             break
-        parents = bad.withColumnRenamed("number", "parent")
-        below = [x.withColumn("parent", F.floor(F.col("number") / fanout)).join(parents, ["file", "parent"], "left_semi") for x in (a, b)]
-        bad = cut(compare(*below))
-    return bad
+    return bad.select("file", F.col("parent").alias("number")), compared
 
 
-def audit(index: DataFrame, folders: list[str], fanout: int = FANOUT) -> DataFrame:
-    """Index rows with status: intact, or damaged with the replicas (numbers in folders) whose bytes aren't those that were written.
-
-    The first replica is compared with each other one; records in which they differ are held against the digests in the index.
-    Damage alike in all replicas shows as a leaf unlike the index.
-    """
-    levels = [trees(index, folder, fanout) for folder in folders]
-    suspects = None
-    for other in levels[1:]:
-        found = differing(levels[0], other, fanout)
-        suspects = found if suspects is None else suspects.unionByName(found)
-    written = index.select("file", "number", "record_sha256")
+def audit(index: DataFrame, folders: list[str], fanout: int = FANOUT, node_bytes: int = NODE_BYTES) -> DataFrame:
+    """Index rows with status: intact, or damaged with the replicas (numbers in folders) whose bytes aren't those that were written."""
+    last = index.agg(F.max("offset")).first()[0]
+    written = tree(index, last or 0, fanout, node_bytes)
     bad = None
-    for n, tree in enumerate(levels):
-        rows = tree[0] if n == 0 else tree[0].join(suspects, ["file", "number"], "left_semi")
-        found = rows.join(written, ["file", "number"]).where(~F.col("now_sha256").eqNullSafe(F.col("record_sha256"))).select("file", "number", F.lit(n).alias("replica"))
+    for n, folder in enumerate(folders):
+        found, _ = descend(written, tree(leaves(index, folder), last or 0, fanout, node_bytes))
+        found = found.withColumn("replica", F.lit(n))
         bad = found if bad is None else bad.unionByName(found)
     bad = bad.groupBy("file", "number").agg(F.sort_array(F.collect_set("replica")).alias("damaged_in"))
     out = index.join(bad, ["file", "number"], "left")
@@ -206,12 +209,13 @@ def audit(index: DataFrame, folders: list[str], fanout: int = FANOUT) -> DataFra
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are written as WARC, replicated and audited; a row per record."""
+    """Pages are written as WARC and replicated, with one in DRILL records of the replica damaged on the way (planted), and audited; a row per record."""
     first, second = new_folder(spark, "warc"), new_folder(spark, "warc-replica")
+    planted = f"coalesce(pmod(xxhash64(page_id), {DRILL}) = 0, false)"
     index = write(read(spark, sf_dir, "pages"), first)
-    replicate(index, first, second)
+    replicate(index, first, second, planted)
     found = audit(index, [first, second])
-    return found.select("page_id", "url", "file", "number", "offset", "length", "record_sha256", "status", F.array_join(F.col("damaged_in").cast("array<string>"), ",").alias("damaged_in"))
+    return found.select("page_id", "url", "file", "number", "offset", "length", "record_sha256", "status", F.array_join(F.col("damaged_in").cast("array<string>"), ",").alias("damaged_in"), F.expr(planted).alias("planted"))
 
 
 QUERIES = {"op8_warc": op8_warc}
