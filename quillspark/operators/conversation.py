@@ -23,6 +23,20 @@ def history(messages: DataFrame, current_run: str | None = None) -> DataFrame:
     return rows if current_run is None else rows.where(~F.col("run_id").eqNullSafe(current_run))
 
 
+def get_or_create(conversations: DataFrame, wanted: DataFrame) -> DataFrame:
+    """conversations (conversation_id, project_id, title, status, created_at, updated_at) with those of wanted (conversation_id, project_id, title, at) that are not there, as ACTIVE; the others stay as they are."""
+    new = wanted.join(conversations.select("conversation_id"), "conversation_id", "left_anti")
+    new = new.groupBy("conversation_id").agg(F.min_by(F.struct("project_id", "title", "at"), F.struct("at", "project_id", "title")).alias("f"))
+    new = new.select("conversation_id", "f.project_id", "f.title", F.lit("ACTIVE").alias("status"), F.col("f.at").alias("created_at"), F.col("f.at").alias("updated_at"))
+    return conversations.unionByName(new.select(*conversations.columns))
+
+
+def touch(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """conversations with updated_at no earlier than their last message's created_at."""
+    last = messages.groupBy("conversation_id").agg(F.max("created_at").alias("_last"))
+    return conversations.join(last, "conversation_id", "left").withColumn("updated_at", F.greatest("updated_at", "_last")).select(*conversations.columns)
+
+
 def by_project(conversations: DataFrame, project_id: str) -> DataFrame:
     return conversations.where(F.col("project_id") == project_id).orderBy(F.desc("updated_at"), "conversation_id")
 

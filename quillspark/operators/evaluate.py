@@ -87,11 +87,13 @@ def compare_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(*(count(c) for c in ("MISS_TO_HIT", "HIT_TO_MISS", "STABLE_HIT", "STABLE_MISS", "MISSING")), F.count_if(moved & (F.col("mrr_delta") > 0)).alias("rank_improved"), F.count_if(moved & (F.col("mrr_delta") < 0)).alias("rank_regressed"))
 
 
-def regression(baseline: DataFrame, current: DataFrame) -> DataFrame:
+def regression(baseline: DataFrame, current: DataFrame, datasets: tuple[str, str] | None = None) -> DataFrame:
     """metric, score, floor, current, passed of every baseline metric; a metric without a current score fails.
 
-    baseline: metric, score, tolerance. current: metric, score.
+    baseline: metric, score, tolerance. current: metric, score. datasets: the names of both runs' datasets, which must be one.
     """
+    if datasets and datasets[0] != datasets[1]:
+        raise ValueError(f"runs of different datasets: {datasets[0]} and {datasets[1]}")
     floor = F.greatest(F.lit(0.0), F.col("score") - F.col("tolerance"))
     rows = baseline.withColumn("floor", floor).join(current.select("metric", F.col("score").alias("current")), "metric", "left")
     return rows.withColumn("passed", F.coalesce(F.col("current") >= F.col("floor"), F.lit(False)))

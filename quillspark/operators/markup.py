@@ -219,7 +219,13 @@ def css_rows(text: str):
         i += 1
 
 
-READERS = {"XHTML": chunk_rows, "HTML": chunk_rows, "XML": chunk_rows, "NAV": toc_rows, "NCX": ncx_rows, "OPF": opf_rows, "CSS": css_rows}
+def text_rows(text: str):
+    for block in re.split(r"\n[ \t\x0b\f]*\n", text.replace("\r\n", "\n").replace("\r", "\n")):
+        if found := normalized(block):
+            yield "TEXT", "", "", "", found, {}
+
+
+READERS = {"XHTML": chunk_rows, "HTML": chunk_rows, "XML": chunk_rows, "NAV": toc_rows, "NCX": ncx_rows, "OPF": opf_rows, "CSS": css_rows, "TEXT": text_rows, "MARKDOWN": text_rows, "JSON": text_rows}
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -239,9 +245,8 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).cast("string")).mapInArrow(run, ELEMENTS)
 
 
-def chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", kind: str = "XHTML") -> DataFrame:
-    """Typed chunks of every page of one kind (a key of READERS), in order."""
-    reader = READERS[kind]
+def chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", kind: str | None = "XHTML", kind_col: str | None = None) -> DataFrame:
+    """Typed chunks of every page, in order, by the reader (a key of READERS) of its kind: one for all, or that in kind_col. Text, Markdown and JSON are blocks between blank lines; pages of other kinds have no chunks."""
 
     def run(batches):
         import pyarrow as pa
@@ -249,12 +254,14 @@ def chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", ki
         kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5, pa.map_(pa.string(), pa.string())]
         for batch in batches:
             rows = []
-            for doc, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, markup, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                reader = READERS.get(own, lambda _: ())
                 rows += [(doc, i, k, t, e, p, c, list(m.items())) for i, (k, t, e, p, c, m) in enumerate(reader(markup or ""))]
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in CHUNKS.split(", ")])
 
-    return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).cast("string")).mapInArrow(run, CHUNKS)
+    own = F.col(kind_col) if kind_col else F.lit(kind)
+    return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).cast("string"), own.alias("_kind")).mapInArrow(run, CHUNKS)
 
 
 def unreadable(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

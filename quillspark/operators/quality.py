@@ -493,6 +493,29 @@ def typo_positions(docs: DataFrame, dictionary: dict[str, str], id_col: str = "d
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, wrong string, right string, offset int, line int")
 
 
+LEAST_CONFIDENCE = 0.80
+REPLY = "struct<issues:array<struct<original:string,suggestion:string,type:string,reason:string,confidence:double>>>"
+
+
+def typo_replies(docs: DataFrame, replies: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """id, original, suggestion, type, reason, confidence, start, end, line of every occurrence of what a model's replies (id, reply as JSON) propose.
+
+    Proposals without original or suggestion, without a change, or of too little confidence are left out. A reply that is no JSON object is an error.
+    """
+    parsed = F.from_json("reply", REPLY)
+    checked = F.when(parsed.isNull() | ~F.trim("reply").startswith("{"), F.raise_error(F.lit("a reply is no JSON object"))).otherwise(parsed["issues"])
+    found = replies.select(id_col, F.explode(F.coalesce(checked, F.array().cast("array<struct<original:string,suggestion:string,type:string,reason:string,confidence:double>>"))).alias("i")).select(id_col, "i.*")
+    found = found.where(~_blank(F.col("original")) & ~_blank(F.col("suggestion")) & (F.col("original") != F.col("suggestion")) & (F.coalesce("confidence", F.lit(0.0)) >= least))
+    # the parts between occurrences give their places, from left to right and not overlapping
+    parts = F.split(F.col(text_col), F.concat(F.lit("\\Q"), F.replace(F.col("original"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    rows = found.join(docs.select(id_col, text_col), id_col).withColumn("_parts", parts).where(F.size("_parts") > 1)
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)))
+    start = F.aggregate(F.slice("_parts", 1, F.col("_n")), F.lit(0), lambda s, p: s + F.length(p)) + (F.col("_n") - 1) * F.length("original")
+    rows = rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("original"))
+    before = F.substring(F.col(text_col), F.lit(1), F.col("start"))
+    return rows.select(id_col, "original", "suggestion", "type", "reason", "confidence", "start", "end", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))
+
+
 def version(c) -> Column:
     """A semantic version as a comparable struct; null if malformed."""
     pattern = "^(\\d+)\\.(\\d+)\\.(\\d+)$"

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
+from ..shared import cut
+from . import search
 
 # fixed values
 EXCLUDED_DOCUMENTS = ["cover.xhtml", "nav.xhtml", "author.xhtml", "copyright.xhtml", "quiz.xhtml"]
@@ -110,6 +113,32 @@ def merge_graph(vector: DataFrame, graph: DataFrame, weight: float, k: int) -> D
     return ranked(best, k)
 
 
+def graph_branch(found: DataFrame, chunks: DataFrame, queries: DataFrame, edges: DataFrame, k: int, profile: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """found (a ranking of vectors) with candidates from the spine neighbours of its documents merged in, by a profile.
+
+    chunks: project_id, source_path, type, id and vector. queries: project_id, id and vector.
+    """
+    weight, seeds, left_out, _ = PROFILES[profile]
+    named = chunks.withColumnRenamed(id_col, "id") if id_col != "id" else chunks
+    own = queries.select(F.col(id_col).alias("query_id"), "project_id", F.col(vector_col).alias("_asked"))
+    hits = found.join(own.select("query_id", "project_id"), "query_id").join(named.select("project_id", "id", "source_path"), ["project_id", "id"])
+    near = graph_neighbors(hits, edges, seeds)
+    pool = named.where(~F.col("type").isin(CHUNKS_LEFT_OUT)) if left_out else named
+    there = near.join(pool.select("project_id", "source_path", "id", F.col(vector_col).alias("_vector")), ["project_id", "source_path"]).join(own.select("query_id", "_asked"), "query_id").where("id <> query_id")
+    scored = there.select("query_id", "id", "graph_score", F.round(V.cosine("_vector", "_asked"), 9).alias("score"))
+    return merge_graph(found, ranked(scored, k * GRAPH_CANDIDATES), weight, k)
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, edges: DataFrame, k: int, by: str = "HYBRID", profile: str = "HYBRID_V2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k best chunks of each query within its project, by a retrieval mode: vectors alone, with spine neighbours, or both branches fused."""
+    branch = k * (PROFILES[profile][3] if mode(by) == "HYBRID" else 1)
+    found = cut(search.topk(chunks, queries, branch, scope_col="project_id", id_col=id_col, vector_col=vector_col).drop("accepted"))  # both branches read it
+    if mode(by) == "VECTOR_ONLY":
+        return found
+    graph = graph_branch(found, chunks, queries, edges, branch, profile, id_col, vector_col)
+    return graph if mode(by) == "VECTOR_GRAPH" else fuse(found, graph, k)
+
+
 def fuse(one: DataFrame, other: DataFrame, k: int, weights: tuple[float, float] = (0.7, 0.3), constant: int = 60) -> DataFrame:
     """Weighted reciprocal-rank fusion of two rankings; ties by the better rank, then id.
 

@@ -302,18 +302,6 @@ def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.graph_neighbors(_hits(found, rows), retrieve.spine_edges(_spine(rows)), 3)
 
 
-def _graph_branch(rows: DataFrame, found: DataFrame, k: int, profile: str) -> DataFrame:
-    """found with candidates from neighbouring documents merged in, by a profile."""
-    weight, seeds, left_out, _ = retrieve.PROFILES[profile]
-    near = retrieve.graph_neighbors(_hits(found, rows), retrieve.spine_edges(_spine(rows)), seeds)
-    pool = rows.where(~F.col("type").isin(retrieve.CHUNKS_LEFT_OUT)) if left_out else rows
-    asked = tables.queries(rows).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    there = near.join(pool.select("project_id", "source_path", F.col("vec_id").alias("id"), "embedding"), ["project_id", "source_path"]).join(asked, "query_id").where("id <> query_id")
-    scored = there.select("query_id", "id", "graph_score", F.round(V.cosine("embedding", "asked"), 9).alias("score"))
-    second = retrieve.ranked(scored, k * retrieve.GRAPH_CANDIDATES)
-    return retrieve.merge_graph(found, second, weight, k)
-
-
 GRAPH_SQL = """g2 AS (SELECT query_id, s.id, s.score FROM g JOIN v USING (project_id, source_path) JOIN s ON s.query_id = g.query_id AND s.id = v.vec_id WHERE v.type NOT IN ('HEADING', 'ALT_TEXT')),
 g3 AS (SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {n}),
 mg AS (SELECT query_id, id, score, 'VECTOR' AS origin FROM c UNION ALL SELECT query_id, id, round(score + 0.025::DOUBLE, 9), 'VECTOR_GRAPH' FROM g3),
@@ -323,8 +311,9 @@ mr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 @query(f"WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=5)}, {SPINE_SQL}, {SEEDS_SQL.format(seeds=1)}, {GRAPH_SQL.format(n=15, k=5)} SELECT query_id, id, round(score, 6) AS score, origin, rank FROM mr")
 def vector_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, found = _candidates(spark, sf_dir, 5)
-    return _graph_branch(rows, found, 5, "VECTOR_GRAPH_V6").select("query_id", "id", F.round("score", 6).alias("score"), "origin", "rank")
+    rows = tables.vectors(spark, sf_dir)
+    found = retrieve.retrieve(rows, tables.queries(rows), retrieve.spine_edges(_spine(rows)), 5, "VECTOR_GRAPH", "VECTOR_GRAPH_V6")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "origin", "rank")
 
 
 @query(f"""WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=10)}, {SPINE_SQL}, {SEEDS_SQL.format(seeds=1)}, {GRAPH_SQL.format(n=30, k=10)},
@@ -333,9 +322,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, le
 SELECT query_id, id, vector_rank, graph_rank, CASE WHEN vector_rank IS NOT NULL AND graph_rank IS NOT NULL THEN 'HYBRID' WHEN graph_rank IS NULL THEN 'VECTOR' ELSE 'VECTOR_GRAPH' END AS retrieval_source, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: vector and vector-graph branches of twice the results, fused by weighted reciprocal ranks."""
-    multiplier = retrieve.PROFILES["HYBRID_V2"][3]
-    rows, _, found = _candidates(spark, sf_dir, 5 * multiplier)
-    fused = retrieve.fuse(found, _graph_branch(rows, found, 5 * multiplier, "HYBRID_V2"), 5)
+    rows = tables.vectors(spark, sf_dir)
+    fused = retrieve.retrieve(rows, tables.queries(rows), retrieve.spine_edges(_spine(rows)), 5)
     return fused.select("query_id", "id", "vector_rank", "graph_rank", "retrieval_source", F.round("score", 6).alias("score"), "rank")
 
 

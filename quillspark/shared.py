@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 PARTS = 1024  # a key of over one in PARTS rows is split, so at most PARTS keys are
 FEW = 256  # rows of a key that are never split
+_made: list[str] = []  # folders that new_folder has named, in order
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +30,21 @@ def session_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{session_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append(f"{session_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete all that this application has written on the way. Results that have not been written elsewhere are lost with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def mark() -> int:
+    """A point in time for `discard`."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Delete what has been written on the way since a mark, or ever. Results that read it and have not been written elsewhere are lost with it."""
+    for folder in _made[since:]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -72,7 +72,10 @@ def package_rows(content: bytes):
 
 
 def packages(entries: DataFrame) -> DataFrame:
-    """archive, kind, position, id, a, b, c (see package_rows) of the archives' package documents."""
+    """archive, kind, position, id, a, b, c (see package_rows) of the archives' package documents.
+
+    The package document is the first rootfile that META-INF/container.xml names; an archive without that file has the first entry that ends in .opf.
+    """
     schema = "archive string, kind string, position int, id string, a string, b string, c string"
 
     def run(batches):
@@ -83,7 +86,10 @@ def packages(entries: DataFrame) -> DataFrame:
             rows = [(name, *r) for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in package_rows(content)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    return entries.where(F.lower("entry").endswith(".opf")).select("archive", "content").mapInArrow(run, schema)
+    named = F.regexp_extract(F.decode("content", "UTF-8"), "<(?:\\w+:)?rootfile\\b[^>]*?\\bfull-path\\s*=\\s*[\"']([^\"']+)", 1)
+    rootfile = F.max(F.when(F.col("entry") == "META-INF/container.xml", named))
+    chosen = entries.groupBy("archive").agg(F.coalesce(rootfile, F.min(F.when(F.lower("entry").endswith(".opf"), F.col("entry")))).alias("entry"))
+    return entries.join(chosen, ["archive", "entry"], "left_semi").select("archive", "content").mapInArrow(run, schema)
 
 
 def manifest(parts: DataFrame) -> DataFrame:
@@ -122,6 +128,20 @@ def releases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RELEASES).json(path, multiLine=True).orderBy(F.desc("releasedAt"), "releaseId")
 
 
-def write_json(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Reports, comparisons, baselines and releases; existing ones are an error unless overwrite is set."""
-    rows.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+def write_json(rows: DataFrame, path: str, overwrite: bool = False, by: str | None = None) -> None:
+    """Reports, comparisons, baselines and releases; existing ones are an error unless overwrite is set. With by each value of that column has a folder of its own with one file."""
+    rows = rows if by is None else rows.repartition(by)
+    writer = rows.write.mode("overwrite" if overwrite else "errorifexists")
+    (writer if by is None else writer.partitionBy(by)).json(path)
+
+
+def read_table(spark: SparkSession, url: str, table: str, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, **options) -> DataFrame:
+    """A table of a JDBC database, such as conversations or their messages; read in as many partitions as bounds of a numeric column give."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if partition_column and bounds:
+        reader = reader.options(partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
+    return reader.load()
+
+
+def write_table(rows: DataFrame, url: str, table: str, mode: str = "append", **options) -> None:
+    rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()

@@ -322,6 +322,31 @@ def test_case_selection_and_document_deltas(spark):
     assert found == {"a": (3, 1, -2, False, False, True, False), "x": (1, None, None, False, True, False, False), "g": (None, 2, None, True, False, False, True)}
 
 
+def test_typo_replies(spark):
+    docs = spark.createDataFrame([(1, "a.b x\na.b a.b"), (2, "none")], "doc_id long, text string")
+    reply = json.dumps({"issues": [{"original": "a.b", "suggestion": "ab", "type": "t", "reason": "r", "confidence": 0.9}, {"original": "x", "suggestion": "y", "confidence": 0.79}, {"original": "x", "suggestion": "x", "confidence": 1}, {"original": " ", "suggestion": "y", "confidence": 1}]})
+    replies = spark.createDataFrame([(1, reply), (2, '{"issues": "no"}')], "doc_id long, reply string")
+    found = quality.typo_replies(docs, replies.where("doc_id = 1"))
+    assert sorted((r.start, r.end, r.line, r.suggestion) for r in found.collect()) == [(0, 3, 1, "ab"), (6, 9, 2, "ab"), (10, 13, 2, "ab")]
+    with pytest.raises(Exception, match="no JSON object"):
+        quality.typo_replies(docs, spark.createDataFrame([(1, "[]")], "doc_id long, reply string")).collect()
+
+
+def test_conversations_are_made_once_and_touched(spark):
+    schema = "conversation_id string, project_id string, title string, status string, created_at int, updated_at int"
+    there = spark.createDataFrame([("a", "p", "A", "CLOSED", 1, 2)], schema)
+    wanted = spark.createDataFrame([("a", "q", "X", 9), ("b", "p", "B", 5), ("b", "p", "B2", 6)], "conversation_id string, project_id string, title string, at int")
+    made = conversation.get_or_create(there, wanted)
+    assert sorted(map(tuple, made.collect())) == [("a", "p", "A", "CLOSED", 1, 2), ("b", "p", "B", "ACTIVE", 5, 5)]
+    said = spark.createDataFrame([("b", 8), ("a", 1)], "conversation_id string, created_at int")
+    assert sorted((r.conversation_id, r.updated_at) for r in conversation.touch(made, said).collect()) == [("a", 2), ("b", 8)]
+
+
+def test_dispatch_by_kind(spark):
+    pages = spark.createDataFrame([(1, "<p>x</p>", "XHTML"), (2, "one\n\n two  three", "TEXT"), (3, "a { b: c }", "CSS"), (4, "?", "UNKNOWN"), (5, None, "MARKDOWN")], "page_id long, html string, kind string")
+    assert sorted((r.doc, r.content) for r in markup.chunks(pages, kind_col="kind").collect()) == [(1, "x"), (2, "one"), (2, "two three"), (3, "a { b: c }")]
+
+
 def test_modes(spark):
     assert [retrieve.mode(x) for x in (None, " hybrid ", "Vector_Graph")] == ["VECTOR_ONLY", "HYBRID", "VECTOR_GRAPH"]
     with pytest.raises(ValueError):
@@ -379,9 +404,11 @@ def test_sources(spark, tmp_path):
     assert [(r.relative_path, r.source_type, r.content) for r in rows] == [("a.xhtml", "XHTML", "<p>é</p>")]
     with zipfile.ZipFile(tmp_path / "x.epub", "w") as z:
         z.writestr("mimetype", "application/epub+zip")
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
+        z.writestr("a.opf", "<package/>")
         z.writestr("OEBPS/content.opf", '<package xmlns="http://www.idpf.org/2007/opf"><metadata><title>B</title></metadata><manifest><item id="a" href="a.xhtml" media-type="m"/></manifest><spine><itemref idref="a" linear="no"/></spine></package>', zipfile.ZIP_DEFLATED)
     entries = files.archive_entries(spark, str(tmp_path))
-    assert sorted((r.entry, r.stored, r.first) for r in entries.collect()) == [("OEBPS/content.opf", False, False), ("mimetype", True, True)]
+    assert sorted((r.entry, r.stored, r.first) for r in entries.collect()) == [("META-INF/container.xml", True, False), ("OEBPS/content.opf", False, False), ("a.opf", True, False), ("mimetype", True, True)]
     parts = files.packages(entries)
     assert files.manifest(parts).first().href == "a.xhtml" and files.spine(parts).first().linear is False and files.metadata(parts).first().value == "B"
     assert files.fingerprints(spark, str(tmp_path)).count() == 1 and files.latest_artifact(spark, str(tmp_path)).first().path.endswith("x.epub")

@@ -44,5 +44,5 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["query_id", "id", "vector_rank", "graph_rank", "score", "rank"]
+    assert __spark_entry__.entry(spark).columns == ["query_id", "id", "vector_rank", "graph_rank", "retrieval_source", "score", "rank"]
     assert set(registry.queries()) <= set(__spark_entry__.queries())
