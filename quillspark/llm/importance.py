@@ -10,8 +10,7 @@ variate is a hash of the id, so a rerun gives the same sample.
 
 k is the number of documents whose log weight is above a cut that labelled rows fix: a third of them (by a
 hash of the id) fits the target model, a third sets the cut, at which a lost good document counts as
-COST_OF_LOSS kept bad ones, and a third is used for nothing, so that it can measure both. TEMPERATURE is low because a
-document that is lost by chance is a clean document lost: the sample is then nearly the k of largest weight. At most MOST_LABELS labelled rows, those of smallest hash, are used for
+COST_OF_LOSS kept bad ones, and a third is used for nothing, so that it can measure both. At most MOST_LABELS labelled rows, those of smallest hash, are used for
 this; they are broadcast. All other counts and weights cover all documents and whole texts.
 The k-th largest key is found by a radix selection, four rounds of at most 65,536 counts.
 
@@ -32,7 +31,7 @@ BUCKETS = 1 << 16
 MOST_LABELS = 20_000
 PRIOR = 4.0  # added to a bucket's count under either model
 COST_OF_LOSS = 10
-TEMPERATURE = 0.02
+TEMPERATURE = 1.0
 SEED = 42
 MEMO = 100_000
 FITS, CUTS, MEASURES = range(3)  # parts of the labelled rows

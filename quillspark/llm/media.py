@@ -311,6 +311,7 @@ def described(members: DataFrame) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a stored image, read back and described. A member that can't be read after all retries has its error, and nulls in the other columns."""
     folder = new_folder(spark, "media")
     store(images(read(spark, sf_dir, "documents")), folder)
     return described(load(spark, folder))
