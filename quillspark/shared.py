@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -62,11 +63,15 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, t
     """rows joined (inner or left) with side, which has one row a key, so that no task holds much more than one in PARTS rows.
 
     counts has key and n, the number of rows of that key; total is the number of all rows. The rows of a hot key are dealt
-    by a hash of their columns over salts, and its one side row is repeated for each. Hot keys are broadcast: they are at
-    most PARTS, whatever the data. A null key matches nothing.
+    by a hash of their columns over salts, and its one side row is repeated for each. Hot keys go through the driver: they are at
+    most PARTS, whatever the data, and are literals of the plan. A null key matches nothing.
     """
     limit = max(total / PARTS, FEW)
-    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / F.lit(float(limit))).cast("int").alias("_salts")))
-    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"), F.lit(0)))
-    wide = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-    return dealt.drop("_salts").join(wide.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    hot = counts.where(F.col("n") > limit).select(key, "n").collect() if total > FEW else []
+    if not hot:
+        return rows.join(side, key, how)
+    salts = math.ceil(max(r.n for r in hot) / limit)
+    is_hot = F.col(key).isin([r[key] for r in hot])
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int"))
+    wide = side.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(wide, [key, "_salt"], how).drop("_salt")
