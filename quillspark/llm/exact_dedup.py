@@ -175,7 +175,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     An id that only one row has says which text it is; only rows of other ids are held against the digest.
     """
-    keep = cut(classes(docs, id_col, text_col, memory).select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")))
+    keep = cut(classes(docs, id_col, text_col, memory).select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))).hint("merge")  # it grows with the texts, so it is never broadcast
     many = cut(docs.groupBy(F.col(id_col).cast("long").alias("_many_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_many_id"))
     same_id, repeated = docs[id_col].cast("long").eqNullSafe(keep["_keep_id"]), docs[id_col].cast("long").eqNullSafe(many["_many_id"])
     if many.isEmpty():
