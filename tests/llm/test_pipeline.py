@@ -31,3 +31,28 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def written(spark, folder, rows, labels):
+    extra = [(i, t, "en", "s", 0, b"x", 1, "k", "g") for i, t in rows]
+    spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, node binary, copy_of int, _keep_id string, `group` string").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_rows(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, "  "), (4, base), (5, base + " x"), (5, base + " x"), (6, base.upper()), (None, "no id"), (None, "other"), (7, "one"), (7, "two three"), (8, "mail a@b.example.com now"), (9, "long " * 30_000)]
+    folder = written(spark, tmp_path, rows, [(4, 1, 0), (None, 0, 0), (9, None, None)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == docs.columns, name
+    texts = sorted((str(r.doc_id), (r.text or "")[:24]) for r in kept.collect())
+    assert texts == sorted([("2", ""), ("5", base[:24]), ("5", base[:24]), ("7", "one"), ("7", "two three"), ("8", "mail [EMAIL] now"), ("9", "long long long long long"), ("None", "no id"), ("None", "other")])
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == {2, 5, 7, 8, 9, None} and all(r.length > 0 for r in packed)
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = written(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, folder).collect() == []
