@@ -110,12 +110,14 @@ def latencies(samples: DataFrame, value_col: str, *by: str) -> DataFrame:
     Percentiles are exact and no group is gathered in one task: values are counted in BINS ranges between approximate quantiles, whose
     running sums say which range holds each rank, and values are put in order within those ranges only.
     """
+    if not by:
+        return latencies(samples.withColumn("_all", F.lit(0)), value_col, "_all").drop("_all")
     bins, shares = [i / BINS for i in range(1, BINS)], {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     rows = samples.where(F.col(value_col).isNotNull()).select(*by, F.col(value_col).alias("_x"))
     whole = samples.groupBy(*by).agg(F.count(value_col).alias("n"), F.avg(value_col).alias("average"), F.min(value_col).alias("least"), F.max(value_col).alias("most"), F.percentile_approx(value_col, bins, 10_000).alias("_edges"))
     key = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
     named = whole.select(*(F.col(c).alias(f"_k_{c}") for c in by), "_edges", F.array(*(F.greatest(F.lit(1), F.ceil(F.col("n") * p)) for p in shares.values())).alias("_ranks"))
-    placed = rows.join(named, key or F.lit(True)).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_x"))))
+    placed = rows.join(named, key).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_x"))))
     group = [f"_k_{c}" for c in by]
     sums = placed.groupBy(*group, "_bin").agg(F.count("*").alias("_m"), F.first("_ranks").alias("_ranks"))
     before = F.sum("_m").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
@@ -126,4 +128,4 @@ def latencies(samples: DataFrame, value_col: str, *by: str) -> DataFrame:
     ends = F.col("_before") + F.sum("_m").over(Window.partitionBy(*group, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
     held = held.withColumn("_end", ends)
     found = held.groupBy(*group).agg(*(F.min(F.when((F.col("_ranks")[i] <= F.col("_end")) & (F.col("_ranks")[i] > F.col("_end") - F.col("_m")), F.col("_x"))).alias(p) for i, p in enumerate(shares)))
-    return whole.drop("_edges").join(found, key or F.lit(True), "left").drop(*group)
+    return whole.drop("_edges").join(found, key, "left").drop(*group)

@@ -2,7 +2,7 @@
 
 Search: vectors are dealt into slices and queries into blocks, both of bounded size and, with a scope, within each scope, so
 that a query meets only its own. Spark brings every slice and block of a scope together; a cell is one matrix product that keeps the k best
-of each query, and a window picks the k best over all cells. Nothing goes through the driver but three counts.
+of each query, and a window picks the k best over all cells. Nothing goes through the driver but two counts.
 """
 
 from __future__ import annotations
@@ -71,17 +71,21 @@ def topk(
     scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
     columns = [F.col(id_col).cast(kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), scope.alias("scope")]
     rows, wanted = vectors.select(*columns), queries.select(*columns)
+    total, some = rows.count(), wanted.count()
     there = rows.groupBy("scope").agg(F.count("*").alias("n"))
     cells = wanted.groupBy("scope").agg(F.count("*").alias("asked")).join(there, "scope")  # scopes that have both
     cells = cells.withColumn("slices", F.ceil(F.col("n") / F.lit(float(slice_size))).cast("int")).withColumn("blocks", F.ceil(F.col("asked") / F.lit(float(block))).cast("int"))
 
-    def dealt(found: DataFrame, counts: DataFrame, own: str, number: str, other: str, numbers: str) -> DataFrame:
-        joined = spread_join(found, cells.select("scope", "slices", "blocks"), "scope", counts, found.count())
+    def dealt(found: DataFrame, counts: DataFrame, size: int, own: str, number: str, other: str, numbers: str) -> DataFrame:
+        if scope_col:
+            joined = spread_join(found, cells.select("scope", "slices", "blocks"), "scope", counts, size)
+        else:
+            joined = found.withColumns({"slices": F.lit(max(1, -(-total // slice_size))), "blocks": F.lit(max(1, -(-some // block)))})
         return joined.withColumn(own, F.pmod(F.xxhash64("id"), number).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(numbers) - 1))).select("scope", "slice", "block", "id", "v")
 
     key = ["scope", "slice", "block"]
-    left = dealt(rows, there, "slice", "slices", "block", "blocks").groupBy(*key)
-    right = dealt(wanted, cells.select("scope", F.col("asked").alias("n")), "block", "blocks", "slice", "slices").groupBy(*key)
+    left = dealt(rows, there, total, "slice", "slices", "block", "blocks").groupBy(*key)
+    right = dealt(wanted, cells.select("scope", F.col("asked").alias("n")), some, "block", "blocks", "slice", "slices").groupBy(*key)
     best = best_of(k, measure, minimum if not include_rejected else None, exclude_self)
     out = left.cogroup(right).applyInArrow(best, f"query_id {kind}, id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

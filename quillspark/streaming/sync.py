@@ -33,7 +33,6 @@ def synchronize_stream(changes: DataFrame, store: str, checkpoint: str, embedder
             return
         at = current_batches(spark, store, number)
         paths = sorted({f"{store}/batch={at[b]}/bucket={b}" for b in touched if b in at})
-        new = fresh
         if paths:
             old = spark.read.option("basePath", store).parquet(*paths).drop("batch")
             last = fresh.select(*source, F.col("source_version").alias("now")).unionByName(old.select(*source, F.col("source_version").alias("now"))).groupBy(*source).agg(F.max("now").alias("now"))
@@ -48,8 +47,7 @@ def synchronize_stream(changes: DataFrame, store: str, checkpoint: str, embedder
             out = stays.unionByName(reused).unionByName(embedded)
         else:
             last = fresh.groupBy(*source).agg(F.max("source_version").alias("now"))
-            new = fresh.join(last, source).where("source_version = now").drop("now")
-            out = sync.embed(new, embedder)
+            out = sync.embed(fresh.join(last, source).where("source_version = now").drop("now"), embedder)
         out.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{store}/batch={number}")
         after = {**at, **{b: number for b in touched}}
         spark.createDataFrame(sorted(after.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{store}/_state/{number}")
