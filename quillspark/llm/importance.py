@@ -73,18 +73,20 @@ def ngrams(found: list[str], buckets: int):
     return np.concatenate((bucket, repeats)), np.concatenate((owner, owner[inner], *(owner[a] for a in again)))
 
 
-def chunks(batches, most: int = 1 << 18):
-    """Parts of record batches of about most characters of text at most (a longer text is alone)."""
+def chunks(batches, column: int = 1, most: int = 1 << 18, rows: int = 256):
+    """Parts of record batches, of at most rows rows and about most characters of text (a longer text is alone), with the texts in a column."""
     for batch in batches:
-        found = texts(batch.column(1))
-        begin = size = 0
-        for i, text in enumerate(found):
-            if size and size + len(text) > most:
-                yield batch.slice(begin, i - begin), found[begin:i]
-                begin, size = i, 0
-            size += len(text)
-        if begin < len(found):
-            yield batch.slice(begin), found[begin:]
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            found = texts(part.column(column))
+            begin = size = 0
+            for i, text in enumerate(found):
+                if size and size + len(text) > most:
+                    yield part.slice(begin, i - begin), found[begin:i]
+                    begin, size = i, 0
+                size += len(text)
+            if begin < len(found):
+                yield part.slice(begin), found[begin:]
 
 
 def log_weights(found: list[str], ratio, buckets: int):
@@ -219,20 +221,20 @@ class Resampler:
         if self.threshold is None:
             return docs.limit(0)
         shipped, buckets, seed, threshold, last = docs.sparkSession.sparkContext.broadcast(self.ratio), self.buckets, self.seed, self.threshold, self._last_id()
-        names = docs.columns
+        names, text_col = docs.columns, self.text_col
 
         def run(batches):
             import numpy as np
             import pyarrow as pa
 
-            for batch, found in chunks(batches):
+            for batch, found in chunks(batches, 1 + names.index(text_col)):
                 _, weights = log_weights(found, shipped.value, buckets)
                 ids = batch.column(0).to_pylist()
                 keys = sort_keys(ids, weights, seed)
                 tied = np.array([-(1 << 63) if i is None else i for i in ids]) >= last
-                yield pa.RecordBatch.from_arrays(batch.columns[2:], names).filter(pa.array((keys > threshold) | (keys == threshold) & tied))
+                yield pa.RecordBatch.from_arrays(batch.columns[1:], names).filter(pa.array((keys > threshold) | (keys == threshold) & tied))
 
-        rows = docs.select(F.col(self.id_col).cast("long").alias("_id"), F.col(self.text_col).cast("string").alias("_text"), *(docs[c] for c in names))
+        rows = docs.select(F.col(self.id_col).cast("long").alias("_id"), *(docs[c] for c in names))
         return rows.mapInArrow(run, docs.schema)
 
 
