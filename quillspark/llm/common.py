@@ -37,6 +37,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def parts(batches, rows: int = 500):
+    """Record batches cut to few rows, so that little of one is held as Python values at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def byte_texts(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""
     import pyarrow as pa

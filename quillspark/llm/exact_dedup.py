@@ -21,7 +21,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut, read, spread_join
+from .common import byte_texts, cut, parts, read, spread_join
 
 MEMORY = 64 << 20  # bytes of distinct content that a table may hold
 FANOUT_BITS = 4
@@ -112,7 +112,7 @@ def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in parts(batches):
             found = [hashlib.sha256(normalise(t)).digest() for t in byte_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])
 
@@ -145,7 +145,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mem
 
     def fold_local(batches):
         def records():
-            for batch in batches:
+            for batch in parts(batches):
                 for i, t in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
                     t = normalise(t)
                     yield hashlib.sha256(t).digest(), t, NO_ID if i is None else i, 1
@@ -153,7 +153,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mem
         yield from batched(grace(records(), memory), True)
 
     def fold_all(batches):
-        records = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(4))))
+        records = (r for batch in parts(batches) for r in zip(*(batch.column(i).to_pylist() for i in range(4))))
         yield from batched(grace(records, memory), False)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
