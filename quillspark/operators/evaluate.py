@@ -119,8 +119,8 @@ def latencies(samples: DataFrame, value_col: str, *by: str) -> DataFrame:
     key = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
     named = whole.select(*(F.col(c).alias(f"_k_{c}") for c in by), "_edges", F.transform(F.sequence(F.lit(STEP), F.lit(BINS - STEP), F.lit(STEP)), lambda i: F.element_at("_edges", i)).alias("_coarse"), F.array(*(F.greatest(F.lit(1), F.ceil(F.col("n") * p)) for p in shares.values())).alias("_ranks"))
     below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col("_x")))
-    placed = rows.join(named, key).withColumn("_block", below(F.col("_coarse")) * STEP)  # coarse edges first, then those between two of them
-    placed = placed.withColumn("_bin", F.col("_block") + below(F.slice("_edges", F.col("_block") + 1, F.lit(STEP))))
+    within = F.transform(F.array(below(F.col("_coarse")) * STEP), lambda at: at + below(F.slice("_edges", at + 1, F.lit(STEP))))  # coarse edges first, then those between two of them
+    placed = rows.join(named, key).withColumn("_bin", within[0])
     group = [f"_k_{c}" for c in by]
     sums = placed.groupBy(*group, "_bin").agg(F.count("*").alias("_m"), F.first("_ranks").alias("_ranks"))
     before = F.sum("_m").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
