@@ -8,7 +8,7 @@ import types
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, discard, mark, new_folder, session_dir, spread_join  # noqa: F401
+from ..shared import cut, discard, mark, new_folder, ranked, running, session_dir, spread_join  # noqa: F401
 
 TOKENIZER_DIR = None  # None: the installed public_tokenizers package
 
