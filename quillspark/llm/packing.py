@@ -9,7 +9,8 @@ that of its open windows, and only the last windows of partitions are ever moved
 
 Token ids are those of the `tokenizers` file byte_bpe_50k.json; they are computed from the same
 vocabulary as ranks, byte_bpe_50k.tiktoken, which is several times faster (the tests compare the two).
-An added token's string in a text is that token's id. Each document ends with END_ID.
+An added token's string in a text is that token's id. Each document ends with END_ID. The fast library's engine backtracks and gives up on runs of about a
+million white-space characters; a text on which it does goes, whole, through the engine and merges of `bpe`, which do not.
 
 Defined results. Null and empty text: the one id END_ID. Texts are taken whole, however long. A repeated row is
 packed each time. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -21,12 +22,14 @@ import base64
 import json
 import math
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Codec, load_ranks
 from .common import cut, per_worker, read, texts, tokenizer_file
 
 WINDOW = 1024
@@ -108,6 +111,33 @@ def load_encoder(path: str, pattern: str):
     return tiktoken.Encoding(path.rpartition("/")[2], pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
+class Encoder:
+    """Ids of whole texts, added tokens included."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        self.path, self.pattern, self.patient = path, pattern, None
+        self.fast = load_encoder(path, pattern)
+
+    def ids(self, text: str):
+        import numpy as np
+
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4")
+        except ValueError:  # the stack of its pattern engine is full
+            return np.frombuffer(self.slowly(text), "<u4")
+
+    def slowly(self, text: str) -> bytes:
+        import re
+
+        if self.patient is None:
+            added = added_tokens(self.path)
+            split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
+            self.patient = Codec(load_ranks(self.path), self.pattern), added, split
+        codec, added, split = self.patient
+        parts = split.split(text) if split else [text]
+        return b"".join(struct.pack("<I", added[part]) if i % 2 else codec.encode(part) for i, part in enumerate(parts))
+
+
 def packed(windows, first_id: int, ids_of: str, last_open: bool):
     """Record batches of closed windows; with last_open the last window that isn't full is marked. ids_of: "all" or "open"."""
     import pyarrow as pa
@@ -144,7 +174,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         import numpy as np
         from pyspark import TaskContext
 
-        encoder = per_worker(f"packing_{path}", lambda: load_encoder(path, pattern))
+        encoder = per_worker(f"packing_{path}", lambda: Encoder(path, pattern))
         packer = Packer(window, open_windows, min_cut)
 
         def windows():
@@ -152,7 +182,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                 for begin in range(0, batch.num_rows, 500):
                     part = batch.slice(begin, 500)
                     for doc, text in zip(part.column(0).to_pylist(), texts(part.column(1))):
-                        ids = np.append(encoder.encode_to_numpy(text, allowed_special="all", disallowed_special=()), END_ID).astype("<u4")
+                        ids = np.append(encoder.ids(text), END_ID).astype("<u4")
                         n = len(ids)
                         for start in range(0, n - n % window, window):
                             yield [(doc, start, ids[start : start + window], n)], True

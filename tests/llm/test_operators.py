@@ -147,6 +147,14 @@ def test_packing_of_added_tokens(spark):
     assert [struct.unpack(f"<{r.length}I", r.ids) for r in rows if r.doc_id == 0] == [(64, 220, 50256, 275, 0)]
 
 
+def test_packing_of_very_long_white_space(spark):
+    """Runs on which the fast engine gives up."""
+    n = 1_000_000
+    texts = {1: " " * n + "x", 2: "\t" * n, 3: f"a{chr(10) * n}b <|endoftext|> c", 4: " \n" * n, 5: "<|endoftext|>" + " " * n, 6: f"in a text{' ' * 10 * n}of words"}
+    rows = packing.pack(table(spark, list(texts.items()))).collect()
+    check_pieces(rows, texts)
+
+
 def test_packing_repeated_rows_and_nothing(spark):
     rows = packing.pack(table(spark, [(1, "a b c"), (1, "a b c")])).collect()
     assert len(rows) == 2 and sum(r.length for r in rows) == 8

@@ -53,6 +53,11 @@ def test_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in packed} == {2, 5, 7, 8, 9, None} and all(r.length > 0 for r in packed)
 
 
+def test_very_long_white_space(spark, tmp_path):
+    rows = [(1, f"some{' ' * 1_000_000}words"), (2, "x" + "\n" * 1_000_000), (3, "\t" * 1_000_000)]
+    check_pieces(corpus_pipeline.run(spark, written(spark, tmp_path, rows, [])).collect(), dict(rows))
+
+
 def test_empty_tables(spark, tmp_path):
     folder = written(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).collect() == []
