@@ -4,10 +4,11 @@ A page is read as a tag soup into blocks: runs of text between block-level tags,
 root-to-leaf tag path. Text length and punctuation are summed for each path; the length ratio (text per block) and the
 punctuation ratio (marks per block) of a path are smoothed with those of the paths beside it and fused by multiplication, with a prior.
 Paths above a threshold (a part of the spread over blocks) are content. Content blocks are the article, and so are the other blocks
-of the smallest container that holds all of them, headings and short lines say, if their prior is whole, and a title before it.
+of the smallest container that holds nearly all of them, headings and short lines say, if their prior is whole, and a title before it.
 
 The prior is whole but for parts that by element, role or name are never the article (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments): none for elements and roles, little for names; and little outside <article> or <main>. What ratios
+comments): none for elements and roles, little for names; and little outside <article> or <main>. A paragraph or heading is named only by a word of class or id of which half
+the parts are such names. Inline elements are named only where they are the whole of their block, so a sentence never loses words. What ratios
 without a prior say decides whether these hints hold: a part that has WRAPPER of the content is no side part (but reader comments always are), and
 <article> or <main> count only with half of it. Where all blocks have names of side parts, names mean nothing.
 
@@ -30,6 +31,7 @@ from .common import per_worker, read, texts
 SMOOTH = 0.5  # weight of a path's nearest paths
 SPREAD = 0.3  # threshold, in standard deviations over blocks
 WRAPPER = 0.8  # an element with this part of the content is no side part
+WHOLE = 0.9  # a container with this part of the content is the article's
 HINT = 1e-4  # prior of a part that is named as a side part, or outside the article element
 
 SKIPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title select datalist textarea".split())
@@ -46,6 +48,7 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall disclaimer "
     "comment comments commentlist commentform respond reply replies discussion disqus feedback pagination pager tags tagcloud".split()
 )
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dd dt td th figcaption".split())
 REPLIES = frozenset("comment comments commentlist commentform respond reply replies discussion disqus".split())
 MODIFIERS = frozenset("with has no without".split())  # as in "with-sidebar", said of what lies beside it
 CLOSED_BY = {  # an open element of the key ends where one of these begins, up to a limiting container
@@ -92,7 +95,7 @@ def kind_of(tag: str, attributes: str, in_article: bool) -> int:
         if name == "role" and ROLES & set(value.lower().split()):
             out = max(out, SIDE)
         if name in ("class", "id") and tag not in ("html", "body", "main"):
-            said = found["words"].findall(found["camel"].sub(" ", value).lower())
+            said = found["words"].findall(found["camel"].sub(" ", value if tag not in PARAGRAPHS else mostly_named(value)).lower())
             words = {w for w, before in zip(said, ["", *said]) if w in NAMES and before not in MODIFIERS}
             if words & REPLIES:
                 out = REPLY
@@ -101,14 +104,25 @@ def kind_of(tag: str, attributes: str, in_article: bool) -> int:
     return out
 
 
+def mostly_named(value: str) -> str:
+    """The words of a class or id of which half the parts at least are names of what is not the article."""
+    found, out = tools(), []
+    for word in value.split():
+        parts = found["words"].findall(found["camel"].sub(" ", word).lower())
+        if 2 * sum(part in NAMES for part in parts) >= len(parts):
+            out.append(word)
+    return " ".join(out)
+
+
 class Node:
-    __slots__ = ("block", "dropped", "kind", "number", "parent", "path", "tag")
+    __slots__ = ("aside", "block", "dropped", "kind", "number", "parent", "path", "tag")
 
     def __init__(self, tag: str, parent, number: int, path: int, kind: int) -> None:
         self.tag, self.parent, self.number, self.path, self.kind = tag, parent, number, path, kind
         inline = tag in INLINE
         self.block = parent.block if inline and parent else self  # the nearest element that isn't inline
-        self.dropped = bool(parent and parent.dropped) or kind == UNSEEN or inline and kind != SEEN
+        self.dropped = bool(parent and parent.dropped) or kind == UNSEEN
+        self.aside = inline and (kind not in (SEEN, UNSEEN) or bool(parent and parent.aside))  # an inline element, or in one, that is named as a side part
 
 
 class Page:
@@ -120,7 +134,7 @@ class Page:
         self.parent_path = [-1]
         self.nodes = [Node("#", None, 0, 0, SEEN)]
         self.blocks: list[tuple[Node, str]] = []
-        self.stack, self.run = self.nodes[:], []
+        self.stack, self.run, self.sentence = self.nodes[:], [], False  # sentence: the run has text outside named inline elements
         self.open: dict[str, int] = {}
         at, unclosed = 0, set()
         while at < len(page):
@@ -158,13 +172,15 @@ class Page:
     def add(self, text: str) -> None:
         if text and not self.stack[-1].dropped:
             self.run.append(text)
+            self.sentence |= not self.stack[-1].aside and not text.isspace()
 
     def flush(self) -> None:
         if self.run:
             text = " ".join(html.unescape("".join(self.run)).split())
-            if text:
+            if text and self.sentence:
                 self.blocks.append((self.stack[-1].block, text))
             self.run.clear()
+            self.sentence = False
 
     def cut_stack(self, i: int) -> None:
         for node in self.stack[i:]:
@@ -297,15 +313,15 @@ def main_text(page: str) -> str:
     for node, _ in blocks:
         of_path[node.path] = max(of_path.get(node.path, 0.0), prior[node.number])
     paths = content_paths(rows, found.parent_path, of_path)
-    _, held = weights(nodes, blocks, paths)
-    at = 0  # the smallest container that holds all content; only one child can
+    weight, _ = weights(nodes, blocks, paths)
+    at = 0  # the smallest container that holds nearly all content (a section: all of it); only one child can
     for node in nodes[1:]:
-        if node.parent.number == at and node.tag in REGIONS and held[node.number] == held[0]:
+        if node.parent.number == at and node.tag in REGIONS and weight[node.number] >= (1 if node.tag == "section" else WHOLE) * weight[0]:
             at = node.number
     inside = [False] * len(nodes)
     for node in nodes:
         inside[node.number] = node.number == at or bool(node.parent and inside[node.parent.number])
-    kept = [node.path in paths or inside[node.number] and prior[node.number] == 1 for node, _ in blocks]
+    kept = [inside[node.number] and (node.path in paths or prior[node.number] == 1) for node, _ in blocks]
     first = at = kept.index(True) if True in kept else 0
     while at and prior[blocks[at - 1][0].number] == 1:  # a title outside the container, with what lies between
         at -= 1
