@@ -5,10 +5,10 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut, discard, mark, new_folder, ranked, running, session_dir, spread_join  # noqa: F401
+from ..shared import FEW, PARTS, cut, discard, mark, new_folder, ranked, running, session_dir, spread_join  # noqa: F401
 
 TOKENIZER_DIR = None  # None: the installed public_tokenizers package
 
@@ -56,31 +56,36 @@ def texts(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def nearest(groups: DataFrame) -> DataFrame:
+    """groups (u, v) with m, the least of u and its v's. The v's of one u are read by one task only up to a bound; those of hubs, at most PARTS nodes, join their least salted."""
+    total, least = groups.count(), F.least(F.min("v"), F.col("u"))
+    limit = max(total / PARTS, FEW)
+    hubs = groups.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")).where(F.col("n") > limit).collect() if total > FEW else []
+    is_hub = F.col("u").isin([r.u for r in hubs]) if hubs else F.lit(False)
+    plain = groups.where(~is_hub).withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
+    if not hubs:
+        return plain
+    found = F.create_map(*(x for r in hubs for x in (F.lit(r.u), F.lit(r.m))))
+    return plain.unionByName(groups.where(is_hub).withColumn("m", F.element_at(found, F.col("u"))))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds of grouped minima and joins. A hub's edges are salted over many tasks and
-    its one minimum is repeated for each, so no node is gathered in one task, however many edges it has. Nodes without
+    Alternating large-star and small-star rounds. A round deals each edge out once for either star; a hub's edges stay where they are
+    and meet its one minimum as a literal, so no node is gathered in one task, however many edges it has. Nodes without
     an edge are not returned. An empty edge list gives an empty result.
     """
-
-    def stars(found: DataFrame, least: DataFrame, total: int) -> DataFrame:
-        return spread_join(found, least.select("u", "m"), "u", least.select("u", "n"), total)
-
-    pairs = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    seen, total = None, pairs.count()
+    pairs, seen = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()), None
     for _ in range(most_rounds):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = stars(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = stars(large, least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = cut(small.where("u != v").distinct())
-        total, mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (total, mark) == seen:
+        large = cut(nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = nearest(large)
+        pairs = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen:
             break
-        seen = total, mark
+        seen = state
     else:
         raise RuntimeError(f"components not found after {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -248,8 +248,8 @@ def block_links(rows: DataFrame, keys: list[str], near) -> DataFrame:
     return dealt.select(*keys, "label", "stray", "payload").mapInArrow(run, "a binary, b binary")
 
 
-def spanned(rows: DataFrame, near, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(node, component) of the nodes that all links within the groups would connect with others. rows: group, node (once a group), payload."""
+def spanned(rows: DataFrame, near, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes that all links within the groups, and the links (a, b) given, would connect with others. rows: group, node (once a group), payload."""
 
     def blocks(n: str, size: str):
         return F.greatest(F.ceil(F.col(n) / F.lit(float(block))), F.ceil(F.col(size) / F.lit(float(block_bytes)))).cast("int")
@@ -262,7 +262,8 @@ def spanned(rows: DataFrame, near, block: int = BLOCK, block_bytes: int = BLOCK_
     known = cut(spread_join(rows, sizes.select("group", "blocks"), "group", sizes.select("group", "n"), total))
     plain = known.withColumn("label", F.col("node")).withColumn("stray", F.lit(False))
     deals = plain.withColumn("deal", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    found = cut(components(block_links(deals.withColumn("part", F.pmod(F.xxhash64("node", "deal"), "blocks")), ["group", "deal", "part"], near)))
+    met = block_links(deals.withColumn("part", F.pmod(F.xxhash64("node", "deal"), "blocks")), ["group", "deal", "part"], near)
+    found = cut(components(met if links is None else met.unionByName(links)))
     large = known.where("blocks > 1")
     if large.isEmpty():
         return found

@@ -193,8 +193,7 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     named = groups.join(nodes.select("node", F.col("least").alias("doc_id")), "node")
     sets = shingle_sets(docs, named.select("doc_id", "node"), words)
     members = cut(sets.join(groups, "node").select("group", "node", "payload"))
-    compared = spanned(members, near_sets(per_cent / 100), **blocks)
-    linked = components(proven.unionByName(compared.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    linked = spanned(members, near_sets(per_cent / 100), links=proven, **blocks)
     named = cut(nodes.select("node", "least", "n").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     of = spread_join(named.select("node", "component"), ids.select("component", "component_id"), "component", ids.select("component", "n"), named.count())
