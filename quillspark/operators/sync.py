@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store as versions
 
-def plan(current: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("id", "model"), hash_col: str = "content_hash", force: bool = False, reuse: bool = True) -> DataFrame:
+KEY = ("project_id", "id", "model")  # ids repeat over projects: a path and an element of it
+SOURCE = list(versions.SOURCE)
+
+
+def plan(current: DataFrame, stored: DataFrame, key: tuple[str, ...] = KEY, hash_col: str = "content_hash", force: bool = False, reuse: bool = True) -> DataFrame:
     """Every key of either side with action REUSE, EMBED (new or changed, or all if forced or replaced) or DELETE (no longer there)."""
     new = current.select(*key, F.col(hash_col).alias("new_hash"), F.lit(True).alias("here"))
     old = stored.select(*key, F.col(hash_col).alias("old_hash"))
@@ -15,9 +20,9 @@ def plan(current: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("id", "m
     return new.join(old, list(key), "full").withColumn("action", action).drop("here")
 
 
-def stale(current: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("id", "model")) -> DataFrame:
+def stale(current: DataFrame, stored: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Stored records of sources that are still there whose chunk is not."""
-    return stored.join(current.select("source_path").distinct(), "source_path", "left_semi").join(current.select(*key), list(key), "left_anti")
+    return stored.join(current.select(*SOURCE).distinct(), SOURCE, "left_semi").join(current.select(*key), list(key), "left_anti")
 
 
 def missing_sources(current: DataFrame, stored: DataFrame, prefix: str = "") -> DataFrame:
@@ -27,9 +32,9 @@ def missing_sources(current: DataFrame, stored: DataFrame, prefix: str = "") ->
 
 
 def classify_sources(planned: DataFrame, source_col: str = "source_path") -> DataFrame:
-    """Sources as new (nothing stored), reindexed (something embedded) or skipped (all reused), with counts of actions."""
+    """Sources of each project as new (nothing stored), reindexed (something embedded) or skipped (all reused), with counts of actions."""
     count = lambda a: F.count_if(F.col("action") == a)
-    per = planned.groupBy(source_col).agg(count("REUSE").alias("reused"), count("EMBED").alias("embedded"), count("DELETE").alias("deleted"), F.count("old_hash").alias("stored"))
+    per = planned.groupBy("project_id", source_col).agg(count("REUSE").alias("reused"), count("EMBED").alias("embedded"), count("DELETE").alias("deleted"), F.count("old_hash").alias("stored"))
     state = F.when((F.col("stored") == 0) & (F.col("embedded") > 0), "NEW").when(F.col("embedded") + F.col("deleted") > 0, "REINDEXED").otherwise("SKIPPED")
     return per.withColumn("state", state)
 
@@ -67,9 +72,41 @@ def embed(chunks: DataFrame, embedder, text_col: str = "embedding_text", batch:
     return chunks.withColumn("vector", vectors(text_col))
 
 
-def synchronize(current: DataFrame, stored: DataFrame, embedder, key: tuple[str, ...] = ("id", "model"), replace: bool = False) -> DataFrame:
+def synchronize(current: DataFrame, stored: DataFrame, embedder, key: tuple[str, ...] = KEY, replace: bool = False) -> DataFrame:
     """The store after synchronisation: reused records as they are, new and changed chunks embedded, others gone. With replace nothing is reused: the stored records of the sources make way."""
     planned = plan(current, stored, key, reuse=not replace).select(*key, "action")
     reused = stored.join(planned.where("action = 'REUSE'").select(*key), list(key), "left_semi")
     fresh = current.join(planned.where("action = 'EMBED'").select(*key), list(key), "left_semi")
     return reused.unionByName(embed(fresh, embedder).select(*stored.columns))
+
+
+def merge(
+    spark: SparkSession, folder: str, current: DataFrame, embedder, key: tuple[str, ...] = KEY, replace: bool = False, complete: bool = False,
+    bucket_rows: int = versions.BUCKET_ROWS, tries: int = 5,
+) -> versions.Version:
+    """Bring a store of versions up to date with the chunks of sources, as one commit; with a store without records it makes one.
+
+    The sources of current are taken for whole: their stored chunks that it lacks go. With complete its projects are taken for whole too, and stored sources of theirs
+    that it lacks go. Other records stay. Chunks need project_id, source_path, the key, content_hash and embedding_text, and keys without repeats. If another writer
+    commits a bucket in the meantime, all is planned anew against what that one has left, so no record is lost or doubled.
+    """
+
+    def once() -> versions.Version:
+        base = versions.load(spark, folder)
+        old = versions.read(spark, folder, base)
+        sources = current.select(*SOURCE).distinct()
+        if complete and old is not None:
+            gone = missing_sources(current, old.join(current.select("project_id").distinct(), "project_id", "left_semi"))
+            sources = sources.unionByName(gone.select(*SOURCE))
+        touched = versions.buckets_of(base, sources)
+        if not touched:
+            return base
+        held = versions.read(spark, folder, base, touched)
+        if held is None:
+            rows = embed(current, embedder)
+        else:
+            stays = held.join(sources, SOURCE, "left_anti")
+            rows = stays.unionByName(synchronize(current, held.join(sources, SOURCE, "left_semi"), embedder, key, replace))
+        return versions.commit(spark, folder, base, touched, rows, list(key), bucket_rows=bucket_rows)
+
+    return versions.retried(once, tries)

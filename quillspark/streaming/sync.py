@@ -7,92 +7,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import search, sync
+from ..sources import store as versions
 
-BUCKETS = 64
 
-
-def synchronize_stream(changes: DataFrame, store: str, checkpoint: str, embedder, key: tuple[str, ...] = ("id", "model"), available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
-    """Bring a Parquet store up to date with a stream of chunks of changed sources.
+def synchronize_stream(changes: DataFrame, store: str, checkpoint: str, embedder, key: tuple[str, ...] = sync.KEY, available_now: bool = True, bucket_rows: int = versions.BUCKET_ROWS, keep: int = 2) -> StreamingQuery:
+    """Bring a store of versions up to date with a stream of chunks of changed sources.
 
     Each chunk carries its source's version (source_version, a long that rises whenever the source is read anew). A source's chunks may come in any
     number of batches: those of one version add up, those of a later version replace all of an earlier one, and those of an earlier
     version than the stored one are left out. A chunk with the key and hash of a stored one of an earlier version keeps its vector if it
     comes with the first batch of its version; later it is embedded anew.
 
-    The store is dealt into buckets of sources, and a batch reads and writes only those that its sources are in. A batch's files go to a folder
-    of its number, so one that is run again writes the same place; a small table then says which batch each bucket is at (`current_store` reads
-    it), and files that it no longer names are deleted one batch later.
+    A batch reads and writes only the buckets that its sources are in, and is one commit that notes the number of the batch, under the checkpoint's name: a batch that
+    is run again after its commit changes nothing. Other streams and `sync.merge` may write the same store. Files that only versions before the last `keep` name are deleted.
     """
 
     def batch(current: DataFrame, number: int) -> None:
         spark = current.sparkSession
-        source = [c for c in ("project_id", "source_path") if c in current.columns]
-        fresh = search.newest(current, [*source, *key], "source_version").withColumn("bucket", F.pmod(F.xxhash64(*source), F.lit(buckets)).cast("int"))
-        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most buckets numbers
-        if not touched:
-            return
-        at = current_batches(spark, store, number)
-        paths = sorted({f"{store}/batch={at[b]}/bucket={b}" for b in touched if b in at})
-        if paths:
-            old = spark.read.option("basePath", store).parquet(*paths).drop("batch")
-            last = fresh.select(*source, F.col("source_version").alias("now")).unionByName(old.select(*source, F.col("source_version").alias("now"))).groupBy(*source).agg(F.max("now").alias("now"))
-            fresh = fresh.join(last, source).where("source_version = now").drop("now")
-            seen = old.join(last, source)
-            stays = seen.where("source_version = now").drop("now").join(fresh.select(*source, *key), [*source, *key], "left_anti")
-            vectors = old.select(*source, *key, F.col("content_hash").alias("old_hash"), F.col("vector").alias("old_vector"))
-            known = fresh.join(vectors, [*source, *key], "left")
-            same = F.coalesce(F.col("old_hash") == F.col("content_hash"), F.lit(False)) & F.col("old_vector").isNotNull()
-            reused = known.where(same).withColumn("vector", F.col("old_vector")).drop("old_hash", "old_vector")
-            embedded = sync.embed(known.where(~same).drop("old_hash", "old_vector"), embedder)
-            out = stays.unionByName(reused).unionByName(embedded)
-        else:
-            last = fresh.groupBy(*source).agg(F.max("source_version").alias("now"))
-            out = sync.embed(fresh.join(last, source).where("source_version = now").drop("now"), embedder)
-        out.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{store}/batch={number}")
-        after = {**at, **{b: number for b in touched}}
-        spark.createDataFrame(sorted(after.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{store}/_state/{number}")
-        _tidy(spark, store, number, at)
+
+        def once() -> None:
+            base = versions.load(spark, store)
+            if base.notes.get(checkpoint, -1) >= number:
+                return
+            fresh = search.newest(current, list(dict.fromkeys([*sync.SOURCE, *key])), "source_version")
+            touched = versions.buckets_of(base, fresh)
+            if touched:
+                rows = merged(fresh, versions.read(spark, store, base, touched))
+                versions.commit(spark, store, base, touched, rows, list(key), {checkpoint: number}, bucket_rows=bucket_rows)
+
+        versions.retried(once)
+        versions.vacuum(spark, store, keep)
+
+    def merged(fresh: DataFrame, old: DataFrame | None) -> DataFrame:
+        source, names = sync.SOURCE, list(dict.fromkeys([*sync.SOURCE, *key]))
+        last = fresh.select(*source, F.col("source_version").alias("now"))
+        if old is None:
+            last = last.groupBy(*source).agg(F.max("now").alias("now"))
+            return sync.embed(fresh.join(last, source).where("source_version = now").drop("now"), embedder)
+        last = last.unionByName(old.select(*source, F.col("source_version").alias("now"))).groupBy(*source).agg(F.max("now").alias("now"))
+        fresh = fresh.join(last, source).where("source_version = now").drop("now")
+        stays = old.join(last, source).where("source_version = now").drop("now").join(fresh.select(*names), names, "left_anti")
+        known = fresh.join(old.select(*names, F.col("content_hash").alias("old_hash"), F.col("vector").alias("old_vector")), names, "left")
+        same = F.coalesce(F.col("old_hash") == F.col("content_hash"), F.lit(False)) & F.col("old_vector").isNotNull()
+        reused = known.where(same).withColumn("vector", F.col("old_vector")).drop("old_hash", "old_vector")
+        embedded = sync.embed(known.where(~same).drop("old_hash", "old_vector"), embedder)
+        return stays.unionByName(reused).unionByName(embedded)
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _files(spark, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files, path, list(files.listStatus(path)) if files.exists(path) else []
-
-
-def _states(spark, store: str) -> list[int]:
-    files, _, found = _files(spark, f"{store}/_state")
-    return sorted(int(f.getPath().getName()) for f in found if files.exists(f.getPath().suffix("/_SUCCESS")))
-
-
-def current_batches(spark, store: str, before: int | None = None) -> dict[int, int]:
-    """Bucket to the batch whose files hold it, after the last batch (before batch number `before`)."""
-    numbers = [n for n in _states(spark, store) if before is None or n < before]
-    return {r.bucket: r.batch for r in spark.read.parquet(f"{store}/_state/{numbers[-1]}").collect()} if numbers else {}
-
-
 def current_store(spark, store: str) -> DataFrame | None:
-    """The store after the last batch; None if there is none."""
-    at = current_batches(spark, store)
-    return spark.read.option("basePath", store).parquet(*(f"{store}/batch={n}/bucket={b}" for b, n in sorted(at.items()))).drop("batch", "bucket") if at else None
-
-
-def _tidy(spark, store: str, number: int, at: dict[int, int]) -> None:
-    """Delete states before the last two, and files that neither of those names: readers of the state before this batch are not disturbed."""
-    keep = set(at.items()) | set(current_batches(spark, store).items())
-    files, _, found = _files(spark, store)
-    for folder in found:
-        name = folder.getPath().getName()
-        if name.startswith("batch="):
-            n = int(name.partition("=")[2])
-            parts = [p for p in files.listStatus(folder.getPath()) if p.getPath().getName().startswith("bucket=")]
-            gone = [p for p in parts if n < number and (int(p.getPath().getName().partition("=")[2]), n) not in keep]
-            for p in gone:
-                files.delete(p.getPath(), True)
-            if len(gone) == len(parts) and n < number:
-                files.delete(folder.getPath(), True)
-    for n in _states(spark, store)[:-2]:
-        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/_state/{n}"), True)
+    """The store after the last commit; None if there is none."""
+    return versions.read(spark, store)

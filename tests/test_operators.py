@@ -10,6 +10,7 @@ from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import chunk, context, conversation, evaluate, markup, quality, retrieve, search, sync
 from quillspark.sources import files
+from quillspark.sources import store as versions
 from quillspark.streaming import sync as stream
 
 
@@ -152,7 +153,7 @@ def test_stream(spark, tmp_path):
 
     def run(*rows):
         spark.createDataFrame([("p", i, "m", source, version, text, text) for i, source, version, text in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream.synchronize_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c"), embedder, buckets=4).awaitTermination(120)
+        stream.synchronize_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c"), embedder, bucket_rows=1).awaitTermination(120)
         return sorted((r.id, r.source_path, r.source_version, r.embedding_text) for r in stream.current_store(spark, store).collect())
 
     assert run((1, "a", 1, "one"), (2, "a", 1, "two"), (3, "b", 1, "x")) == [(1, "a", 1, "one"), (2, "a", 1, "two"), (3, "b", 1, "x")]
@@ -162,9 +163,10 @@ def test_stream(spark, tmp_path):
     assert run((9, "a", 1, "late")) == both  # of an earlier version
     assert run((5, "c", 1, "new")) == [*both, (5, "c", 1, "new")]
     assert all(r.vector[0] == 1 for r in stream.current_store(spark, store).collect())
-    held = {(n, b) for b, n in stream.current_batches(spark, store).items()}
-    there = {(int(p.parent.name[6:]), int(p.name[7:])) for p in (tmp_path / "store").glob("batch=*/bucket=*")}
-    assert held <= there and len(there) <= 2 * len(held)  # what no state names is gone
+    last = versions.load(spark, store)
+    assert len(last.buckets) > 2  # split, as they hold more than one record
+    named = {p.rpartition("/part_bits")[0] for n in versions.versions(spark, store) for paths in versions.load(spark, store, n).buckets.values() for p in paths}
+    assert {f"data/{p.name}" for p in (tmp_path / "store/data").iterdir() if any(p.glob("*/*/*.parquet"))} == named  # what no version names is gone
 
 
 # ---- retrieval and context
