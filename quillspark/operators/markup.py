@@ -1,6 +1,7 @@
 """Markup to elements and chunks.
 
-Parsing works page by page in Arrow batches (html.parser, which takes any markup); everything after it is DataFrame work over the `elements` table.
+Parsing works page by page in Arrow batches (html.parser, which takes any markup); everything after it is DataFrame work over the `elements` table, and over
+the nodes of `outline` for chunks.
 """
 
 from __future__ import annotations
@@ -82,28 +83,6 @@ def full_text(node: Node) -> str:
     return normalized("".join(out))
 
 
-def chunk_text(node: Node) -> str:
-    """Text of a paragraph, list item or quote: with block elements that are its direct children, without deeper ones and images."""
-    out, stack = [], [(c, True) for c in reversed(node.children)]
-    while stack:
-        x, direct = stack.pop()
-        if isinstance(x, str):
-            out.append(x + " ")
-        elif x.tag not in UNREAD and x.tag != "img" and (direct or x.tag not in BLOCKS):
-            stack += [(c, False) for c in reversed(x.children)]
-    return normalized("".join(out))
-
-
-def find(node: Node, *tags: str):
-    """Descendants of these tags, in document order."""
-    stack = [c for c in reversed(node.children) if not isinstance(c, str)]
-    while stack:
-        x = stack.pop()
-        if x.tag in tags:
-            yield x
-        stack += [c for c in reversed(x.children) if not isinstance(c, str)]
-
-
 def element_rows(doc, markup: str):
     tree = Tree(markup)
     depth = {0: 0}
@@ -115,84 +94,6 @@ def element_rows(doc, markup: str):
 TEXT_OF = frozenset("title h1 h2 h3 h4 h5 h6 p a li td th caption figcaption button label span em strong b i".split())
 
 
-def chunk_rows(markup: str):
-    """(type, title, element_id, epub_type, content, metadata) of a page's chunks in order."""
-    title = ""
-    stack = [c for c in reversed(Tree(markup).nodes[0].children) if not isinstance(c, str)]
-
-    def image(n: Node, caption: str, figure: str):
-        alt, src = normalized(n.attrs.get("alt", "")), n.attrs.get("src", "")
-        extra = {"src": src, **({"caption": caption} if caption else {}), **({"figureId": figure} if figure else {})}
-        if alt:
-            return "ALT_TEXT", alt, n, extra
-        return "IMAGE", caption or src or FALLBACK_IMAGE_TEXT, n, {**extra, "altMissing": "true"}
-
-    while stack:
-        n = stack.pop()
-        found = []
-        if n.tag in UNREAD or n.tag == "head":
-            continue
-        if re.fullmatch("h[1-6]", n.tag):
-            title = full_text(n)
-            found.append(("HEADING", title, n, {"headingLevel": n.tag[1], "tagName": n.tag}))
-        elif n.tag in ("p", "li", "blockquote"):
-            found.append(({"p": "PARAGRAPH", "li": "LIST_ITEM", "blockquote": "QUOTE"}[n.tag], chunk_text(n), n, {"tagName": n.tag}))
-        elif n.tag == "figure":
-            caption = next((full_text(c) for c in find(n, "figcaption")), "")
-            if caption:
-                found.append(("IMAGE", caption, n, {"caption": caption}))
-            found += [image(i, caption, n.attrs.get("id", "")) for i in find(n, "img")]
-        elif n.tag == "img":
-            found.append(image(n, "", ""))
-        elif n.tag == "table":
-            caption = next((full_text(c) for c in find(n, "caption")), "")
-            rows = [" | ".join(full_text(c) for c in r.children if not isinstance(c, str) and c.tag in ("td", "th")) for r in find(n, "tr")]
-            found.append(("TABLE", "\n".join(x for x in (caption, *rows) if x), n, {"rowCount": str(len(rows))}))
-        else:
-            stack += [c for c in reversed(n.children) if not isinstance(c, str)]
-        for kind, content, node, metadata in found:
-            if content:
-                yield kind, title, node.attrs.get("id", ""), node.attrs.get("epub:type", ""), content, metadata
-
-
-def toc_rows(markup: str):
-    """TOC_ENTRY chunks of a navigation document, one per link."""
-    tree = Tree(markup)
-    for a in find(tree.nodes[0], "a"):
-        depth, nav, n = 0, "", a.parent
-        while n:
-            depth += n.tag in ("ol", "ul")
-            nav = nav or (n.attrs.get("epub:type", "") if n.tag == "nav" else "")
-            n = n.parent
-        text = full_text(a)
-        if text:
-            yield "TOC_ENTRY", text, a.attrs.get("id", ""), nav, text, {"href": a.attrs.get("href", ""), "navigationDepth": str(depth), "navType": nav}
-
-
-def ncx_rows(markup: str):
-    """TOC_ENTRY chunks of an NCX document, one per navPoint."""
-    for n in find(Tree(markup).nodes[0], "navpoint"):
-        label = next((full_text(x) for c in n.children if not isinstance(c, str) and c.tag == "navlabel" for x in [c]), "")
-        src = next((c.attrs.get("src", "") for c in n.children if not isinstance(c, str) and c.tag == "content"), "")
-        if label:
-            yield "TOC_ENTRY", label, n.attrs.get("id", ""), "", label, {"src": src, "playOrder": n.attrs.get("playorder", "")}
-
-
-def opf_rows(markup: str):
-    """METADATA chunks of a package document: metadata, manifest items, spine references."""
-    tree = Tree(markup)
-    for part in find(tree.nodes[0], "metadata"):
-        for n in part.children:
-            if not isinstance(n, str):
-                value = full_text(n) or n.attrs.get("content", "")
-                if value:
-                    yield "METADATA", "", n.attrs.get("id", ""), "", f"{n.attrs.get('property') or n.attrs.get('name') or n.tag}: {value}", {"kind": "metadata"}
-    for n in find(tree.nodes[0], "item"):
-        yield "METADATA", "", n.attrs.get("id", ""), "", f"manifest: {n.attrs.get('id', '')} {n.attrs.get('href', '')} {n.attrs.get('media-type', '')}".rstrip(), {"kind": "manifest", **n.attrs}
-    for i, n in enumerate(find(tree.nodes[0], "itemref")):
-        yield "METADATA", "", n.attrs.get("id", ""), "", f"spine: {n.attrs.get('idref', '')}", {"kind": "spine", "position": str(i), **n.attrs}
-
-
 def css_rows(text: str):
     """STYLE chunks: top-level rules of a style sheet, without comments; braces in strings don't count."""
     text = re.sub(r"/\*.*?(\*/|$)", "", text, flags=re.S)
@@ -225,7 +126,7 @@ def text_rows(text: str):
             yield "TEXT", "", "", "", found, {}
 
 
-READERS = {"XHTML": chunk_rows, "HTML": chunk_rows, "XML": chunk_rows, "NAV": toc_rows, "NCX": ncx_rows, "OPF": opf_rows, "CSS": css_rows, "TEXT": text_rows, "MARKDOWN": text_rows, "JSON": text_rows}
+ROW_READERS = {"CSS": css_rows, "TEXT": text_rows, "MARKDOWN": text_rows, "JSON": text_rows}  # kinds without a tree
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -245,23 +146,42 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).cast("string")).mapInArrow(run, ELEMENTS)
 
 
-def chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", kind: str | None = "XHTML", kind_col: str | None = None) -> DataFrame:
-    """Typed chunks of every page, in order, by the reader (a key of READERS) of its kind: one for all, or that in kind_col. Text, Markdown and JSON are blocks between blank lines; pages of other kinds have no chunks."""
+def chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", kind: str | None = "XHTML", kind_col: str | None = None, unknown: str = "skip") -> DataFrame:
+    """Typed chunks of every page, in order, by its kind: one for all, or that in kind_col.
 
-    def run(batches):
+    Content documents (XHTML, HTML, XML), NAV, NCX and OPF are queries over their trees (`outline`); style sheets are rules; text, Markdown and JSON are blocks between blank lines.
+    Pages of other kinds have no chunks, or are an error if unknown is "error".
+    """
+    from . import outline
+
+    trees = {"XHTML": outline.page_chunks, "HTML": outline.page_chunks, "XML": outline.page_chunks, "NAV": outline.toc_chunks, "NCX": outline.ncx_chunks, "OPF": outline.opf_chunks}
+
+    def flat(batches):
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5, pa.map_(pa.string(), pa.string())]
         for batch in batches:
             rows = []
             for doc, markup, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                reader = READERS.get(own, lambda _: ())
-                rows += [(doc, i, k, t, e, p, c, list(m.items())) for i, (k, t, e, p, c, m) in enumerate(reader(markup or ""))]
+                rows += [(doc, i, k, t, e, p, c, list(m.items())) for i, (k, t, e, p, c, m) in enumerate(ROW_READERS[own](markup or ""))]
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in CHUNKS.split(", ")])
 
     own = F.col(kind_col) if kind_col else F.lit(kind)
-    return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).cast("string"), own.alias("_kind")).mapInArrow(run, CHUNKS)
+    if unknown == "error":
+        own = F.when(own.isin(*trees, *ROW_READERS), own).otherwise(F.raise_error(F.concat(F.lit("no reader for "), F.coalesce(own, F.lit("null")))).cast("string"))
+    rows = pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).cast("string").alias("_markup"), own.alias("_kind"))
+    readers: dict = {}
+    for name, reader in trees.items():
+        readers.setdefault(reader, []).append(name)
+    asked = [kind] if not kind_col else [*trees, *ROW_READERS]
+    found = [reader(outline.nodes(rows.where(F.col("_kind").isin(*names)), "doc", "_markup")) for reader, names in readers.items() if set(names) & set(asked)]
+    if set(ROW_READERS) & set(asked) or not found:
+        found.append(rows.where(F.col("_kind").isin(*ROW_READERS)).mapInArrow(flat, CHUNKS))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def unreadable(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -109,12 +109,8 @@ def test_markup_chunks(spark):
     assert found == [("HEADING", "Head", "Head"), ("PARAGRAPH", "Head", "foo bar"), ("LIST_ITEM", "Head", "x"), ("LIST_ITEM", "Head", "kept"), ("IMAGE", "Head", "Cap"), ("IMAGE", "Head", "Cap"), ("ALT_TEXT", "Head", "B"), ("QUOTE", "Head", "Q"), ("TABLE", "Head", "C\n1 | 2")]
 
 
-def test_other_readers():
-    nav = list(markup.toc_rows('<nav epub:type="toc"><ol><li><a href="a.xhtml">A</a><ol><li><a href="b.xhtml">B</a></li></ol></li></ol></nav>'))
-    assert [(r[4], r[5]["navigationDepth"], r[5]["navType"]) for r in nav] == [("A", "1", "toc"), ("B", "2", "toc")]
+def test_style_rules():
     assert [r[4] for r in markup.css_rows('/* {x} */ a > b { content: "}"; color : red } @media x { p { y: z } }')] == ['a > b { content: "}"; color : red }', "@media x { p { y: z } }"]
-    assert [r[4] for r in markup.ncx_rows('<navMap><navPoint id="n" playOrder="1"><navLabel><text>One</text></navLabel><content src="a"/></navPoint></navMap>')] == ["One"]
-    assert [r[4] for r in markup.opf_rows('<package><metadata><dc:title>Book</dc:title></metadata><manifest><item id="a" href="a.xhtml" media-type="x"/></manifest><spine><itemref idref="a"/></spine></package>')] == ["dc:title: Book", "manifest: a a.xhtml x", "spine: a"]
 
 
 # ---- synchronisation
