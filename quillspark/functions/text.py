@@ -114,3 +114,12 @@ def boost_of(query, query_keywords, heading, body, titled) -> Column:
 def rerank_weight(query_text) -> Column:
     """0.58 for questions after a place, else 0.30."""
     return F.when(_filled(query_text).rlike("|".join(LOCATION_PHRASES)), 0.58).otherwise(0.30)
+
+
+#: what Unicode calls white space, as the inside of a character class
+SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def stripped(c) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")

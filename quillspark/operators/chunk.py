@@ -9,7 +9,7 @@ from ..functions import text as T
 
 LONGEST = 2000
 LOOK_BACK = 300
-SENTENCE_ENDS = ".!?。！？\n"
+SENTENCE_ENDS = ".!?。！？\\n"  # the inside of a character class
 
 
 def plain_blocks(docs: DataFrame, path_col: str, text_col: str, separator: str = "\\n[ \\t\\x0B\\f\\r]*\\n") -> DataFrame:
@@ -25,43 +25,34 @@ def chunk_id(path, element_id, kind, sequence):
     return named.otherwise(F.concat(path, F.lit("#"), F.lower(kind), F.format_string("_%04d", sequence.cast("long"))))
 
 
-def split_position(text: str, start: int, end: int) -> int:
-    """Where to cut text[start:end]: after the last sentence end of its last LOOK_BACK characters, else after the last white space there, else at end."""
-    low = max(start + 1, end - LOOK_BACK)
-    at = max(text.rfind(c, low, end) for c in SENTENCE_ENDS)
-    if at < 0:
-        at = max((i for i in range(low, end) if text[i].isspace()), default=-1)
-    return at + 1 if at >= 0 else end
-
-
-def split_long(text: str, longest: int = LONGEST) -> list[str]:
-    """Parts of at most longest characters each; joined without white space they are the text without white space."""
-    if len(text) <= longest:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + longest, len(text))
-        if end < len(text):
-            end = split_position(text, start, end)
-        part = text[start:end].strip()
-        if part:
-            out.append(part)
-        start = end
-        while start < len(text) and text[start].isspace():
-            start += 1
-    return out
+def split_parts(c, longest: int = LONGEST):
+    """Parts of at most longest characters each; joined without white space they are the text without white space.
+
+    A part ends after the last sentence end of its last LOOK_BACK characters, else after the last white space there, else where it is full. Each step cuts one part off what is
+    left, and takes longest - LOOK_BACK characters at least, which bounds the steps.
+    """
+    low = max(1, longest - LOOK_BACK)
+    upto = lambda text, marks: F.length(F.regexp_extract(text, f"(?s)^(.*[{marks}])", 1))
+
+    def step(state, _):
+        rest = state["rest"]
+        tail = F.substring(rest, low + 1, longest - low)
+        sentence, space = upto(tail, SENTENCE_ENDS), upto(tail, T.SPACES)
+        at = F.when(F.length(rest) <= longest, F.length(rest)).when(sentence > 0, low + sentence).when(space > 0, low + space).otherwise(longest)
+        part = T.stripped(F.substring(rest, F.lit(1), at))
+        left = F.regexp_replace(F.substring(rest, at + 1, F.length(rest)), f"^[{T.SPACES}]+", "")
+        return F.struct(left.alias("rest"), F.when(part != "", F.concat(state["parts"], F.array(part))).otherwise(state["parts"]).alias("parts"))
+
+    c = F.col(c) if isinstance(c, str) else c
+    steps = F.sequence(F.lit(0), F.floor(F.length(c) / F.lit(low)).cast("int"))
+    return F.aggregate(steps, F.struct(c.alias("rest"), F.array().cast("array<string>").alias("parts")), step, lambda state: state["parts"])
 
 
 def split_chunks(chunks: DataFrame, content_col: str = "content", longest: int = LONGEST) -> DataFrame:
-    """chunks with part_index, part_count and content cut to at most longest characters. Only long chunks go through Python."""
+    """chunks with part_index, part_count and content cut to at most longest characters (`split_parts`). Shorter ones, and null, stay as they are."""
     limit = F.length(content_col) > longest
     short = chunks.where(~F.coalesce(limit, F.lit(False))).withColumn("part_index", F.lit(0)).withColumn("part_count", F.lit(1))
-
-    @F.pandas_udf("array<string>")
-    def parts(texts):
-        return texts.map(lambda t: split_long(t, longest))
-
-    cut = chunks.where(limit).withColumn("_parts", parts(content_col))
+    cut = chunks.where(limit).withColumn("_parts", split_parts(content_col, longest))
     others = [c for c in chunks.columns if c != content_col]
     long = cut.select(*others, F.size("_parts").alias("part_count"), F.posexplode("_parts").alias("part_index", content_col))
     return short.unionByName(long)

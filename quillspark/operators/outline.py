@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .markup import BLOCKS, FALLBACK_IMAGE_TEXT, UNREAD, Tree
 
 NODES = "doc long, seq int, last int, parent int, depth int, tag string, attrs map<string,string>, first_text int, n_texts int, text string"
@@ -20,7 +21,6 @@ TEXT = "#text"
 HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 PROSE = {"p": "PARAGRAPH", "li": "LIST_ITEM", "blockquote": "QUOTE"}
 CHUNKED = (*HEADINGS, *PROSE, "figure", "img", "table")
-SPACES = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
 def node_rows(doc, markup: str):
@@ -59,7 +59,7 @@ def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
 
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACES, " "))
+    return F.trim(F.regexp_replace(c, f"[{T.SPACES}]+", " "))
 
 
 def attr(name: str, of: str = "attrs") -> Column:

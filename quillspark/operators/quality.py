@@ -5,6 +5,7 @@ Accessibility rules are DataFrames over the `elements` table of operators.markup
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -392,32 +393,48 @@ def ellipsis_count(c) -> Column:
 
 # fixed values: marks after which a quotation begins and before which it ends
 OPENING, CLOSING = "([{<“‘", ".,!?;:)]}>”’"
+OPENING_CLASS, CLOSING_CLASS = (re.sub(r"([\[\]])", r"\\\1", marks) for marks in (OPENING, CLOSING))
 
 
-def curly(texts: list[str], mark: str, pair: str) -> list[str]:
-    """Straight marks of consecutive text nodes as curly ones; whether a quotation is open carries over from node to node."""
-    out, is_open = [], False
-    for text in texts:
-        new = list(text)
-        for i, c in enumerate(text):
-            if c != mark:
-                continue
-            before, after = new[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
-            if mark == "'" and before.isalnum() and after.isalnum():
-                new[i] = "’"
-                continue
-            starts = not before or before.isspace() or before in OPENING
-            ends = not after or after.isspace() or after in CLOSING
-            is_open = starts if starts != ends else not is_open
-            new[i] = pair[0] if is_open else pair[1]
-        out.append("".join(new))
-    return out
+def quoted(rows: DataFrame, mark: str, pair: str, by: list[str], order: str, text_col: str = "text") -> DataFrame:
+    """rows with the straight marks of their texts as curly ones. Whether a quotation is open carries over from text to text of the same by.
 
-
-@F.pandas_udf(ArrayType(StringType()))
-def typography(nodes):
-    """Quotes and ellipses of an array of consecutive text nodes."""
-    return nodes.map(lambda t: [x.replace("...", "…") for x in curly(curly(list(t), "'", "‘’"), '"', "“”")])
+    A mark opens or closes by the characters beside it, or else turns the state over; a mark right after another one opens unless it must close. So a mark is a function from
+    state to state, a constant or a negation, and states are their running composition: the last constant, turned over as often as negations followed it. It is composed
+    first within each text, then over texts, one row each. An apostrophe between letters or digits leaves the state as it is. by and order tell rows apart.
+    """
+    key, odd = [*by, order], lambda c: F.pmod(F.col(c), F.lit(2)).cast("int")
+    pieces = F.split(F.col(text_col), mark)
+    cut = rows.select(*key, pieces.alias("_p"), F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("_i", "_piece"))
+    before, after = F.substring("_piece", -1, 1), F.substring(F.element_at("_p", F.col("_i") + 2), 1, 1)
+    follows = (before == "") & (F.col("_i") > 0)  # right after another mark
+    starts = (before == "") | before.rlike(f"[{T.SPACES}{OPENING_CLASS}]")
+    ends = F.when(after == "", F.col("_i") + 2 == F.size("_p")).otherwise(after.rlike(f"[{T.SPACES}{CLOSING_CLASS}]"))
+    inner = F.lit(mark == "'") & before.rlike("[\\p{L}\\p{N}]") & after.rlike("[\\p{L}\\p{N}]")
+    constant = F.when(inner, None).when(follows, ~ends).when(starts != ends, starts)
+    marks = cut.select(*key, "_i", inner.alias("_inner"), constant.cast("int").alias("_set")).withColumn("_turns", (~F.col("_inner") & F.col("_set").isNull()).cast("int"))
+
+    here = Window.partitionBy(*key).orderBy("_i")
+    marks = marks.withColumn("_n", F.sum("_turns").over(here))  # negations so far; a constant counts as what it would be before all of them
+    marks = marks.withColumn("_base", F.last(F.col("_set").bitwiseXOR(odd("_n")), ignorenulls=True).over(here))
+    whole = marks.groupBy(*key).agg(F.max("_n").alias("_all"), F.max_by("_base", "_i").alias("_last"))
+    up_to = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("_earlier", F.coalesce(F.sum("_all").over(up_to), F.lit(0)))
+    whole = whole.withColumn("_fixed", F.coalesce(F.last(F.col("_last").bitwiseXOR(odd("_earlier")), ignorenulls=True).over(up_to), F.lit(0)))
+    whole = whole.select(*key, F.col("_fixed").bitwiseXOR(odd("_earlier")).alias("_start"))
+
+    state = F.coalesce("_base", "_start").bitwiseXOR(odd("_n"))
+    form = F.when(F.col("_inner"), "’").when(state == 1, pair[0]).otherwise(pair[1])
+    forms = marks.join(whole, key).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", form.alias("form")))), lambda x: x["form"]).alias("_forms"))
+    text = F.array_join(F.zip_with(pieces, F.concat("_forms", F.array(F.lit(""))), lambda p, f: F.concat(p, f)), "")
+    joined = rows.join(forms, key, "left")
+    return joined.select(*(F.when(F.col("_forms").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in rows.columns))
+
+
+def typography(rows: DataFrame, by: list[str], order: str, text_col: str = "text") -> DataFrame:
+    """rows with curly quotes, single ones first, and ellipses in their texts; texts of the same by are consecutive in order."""
+    found = quoted(quoted(rows, "'", "‘’", by, order, text_col), '"', "“”", by, order, text_col)
+    return found.withColumn(text_col, ellipsis(text_col))
 
 
 def typo_counts(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: int = 10_000) -> DataFrame:

@@ -201,9 +201,19 @@ def embedding_text_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.embedding_text(rows).select("source_path", F.col("sequence").cast("long").alias("sequence"), F.sha2("embedding_text", 256).alias("text_sha256"))
 
 
-@query()
+RE2_SPACES = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+@query(f"""WITH RECURSIVE r AS (
+  SELECT doc_id, NULL::VARCHAR AS part, text AS rest, 0 AS step FROM documents WHERE length(text) > 2000
+  UNION ALL
+  SELECT doc_id, regexp_replace(substr(rest, 1, stop), '^[{RE2_SPACES}]+|[{RE2_SPACES}]+$', '', 'g'), regexp_replace(substr(rest, stop + 1), '^[{RE2_SPACES}]+', ''), step + 1
+  FROM (SELECT *, CASE WHEN length(rest) <= 2000 THEN length(rest) WHEN s > 0 THEN 1700 + s WHEN w > 0 THEN 1700 + w ELSE 2000 END AS stop
+    FROM (SELECT *, length(regexp_extract(substr(rest, 1701, 300), '^(.*[.!?。！？\\n])', 1, 's')) AS s, length(regexp_extract(substr(rest, 1701, 300), '^(.*[{RE2_SPACES}])', 1, 's')) AS w FROM r WHERE rest <> '')))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS part_index, count(*) OVER (PARTITION BY doc_id) AS part_count, part AS content FROM r WHERE part <> ''
+UNION ALL SELECT doc_id, 0, 1, text FROM documents WHERE length(text) <= 2000 OR text IS NULL""")
 def chunk_split_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long texts cut at sentence ends; the cut depends on the one before, so there is no SQL, but tests hold it to its invariants."""
+    """Long texts cut at sentence ends."""
     return chunk.split_chunks(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
 
 
@@ -562,11 +572,32 @@ def typography_ellipsis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(quality.ellipsis("text"), 256).alias("text_sha256"), quality.ellipsis_count("text").cast("long").alias("n"))
 
 
-@query()
+def _quoted_sql(source: str, name: str, mark: str, pair: str) -> str:
+    """Lines of texts (conv_id, turn, line, text) of table source with one kind of mark curled, as table name: marks as functions of the state, composed."""
+    opening, closing, alnum = f"[([{{<“‘{RE2_SPACES}]", f"[.,!?;:)\\]}}>”’{RE2_SPACES}]", "[\\p{L}\\p{N}]"
+    return f"""{name}_p AS (SELECT *, string_split(text, $${mark}$$) AS p FROM {source}),
+{name}_i AS (SELECT conv_id, turn, line, p, unnest(range(1, len(p))) AS i FROM {name}_p),
+{name}_c AS (SELECT *, right(p[i], 1) AS b, left(p[i + 1], 1) AS a FROM {name}_i),
+{name}_k AS (SELECT *, b = '' AND i > 1 AS follows, b = '' OR regexp_matches(b, '{opening}') AS starts, CASE WHEN a = '' THEN i + 1 = len(p) ELSE regexp_matches(a, '{closing}') END AS ends,
+  {str(mark == "'").lower()} AND regexp_matches(b, '{alnum}') AND regexp_matches(a, '{alnum}') AS inside FROM {name}_c),
+{name}_f AS (SELECT *, CASE WHEN inside THEN NULL WHEN follows THEN NOT ends WHEN starts <> ends THEN starts END AS fixed FROM {name}_k),
+{name}_t AS (SELECT *, sum(CASE WHEN NOT inside AND fixed IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY line, i) AS t FROM {name}_f),
+{name}_s AS (SELECT *, coalesce(last_value(CASE WHEN fixed IS NOT NULL THEN (fixed::INT + t) % 2 END IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY line, i), 0) AS base FROM {name}_t),
+{name}_o AS (SELECT conv_id, turn, line, list(CASE WHEN inside THEN '’' WHEN (base + t) % 2 = 1 THEN '{pair[0]}' ELSE '{pair[1]}' END ORDER BY i) AS forms FROM {name}_s GROUP BY conv_id, turn, line),
+{name} AS (SELECT s.conv_id, s.turn, s.line, coalesce(array_to_string(list_transform(list_zip(s.p, list_append(forms, '')), lambda x: x[1] || x[2]), ''), s.text) AS text FROM {name}_p s LEFT JOIN {name}_o o ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.line = o.line)"""
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, replace(replace(coalesce(text, ''), ',', '"'), ' t', ' ''t') AS x FROM conversations),
+n AS (SELECT conv_id, turn, unnest(string_split(x, '\\n')) AS text, unnest(range(len(string_split(x, '\\n')))) AS line FROM c),
+{_quoted_sql("n", "one", "'", "‘’")},
+{_quoted_sql("one", "two", '"', "“”")}
+SELECT conv_id, turn, string_agg(replace(text, '...', '…'), '\\n' ORDER BY line) AS text FROM two GROUP BY conv_id, turn""".replace("'\\n'", "chr(10)"))
 def typography_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Straight quotes of conversations as curly ones; the state runs along a text's lines, so there is no SQL."""
-    rows = read(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.array_join(quality.typography(F.split(F.coalesce("text", F.lit("")), "\n")), "\n").alias("text"))
+    """Straight quotes of conversations, with quotes put in place of commas and before some words, as curly ones; the state runs along a text's lines."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(","), F.lit('"')), F.lit(" t"), F.lit(" 't"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, "\n")).alias("line", "text"))
+    found = quality.typography(rows, ["conv_id", "turn"], "line").groupBy("conv_id", "turn")
+    return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
 TYPOS = [("the the", "the"), ("thth", "th"), ("er er", "er"), ("  ", " ")]

@@ -3,6 +3,8 @@
 import json
 import zipfile
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,14 +86,41 @@ def test_store(spark, tmp_path):
 # ---- chunks
 
 
+def split_position(text: str, start: int, end: int) -> int:
+    """Where to cut text[start:end]: after the last sentence end of its last 300 characters, else after the last white space there, else at end."""
+    low = max(start + 1, end - 300)
+    at = max(text.rfind(c, low, end) for c in ".!?。！？\n")
+    if at < 0:
+        at = max((i for i in range(low, end) if text[i].isspace()), default=-1)
+    return at + 1 if at >= 0 else end
+
+
+def split_long(text: str, longest: int = 2000) -> list[str]:
+    """Parts of at most longest characters each; joined without white space they are the text without white space."""
+    if len(text) <= longest:
+        return [text]
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + longest, len(text))
+        if end < len(text):
+            end = split_position(text, start, end)
+        part = text[start:end].strip()
+        if part:
+            out.append(part)
+        start = end
+        while start < len(text) and text[start].isspace():
+            start += 1
+    return out
+
+
 def test_split_long():
     text = "a" * 1800 + ". " + "b" * 500
-    assert chunk.split_long(text) == ["a" * 1800 + ".", "b" * 500]
-    assert [len(p) for p in chunk.split_long("x" * 4100)] == [2000, 2000, 100]
-    assert chunk.split_long("y" * 2000) == ["y" * 2000] and len(chunk.split_long("y" * 2001)) == 2
-    assert chunk.split_long("w " * 1500)[0] == ("w " * 1000).strip()
+    assert split_long(text) == ["a" * 1800 + ".", "b" * 500]
+    assert [len(p) for p in split_long("x" * 4100)] == [2000, 2000, 100]
+    assert split_long("y" * 2000) == ["y" * 2000] and len(split_long("y" * 2001)) == 2
+    assert split_long("w " * 1500)[0] == ("w " * 1000).strip()
     long = "Some words. And more words, " * 400
-    assert "".join("".join(chunk.split_long(long)).split()) == "".join(long.split()) and max(map(len, chunk.split_long(long))) <= 2000
+    assert "".join("".join(split_long(long)).split()) == "".join(long.split()) and max(map(len, split_long(long))) <= 2000
 
 
 def test_split_chunks(spark):
@@ -99,6 +128,18 @@ def test_split_chunks(spark):
     assert sorted((r.id, r.part_index, r.part_count) for r in chunk.split_chunks(rows).collect()) == [(1, 0, 1), (2, 0, 3), (2, 1, 3), (2, 2, 3), (3, 0, 1)]
 
 
+def test_split_parts_equal_a_loop(spark):
+    some = random.Random(2)
+    texts = ["".join(some.choice(["word", " ", "\n", ". ", "é", "。", "　", "\x1c", "!", "x" * 40, " " * 30]) for _ in range(some.choice([5, 60, 600, 3000]))) for _ in range(60)] + [" " * 900, "x" * 900, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    for longest in (40, 400):
+        found = {}
+        for r in chunk.split_chunks(rows, longest=longest).collect():
+            found.setdefault(r.id, []).append((r.part_index, r.content))
+        expected = {i: [t] if t is None else split_long(t, longest) for i, t in enumerate(texts)}
+        assert {i: [t for _, t in sorted(v, key=lambda x: x[0])] for i, v in found.items()} == {i: v for i, v in expected.items() if v}
+
+
 XHTML = """<html xmlns="http://www.w3.org/1999/xhtml"><head><title>T</title></head><body><h1 id="h">Head</h1><p>foo<b>bar</b></p><ul><li><p>x</p></li><li><div><p>lost</p></div>kept</li></ul>
 <figure id="f"><img src="a.png" alt=""/><img src="b.png" alt="B"/><figcaption>Cap</figcaption></figure><blockquote>Q <img alt="no"/></blockquote><table><caption>C</caption><tr><th>1</th><td>2</td></tr></table><script>no</script></body></html>"""
 
@@ -374,9 +415,42 @@ def test_pages_to_search(spark):
     assert best.count() == 12 and best.where("score < vector_score").isEmpty()
 
 
+def curly(texts: list[str], mark: str, pair: str) -> list[str]:
+    """Straight marks of consecutive text nodes as curly ones; whether a quotation is open carries over from node to node."""
+    out, is_open = [], False
+    for text in texts:
+        new = list(text)
+        for i, c in enumerate(text):
+            if c != mark:
+                continue
+            before, after = new[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
+            if mark == "'" and before.isalnum() and after.isalnum():
+                new[i] = "’"
+                continue
+            starts = not before or before.isspace() or before in "([{<“‘"
+            ends = not after or after.isspace() or after in ".,!?;:)]}>”’"
+            is_open = starts if starts != ends else not is_open
+            new[i] = pair[0] if is_open else pair[1]
+        out.append("".join(new))
+    return out
+
+
+def test_quotes_equal_a_loop(spark):
+    some = random.Random(3)
+    docs = [["".join(some.choice(["'", '"', "a", "1", " ", "(", "]", ".", "é", "...", "　", "“", "’"]) for _ in range(some.randrange(14))) for _ in range(some.randrange(1, 9))] for _ in range(150)]
+    rows = spark.createDataFrame([(d, i, t, "x") for d, texts in enumerate(docs) for i, t in enumerate(texts)] + [(999, 0, None, "x")], "doc int, at int, text string, _n string")
+    found = {}
+    for r in quality.typography(rows, ["doc"], "at").collect():
+        found.setdefault(r.doc, {})[r.at] = r.text
+    assert found.pop(999) == {0: None}
+    for d, texts in enumerate(docs):
+        expected = [x.replace("...", "…") for x in curly(curly(texts, "'", "‘’"), '"', "“”")]
+        assert [found[d][i] for i in range(len(texts))] == expected, texts
+
+
 def test_typography_and_typos(spark):
-    assert quality.curly(['He said "', "don't", '" and "yes".'], '"', "“”") == ["He said “", "don't", "” and “yes”."]
-    assert quality.curly(["it's 'so' he"], "'", "‘’") == ["it’s ‘so’ he"]
+    assert curly(['He said "', "don't", '" and "yes".'], '"', "“”") == ["He said “", "don't", "” and “yes”."]
+    assert curly(["it's 'so' he"], "'", "‘’") == ["it’s ‘so’ he"]
     assert one(spark, quality.ellipsis("a"), a="a.... b.......") == "a…. b……."
     docs = spark.createDataFrame([(1, "aXaX\naX"), (2, None)], "doc_id long, text string")
     assert [(r.offset, r.line) for r in quality.typo_positions(docs, {"aX": "b"}).collect()] == [(0, 1), (2, 1), (5, 2)]
