@@ -1,8 +1,8 @@
 """Exact k-nearest-neighbour search, and the vector store's keyed operations.
 
-Search: vectors are dealt into slices and queries into blocks, both of bounded size and, with a scope, within each scope, so
-that a query meets only its own. Spark brings every slice and block of a scope together; a cell is one matrix product that keeps the k best
-of each query, and a window picks the k best over all cells. Nothing goes through the driver but two counts.
+Search: vectors are in slices and queries in blocks, both of bounded size, and a window picks the k best over all pairs that meet; a pair is one matrix product that keeps the k best
+of each query. With scopes, slices and blocks lie within each scope, so that a query meets only its own, and all of a scope meet. Without, slices are rings around pivots, and a query meets only
+those that the triangle inequality doesn't rule out (`pruned`).
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import spread_join
+from ..shared import cut, spread_join
 
 MEASURES = ("cosine", "dot", "euclidean", "manhattan")
 QUERY_BLOCK = 4096  # queries of a cell
 SLICE = 32_768  # vectors of a cell
+PIVOTS = 1024  # with RINGS, bounds what goes through the driver
+RINGS = 32  # of a pivot with more vectors than a slice
 DECIMALS = 9  # scores are rounded before they are ranked, so that the order of summation decides no tie
 
 
@@ -58,41 +60,206 @@ def scores(vectors, queries, measure: str):
 
 def topk(
     vectors: DataFrame, queries: DataFrame, k: int = 8, measure: str = "cosine", minimum: float | None = None, include_rejected: bool = False, id_col: str = "vec_id", vector_col: str = "embedding",
-    scope_col: str | None = None, exclude_self: bool = True, block: int = QUERY_BLOCK, slice_size: int = SLICE,
+    scope_col: str | None = None, exclude_self: bool = True, block: int = QUERY_BLOCK, slice_size: int = SLICE, report: dict | None = None,
 ) -> DataFrame:
     """query_id, id, score, rank (from 1; by score, then id) and accepted (score >= minimum) of each query's k best vectors.
 
-    With scope_col a query meets only vectors of its own scope; a null scope meets nothing. Ids keep their type. Rejected results are
-    left out unless asked for. Vectors and queries must have one dimension; rows with null or non-finite components are an error.
+    With scope_col a query meets only vectors of its own scope; a null scope meets nothing. A query meets only vectors of its own dimension, and
+    null vectors and queries meet nothing. Ids keep their type. Rejected results are left out unless asked for. Null or non-finite components are an error.
+    Without scopes, more vectors than a slice holds are searched by pivots (`pruned`); report, if given, gets how many of the slices queries have met.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure}")
     kind = vectors.schema[id_col].dataType.simpleString()
-    scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
-    columns = [F.col(id_col).cast(kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), scope.alias("scope")]
-    rows, wanted = vectors.select(*columns), queries.select(*columns)
-    total, some = rows.count(), wanted.count()
-    there = rows.groupBy("scope").agg(F.count("*").alias("n"))
-    cells = wanted.groupBy("scope").agg(F.count("*").alias("asked")).join(there, "scope")  # scopes that have both
-    cells = cells.withColumn("slices", F.ceil(F.col("n") / F.lit(float(slice_size))).cast("int")).withColumn("blocks", F.ceil(F.col("asked") / F.lit(float(block))).cast("int"))
-
-    def dealt(found: DataFrame, counts: DataFrame, size: int, own: str, number: str, other: str, numbers: str) -> DataFrame:
-        if scope_col:
-            joined = spread_join(found, cells.select("scope", "slices", "blocks"), "scope", counts, size)
+    vector = F.col(vector_col).cast("array<double>")
+    scope = F.concat_ws("|", F.size(vector), F.col(scope_col).cast("string")) if scope_col else F.size(vector).cast("string")
+    there = vector.isNotNull() & (F.col(scope_col).isNotNull() if scope_col else F.lit(True))
+    columns = [F.col(id_col).cast(kind).alias("id"), vector.alias("v"), scope.alias("scope")]
+    rows, wanted = vectors.where(there).select(*columns), queries.where(there).select(*columns)
+    least = minimum if not include_rejected else None
+    some = wanted.groupBy("scope").agg(F.count("*").alias("asked"))
+    sizes = some.limit(2).collect() if not scope_col else []
+    if len(sizes) == 1:  # one dimension
+        rows = rows.where(F.col("scope") == sizes[0].scope)
+        total = rows.count()
+        if total > slice_size:
+            out = pruned(rows.select("id", "v"), wanted.select("id", "v"), total, k, measure, least, exclude_self, block, slice_size, kind, report)
         else:
-            joined = found.withColumns({"slices": F.lit(max(1, -(-total // slice_size))), "blocks": F.lit(max(1, -(-some // block)))})
-        return joined.withColumn(own, F.pmod(F.xxhash64("id"), number).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(numbers) - 1))).select("scope", "slice", "block", "id", "v")
-
-    key = ["scope", "slice", "block"]
-    left = dealt(rows, there, total, "slice", "slices", "block", "blocks").groupBy(*key)
-    right = dealt(wanted, cells.select("scope", F.col("asked").alias("n")), some, "block", "blocks", "slice", "slices").groupBy(*key)
-    best = best_of(k, measure, minimum if not include_rejected else None, exclude_self)
-    out = left.cogroup(right).applyInArrow(best, f"query_id {kind}, id {kind}, score double")
+            out = whole(rows, wanted, total, sizes[0].asked, k, measure, least, exclude_self, block, slice_size, kind)
+    else:
+        out = scoped(rows, wanted, some, k, measure, least, exclude_self, block, slice_size, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("accepted", F.lit(True) if minimum is None else F.col("score") >= minimum)
 
 
+CELL = ["scope", "slice", "block"]
+
+
+def _dealt(found: DataFrame, own: str, number: str, other: str, numbers: str) -> DataFrame:
+    return found.withColumn(own, F.pmod(F.xxhash64("id"), number).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(numbers) - 1))).select(*CELL, "id", "v")
+
+
+def whole(rows, wanted, total, some, k, measure, minimum, exclude_self, block, slice_size, kind) -> DataFrame:
+    """Every query meets every vector of its scope; one scope."""
+    counts = {"slices": F.lit(max(1, -(-total // slice_size))), "blocks": F.lit(max(1, -(-some // block)))}
+    left, right = _dealt(rows.withColumns(counts), "slice", "slices", "block", "blocks"), _dealt(wanted.withColumns(counts), "block", "blocks", "slice", "slices")
+    return left.groupBy(*CELL).cogroup(right.groupBy(*CELL)).applyInArrow(best_of(k, measure, minimum, exclude_self), f"query_id {kind}, id {kind}, score double")
+
+
+def scoped(rows, wanted, some, k, measure, minimum, exclude_self, block, slice_size, kind) -> DataFrame:
+    """Every query meets every vector of its scope; many scopes."""
+    there = rows.groupBy("scope").agg(F.count("*").alias("n"))
+    cells = cut(some.join(there, "scope"))  # scopes that have both
+    cells = cells.withColumn("slices", F.ceil(F.col("n") / F.lit(float(slice_size))).cast("int")).withColumn("blocks", F.ceil(F.col("asked") / F.lit(float(block))).cast("int"))
+    total, asked = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    split = cells.select("scope", "slices", "blocks")
+    left = _dealt(spread_join(rows, split, "scope", cells.select("scope", "n"), total), "slice", "slices", "block", "blocks")
+    right = _dealt(spread_join(wanted, split, "scope", cells.select("scope", F.col("asked").alias("n")), asked), "block", "blocks", "slice", "slices")
+    return left.groupBy(*CELL).cogroup(right.groupBy(*CELL)).applyInArrow(best_of(k, measure, minimum, exclude_self), f"query_id {kind}, id {kind}, score double")
+
+
+class Metric:
+    """The space in which a measure's order is that of distances: unit vectors for cosine; for dot products one more component, which makes all vectors as long as the longest."""
+
+    def __init__(self, measure: str, longest: float = 0.0) -> None:
+        self.measure, self.longest = measure, longest
+
+    def placed(self, v, query: bool):
+        """Points of vectors; a zero vector under cosine has none and is left as it is."""
+        import numpy as np
+
+        if self.measure == "cosine":
+            size = np.sqrt((v * v).sum(1))
+            return v / np.where(size * size <= 1e-12, 1, size)[:, None]
+        if self.measure == "dot":
+            more = np.zeros(len(v)) if query else np.sqrt(np.maximum(0, self.longest**2 - (v * v).sum(1)))
+            return np.hstack([v, more[:, None]])
+        return v
+
+    def distances(self, points, pivots):
+        import numpy as np
+
+        if self.measure == "manhattan":
+            return np.stack([np.abs(points - p).sum(1) for p in pivots], axis=1)
+        return np.stack([np.sqrt(((points - p) ** 2).sum(1)) for p in pivots], axis=1)
+
+    def best_score(self, nearest, v):
+        """The score of vectors at distances `nearest` (queries by rings) from queries v."""
+        if self.measure == "cosine":
+            return 1 - nearest * nearest / 2
+        if self.measure == "dot":
+            scale = self.longest**2 + (v * v).sum(1)[:, None]
+            return (scale - nearest * nearest) / 2 + 1e-12 * scale  # which may cancel
+        return 1 / (1 + nearest)
+
+
+def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_size, kind, report) -> DataFrame:
+    """Every query meets the slices that can hold one of its k best vectors, by the triangle inequality.
+
+    Each vector belongs to its nearest of some pivots, and to a ring of distances from it; a ring of many vectors is several slices. A query first meets the rings that are nearest by their
+    bounds and hold k vectors. What it finds there bounds its k-th score from below, and it then meets all other rings that may hold as good a score. Vectors are moved once, and again only for every
+    further block of queries that want the same ring; vectors of rings that no query wants are not moved. Pivots and the bounds of rings go through the driver: at most PIVOTS vectors and PIVOTS * RINGS
+    rows, whatever the data.
+    """
+    import numpy as np
+
+    longest = 0.0
+    if measure == "dot":
+        longest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
+    metric = Metric(measure, longest)
+    few = min(PIVOTS, max(1, -(-2 * total // slice_size)))
+    pivots = metric.placed(np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(few).collect()]), False)
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2000):
+                part = batch.slice(begin, 2000)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                if not np.isfinite(v).all():
+                    raise ValueError("vectors must be finite")
+                found = metric.distances(metric.placed(v, False), pivots)
+                at = found.argmin(1)
+                away = found[np.arange(len(v)), at]
+                if measure == "cosine":  # zero vectors have a ring of their own
+                    zero = (v * v).sum(1) <= 1e-12
+                    at[zero], away[zero] = -1, 0
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at.astype(np.int32)), pa.array(away)], ["id", "v", "pivot", "away"])
+
+    placed = cut(rows.mapInArrow(near, f"id {kind}, v array<double>, pivot int, away double"))
+    fractions = [i / RINGS for i in range(1, RINGS)]
+    spans = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("away", fractions, 1000).alias("edges")).where(F.col("n") > slice_size)
+    edges = {r.pivot: r.edges for r in spans.collect()}
+    within = F.create_map(*(x for p, e in edges.items() for x in (F.lit(p), F.array(*map(F.lit, e))))) if edges else None
+    ring = F.coalesce(F.size(F.filter(F.element_at(within, F.col("pivot")), lambda e: e < F.col("away"))), F.lit(0)) if edges else F.lit(0)
+    placed = placed.withColumn("ring", F.when(ring > 0, ring).otherwise(0))
+    rings = placed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).orderBy("pivot", "ring").collect()
+    of, n = np.array([r.pivot for r in rings]), np.array([r.n for r in rings])
+    low, high = np.array([r.low for r in rings]), np.array([r.high for r in rings])
+    slices = [-(-r.n // slice_size) for r in rings]
+    names = [(r.pivot, r.ring) for r in rings]
+
+    def bounds(v):
+        """For queries v and rings: the best score that a ring can hold."""
+        d = metric.distances(metric.placed(v, True), pivots)[:, of]
+        nearest = np.maximum(0, np.maximum(d - high, low - d)) * (1 - 1e-9)
+        best = metric.best_score(nearest, v)
+        if measure == "cosine":
+            best[:, of == -1] = 0
+            best[(v * v).sum(1) <= 1e-12] = 0
+        return best
+
+    def visits(again: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 256):
+                    part = batch.slice(begin, 256)
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    if not np.isfinite(v).all():
+                        raise ValueError("vectors must be finite")
+                    best = bounds(v)
+                    order = np.argsort(-best, axis=1, kind="stable")
+                    held = np.cumsum(n[order], axis=1)
+                    first = np.zeros(best.shape, bool)
+                    np.put_along_axis(first, order, (held - n[order]) < k + exclude_self, axis=1)
+                    if again:
+                        floor = part.column(2).to_numpy(zero_copy_only=False)
+                        floor = np.where(np.isnan(floor), -np.inf, floor)
+                        floor = np.maximum(floor, -np.inf if minimum is None else minimum)
+                        wants = ~first & (best >= (floor - 1e-9 * np.maximum(1, np.abs(floor)) * 4)[:, None])
+                    else:
+                        wants = first
+                    q, r = np.nonzero(wants)
+                    p = [names[i] for i in r.tolist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q)), pa.array([x[0] for x in p], pa.int32()), pa.array([x[1] for x in p], pa.int32())], ["id", "v", "pivot", "ring"])
+
+        return run
+
+    counts = rows.sparkSession.createDataFrame([(p, r, s) for (p, r), s in zip(names, slices)], "pivot int, ring int, slices int")
+    schema, result = f"id {kind}, v array<double>, pivot int, ring int", f"query_id {kind}, id {kind}, score double"
+    cell = ["pivot", "ring", "slice", "block"]
+
+    def met(asked: DataFrame) -> DataFrame:
+        asked = cut(asked)
+        wants = asked.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks")).join(counts, ["pivot", "ring"])
+        if report is not None:
+            report["met"] = report.get("met", 0) + asked.count()
+        left = placed.join(F.broadcast(wants), ["pivot", "ring"]).withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = asked.join(F.broadcast(wants), ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        return left.select(*cell, "id", "v").groupBy(*cell).cogroup(right.select(*cell, "id", "v").groupBy(*cell)).applyInArrow(best_of(k, measure, minimum, exclude_self), result)
+
+    if report is not None:
+        report["all"] = len(names) * wanted.count()
+    first = cut(met(wanted.mapInArrow(visits(False), schema)))
+    kth = first.groupBy(F.col("query_id").alias("id")).agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("floor"))
+    more = met(wanted.join(kth, "id", "left").select("id", "v", "floor").mapInArrow(visits(True), schema))
+    return first.unionByName(more)
+
+
 def best_of(k: int, measure: str, minimum: float | None, exclude_self: bool):
     """Of two tables (scope, slice, block, id, v) of vectors and queries the k best vectors of each query, by score, then id."""
 
@@ -102,7 +269,10 @@ def best_of(k: int, measure: str, minimum: float | None, exclude_self: bool):
         import pyarrow.compute as pc
 
         def matrix(table):
-            flat = pc.list_flatten(table.column("v").combine_chunks()).to_numpy(zero_copy_only=False)
+            column = table.column("v").combine_chunks()
+            if len(pc.unique(pc.list_value_length(column))) > 1:
+                raise ValueError("vectors of one cell must be of one dimension")
+            flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
             found = flat.reshape(len(table), -1) if len(table) else flat.reshape(0, 0)
             if not np.isfinite(found).all():
                 raise ValueError("vectors must be finite")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunk, context, conversation, evaluate, markup, quality, retrieve, search, sync
-from ..shared import cut
+from ..shared import cut, new_folder
+from ..sources import store as versions
 from . import tables
-from .tables import LINES_SQL, NAME_SQL, SCORES_SQL, SYNC_SQL, VECTORS_SQL, read
+from .tables import LINES_SQL, NAME_SQL, PROJECTS_SQL, SCORES_SQL, SYNC_SQL, VECTORS_SQL, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,6 +80,24 @@ def vector_topk_scoped_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(TOP_SQL.format(v=VECTORS_SQL, score="1 / (1 + list_distance(qe, e))"))
+def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by pivots, in slices small enough for the table to have many."""
+    rows = tables.vectors(spark, sf_dir)
+    found = search.topk(rows, tables.queries(rows), 5, "euclidean", slice_size=64, block=8)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN CASE WHEN vec_id // 100 % 3 = 0 THEN embedding[1:32] ELSE embedding END END::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v AS q JOIN v ON len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def vector_topk_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and queries of two dimensions, and null ones: a query meets its own dimension."""
+    short = F.when(F.floor(F.col("vec_id") / 100) % 3 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, short).alias("embedding"))
+    return search.topk(rows, tables.queries(rows), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS magnitude, abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 1e-4 AS is_unit FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(V.magnitude("embedding"), 6).alias("magnitude"), V.is_normalized("embedding").alias("is_unit"))
@@ -243,8 +262,8 @@ def sync_missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.missing_sources(new.where(F.floor(F.col("id") / 100) % 3 != 0), old)
 
 
-@query(f"""WITH {SYNC_SQL}, p AS (SELECT coalesce(n.source_path, o.source_path) AS source_path, o.h AS old_hash, CASE WHEN n.id IS NULL THEN 'DELETE' WHEN n.h = o.h THEN 'REUSE' ELSE 'EMBED' END AS action FROM n FULL JOIN o ON n.id = o.id),
-c AS (SELECT source_path, count_if(action = 'REUSE') AS reused, count_if(action = 'EMBED') AS embedded, count_if(action = 'DELETE') AS deleted, count(old_hash) AS stored FROM p GROUP BY 1)
+@query(f"""WITH {SYNC_SQL}, p AS (SELECT coalesce(n.project_id, o.project_id) AS project_id, coalesce(n.source_path, o.source_path) AS source_path, o.h AS old_hash, CASE WHEN n.id IS NULL THEN 'DELETE' WHEN n.h = o.h THEN 'REUSE' ELSE 'EMBED' END AS action FROM n FULL JOIN o ON n.id = o.id),
+c AS (SELECT project_id, source_path, count_if(action = 'REUSE') AS reused, count_if(action = 'EMBED') AS embedded, count_if(action = 'DELETE') AS deleted, count(old_hash) AS stored FROM p GROUP BY 1, 2)
 SELECT *, CASE WHEN stored = 0 AND embedded > 0 THEN 'NEW' WHEN embedded + deleted > 0 THEN 'REINDEXED' ELSE 'SKIPPED' END AS state FROM c""")
 def sync_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = tables.stored_and_current(spark, sf_dir)
@@ -252,6 +271,29 @@ def sync_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.classify_sources(planned.withColumn("source_path", F.coalesce("new_path", "old_path")))
 
 
+@query(f"WITH {PROJECTS_SQL} SELECT coalesce(n.project_id, o.project_id) AS project_id, CASE WHEN n.id IS NULL THEN 'DELETE' WHEN n.h = o.h THEN 'REUSE' ELSE 'EMBED' END AS action, count(*) AS n FROM n FULL JOIN o ON n.id = o.id AND n.project_id = o.project_id GROUP BY 1, 2")
+def sync_plan_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One id in several projects is several records."""
+    old, new = tables.stored_and_current_projects(spark, sf_dir)
+    return sync.plan(new, old).groupBy("project_id", "action").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PROJECTS_SQL} SELECT project_id, id FROM o WHERE (project_id, id) NOT IN (SELECT (project_id, id) FROM n) AND (project_id, source_path) IN (SELECT (project_id, source_path) FROM n)")
+def sync_stale_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = tables.stored_and_current_projects(spark, sf_dir)
+    return sync.stale(new, old).select("project_id", "id")
+
+
+@query(f"WITH {PROJECTS_SQL} SELECT n.project_id, n.source_path, count(*) AS n, count_if(o.h = n.h) AS reused FROM n LEFT JOIN o ON n.id = o.id AND n.project_id = o.project_id GROUP BY 1, 2")
+def sync_merge_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of versions after two merges of whole projects: vectors tell which of the two has made them."""
+    old, new = tables.stored_and_current_projects(spark, sf_dir)
+    folder = new_folder(spark, "store")
+    sync.merge(spark, folder, old, lambda texts: [[1.0, 0.0]] * len(texts))
+    sync.merge(spark, folder, new, lambda texts: [[0.0, 1.0]] * len(texts), complete=True)
+    return versions.read(spark, folder).groupBy("project_id", "source_path").agg(F.count("*").alias("n"), F.count_if(F.col("vector")[0] == 1).alias("reused"))
+
+
 # ---- retrieval
 
 

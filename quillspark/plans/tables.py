@@ -68,3 +68,17 @@ def stored_and_current(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 SYNC_SQL = """d AS (SELECT doc_id AS id, source AS project_id, source || '/' || (doc_id // 100) || '.xhtml' AS source_path, sha256(coalesce(text, '')) AS h FROM documents),
 o AS (SELECT * FROM d WHERE id % 11 <> 0),
 n AS (SELECT id, project_id, source_path, CASE WHEN id % 7 = 0 THEN sha256(h || '+') ELSE h END AS h FROM d WHERE id % 13 <> 0)"""
+
+
+def stored_and_current_projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same with every id and path in two projects, of which other documents have changed, are new or are gone."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("m").alias("model"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("project_id"), F.concat(F.lit("c"), F.floor(F.col("doc_id") / 100), F.lit(".xhtml")).alias("source_path"), T.sha256_hex("text").alias("content_hash"), F.coalesce("text", F.lit("")).alias("embedding_text"))
+    old = rows.where("id % 11 <> 0 AND NOT (project_id = 'B' AND id % 17 = 0)")
+    changed = F.expr("(project_id = 'A' AND id % 7 = 0) OR (project_id = 'B' AND id % 5 = 0)")
+    new = rows.where("id % 13 <> 0 AND NOT (project_id = 'A' AND id BETWEEN 100 AND 199)")
+    return old, new.withColumn("content_hash", F.when(changed, F.sha2(F.concat("content_hash", F.lit("+")), 256)).otherwise(F.col("content_hash")))
+
+
+PROJECTS_SQL = """d AS (SELECT doc_id AS id, p AS project_id, 'c' || (doc_id // 100) || '.xhtml' AS source_path, sha256(coalesce(text, '')) AS h FROM documents, (VALUES ('A'), ('B')) AS t(p)),
+o AS (SELECT * FROM d WHERE id % 11 <> 0 AND NOT (project_id = 'B' AND id % 17 = 0)),
+n AS (SELECT id, project_id, source_path, CASE WHEN (project_id = 'A' AND id % 7 = 0) OR (project_id = 'B' AND id % 5 = 0) THEN sha256(h || '+') ELSE h END AS h FROM d WHERE id % 13 <> 0 AND NOT (project_id = 'A' AND id BETWEEN 100 AND 199))"""

@@ -5,6 +5,7 @@ import zipfile
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,8 +64,54 @@ def test_topk_ties_zero_vectors_and_blocks(spark):
     assert {r.query_id for r in search.topk(lost, lost.where("vec_id in ('v1', 'v3', 'v4')"), 4, scope_col="side").collect()} == {"v3", "v4"}  # no scope, no results
     assert search.topk(rows, rows.where("vec_id = 50"), 4, minimum=0.0001).count() == 0
     assert search.topk(rows, rows.where("vec_id < 0"), 4).count() == 0
-    with pytest.raises(Exception, match="dimension"):
-        search.topk(spark.createDataFrame([(9, [1.0])], "vec_id long, embedding array<double>"), rows.where("vec_id = 1"), 1).collect()
+    assert search.topk(spark.createDataFrame([(9, [1.0])], "vec_id long, embedding array<double>"), rows.where("vec_id = 1"), 1).isEmpty()  # of another dimension
+
+
+def brute_topk(vectors, queries, k, measure, minimum=None):
+    out = []
+    for q, w in queries:
+        same = [(i, v) for i, v in vectors if w is not None and v is not None and len(v) == len(w) and i != q]
+        if same:
+            found = np.round(search.scores(np.array([v for _, v in same]), np.array([w]), measure)[:, 0], 9)
+            best = sorted((-s, i) for (i, _), s in zip(same, found) if minimum is None or s >= minimum)[:k]
+            out += [(q, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def spread_vectors(n=600, d=6):
+    """Clusters, some far out, with zero vectors, many equal ones and ties."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, d)) * 4
+    rows = [(i, (centres[i % 12] + rng.normal(size=d) * 0.2).round(3).tolist()) for i in range(n)]
+    return rows + [(n + i, [0.0] * d) for i in range(5)] + [(n + 10 + i, [1.0] * d) for i in range(120)] + [(n + 200, (centres[3] * 9).tolist())]
+
+
+@pytest.mark.parametrize("measure", search.MEASURES)
+def test_pruned_search_is_exact_and_skips(spark, measure):
+    rows = spread_vectors()
+    asked = rows[::40] + rows[601:603] + rows[611:613] + [rows[-1]]
+    table, wanted = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+    report = {}
+    for minimum in (None, 0.9 if measure == "cosine" else 0.4):
+        found = search.topk(table, wanted, 7, measure, minimum=minimum, slice_size=32, block=4, report=report)
+        got = sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect())
+        assert got == brute_topk(rows, asked, 7, measure, minimum)
+    assert 0 < report["met"] < 2 * report["all"]
+    if measure in ("euclidean", "cosine"):
+        close = [r for r in asked if r[0] < 600]
+        report = {}
+        search.topk(table, spark.createDataFrame(close, wanted.schema), 7, measure, slice_size=32, report=report).collect()
+        assert report["met"] < 0.5 * report["all"]  # over half of the cells are skipped
+
+
+def test_search_over_mixed_dimensions_and_nulls(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 0.0]), (4, None), (5, [1.0, 0.1, 0.0]), (6, [2.0, 0.1]), (7, None), (8, [3.0])]
+    table = spark.createDataFrame([(i, v, "s" if i % 2 else None) for i, v in rows], "vec_id long, embedding array<double>, scope string")
+    got = lambda found: sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect())
+    assert got(search.topk(table, table, 3)) == brute_topk(rows, rows, 3, "cosine")
+    for i in (1, 3, 4):
+        assert got(search.topk(table, table.where(F.col("vec_id") == i), 3)) == brute_topk(rows, [r for r in rows if r[0] == i], 3, "cosine")
+    assert got(search.topk(table, table, 3, scope_col="scope")) == brute_topk([r for r in rows if r[0] % 2], [r for r in rows if r[0] % 2], 3, "cosine")
 
 
 def test_filters(spark):
