@@ -59,8 +59,8 @@ def split_chunks(chunks: DataFrame, content_col: str = "content", longest: int =
 
 
 def embedding_text(chunks: DataFrame, by: str = "source_path", order: str = "sequence") -> DataFrame:
-    """Adds embedding_text: a paragraph after the paragraph before it in its source, other types with labelled fields."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Adds embedding_text: a paragraph after the paragraph before it in its source, other types with labelled fields. Sources are told apart by project_id where chunks have it."""
+    before = Window.partitionBy(by, *(["project_id"] if "project_id" in chunks.columns else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     paragraph = F.col("type") == "PARAGRAPH"
     previous = F.last(F.when(paragraph, F.col("content")), ignorenulls=True).over(before)
     field = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c)))

@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import ranked, spread_join
+from ..sources import store as versions
+
 
 def append(messages: DataFrame, incoming: DataFrame, order_col: str = "created_at") -> DataFrame:
-    """incoming with sequence_no after the largest of its conversation in messages, in order of order_col."""
+    """incoming with sequence_no after the largest of its conversation in messages, in order of order_col.
+
+    Places are counted in ranges of (conversation_id, order_col), so a conversation of very many messages is no task's alone.
+    """
     last = messages.groupBy("conversation_id").agg(F.max("sequence_no").alias("_last"))
-    order = Window.partitionBy("conversation_id").orderBy(order_col)
-    return incoming.join(last, "conversation_id", "left").withColumn("sequence_no", F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).drop("_last")
+    counts = incoming.groupBy("conversation_id").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = ranked(incoming.drop("sequence_no"), ["conversation_id"], [F.col(order_col)], "_place")
+    return spread_join(placed, last, "conversation_id", counts, total, "left").select(*(c for c in incoming.columns if c != "sequence_no"), (F.coalesce("_last", F.lit(0)) + F.col("_place")).alias("sequence_no"))
+
+
+KEY = ("conversation_id",)
+BITS = 8  # a new log has 2 ** BITS buckets of conversations; writers of different buckets don't meet
+
+
+def append_to(spark: SparkSession, folder: str, incoming: DataFrame, order_col: str = "created_at", tries: int = 10) -> versions.Version:
+    """Append messages to a log in a store of versions, with sequence numbers that no other writer has.
+
+    The numbers after the last ones read are a claim that the commit makes good: if another writer has committed to one of these buckets of conversations since they
+    were read, all numbers are given out anew. A commit adds files and rewrites none.
+    """
+
+    def once() -> versions.Version:
+        base = versions.load(spark, folder)
+        if not base.number:
+            base.buckets = {(BITS, v): [] for v in range(1 << BITS)}
+        touched = versions.buckets_of(base, incoming, KEY)
+        if not touched:
+            return base
+        held = versions.read(spark, folder, base, touched)
+        held = incoming.where("false").select("conversation_id", F.lit(0).cast("long").alias("sequence_no")) if held is None else held
+        rows = append(held, incoming, order_col)
+        return versions.commit(spark, folder, base, touched, rows, ["conversation_id", "sequence_no"], columns=KEY, append=True)
+
+    return versions.retried(once, tries)
 
 
 def next_sequence(messages: DataFrame) -> DataFrame:

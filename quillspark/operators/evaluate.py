@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 RANK_EPSILON = 1e-7
 BINS = 256
 STEP = 16  # edges between two coarse ones
@@ -73,19 +75,42 @@ def judge_score(reply):
 
 
 def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Cases of two runs side by side with change, deltas and first ranks; a case of one run only gives change MISSING."""
-    a = baseline.select("case_id", F.col("hit").alias("old_hit"), F.col("recall").alias("old_recall"), F.col("reciprocal_rank").alias("old_mrr"))
-    b = candidate.select("case_id", F.col("hit").alias("new_hit"), F.col("recall").alias("new_recall"), F.col("reciprocal_rank").alias("new_mrr"))
-    old, new = F.col("old_hit"), F.col("new_hit")
-    change = F.when(old.isNull() | new.isNull(), "MISSING").when(~old & new, "MISS_TO_HIT").when(old & ~new, "HIT_TO_MISS").when(old, "STABLE_HIT").otherwise("STABLE_MISS")
+    """Cases of two runs side by side with change, deltas and first ranks.
+
+    A case of one run only gives change MISSING; one whose retrieval doesn't apply in either run (column applicable, where runs have it; null is no) gives NOT_APPLICABLE.
+    """
+
+    def side(run: DataFrame, name: str) -> DataFrame:
+        applies = F.coalesce("applicable", F.lit(False)) if "applicable" in run.columns else F.lit(True)
+        return run.select("case_id", applies.alias(f"{name}_applies"), F.col("hit").alias(f"{name}_hit"), F.col("recall").alias(f"{name}_recall"), F.col("reciprocal_rank").alias(f"{name}_mrr"))
+
+    a, b = side(baseline, "old"), side(candidate, "new")
+    old, new, applies = F.col("old_hit"), F.col("new_hit"), F.col("old_applies") & F.col("new_applies")
+    change = F.when(F.col("old_applies").isNull() | F.col("new_applies").isNull(), "MISSING").when(~applies | old.isNull() | new.isNull(), "NOT_APPLICABLE").when(~old & new, "MISS_TO_HIT").when(old & ~new, "HIT_TO_MISS").when(old, "STABLE_HIT").otherwise("STABLE_MISS")
     rank = lambda c: F.when(F.col(c) > 0, F.round(1 / F.col(c)).cast("int"))
     return a.join(b, "case_id", "full").select("case_id", change.alias("change"), (F.col("new_recall") - F.col("old_recall")).alias("recall_delta"), (F.col("new_mrr") - F.col("old_mrr")).alias("mrr_delta"), rank("old_mrr").alias("old_rank"), rank("new_mrr").alias("new_rank"))
 
 
+def compare_reports(baseline: DataFrame, candidate: DataFrame, datasets: tuple[str, str] | None = None) -> DataFrame:
+    """compare of two whole reports: an error if their datasets differ, a case id is blank or repeated, or a case is in one of them only."""
+    if datasets and datasets[0] != datasets[1]:
+        raise ValueError(f"reports of different datasets: {datasets[0]} and {datasets[1]}")
+    for name, run in (("baseline", baseline), ("candidate", candidate)):
+        blank = T.jtrim(F.coalesce(F.col("case_id").cast("string"), F.lit(""))) == ""
+        wrong = run.groupBy("case_id").agg(F.count("*").alias("n")).where(blank | (F.col("n") > 1)).first()
+        if wrong:
+            raise ValueError(f"{name}: case {wrong.case_id!r} is repeated or has no id")
+    found = compare(baseline, candidate)
+    lost = found.where("change = 'MISSING'").first()
+    if lost:
+        raise ValueError(f"case {lost.case_id!r} is in one report only")
+    return found
+
+
 def compare_summary(compared: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(F.col("change") == c).alias(c.lower())
     moved = (F.col("change") == "STABLE_HIT") & (F.abs("mrr_delta") > RANK_EPSILON)
-    return compared.agg(*(count(c) for c in ("MISS_TO_HIT", "HIT_TO_MISS", "STABLE_HIT", "STABLE_MISS", "MISSING")), F.count_if(moved & (F.col("mrr_delta") > 0)).alias("rank_improved"), F.count_if(moved & (F.col("mrr_delta") < 0)).alias("rank_regressed"))
+    return compared.agg(*(count(c) for c in ("MISS_TO_HIT", "HIT_TO_MISS", "STABLE_HIT", "STABLE_MISS", "NOT_APPLICABLE", "MISSING")), F.count_if(moved & (F.col("mrr_delta") > 0)).alias("rank_improved"), F.count_if(moved & (F.col("mrr_delta") < 0)).alias("rank_regressed"))
 
 
 def regression(baseline: DataFrame, current: DataFrame, datasets: tuple[str, str] | None = None) -> DataFrame:

@@ -129,10 +129,20 @@ def graph_branch(found: DataFrame, chunks: DataFrame, queries: DataFrame, edges:
     return merge_graph(found, ranked(scored, k * GRAPH_CANDIDATES), weight, k)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, edges: DataFrame, k: int, by: str = "HYBRID", profile: str = "HYBRID_V2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best chunks of each query within its project, by a retrieval mode: vectors alone, with spine neighbours, or both branches fused."""
+def retrieve(chunks: DataFrame, queries: DataFrame, edges: DataFrame, k: int, by: str = "HYBRID", profile: str = "HYBRID_V2", id_col: str = "vec_id", vector_col: str = "embedding", question_col: str | None = None, minimum: float | None = None) -> DataFrame:
+    """The k best chunks of each query within its project, by a retrieval mode: vectors alone, with spine neighbours, or both branches fused.
+
+    With question_col, a column of queries, RERANK_CANDIDATES times as many vectors are found and reranked by its words (chunks then need title and content); minimum, a score,
+    holds for reranked scores, or for those of vectors where nothing is reranked.
+    """
     branch = k * (PROFILES[profile][3] if mode(by) == "HYBRID" else 1)
-    found = cut(search.topk(chunks, queries, branch, scope_col="project_id", id_col=id_col, vector_col=vector_col).drop("accepted"))  # both branches read it
+    wide = branch * (RERANK_CANDIDATES if question_col else 1)
+    found = search.topk(chunks, queries, wide, minimum=None if question_col else minimum, scope_col="project_id", id_col=id_col, vector_col=vector_col).drop("accepted")
+    if question_col:
+        asked = queries.select(F.col(id_col).alias("query_id"), "project_id", F.coalesce(question_col, F.lit("")).alias("query_text"))
+        named = chunks.withColumnRenamed(id_col, "id") if id_col != "id" else chunks
+        found = rerank(found.join(asked.select("query_id", "project_id"), "query_id"), named, asked.drop("project_id"), branch, minimum).select("query_id", "id", "score", "rank")
+    found = cut(found)  # both branches read it
     if mode(by) == "VECTOR_ONLY":
         return found
     graph = graph_branch(found, chunks, queries, edges, branch, profile, id_col, vector_col)

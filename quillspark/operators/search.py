@@ -330,13 +330,20 @@ def find_latest(stored: DataFrame, id_col: str = "id", time_col: str = "indexed_
     return newest(stored, [id_col], time_col)
 
 
-def find(stored: DataFrame, ids: DataFrame | None = None, model: str | None = None, source_path: str | None = None, project_id=None) -> DataFrame:
-    """The records of a store by ids (a DataFrame with column id), model, source path or project, whichever are given; all of them without any."""
+def find_order(ids: DataFrame | None = None, model: str | None = None, source_path: str | None = None, project_id=None) -> list[str]:
+    """The columns by which what `find` gives for these arguments is listed: a source's records in its own order, others by project, id and model as far as these are open."""
+    order = ["sequence", "id"] if source_path is not None else ["id"] if model is not None else ["id", "model"]
+    return order if project_id is not None else [*([] if ids is not None else ["project_id"]), *order]
+
+
+def find(stored: DataFrame, ids: DataFrame | None = None, model: str | None = None, source_path: str | None = None, project_id=None, ordered: bool = False) -> DataFrame:
+    """The records of a store by ids (a DataFrame with column id), model, source path or project, whichever are given; all of them without any. Ordered: in the order of `find_order`."""
     out = stored
     for name, value in (("model", model), ("source_path", source_path), ("project_id", project_id)):
         if value is not None:
             out = out.where(F.col(name) == F.lit(value))
-    return out if ids is None else out.join(ids.select("id").distinct(), "id", "left_semi")
+    out = out if ids is None else out.join(ids.select("id").distinct(), "id", "left_semi")
+    return out.orderBy(*find_order(ids, model, source_path, project_id)) if ordered else out
 
 
 def delete(stored: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:

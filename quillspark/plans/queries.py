@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunk, context, conversation, evaluate, markup, quality, retrieve, search, sync
-from ..shared import cut, new_folder
+from ..shared import cut, new_folder, ranked
 from ..sources import store as versions
 from . import tables
 from .tables import LINES_SQL, NAME_SQL, PROJECTS_SQL, SCORES_SQL, SYNC_SQL, VECTORS_SQL, read
@@ -153,6 +153,18 @@ def vector_store_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(_store(spark, sf_dir), ids, model="b", project_id=3)
 
 
+@query(f"WITH {STORE_SQL}, t AS (SELECT *, -id AS sequence FROM st) SELECT id, 'source' AS kind, row_number() OVER (ORDER BY project_id, sequence, id) AS place FROM t WHERE label < 4 UNION ALL SELECT id, 'model', row_number() OVER (ORDER BY project_id, id) FROM t WHERE model = 'a'")
+def vector_store_find_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the listing of one source and of one model."""
+    st = _store(spark, sf_dir).withColumn("sequence", -F.col("id")).withColumn("source_path", F.when(F.col("label") < 4, "s").otherwise("t"))
+
+    def placed(kind: str, **asked) -> DataFrame:
+        found = search.find(st, **asked).withColumn("all", F.lit(1))
+        return ranked(found, ["all"], [F.col(c) for c in search.find_order(**asked)], "place").select("id", F.lit(kind).alias("kind"), F.col("place").cast("long"))
+
+    return placed("source", source_path="s").unionByName(placed("model", model="a"))
+
+
 @query(f"WITH {STORE_SQL} SELECT count(*) AS deleted FROM st WHERE model = 'a' AND label < 3")
 def vector_store_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.delete(_store(spark, sf_dir), (F.col("model") == "a") & (F.col("label") < 3))[1]
@@ -327,6 +339,15 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "id", *(F.round(c, 6).alias(c) for c in ("vector_score", "boost", "score")), "rank")
 
 
+@query(f"WITH {SCORES_SQL}, {CANDIDATES_SQL.format(k=60).replace('WHERE near', 'WHERE near AND id IN (SELECT doc_id FROM documents) AND query_id IN (SELECT doc_id FROM documents)')}, {BOOST_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z WHERE score >= 0.1) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 6")
+def retrieve_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval in one call, over vectors that have texts: ten times as many vectors, reranked by the query's words, from a score on."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"), F.col("text").alias("content"))
+    rows = tables.vectors(spark, sf_dir).join(docs, "vec_id")
+    found = retrieve.retrieve(rows, tables.queries(rows), _spine(rows), 6, "VECTOR_ONLY", question_col="content", minimum=0.1)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"SELECT item_id, CASE WHEN regexp_matches(text || CASE WHEN item_id % 3 = 0 THEN ' 어디' ELSE '' END, '{'|'.join(T.LOCATION_PHRASES)}') THEN 0.58::DOUBLE ELSE 0.30::DOUBLE END AS weight FROM benchmark")
 def rerank_intent_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.concat("text", F.when(F.col("item_id") % 3 == 0, " 어디").otherwise(""))
@@ -453,12 +474,21 @@ def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("case_id", "change", F.round("recall_delta", 6).alias("recall_delta"), F.round("mrr_delta", 6).alias("mrr_delta"), "old_rank", "new_rank")
 
 
-@query(f"{COMPARE_SQL} SELECT count_if(change = 'MISS_TO_HIT') AS miss_to_hit, count_if(change = 'HIT_TO_MISS') AS hit_to_miss, count_if(change = 'STABLE_HIT') AS stable_hit, count_if(change = 'STABLE_MISS') AS stable_miss, 0 AS missing, count_if(change = 'STABLE_HIT' AND mrr_delta > 1e-7) AS rank_improved, count_if(change = 'STABLE_HIT' AND mrr_delta < -1e-7) AS rank_regressed FROM cm")
+@query(f"{COMPARE_SQL} SELECT count_if(change = 'MISS_TO_HIT') AS miss_to_hit, count_if(change = 'HIT_TO_MISS') AS hit_to_miss, count_if(change = 'STABLE_HIT') AS stable_hit, count_if(change = 'STABLE_MISS') AS stable_miss, 0 AS not_applicable, 0 AS missing, count_if(change = 'STABLE_HIT' AND mrr_delta > 1e-7) AS rank_improved, count_if(change = 'STABLE_HIT' AND mrr_delta < -1e-7) AS rank_regressed FROM cm")
 def eval_compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.vectors(spark, sf_dir)
     return evaluate.compare_summary(evaluate.compare(_run(rows, "cosine", 5), _run(rows, "manhattan", 3)))
 
 
+@query(f"{COMPARE_SQL} SELECT case_id, CASE WHEN case_id % 300 = 0 OR case_id % 500 = 0 THEN 'NOT_APPLICABLE' ELSE change END AS change FROM cm")
+def eval_compare_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports, with cases to which retrieval doesn't apply in one of them."""
+    rows = tables.vectors(spark, sf_dir)
+    old = cut(_run(rows, "cosine", 5).withColumn("applicable", F.when(F.col("case_id") % 300 != 0, True)))
+    new = cut(_run(rows, "manhattan", 3).withColumn("applicable", F.col("case_id") % 500 != 0))
+    return evaluate.compare_reports(old, new, ("labels", "labels")).select("case_id", "change")
+
+
 @query("WITH b AS (SELECT lang AS metric, avg(quality) AS score, 0.02::DOUBLE AS tolerance FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY 1), c AS (SELECT lang AS metric, avg(quality) AS now FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 1 AND lang <> 'es' GROUP BY 1) SELECT metric, round(score, 6) AS score, round(greatest(0, score - tolerance), 6) AS floor, round(now, 6) AS \"current\", coalesce(now >= greatest(0, score - tolerance), false) AS passed FROM b LEFT JOIN c USING (metric)")
 def eval_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
@@ -502,6 +532,15 @@ def conv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.append(there, new).select("conversation_id", "created_at", "sequence_no")
 
 
+@query("SELECT conv_id AS conversation_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) AS sequence_no FROM conversations")
+def conv_sequence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence numbers in a log of versions that two writers have appended to, the even turns and then the odd ones."""
+    rows, folder = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", "role", "text"), new_folder(spark, "log")
+    for part in (0, 1):
+        conversation.append_to(spark, folder, rows.where(F.col("turn") % 2 == part), "turn")
+    return versions.read(spark, folder).select("conversation_id", "turn", "sequence_no")
+
+
 # ---- packages, pages, typography
 
 URL_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '')"

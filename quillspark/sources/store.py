@@ -144,17 +144,17 @@ def _placed(rows: DataFrame, key: list[str], buckets, columns=SOURCE) -> DataFra
     return named.join(_frame(rows.sparkSession, buckets), ["part_bits", "part_value"]).drop("_address")
 
 
-def commit(spark: SparkSession, folder: str, base: Version, touched: list[tuple[int, int]], rows: DataFrame, key: list[str], notes: dict | None = None, columns=SOURCE, bucket_rows: int = BUCKET_ROWS) -> Version:
+def commit(spark: SparkSession, folder: str, base: Version, touched: list[tuple[int, int]], rows: DataFrame, key: list[str], notes: dict | None = None, columns=SOURCE, bucket_rows: int = BUCKET_ROWS, append: bool = False) -> Version:
     """Put rows in place of all records of the touched buckets of base, as a new version.
 
     Rows must belong in these buckets. Buckets that would hold over bucket_rows are split before they are written; that count needs the keys
-    only, so what makes the rows' other columns runs once.
+    only, so what makes the rows' other columns runs once. With append the buckets keep what they have and get rows as further files, without being split.
     """
     counts = _placed(rows.select(*dict.fromkeys([*columns, *key])), key, touched, columns).groupBy("part_bits", "part_value").agg(F.count("*").alias("n")).collect()
     split = {(r.part_bits, r.part_value): r.n for r in counts}
     fresh: list[tuple[int, int]] = []
     for bits, value in touched:
-        more = min(MOST_BITS - bits, max(0, -(-split.get((bits, value), 0) // bucket_rows) - 1).bit_length())
+        more = 0 if append else min(MOST_BITS - bits, max(0, -(-split.get((bits, value), 0) // bucket_rows) - 1).bit_length())
         fresh += [(bits + more, value | i << bits) for i in range(1 << more)]
     data = f"data/{uuid.uuid4().hex}"
     # a bucket that further bits didn't part, as its source is hot and its bits are the source's, is written by several tasks
@@ -168,7 +168,7 @@ def commit(spark: SparkSession, folder: str, base: Version, touched: list[tuple[
     files, path = _fs(spark, f"{folder}/{data}")
     lengths = [d.getPath() for d in files.listStatus(path) if d.isDirectory()]
     there = {f"{data}/{d.getName()}/{v.getPath().getName()}" for d in lengths for v in files.listStatus(d)}
-    new = {(b, v): [p] if (p := f"{data}/part_bits={b}/part_value={v}") in there else [] for b, v in fresh}
+    new = {(b, v): [*(base.buckets[b, v] if append else []), p] if (p := f"{data}/part_bits={b}/part_value={v}") in there else base.buckets[b, v] if append else [] for b, v in fresh}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     newest = base
     while True:

@@ -5,7 +5,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import sync
+from quillspark.operators import conversation, evaluate, search, sync
+from quillspark.sources import releases
 from quillspark.sources import store as versions
 
 SCHEMA = "project_id string, id int, model string, source_path string, content_hash string, embedding_text string"
@@ -116,3 +117,70 @@ def test_a_file_is_put_once(spark, tmp_path):
 def test_nothing_to_merge(spark, tmp_path):
     folder = f"file://{tmp_path}/s"
     assert sync.merge(spark, folder, chunks(spark), embedder(1)).number == 0 and versions.read(spark, folder) is None
+
+
+def messages(spark, *rows):
+    return spark.createDataFrame(list(rows), "conversation_id string, created_at int, content string")
+
+
+def test_sequence_numbers_of_two_writers(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    conversation.append_to(spark, folder, messages(spark, ("a", 2, "second"), ("a", 1, "first"), ("b", 1, "other")))
+    failed = []
+
+    def write(name):
+        try:
+            conversation.append_to(spark, folder, messages(spark, *(("a", 10 + i, f"{name}{i}") for i in range(4))))
+        except Exception as e:
+            failed.append(e)
+
+    writers = [threading.Thread(target=write, args=(n,)) for n in "xy"]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert not failed
+    rows = sorted((r.sequence_no, r.content) for r in versions.read(spark, folder).where("conversation_id = 'a'").collect())
+    assert [n for n, _ in rows] == list(range(1, 11)) and [c for _, c in rows[:2]] == ["first", "second"]
+    assert sorted(c for _, c in rows[2:6]) in (["x0", "x1", "x2", "x3"], ["y0", "y1", "y2", "y3"])  # one writer's are together
+
+
+def test_numbers_of_a_hot_conversation(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("conversation_id"), (F.col("id") * 7919 % 5003).alias("created_at"))
+    old = spark.createDataFrame([("hot", 10)], "conversation_id string, sequence_no long")
+    found = conversation.append(old, rows).where("conversation_id = 'hot'")
+    got = sorted((r.created_at, r.sequence_no) for r in found.collect())
+    assert [n for _, n in got] == list(range(11, 11 + len(got)))
+
+
+def test_releases_are_written_all_or_none(spark, tmp_path):
+    folder = str(tmp_path / "r")
+    rows = lambda *ids: spark.createDataFrame([("p", i, f"v{i}") for i in ids], "project_id string, release_id string, version string").repartition(3)
+    there = lambda: sorted(p.name for p in (tmp_path / "r").glob("*/releases/*"))
+    releases.write(rows("1", "2"), folder)
+    assert there() == ["1.json", "2.json"]
+    for bad in (rows("3", "2"), rows("4", "4"), rows("5", "../6"), rows("7").withColumn("version", F.raise_error(F.lit("lost")).cast("string"))):
+        with pytest.raises(Exception):
+            releases.write(bad, folder)
+        assert there() == ["1.json", "2.json"] and not list((tmp_path / "r/_drafts").glob("*"))
+    releases.write(rows("3"), folder)
+    found = releases.read(spark, folder, "project_id string, release_id string, version string", "p")
+    assert sorted((r.release_id, r.version) for r in found.collect()) == [("1", "v1"), ("2", "v2"), ("3", "v3")]
+
+
+def test_reports_with_cases_that_do_not_apply(spark):
+    run = lambda *rows: spark.createDataFrame(list(rows), "case_id string, hit boolean, recall double, reciprocal_rank double, applicable boolean")
+    old, new = run(("a", True, 1.0, 1.0, True), ("b", None, None, None, False), ("c", False, 0.0, 0.0, None)), run(("a", False, 0.0, 0.0, True), ("b", True, 1.0, 1.0, True), ("c", True, 1.0, 0.5, True))
+    found = evaluate.compare_reports(old, new)
+    assert {r.case_id: r.change for r in found.collect()} == {"a": "HIT_TO_MISS", "b": "NOT_APPLICABLE", "c": "NOT_APPLICABLE"}
+    assert evaluate.compare_summary(found).first().not_applicable == 2
+    for one, other, what in ((old, new.where("case_id <> 'a'"), "one report only"), (old.unionByName(old), new, "repeated"), (old, new.unionByName(run((" ", True, 1.0, 1.0, True))), "no id")):
+        with pytest.raises(ValueError, match=what):
+            evaluate.compare_reports(one, other)
+    with pytest.raises(ValueError, match="datasets"):
+        evaluate.compare_reports(old, new, ("x", "y"))
+
+
+def test_orders_of_what_is_found():
+    assert search.find_order() == ["project_id", "id", "model"] and search.find_order(model="m") == ["project_id", "id"] and search.find_order(model="m", project_id=1) == ["id"]
+    assert search.find_order(source_path="s") == ["project_id", "sequence", "id"] and search.find_order(ids=0, project_id=1) == ["id", "model"]
