@@ -6,9 +6,9 @@ an arc continues clockwise to the next points whose shards have room. With slack
 add up to the number of rows, so counts are at most one apart; with slack e they are at most
 ceil((1 + e) * rows / shards) and fewer rows move when a shard joins.
 
-Only counts of cells (an arc's rows, dealt over SALTS parts so that a hot arc isn't one task) go to the driver: at most
-shards * VNODES * SALTS numbers, however large the table. They fix which ranks of a cell go
-to which shard and slot; rows get their rank from a window over their cell.
+Only counts of arcs' rows go to the driver: at most shards * VNODES numbers, however large the table. They fix which ranks of an arc go
+to which shard and slot. Rows are ranked by id, digest and size in ranges (`ranked`), so a hot arc, of one id that many rows repeat say, is no task's alone, and
+where a row goes depends on the rows alone, not on how the table is stored.
 
 Defined results. Null text has no bytes. A null id is hashed as the empty string. Rows that repeat an id sit at one
 point of the ring and overflow clockwise like others. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, ranked, read
 
 SHARDS = 24
 VNODES = 128
-SALTS = 16
 SEED = 42
 
 
@@ -38,7 +37,7 @@ def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
 
 
 def plan(points: list[tuple[int, int]], cells: dict[tuple[int, int], int], capacity: list[int]) -> list[tuple[int, int, int, int, int, int]]:
-    """(arc, salt, first rank, end rank, shard, slot of the first rank) for every run of rows that go to one shard."""
+    """(arc, part, first rank, end rank, shard, slot of the first rank) for every run of rows that go to one shard; cells are counts by (arc, part of it)."""
     out, used = [], [0] * len(capacity)
 
     def put(arc, salt, first, n, shard):
@@ -90,21 +89,20 @@ def on_ring(rows: DataFrame, id_col: str, points: list[tuple[int, int]], name: s
     return placed.mapInArrow(run, schema)
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, vnodes: int = VNODES, slack: float = 0.0, salts: int = SALTS) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 within the shard) of every row."""
     points = ring(shards, vnodes)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
-    rows = cut(on_ring(rows, "doc_id", points, "arc"))
-    cells = {(r.arc, r.salt): r["count"] for r in rows.groupBy("arc", "salt").count().collect()}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = on_ring(rows, "doc_id", points, "arc")
+    placed = cut(ranked(rows, ["arc"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")]))
+    cells = {(r.arc, 0): r["count"] for r in placed.groupBy("arc").count().collect()}
     runs = plan(points, cells, capacities(sum(cells.values()), shards, slack))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(runs, "arc int, salt int, first_rank long, end_rank long, shard int, first_slot long")
-    order = Window.partitionBy("arc", "salt").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
-    inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
-    # at most two runs for each cell and shard, whatever the table's size
-    return ranked.join(F.broadcast(table), ["arc", "salt"]).where(inside).select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("first_rank")).alias("slot"))
+    table = docs.sparkSession.createDataFrame([(arc, first, end, shard, slot) for arc, _, first, end, shard, slot in runs], "arc int, first_rank long, end_rank long, shard int, first_slot long")
+    at = F.col("rank") - 1
+    inside = (at >= F.col("first_rank")) & (at < F.col("end_rank"))
+    # at most two runs for each arc and shard, whatever the table's size
+    return placed.join(F.broadcast(table), "arc").where(inside).select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + at - F.col("first_rank")).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -526,6 +526,13 @@ def test_plan_against_row_by_row():
     assert all(v == points[a][1] for (a, s, r), v in got.items() if (a, s, r) not in where)
 
 
+def test_one_table_in_any_layout_gives_one_result(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20").withColumn("doc_id", F.lit(7).cast("long")))  # one id with several texts
+    one, other = (sorted(map(tuple, sharding.assign(docs.repartition(n, *by)).collect())) for n, by in ((3, ["doc_id"]), (7, ["text"])))
+    assert one == other and len(one) == docs.count()
+
+
 @pytest.mark.parametrize(("slack", "least", "most"), [(0.0, 0.04, 0.5), (0.25, 0.03, 0.12)])
 def test_rows_that_move_when_a_shard_joins(spark, slack, least, most):
     """1 in 25 must move to fill a 25th shard; with slack few more do, without it the exact balance costs more."""
