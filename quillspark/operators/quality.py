@@ -247,18 +247,39 @@ def aria_rule(found: DataFrame) -> DataFrame:
 RULES = {"image": image_rule, "language": language_rule, "heading": heading_rule, "link": link_rule, "table": table_rule, "aria": aria_rule}
 
 
-def accessibility(found: DataFrame, rules: list[str] | None = None, with_info: bool = False, failed: DataFrame | None = None) -> DataFrame:
+def page_rule(judge):
+    """A rule from judge(elements of a page, in order: rows with seq, parent, depth, tag, attrs, text) -> (seq, code) pairs.
+
+    A page that judge fails on has the issue VALIDATION_FAILED of that rule, and all issues of other rules; other pages are judged all the same.
+    """
+
+    def run(table):
+        import pyarrow as pa
+
+        doc, out = table.column("doc")[0].as_py(), []
+        rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
+        try:
+            out = [(doc, seq, code) for seq, code in judge([{**r, "attrs": dict(r["attrs"] or ())} for r in rows])]
+        except Exception:
+            out = [(doc, 0, "VALIDATION_FAILED")]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int32(), pa.string()))], names=["doc", "seq", "code"])
+
+    return lambda found: found.groupBy("doc").applyInArrow(run, "doc long, seq int, code string")
+
+
+def accessibility(found: DataFrame, rules: list[str] | None = None, with_info: bool = False, failed: DataFrame | None = None, more: list | None = None) -> DataFrame:
     """Distinct issues of the rules with severity and category; order them by severity, code, doc, seq.
 
-    Documents that could not be read (failed: doc, see markup.unreadable) have the one issue VALIDATION_FAILED; the others are judged all the same.
+    Documents that could not be read (failed: doc, see markup.unreadable) have the one issue VALIDATION_FAILED; the others are judged all the same. more are rules
+    besides those named, functions from elements to (doc, seq, code), such as `page_rule` makes; codes that are not in CODES are errors of category OTHER.
     """
     found = cut(found)  # every rule reads it; pages are parsed once
-    rows = _all([RULES[r](found) for r in rules or RULES])
+    rows = _all([RULES[r](found) for r in (RULES if rules is None else rules)] + [rule(found) for rule in more or ()])
     if failed is not None:
         rows = rows.join(failed.select("doc"), "doc", "left_anti").unionByName(_code(failed.withColumn("seq", F.lit(0)), "VALIDATION_FAILED"))
     rows = rows.distinct()
     value = lambda i: F.create_map(*(x for c, v in CODES.items() for x in (F.lit(c), F.lit(v[i]))))
-    rows = rows.withColumn("severity", F.element_at(value(0), F.col("code"))).withColumn("category", F.element_at(value(1), F.col("code")))
+    rows = rows.withColumn("severity", F.coalesce(F.element_at(value(0), F.col("code")), F.lit("ERROR"))).withColumn("category", F.coalesce(F.element_at(value(1), F.col("code")), F.lit("OTHER")))
     return rows if with_info else rows.where("severity <> 'INFO'")
 
 
@@ -374,6 +395,38 @@ def archive_statistics(entries: DataFrame) -> DataFrame:
     return entries.groupBy("project_id", resource_kind(F.col("path")).alias("kind")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+MEDIA_ENDINGS = {"audio": ["mp3", "m4a", "aac", "ogg", "wav"], "video": ["mp4", "webm", "m4v"]}  # fixed values
+
+
+def inspect_archives(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row an archive: its entries by kind, whether its mimetype and container are as they must be, its package's title, language and numbers, and what could not be read.
+
+    entries: see sources.files.archive_entries; parts: packages of them. An archive without container is not read further, as nothing names its package.
+    """
+    kind = resource_kind(F.col("entry"))
+    is_type, is_container = F.col("entry") == "mimetype", F.col("entry") == "META-INF/container.xml"
+    text = F.decode("content", "UTF-8")
+    rootfile = F.when(is_container, F.regexp_extract(text, "<(?:\\w+:)?rootfile\\b[^>]*?\\bfull-path\\s*=\\s*[\"']([^\"']+)", 1))
+    said = lambda test: F.coalesce(F.bool_or(F.when(is_type, test)), F.lit(False))
+    found = entries.groupBy("archive").agg(
+        F.count("*").alias("entries"), F.sum("size").alias("bytes"), *(F.count_if(kind == k).alias(f"n_{k.lower()}") for k in ("TEXT", "STYLE", "IMAGE", "FONT")), *(F.count_if(F.lower("entry").rlike(f"\\.({'|'.join(v)})$")).alias(f"n_{k}") for k, v in MEDIA_ENDINGS.items()),
+        F.bool_or(is_type).alias("mimetype_present"), said(text == "application/epub+zip").alias("mimetype_valid"), said(F.col("stored")).alias("mimetype_stored"), said(F.col("first")).alias("mimetype_first"),
+        F.bool_or(is_container).alias("container_present"), F.max(rootfile).alias("package_path"),
+    )
+    found = found.withColumn("package_path", F.when(F.col("package_path") != "", F.col("package_path")))
+    there = entries.select("archive", F.col("entry").alias("package_path"), F.lit(True).alias("package_present")).distinct()
+    value = lambda name: F.min_by(F.when((F.col("kind") == "metadata") & (F.col("a") == name), F.col("b")), F.when((F.col("kind") == "metadata") & (F.col("a") == name), F.col("position")))
+    of = parts.groupBy("archive").agg(
+        value("title").alias("title"), value("language").alias("language"), F.count_if(F.col("kind") == "manifest").alias("n_manifest"), F.count_if(F.col("kind") == "spine").alias("n_spine"),
+        F.count_if((F.col("kind") == "spine") & (F.col("b") != "no")).alias("n_linear"), F.bool_or((F.col("kind") == "manifest") & F.coalesce(F.col("c").rlike("(^|\\s)nav(\\s|$)"), F.lit(False))).alias("has_navigation"),
+        F.bool_or((F.col("kind") == "manifest") & F.coalesce(F.col("b") == "application/x-dtbncx+xml", F.lit(False))).alias("has_ncx"), F.bool_or(F.col("kind") == "error").alias("_broken"),
+    )
+    out = found.join(there, ["archive", "package_path"], "left").withColumn("package_present", F.coalesce("package_present", F.lit(False)))
+    out = out.join(of.withColumn("package_present", F.lit(True)), ["archive", "package_present"], "left")
+    issue = F.when(F.col("container_present") & F.col("package_path").isNull(), "EPUB_INSPECT_CONTAINER_READ_ERROR").when(F.col("_broken"), "EPUB_INSPECT_PACKAGE_READ_ERROR")
+    return out.select(*found.columns, "package_present", "title", "language", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_manifest", "n_spine", "n_linear")), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("has_navigation", "has_ncx")), issue.alias("issue"))
+
+
 def issue_category(file, message) -> Column:
     """Category of a checker's message by file name, then by words."""
     file, text = F.lower(F.coalesce(file, F.lit(""))), F.lower(F.coalesce(message, F.lit("")))

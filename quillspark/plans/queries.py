@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunk, context, conversation, evaluate, markup, quality, retrieve, search, sync
 from ..shared import cut, new_folder, ranked
+from ..sources import files
 from ..sources import store as versions
 from . import tables
 from .tables import LINES_SQL, NAME_SQL, PROJECTS_SQL, SCORES_SQL, SYNC_SQL, VECTORS_SQL, read
@@ -690,6 +691,38 @@ def typo_dictionary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.typo_counts(read(spark, sf_dir, "documents"), dictionary)
 
 
+@query('''WITH a AS (SELECT page_id // 10 AS n, count(*) AS pages, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1),
+f AS (SELECT *, n % 3 <> 0 AS typed, n % 4 <> 3 AS held, n % 4 <> 3 AND n % 5 <> 2 AS named, n % 7 <> 3 AS there,
+  'application/epub+zip' || CASE WHEN n % 2 = 1 THEN ' ' ELSE '' END AS mime, '<rootfile ' || CASE WHEN n % 5 = 2 THEN 'path' ELSE 'full-path' END || '="OEBPS/content.opf"/>' AS box FROM a),
+g AS (SELECT *, named AND there AS read, n % 6 = 5 AS broken FROM f)
+SELECT 'book' || n AS archive, (pages + typed::INT + held::INT + there::INT)::BIGINT AS entries, pages AS n_text, typed AS mimetype_present, typed AND n % 2 = 0 AS mimetype_valid, typed AND n % 2 = 0 AS mimetype_stored, typed AS mimetype_first,
+  held AS container_present, CASE WHEN named THEN 'OEBPS/content.opf' END AS package_path, read AS package_present, CASE WHEN read AND NOT broken THEN 'Book ' || n END AS title, CASE WHEN read AND NOT broken THEN pages ELSE 0 END AS n_manifest,
+  CASE WHEN read AND NOT broken THEN pages ELSE 0 END AS n_spine, CASE WHEN read AND NOT broken THEN pages - 1 ELSE 0 END AS n_linear, CASE WHEN held AND NOT named THEN 'EPUB_INSPECT_CONTAINER_READ_ERROR' WHEN read AND broken THEN 'EPUB_INSPECT_PACKAGE_READ_ERROR' END AS issue
+FROM g''')
+def archive_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the books of an archive each ten, with mimetype, container and package documents that are there, wrong or broken by rule."""
+    pages = read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 10).alias("n"), "page_id", "html")
+    book, name = F.concat(F.lit("book"), "n").alias("archive"), F.concat(F.lit("p"), "page_id", F.lit(".xhtml"))
+    whole = pages.groupBy("n").agg(F.sort_array(F.collect_list("page_id")).alias("ids"))
+    item = lambda i: F.concat(F.lit('<item id="i'), i, F.lit('" href="p'), i, F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
+    ref = lambda i: F.concat(F.lit('<itemref idref="i'), i, F.when(i == F.col("ids")[0], '" linear="no"/>').otherwise('"/>'))
+    joined = lambda f: F.array_join(F.transform("ids", f), "")
+    package = F.concat(F.lit("<package><metadata><title>Book "), "n", F.when(F.col("n") % 6 == 5, "</broken>").otherwise("</title>"), F.lit("</metadata><manifest>"), joined(item), F.lit("</manifest><spine>"), joined(ref), F.lit("</spine></package>"))
+    box = F.concat(F.lit("<rootfile "), F.when(F.col("n") % 5 == 2, "path").otherwise("full-path"), F.lit('="OEBPS/content.opf"/>'))
+    mime = F.concat(F.lit("application/epub+zip"), F.when(F.col("n") % 2 == 1, " ").otherwise(""))
+
+    def entry(rows: DataFrame, path, content, stored, first) -> DataFrame:
+        return rows.select(book, path.alias("entry"), F.octet_length(content).cast("long").alias("size"), stored.alias("stored"), first.alias("first"), content.cast("binary").alias("content"))
+
+    no, even = F.lit(False), F.col("n") % 2 == 0
+    entries = entry(pages, F.concat(F.lit("OEBPS/"), name), F.col("html"), no, no)
+    entries = entries.unionByName(entry(whole.where("n % 3 <> 0"), F.lit("mimetype"), mime, even, F.lit(True)))
+    entries = entries.unionByName(entry(whole.where("n % 4 <> 3"), F.lit("META-INF/container.xml"), box, no, no)).unionByName(entry(whole.where("n % 7 <> 3"), F.lit("OEBPS/content.opf"), package, no, no))
+    entries = cut(entries)  # read for the package documents, too
+    found = quality.inspect_archives(entries, files.packages(entries))
+    return found.select("archive", "entries", "n_text", "mimetype_present", "mimetype_valid", "mimetype_stored", "mimetype_first", "container_present", "package_path", "package_present", "title", "n_manifest", "n_spine", "n_linear", "issue")
+
+
 @query("WITH f AS (SELECT doc_id, source || '/' || CASE doc_id % 6 WHEN 0 THEN 'a.xhtml' WHEN 1 THEN 'b.CSS' WHEN 2 THEN 'c.woff2' WHEN 3 THEN 'd.jpg' WHEN 4 THEN 'e.js' ELSE 'mimetype' END AS path, n_chars, source FROM documents) SELECT source AS project_id, CASE WHEN path LIKE '%.xhtml' THEN 'TEXT' WHEN path LIKE '%.CSS' THEN 'STYLE' WHEN path LIKE '%.woff2' THEN 'FONT' WHEN path LIKE '%.jpg' THEN 'IMAGE' WHEN path LIKE '%.js' THEN 'SCRIPT' ELSE 'OTHER' END AS kind, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM f GROUP BY ALL")
 def archive_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("a.xhtml", "b.CSS", "c.woff2", "d.jpg", "e.js", "mimetype"))), (F.col("doc_id") % 6 + 1).cast("int"))

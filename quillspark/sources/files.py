@@ -72,7 +72,7 @@ def package_rows(content: bytes):
 
 
 def packages(entries: DataFrame) -> DataFrame:
-    """archive, kind, position, id, a, b, c (see package_rows) of the archives' package documents.
+    """archive, kind, position, id, a, b, c (see package_rows) of the archives' package documents; of one that can't be read the one row of kind error, a saying why.
 
     The package document is the first rootfile that META-INF/container.xml names; an archive without that file has the first entry that ends in .opf.
     """
@@ -83,7 +83,12 @@ def packages(entries: DataFrame) -> DataFrame:
 
         kinds = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 4]
         for batch in batches:
-            rows = [(name, *r) for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in package_rows(content)]
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    rows += [(name, *r) for r in package_rows(content)]
+                except ElementTree.ParseError as e:
+                    rows.append((name, "error", 0, None, str(e), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], [c.split()[0] for c in schema.split(", ")])
 
     named = F.regexp_extract(F.decode("content", "UTF-8"), "<(?:\\w+:)?rootfile\\b[^>]*?\\bfull-path\\s*=\\s*[\"']([^\"']+)", 1)

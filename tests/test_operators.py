@@ -515,6 +515,21 @@ def test_releases_and_categories(spark):
 # ---- sources
 
 
+def test_a_rule_that_fails_on_one_page(spark):
+    pages = spark.createDataFrame([(1, "<html lang='en'><img src='a.png'></html>"), (2, "<html lang='en'><img src='b.png'><b>bad</b></html>"), (3, "<html lang='en'><i>x</i></html>")], "page_id long, html string")
+
+    def judge(rows):
+        for r in rows:
+            if r["tag"] == "b":
+                raise RuntimeError("can't judge bold")
+            if r["tag"] == "i":
+                yield r["seq"], "ITALIC"
+
+    plain = {(r.doc, r.code) for r in quality.accessibility(markup.elements(pages), ["image"]).collect()}
+    found = {(r.doc, r.code, r.severity) for r in quality.accessibility(markup.elements(pages), ["image"], more=[quality.page_rule(judge)]).collect()}
+    assert {(d, c) for d, c, _ in found} == plain | {(2, "VALIDATION_FAILED"), (3, "ITALIC")} and {d for d, _ in plain} == {1, 2}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "text").mkdir()
     for name, content in (("a.xhtml", "<p>é</p>"), ("quiz.xhtml", "q"), (".hidden.txt", "h"), ("b.bin", "b")):
@@ -530,6 +545,8 @@ def test_sources(spark, tmp_path):
     assert sorted((r.entry, r.stored, r.first) for r in entries.collect()) == [("META-INF/container.xml", True, False), ("OEBPS/content.opf", False, False), ("a.opf", True, False), ("mimetype", True, True)]
     parts = files.packages(entries)
     assert files.manifest(parts).first().href == "a.xhtml" and files.spine(parts).first().linear is False and files.metadata(parts).first().value == "B"
+    seen = quality.inspect_archives(entries, parts).first()
+    assert (seen.entries, seen.mimetype_valid, seen.mimetype_stored, seen.mimetype_first, seen.package_path, seen.package_present, seen.title, seen.n_manifest, seen.n_spine, seen.n_linear, seen.issue) == (4, True, True, True, "OEBPS/content.opf", True, "B", 1, 1, 0, None)
     assert files.fingerprints(spark, str(tmp_path)).count() == 1 and files.latest_artifact(spark, str(tmp_path)).first().path.endswith("x.epub")
     (tmp_path / "g.json").write_text(json.dumps({"name": "d", "projectId": "p", "cases": [{"id": "1", "question": "q", "expectedDocuments": ["a\\b.xhtml", "a/b.xhtml", "quiz.xhtml"]}, {"id": "2", "type": "NO_ANSWER", "question": "r"}]}))
     assert sorted((r.case_id, r.type, r.expected_documents) for r in files.golden_cases(spark, str(tmp_path / "g.json")).collect()) == [("1", "ANSWERABLE", ["a/b.xhtml"]), ("2", "NO_ANSWER", [])]
