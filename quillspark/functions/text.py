@@ -13,7 +13,7 @@ TITLE_BRACKETS = [("『", "』"), ("「", "」"), ("《", "》")]
 EXTRA_PUNCTUATION = "·ㆍ『』「」《》“”‘’"
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
-BREAKS = "[\\p{Punct} \\t\\n\\x0B\\f\\r" + EXTRA_PUNCTUATION + "]+"  # punctuation and white space
+BREAKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + EXTRA_PUNCTUATION + " \t\n\x0b\f\r"  # punctuation and white space; character by character, which is quicker than a class
 
 
 def jtrim(c) -> Column:
@@ -27,12 +27,12 @@ def _filled(c) -> Column:
 
 def normalize_tokens(c) -> Column:
     """Lower case, punctuation as space, white space collapsed."""
-    return jtrim(F.regexp_replace(F.lower(_filled(c)), BREAKS, " "))
+    return jtrim(F.regexp_replace(F.translate(F.lower(_filled(c)), BREAKS, " " * len(BREAKS)), " {2,}", " "))
 
 
 def normalize_match(c) -> Column:
     """Lower case without punctuation and white space."""
-    return F.regexp_replace(F.lower(_filled(c)), BREAKS, "")
+    return F.translate(F.lower(_filled(c)), BREAKS, "")
 
 
 def keywords(c) -> Column:
