@@ -40,12 +40,13 @@ def mark() -> int:
     return len(_made)
 
 
-def discard(spark: SparkSession, since: int = 0) -> None:
-    """Delete what has been written on the way since a mark, or ever. Results that read it and have not been written elsewhere are lost with it."""
-    for folder in _made[since:]:
+def discard(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete what has been written on the way since a mark, or ever, but for the last ones. Results that read it and have not been written elsewhere are lost with it."""
+    until = len(_made) - but
+    for folder in _made[since:until]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:]
+    del _made[since:until]
 
 
 def cut(df: DataFrame) -> DataFrame:
