@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shared import FEW, PARTS, cut, discard, mark, new_folder, ranked, running, session_dir, spread_join  # noqa: F401
 
+FILE_EDGES = 65_536
 TOKENIZER_DIR = None  # None: the installed public_tokenizers package
 
 
@@ -73,15 +74,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Connected components of an edge list: (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star rounds. A round deals each edge out once for either star; a hub's edges stay where they are
-    and meet its one minimum as a literal, so no node is gathered in one task, however many edges it has. Nodes without
-    an edge are not returned. An empty edge list gives an empty result.
+    and meet its one minimum as a literal, so no node is gathered in one task, however many edges it has. Edges never grow in number, so few of them are written as
+    few files, of at most FILE_EDGES each; a round's tables go when the next one's are there. Nodes without an edge are not returned. An empty edge list gives an empty result.
     """
+    first = mark()
     pairs, seen = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()), None
+    files = max(1, -(-pairs.count() // FILE_EDGES))
     for _ in range(most_rounds):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(files))
         small = nearest(large)
-        pairs = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        pairs = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
+        discard(pairs.sparkSession, first, but=1)
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
