@@ -1,6 +1,6 @@
 """Exact k-nearest-neighbour search, and the vector store's keyed operations.
 
-Search: vectors are in slices and queries in blocks, both of bounded size, and a window picks the k best over all pairs that meet; a pair is one matrix product that keeps the k best
+Search: vectors are in slices and queries in blocks, both of bounded size, and a window picks the k best over all pairs that meet; a pair is a row of small matrix products that keeps the k best
 of each query. With scopes, slices and blocks lie within each scope, so that a query meets only its own, and all of a scope meet. Without, slices are rings around pivots, and a query meets only
 those that the triangle inequality doesn't rule out (`pruned`).
 """
@@ -17,6 +17,9 @@ QUERY_BLOCK = 4096  # queries of a cell
 SLICE = 32_768  # vectors of a cell
 PIVOTS = 1024  # with RINGS, bounds what goes through the driver
 RINGS = 32  # of a pivot with more vectors than a slice
+BUNDLE = 8192  # vectors of the rings that one task takes together
+TILE = 1024  # vectors of a matrix product
+ASKED = 256  # queries of a matrix product
 DECIMALS = 9  # scores are rounded before they are ranked, so that the order of summation decides no tie
 
 
@@ -51,6 +54,8 @@ def scores(vectors, queries, measure: str):
                 out = np.clip(out / np.sqrt(a)[:, None] / np.sqrt(b)[None, :], -1, 1)
             out[zero] = 0
         return out
+    if len(vectors) < len(queries):
+        return scores(queries, vectors, measure).T
     out = np.empty((len(vectors), len(queries)))
     for i, q in enumerate(queries):
         d = vectors - q
@@ -144,6 +149,17 @@ class Metric:
             return np.stack([np.abs(points - p).sum(1) for p in pivots], axis=1)
         return np.stack([np.sqrt(((points - p) ** 2).sum(1)) for p in pivots], axis=1)
 
+    def nearest(self, points, pivots):
+        """A near pivot of each point, and the distance from that. Which of almost equally near ones is open, the distance is exact."""
+        import numpy as np
+
+        if self.measure == "manhattan":
+            found = self.distances(points, pivots)
+            at = found.argmin(1)
+            return at, found[np.arange(len(points)), at]
+        at = (points @ pivots.T - (pivots * pivots).sum(1) / 2).argmax(1)
+        return at, np.sqrt(((points - pivots[at]) ** 2).sum(1))
+
     def best_score(self, nearest, v):
         """The score of vectors at distances `nearest` (queries by rings) from queries v."""
         if self.measure == "cosine":
@@ -157,10 +173,11 @@ class Metric:
 def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_size, kind, report) -> DataFrame:
     """Every query meets the slices that can hold one of its k best vectors, by the triangle inequality.
 
-    Each vector belongs to its nearest of some pivots, and to a ring of distances from it; a ring of many vectors is several slices. A query first meets the rings that are nearest by their
-    bounds and hold k vectors. What it finds there bounds its k-th score from below, and it then meets all other rings that may hold as good a score. Vectors are moved once, and again only for every
-    further block of queries that want the same ring; vectors of rings that no query wants are not moved. Pivots and the bounds of rings go through the driver: at most PIVOTS vectors and PIVOTS * RINGS
-    rows, whatever the data.
+    Each vector belongs to its nearest of some pivots, and to a ring of distances from it. A query first meets the rings that are nearest by their
+    bounds and hold k vectors. What it finds there bounds its k-th score from below, and it then meets all other rings that may hold as good a score. Rings next to one another are bundled, so that
+    small ones cost no task each: a query goes once to a bundle, with the numbers of the rings there that it meets, and vectors are moved once for each QUERY_BLOCK queries of their bundle (or block, if
+    that is more). Vectors of bundles that no query wants are not moved; a ring of many vectors is several bundles. Pivots and the bounds of rings go through the driver: at most PIVOTS vectors and
+    PIVOTS * RINGS rows, whatever the data.
     """
     import numpy as np
 
@@ -180,9 +197,7 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
                 v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 if not np.isfinite(v).all():
                     raise ValueError("vectors must be finite")
-                found = metric.distances(metric.placed(v, False), pivots)
-                at = found.argmin(1)
-                away = found[np.arange(len(v)), at]
+                at, away = metric.nearest(metric.placed(v, False), pivots)
                 if measure == "cosine":  # zero vectors have a ring of their own
                     zero = (v * v).sum(1) <= 1e-12
                     at[zero], away[zero] = -1, 0
@@ -198,8 +213,16 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
     rings = placed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).orderBy("pivot", "ring").collect()
     of, n = np.array([r.pivot for r in rings]), np.array([r.n for r in rings])
     low, high = np.array([r.low for r in rings]), np.array([r.high for r in rings])
-    slices = [-(-r.n // slice_size) for r in rings]
-    names = [(r.pivot, r.ring) for r in rings]
+    parts = -(-n // BUNDLE)
+    base, room, bundles = [], 0, 0  # a ring's first bundle; room left in the last one
+    for r, p in zip(rings, parts.tolist()):
+        if p > 1 or r.n > room:
+            base.append(bundles)
+            bundles, room = bundles + p, 0 if p > 1 else BUNDLE - r.n
+        else:
+            base.append(bundles - 1)
+            room -= r.n
+    base = np.array(base)
 
     def bounds(v):
         """For queries v and rings: the best score that a ring can hold."""
@@ -211,13 +234,15 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
             best[(v * v).sum(1) <= 1e-12] = 0
         return best
 
+    at_once = max(1, min(ASKED, 2**20 // len(rings), 2**16 // bundles))  # bounds what a task holds
+
     def visits(again: bool):
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                for begin in range(0, batch.num_rows, 256):
-                    part = batch.slice(begin, 256)
+                for begin in range(0, batch.num_rows, at_once):
+                    part = batch.slice(begin, at_once)
                     v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     if not np.isfinite(v).all():
                         raise ValueError("vectors must be finite")
@@ -234,26 +259,33 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
                     else:
                         wants = first
                     q, r = np.nonzero(wants)
-                    p = [names[i] for i in r.tolist()]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q)), pa.array([x[0] for x in p], pa.int32()), pa.array([x[1] for x in p], pa.int32())], ["id", "v", "pivot", "ring"])
+                    starts = np.flatnonzero(np.diff(q * bundles + base[r], prepend=-1))  # rings of a bundle are next to one another
+                    met = pa.ListArray.from_arrays(pa.array(np.append(starts, len(r)).astype(np.int32)), pa.array(r.astype(np.int32)))
+                    copies = parts[r[starts]]
+                    several = np.repeat(np.arange(len(starts)), copies)
+                    number = np.arange(len(several)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    who = pa.array(q[starts][several])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array((base[r[starts]][several] + number).astype(np.int32)), met.take(pa.array(several))], ["id", "v", "bundle", "rings"])
 
         return run
 
-    counts = rows.sparkSession.createDataFrame([(p, r, s) for (p, r), s in zip(names, slices)], "pivot int, ring int, slices int")
-    schema, result = f"id {kind}, v array<double>, pivot int, ring int", f"query_id {kind}, id {kind}, score double"
-    cell = ["pivot", "ring", "slice", "block"]
+    layout = [(r.pivot, r.ring, i, b, p) for i, (r, b, p) in enumerate(zip(rings, base.tolist(), parts.tolist()))]
+    layout = F.broadcast(rows.sparkSession.createDataFrame(layout, "pivot int, ring int, number int, base int, parts int"))
+    bundled = placed.join(layout, ["pivot", "ring"]).withColumn("bundle", (F.col("base") + F.pmod(F.xxhash64("id"), "parts")).cast("int")).select("bundle", "number", "id", "v")
+    schema, result = f"id {kind}, v array<double>, bundle int, rings array<int>", f"query_id {kind}, id {kind}, score double"
+    cell = ["bundle", "block"]
 
     def met(asked: DataFrame) -> DataFrame:
         asked = cut(asked)
-        wants = asked.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks")).join(counts, ["pivot", "ring"])
+        wants = F.broadcast(asked.groupBy("bundle").agg(F.ceil(F.count("*") / F.lit(float(max(block, QUERY_BLOCK)))).cast("int").alias("blocks")))
         if report is not None:
-            report["met"] = report.get("met", 0) + asked.count()
-        left = placed.join(F.broadcast(wants), ["pivot", "ring"]).withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        right = asked.join(F.broadcast(wants), ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        return left.select(*cell, "id", "v").groupBy(*cell).cogroup(right.select(*cell, "id", "v").groupBy(*cell)).applyInArrow(best_of(k, measure, minimum, exclude_self), result)
+            report["met"] = report.get("met", 0) + asked.agg(F.coalesce(F.sum(F.size("rings")), F.lit(0))).first()[0]
+        left = bundled.join(wants, "bundle").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = asked.join(wants, "bundle").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        return left.select(*cell, "number", "id", "v").groupBy(*cell).cogroup(right.select(*cell, "rings", "id", "v").groupBy(*cell)).applyInArrow(best_of(k, measure, minimum, exclude_self), result)
 
     if report is not None:
-        report["all"] = len(names) * wanted.count()
+        report["all"] = len(rings) * wanted.count()
     first = cut(met(wanted.mapInArrow(visits(False), schema)))
     kth = first.groupBy(F.col("query_id").alias("id")).agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("floor"))
     more = met(wanted.join(kth, "id", "left").select("id", "v", "floor").mapInArrow(visits(True), schema))
@@ -261,7 +293,10 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
 
 
 def best_of(k: int, measure: str, minimum: float | None, exclude_self: bool):
-    """Of two tables (scope, slice, block, id, v) of vectors and queries the k best vectors of each query, by score, then id."""
+    """Of two tables of vectors and queries (id, v) the k best vectors of each query, by score, then id.
+
+    Where queries have rings, a query meets only vectors whose number is among them. A product is of TILE vectors and ASKED queries, whatever the tables' sizes.
+    """
 
     def run(left, right):
         import numpy as np
@@ -281,28 +316,56 @@ def best_of(k: int, measure: str, minimum: float | None, exclude_self: bool):
         left = left.sort_by("id")
         ids, asked = left.column("id").combine_chunks(), right.column("id").combine_chunks()
         vectors, wanted = matrix(left), matrix(right)
+        if len(ids) and len(asked) and vectors.shape[1] != wanted.shape[1]:
+            raise ValueError("vectors must be of the queries' dimension")
+        places = np.arange(len(ids))  # in the order of ids
+        rings = "rings" in right.column_names
+        if rings:
+            names, ring = np.unique(left.column("number").to_numpy(), return_inverse=True)
+            places = np.argsort(ring, kind="stable")
+        if exclude_self:
+            known = ids.dictionary_encode(null_encoding="encode")
+            code, own = known.indices.to_numpy(zero_copy_only=False), pc.fill_null(pc.index_in(asked, known.dictionary), -1).to_numpy(zero_copy_only=False)
         numbers, queries, values = [], [], []
-        if len(ids) and len(asked):
-            if vectors.shape[1] != wanted.shape[1]:
-                raise ValueError("vectors must be of the queries' dimension")
-            own = pc.index_in(asked, ids).to_numpy(zero_copy_only=False) if exclude_self else None
-            for begin in range(0, len(asked), 256):
-                found = np.round(scores(vectors, wanted[begin : begin + 256], measure), DECIMALS)
+        for begin in range(0, len(asked) if len(ids) else 0, ASKED):
+            some = wanted[begin : begin + ASKED]
+            best, at = np.full((len(some), k), -np.inf), np.full((len(some), k), len(ids))
+            if rings:
+                lists = right.column("rings").slice(begin, ASKED).combine_chunks()
+                which, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+                there = np.searchsorted(names, flat)
+                held = names[np.minimum(there, len(names) - 1)] == flat  # a part of a ring may have no vectors
+                meets = np.zeros((len(some), len(names)), bool)
+                meets[which[held], there[held]] = True
+            for start in range(0, len(ids), TILE):
+                tile = places[start : start + TILE]
+                q = np.flatnonzero(meets[:, ring[tile[0]] : ring[tile[-1]] + 1].any(1)) if rings else np.arange(len(some))
+                if not len(q):
+                    continue
+                found = np.round(scores(vectors[tile], some[q], measure), DECIMALS).T
+                if rings:
+                    found[~meets[q][:, ring[tile]]] = -np.inf
                 if exclude_self:
-                    same = own[begin : begin + 256]
-                    for q in np.flatnonzero(~np.isnan(same.astype(float))):
-                        at = int(same[q])
-                        while at < len(ids) and ids[at] == asked[begin + int(q)]:
-                            found[at, q] = -np.inf
-                            at += 1
+                    found[own[begin : begin + ASKED][q][:, None] == code[tile]] = -np.inf
                 if minimum is not None:
                     found[found < minimum] = -np.inf
-                order = np.argsort(-found, axis=0, kind="stable")[:k]  # ids ascend, so equal scores stay in their order
-                top = np.take_along_axis(found, order, axis=0)
-                i, q = np.nonzero(np.isfinite(top))
-                numbers.append(order[i, q])
-                queries.append(begin + q)
-                values.append(top[i, q])
+                floor = best[q, k - 1]
+                if len(tile) > k:
+                    floor = np.maximum(floor, np.partition(found, len(tile) - k, axis=1)[:, len(tile) - k])
+                i, j = np.nonzero((found >= floor[:, None]) & (found > -np.inf))
+                if not len(i):
+                    continue
+                new, i, score = np.unique(i), np.searchsorted(np.unique(i), i), found[i, j]
+                q = q[new]
+                who, score, place = np.append(i, np.repeat(np.arange(len(q)), k)), np.append(score, best[q].ravel()), np.append(tile[j], at[q].ravel())
+                order = np.lexsort((place, -score, who))
+                each = np.bincount(who)
+                order = order[np.arange(len(order)) - np.repeat(np.cumsum(each) - each, each) < k]
+                best[q], at[q] = score[order].reshape(-1, k), place[order].reshape(-1, k)
+            q, i = np.nonzero(best > -np.inf)
+            numbers.append(at[q, i])
+            queries.append(begin + q)
+            values.append(best[q, i])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({"query_id": asked.take(pa.array(join(queries, np.int64))), "id": ids.take(pa.array(join(numbers, np.int64))), "score": pa.array(join(values, np.float64))})
 

@@ -104,6 +104,30 @@ def test_pruned_search_is_exact_and_skips(spark, measure):
         assert report["met"] < 0.5 * report["all"]  # over half of the cells are skipped
 
 
+def test_pruned_search_sends_a_query_once_to_a_bundle(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).round(3).tolist()) for i in range(2000)]  # without clusters, so that queries meet most rings
+    asked, sent = rows[::5], []
+    monkeypatch.setattr(search, "cut", lambda df, cut=search.cut: sent.append(cut(df)) or sent[-1])
+    table, wanted = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+    report = {}
+    found = search.topk(table, wanted, 7, "euclidean", slice_size=8, block=4, report=report)
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect()) == brute_topk(rows, asked, 7, "euclidean")
+    assert report["met"] > 0.3 * report["all"] > 10_000
+    assert max(t.count() for t in sent) <= 7 * len(asked)  # one row for each query's bundle or result
+
+
+@pytest.mark.parametrize("measure", search.MEASURES)
+def test_rings_over_many_bundles(spark, monkeypatch, measure):
+    monkeypatch.setattr(search, "BUNDLE", 50)
+    monkeypatch.setattr(search, "TILE", 16)
+    rows = spread_vectors(200)
+    asked = rows[::20] + rows[201:203] + rows[211:213]
+    table, wanted = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+    found = search.topk(table, wanted, 7, measure, slice_size=32)
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect()) == brute_topk(rows, asked, 7, measure)
+
+
 def test_search_over_mixed_dimensions_and_nulls(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 0.0]), (4, None), (5, [1.0, 0.1, 0.0]), (6, [2.0, 0.1]), (7, None), (8, [3.0])]
     table = spark.createDataFrame([(i, v, "s" if i % 2 else None) for i, v in rows], "vec_id long, embedding array<double>, scope string")
