@@ -129,8 +129,12 @@ def text_rows(text: str):
 ROW_READERS = {"CSS": css_rows, "TEXT": text_rows, "MARKDOWN": text_rows, "JSON": text_rows}  # kinds without a tree
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Every element of every page: doc, seq (document order), parent, depth, tag, attrs, text (of elements that carry text)."""
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
+    """Every element of every page: doc, seq (document order), parent, depth, tag, attrs, text (of elements that carry text).
+
+    Character references are decoded as browsers do, or, if names are given, only these, with their semicolon.
+    """
+    other = re.compile(f"&(?!(?:{'|'.join(map(re.escape, references))});)") if references else None
 
     def run(batches):
         import pyarrow as pa
@@ -139,7 +143,8 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         for batch in batches:
             for begin in range(0, batch.num_rows, 200):
                 part = batch.slice(begin, 200)
-                rows = [r for doc, markup in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in element_rows(doc, markup or "")]
+                read = zip(part.column(0).to_pylist(), (other.sub("&amp;", m) if other and m else m for m in part.column(1).to_pylist()))
+                rows = [r for doc, markup in read for r in element_rows(doc, markup or "")]
                 columns = zip(*rows) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in ELEMENTS.split(", ")])
 

@@ -577,3 +577,10 @@ def test_sources(spark, tmp_path):
     files.write_json(spark.range(1), str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exist"):
         files.write_json(spark.range(1), str(tmp_path / "out"))
+
+
+def test_references_of_some_names_only(spark):
+    pages = spark.createDataFrame([(1, "<h1>a &amp;&lt; &quot;b&quot; &#65; &amp;amp; c&amp;&amp</h1>"), (2, None)], "page_id long, html string")
+    text = lambda **more: [r.text for r in markup.headings(markup.elements(pages, **more)).collect()]
+    assert text(references=("lt", "gt", "amp")) == ["a &< &quot;b&quot; &#65; &amp; c&&amp"]
+    assert text() == ['a &< "b" A &amp; c&&']
