@@ -128,6 +128,23 @@ def test_rings_over_many_bundles(spark, monkeypatch, measure):
     assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect()) == brute_topk(rows, asked, 7, measure)
 
 
+@pytest.mark.parametrize("measure", search.MEASURES)
+def test_a_cell_of_any_size_is_searched_in_little_memory(measure):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    table = lambda n: pa.table({"id": np.arange(n), "v": pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=4 * n)), 4).cast(pa.list_(pa.float64()))})
+    left, right = table(30_000), table(300)
+    tracemalloc.start()
+    found = search.best_of(3, measure, None, True)(left, right)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(found) == 900
+    assert peak < 30  # MB; scores of all pairs take 72
+
+
 def test_search_over_mixed_dimensions_and_nulls(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 0.0]), (4, None), (5, [1.0, 0.1, 0.0]), (6, [2.0, 0.1]), (7, None), (8, [3.0])]
     table = spark.createDataFrame([(i, v, "s" if i % 2 else None) for i, v in rows], "vec_id long, embedding array<double>, scope string")
