@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 262_144
+FILE_ROWS = 32_768  # of a bucket's file, so that a writing task sorts no more
 SOURCE_BITS = 32
 MOST_BITS = 60
 SOURCE = ("project_id", "source_path")
@@ -121,6 +122,7 @@ def buckets_of(version: Version, sources: DataFrame, columns=SOURCE) -> list[tup
     """The buckets that records of these sources are in or belong in."""
     held = _frame(sources.sparkSession, version.buckets).withColumn("low", F.least("part_bits", F.lit(SOURCE_BITS)))
     held = held.withColumn("ends", F.col("part_value").bitwiseAND(_mask(F.col("low"))))
+    held = F.broadcast(held)
     asked = sources.select(*columns).distinct().select(source_hash(columns).alias("_hash"), F.explode(F.array(*(F.lit(x) for x in sorted({min(b, SOURCE_BITS) for b, _ in version.buckets})))).alias("low"))
     found = asked.withColumn("ends", F.col("_hash").bitwiseAND(_mask(F.col("low")))).join(held, ["low", "ends"])
     return [(r.part_bits, r.part_value) for r in found.select("part_bits", "part_value").distinct().collect()]  # at most the buckets of the commit's file
@@ -141,35 +143,45 @@ def _placed(rows: DataFrame, key: list[str], buckets, columns=SOURCE) -> DataFra
     lengths = F.array(*(F.lit(x) for x in sorted({b for b, _ in buckets})))
     named = rows.withColumn("_address", address(key, columns)).withColumn("part_bits", F.explode(lengths))
     named = named.withColumn("part_value", F.col("_address").bitwiseAND(_mask(F.col("part_bits"))))
-    return named.join(_frame(rows.sparkSession, buckets), ["part_bits", "part_value"]).drop("_address")
+    return named.join(F.broadcast(_frame(rows.sparkSession, buckets)), ["part_bits", "part_value"]).drop("_address")
 
 
-def commit(spark: SparkSession, folder: str, base: Version, touched: list[tuple[int, int]], rows: DataFrame, key: list[str], notes: dict | None = None, columns=SOURCE, bucket_rows: int = BUCKET_ROWS, append: bool = False) -> Version:
+def commit(
+    spark: SparkSession, folder: str, base: Version, touched: list[tuple[int, int]], rows: DataFrame, key: list[str], notes: dict | None = None, columns=SOURCE, bucket_rows: int = BUCKET_ROWS,
+    append: bool = False, keys: DataFrame | None = None, settle=None,
+) -> Version:
     """Put rows in place of all records of the touched buckets of base, as a new version.
 
     Rows must belong in these buckets. Buckets that would hold over bucket_rows are split before they are written; that count needs the keys
     only, so what makes the rows' other columns runs once. With append the buckets keep what they have and get rows as further files, without being split.
+
+    settle, if given, makes records of rows once all rows of a key are in one task, which they go to once; it gets rows and the columns by which they are dealt, which it must keep.
+    keys are then the sources and keys of the records that it makes.
     """
-    counts = _placed(rows.select(*dict.fromkeys([*columns, *key])), key, touched, columns).groupBy("part_bits", "part_value").agg(F.count("*").alias("n")).collect()
+    counted = (rows if keys is None else keys).select(*dict.fromkeys([*columns, *key]))
+    counts = _placed(counted, key, touched, columns).groupBy("part_bits", "part_value").agg(F.count("*").alias("n")).collect()
     split = {(r.part_bits, r.part_value): r.n for r in counts}
     fresh: list[tuple[int, int]] = []
     for bits, value in touched:
         more = 0 if append else min(MOST_BITS - bits, max(0, -(-split.get((bits, value), 0) // bucket_rows) - 1).bit_length())
         fresh += [(bits + more, value | i << bits) for i in range(1 << more)]
     data = f"data/{uuid.uuid4().hex}"
-    # a bucket that further bits didn't part, as its source is hot and its bits are the source's, is written by several tasks
-    files_of = F.lit(1)
-    if any(n > bucket_rows for n in split.values()):
-        left = _placed(rows.select(*dict.fromkeys([*columns, *key])), key, fresh, columns).groupBy("part_bits", "part_value").agg(F.count("*").alias("n")).where(F.col("n") > 2 * bucket_rows).collect()
-        for r in left:
-            files_of = F.when((F.col("part_bits") == r.part_bits) & (F.col("part_value") == r.part_value), F.lit(-(-r.n // bucket_rows))).otherwise(files_of)
-    placed = _placed(rows, key, fresh, columns).withColumn("_file", F.pmod(F.xxhash64(*key, F.lit(1)), files_of))
-    placed.repartition("part_bits", "part_value", "_file").drop("_file").write.partitionBy("part_bits", "part_value").parquet(f"{folder}/{data}")
+    # a bucket of many rows, as one that further bits didn't part since its source is hot, is written by several tasks
+    several, most = [], min(FILE_ROWS, bucket_rows)
+    if any(n > most for n in split.values()):
+        left = _placed(counted, key, fresh, columns).groupBy("part_bits", "part_value").agg(F.count("*").alias("n")).where(F.col("n") > min(FILE_ROWS, 2 * bucket_rows)).collect()
+        several = [(r.part_bits, r.part_value, -(-r.n // most)) for r in left]
+    dealt = ["part_bits", "part_value", "_file"]
+    files_of = F.broadcast(spark.createDataFrame(several, "part_bits int, part_value long, _files int"))
+    placed = _placed(rows, key, fresh, columns).join(files_of, dealt[:2], "left").withColumn("_file", F.pmod(F.xxhash64(*key, F.lit(1)), F.coalesce("_files", F.lit(1)))).drop("_files").repartition(*dealt)
+    placed = settle(placed, dealt) if settle else placed
+    fields = [f for f in placed.schema if f.name not in dealt]
+    placed.drop("_file").write.partitionBy("part_bits", "part_value").option("compression", "zstd").parquet(f"{folder}/{data}")
     files, path = _fs(spark, f"{folder}/{data}")
     lengths = [d.getPath() for d in files.listStatus(path) if d.isDirectory()]
     there = {f"{data}/{d.getName()}/{v.getPath().getName()}" for d in lengths for v in files.listStatus(d)}
     new = {(b, v): [*(base.buckets[b, v] if append else []), p] if (p := f"{data}/part_bits={b}/part_value={v}") in there else base.buckets[b, v] if append else [] for b, v in fresh}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     newest = base
     while True:
         kept = {b: paths for b, paths in newest.buckets.items() if b not in set(touched)}

@@ -184,3 +184,27 @@ def test_reports_with_cases_that_do_not_apply(spark):
 def test_orders_of_what_is_found():
     assert search.find_order() == ["project_id", "id", "model"] and search.find_order(model="m") == ["project_id", "id"] and search.find_order(model="m", project_id=1) == ["id"]
     assert search.find_order(source_path="s") == ["project_id", "sequence", "id"] and search.find_order(ids=0, project_id=1) == ["id", "model"]
+
+
+def test_merge_moves_records_once_and_embeds_what_changed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "FILE_ROWS", 40)
+    schema = "project_id string, source_path string, id long, model string, content_hash string, embedding_text string"
+    old = [("A", f"s{i % 5}", i, "m", f"h{i}", f"old {i}") for i in range(300)] + [("B", "s1", i, "m", f"h{i}", f"B {i}") for i in range(20)]
+    # s0 is not asked; of the others every 7th has changed, every 11th is gone; one has moved to another source, one is of a source not asked and comes with another too
+    new = [(p, s, i, m, h + "+" if i % 7 == 0 else h, f"new {i}") for p, s, i, m, h, _ in old[:300] if s != "s0" and i % 11]
+    new = [("A", "s2", *r[2:]) if r[2] == 1 else r for r in new] + [("A", "s3", 5, "m", "other", "new 5"), ("A", "s9", 999, "m", "h", "new 999")]
+    folder, table = f"file://{tmp_path}/store", lambda rows: spark.createDataFrame(rows, schema)
+    sync.merge(spark, folder, table(old), lambda texts: [[1.0, 0.0]] * len(texts))
+
+    def second(texts):
+        assert all(t.startswith("new") and (int(t[4:]) % 7 == 0 or int(t[4:]) in (5, 999)) for t in texts)
+        return [[0.0, 1.0]] * len(texts)
+
+    sync.merge(spark, folder, table(new), second)
+    keys = {(p, i): h for p, _, i, _, h, _ in new}
+    want = [(*r, 1.0) for r in old if r[0] == "B" or r[1] == "s0" or keys.get((r[0], r[2])) == r[4]]
+    want += [(*r, 0.0) for r in new if r[2] % 7 == 0 or r[2] in (5, 999)]
+    found = versions.read(spark, folder)
+    assert sorted((*(r[c] for c in ("project_id", "source_path", "id", "model", "content_hash", "embedding_text")), r.vector[0]) for r in found.collect()) == sorted(want)
+    gone = table(old[:300])
+    assert 60 <= sync.maybe_in(gone, gone.where("id % 5 = 0"), ["project_id", "id"]).count() < 80
