@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import cut
 from .markup import BLOCKS, FALLBACK_IMAGE_TEXT, UNREAD, Tree
 
 NODES = "doc long, seq int, last int, parent int, depth int, tag string, attrs map<string,string>, first_text int, n_texts int, text string"
@@ -112,15 +113,16 @@ def page_chunks(tree: DataFrame) -> DataFrame:
     stops = F.col("tag").isin(*CHUNKED, *UNREAD, "head")
     seen = seen.withColumn("top", F.col("tag").isin(*CHUNKED) & ~below(stops))
     owner = F.last(F.when(F.col("top"), F.struct(F.col("seq").alias("seq"), F.col("last").alias("last"), F.col("depth").alias("depth"), F.col("tag").alias("tag"))), ignorenulls=True).over(in_page())
-    seen = seen.withColumn("owner", owner).where("owner.last >= seq")
+    seen = seen.withColumn("owner", owner).withColumn("owned", F.coalesce(F.expr("owner.last >= seq"), F.lit(False)))
     deep = below(F.col("tag").isin(*BLOCKS) & (F.col("depth") >= F.col("owner.depth") + 2), "owner.seq")
-    seen = seen.withColumn("readable", ~F.col("unread") & ~(F.col("owner.tag").isin(*PROSE) & deep))
+    seen = seen.withColumn("readable", F.col("owned") & ~F.col("unread") & ~(F.col("owner.tag").isin(*PROSE) & deep))
+    every = cut(seen)  # many branches read it, and each would parse all pages again
+    seen = every.where("owned")
     parts = F.col("tag").isin("figcaption", "caption", "td", "th") & F.col("owner.tag").isin("figure", "table")
     # texts keep their page-wide places, so pages give whole lists of texts: those outside chunks are left out, and empty ones stand for them
-    every = tree.where(F.col("tag") == TEXT).select("doc", "seq", "first_text").join(seen.select("doc", "seq", "readable", "text"), ["doc", "seq"], "left")
     marks = seen.where((F.col("top") & F.col("tag").isin(*HEADINGS, *PROSE)) | parts).select("doc", "seq", "tag", "first_text", "n_texts", F.lit(None).cast("string").alias("text"), F.lit(False).alias("readable"))
-    table = every.select("doc", "seq", F.lit(TEXT).alias("tag"), "first_text", F.lit(1).alias("n_texts"), "text", F.coalesce("readable", F.lit(False)).alias("readable")).unionByName(marks)
-    contents = texts_of(table, F.col("tag") != TEXT, F.col("readable"))
+    texts = every.where(F.col("tag") == TEXT).select("doc", "seq", "tag", "first_text", "n_texts", F.when(F.col("readable"), F.col("text")).alias("text"), F.coalesce("readable", F.lit(False)).alias("readable"))
+    contents = cut(texts_of(texts.unionByName(marks), F.col("tag") != TEXT, F.col("readable")))
 
     of = ["doc", F.col("owner.seq").alias("at")]
     first = lambda tag, owner: seen.where((F.col("tag") == tag) & (F.col("owner.tag") == owner)).groupBy(*of).agg(F.min("seq").alias("seq")).join(contents, ["doc", "seq"]).select("doc", "at", F.col("content").alias("caption"))

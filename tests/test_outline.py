@@ -172,3 +172,17 @@ def test_intervals(spark):
     expected = sorted(duckdb.sql(sql).fetchall())
     found = markup.chunks(pages).where("metadata['tagName'] IN ('p', 'h1', 'h2')")
     assert len(expected) >= 100 and sorted((r.doc, r.metadata["tagName"], r.content) for r in found.collect()) == expected
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([(i, f"<h1>T{i}</h1><p>a<b>b</b></p><figure><img src='x'><figcaption>c</figcaption></figure><table><tr><td>d</td></tr></table>") for i in range(20)], "page_id long, html string")
+    parsed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    found = outline.page_chunks(outline.nodes(pages.mapInArrow(count, "page_id long, html string")))
+    assert found.count() == 20 * 5
+    assert parsed.value == 20
