@@ -20,6 +20,7 @@ RINGS = 32  # of a pivot with more vectors than a slice
 BUNDLE = 8192  # vectors of the rings that one task takes together
 TILE = 1024  # vectors of a matrix product
 ASKED = 256  # queries of a matrix product
+SENT = 2**19  # components of the queries' copies that are sent on together
 DECIMALS = 9  # scores are rounded before they are ranked, so that the order of summation decides no tie
 
 
@@ -180,6 +181,7 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
     PIVOTS * RINGS rows, whatever the data.
     """
     import numpy as np
+    import pyarrow as pa
 
     longest = 0.0
     if measure == "dot":
@@ -234,7 +236,7 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
             best[(v * v).sum(1) <= 1e-12] = 0
         return best
 
-    at_once = max(1, min(ASKED, 2**20 // len(rings), 2**16 // bundles))  # bounds what a task holds
+    at_once = max(1, min(ASKED, 2**20 // len(rings), SENT // (bundles * pivots.shape[1])))  # bounds what a task holds
 
     def visits(again: bool):
         def run(batches):
@@ -269,8 +271,9 @@ def pruned(rows, wanted, total, k, measure, minimum, exclude_self, block, slice_
 
         return run
 
-    layout = [(r.pivot, r.ring, i, b, p) for i, (r, b, p) in enumerate(zip(rings, base.tolist(), parts.tolist()))]
-    layout = F.broadcast(rows.sparkSession.createDataFrame(layout, "pivot int, ring int, number int, base int, parts int"))
+    layout = [[r.pivot for r in rings], [r.ring for r in rings], range(len(rings)), base.tolist(), parts.tolist()]
+    layout = pa.table([pa.array(c, pa.int32()) for c in layout], ["pivot", "ring", "number", "base", "parts"])
+    layout = F.broadcast(rows.sparkSession.createDataFrame(layout))  # from Arrow, as rows would start a second pool of Python workers
     bundled = placed.join(layout, ["pivot", "ring"]).withColumn("bundle", (F.col("base") + F.pmod(F.xxhash64("id"), "parts")).cast("int")).select("bundle", "number", "id", "v")
     schema, result = f"id {kind}, v array<double>, bundle int, rings array<int>", f"query_id {kind}, id {kind}, score double"
     cell = ["bundle", "block"]

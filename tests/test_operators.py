@@ -128,6 +128,29 @@ def test_rings_over_many_bundles(spark, monkeypatch, measure):
     assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect()) == brute_topk(rows, asked, 7, measure)
 
 
+@pytest.mark.parametrize("measure", ["cosine", "manhattan"])
+def test_pruned_search_sends_few_copies_at_once_and_has_one_pool_of_workers(spark, monkeypatch, measure):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=32).round(3).tolist()) for i in range(3000)]  # without clusters, so that queries meet most rings
+    asked = rows[::10]
+    table, wanted = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+
+    def checked(run):
+        def within(batches):
+            for batch in run(batches):
+                if len(batch.column(1).flatten()) > 2**19:
+                    raise ValueError("too many copies at once")
+                yield batch
+
+        return within
+
+    monkeypatch.setattr(search, "BUNDLE", 25)
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, run, schema, put=type(table).mapInArrow: put(self, checked(run), schema))
+    found = search.topk(table, wanted.coalesce(1), 7, measure, slice_size=32)
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect()) == brute_topk(rows, asked, 7, measure)
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()  # rows from Python, which need Python workers of their own
+
+
 @pytest.mark.parametrize("measure", search.MEASURES)
 def test_a_cell_of_any_size_is_searched_in_little_memory(measure):
     import tracemalloc
