@@ -3,9 +3,11 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from quillspark import registry
+from quillspark.operators import search
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,6 +43,37 @@ def test_query(spark, duck, name):
         assert ours == rows(names, result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["eval_compare_summary", "eval_compare_reports"])
+def test_runs_compared_over_more_vectors_than_a_slice(spark, monkeypatch, tmp_path, name):
+    n = search.SLICE + 300
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(n, 8)).round(2)
+    points[1::1598] = points[2::1598] = points[::1598]  # copies of every other query, of which the least id comes first
+    labels = rng.integers(0, 10, n).tolist()
+    table = [(i * 100 + (7 if i % 799 else 0), p.tolist(), label) for i, (p, label) in enumerate(zip(points, labels))]  # every 799th is a query
+    made = search.best_of
+
+    def few(*args):
+        run = made(*args)
+
+        def within(left, right):
+            if len(left) > 1.2 * search.BUNDLE or len(right) > 1.2 * search.QUERY_BLOCK:
+                raise ValueError("a cell of too many vectors or queries")
+            return run(left, right)
+
+        return within
+
+    monkeypatch.setattr(search, "best_of", few)
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = registry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    result = con.execute(registry.oracle_sql()[name])
+    ours = rows(found.columns, [tuple(r) for r in found.collect()])
+    assert ours == rows([d[0] for d in result.description], result.fetchall())
+    assert name == "eval_compare_summary" or len({r.change for r in found.collect()}) > 2
+
+
 def test_entry(spark):
     import __spark_entry__
 
